@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerspark.llm import decontamination, hmm, packing, quality, simhash, tokens, urls
+from ledgerspark.llm import decontamination, hmm, packing, pii, quality, simhash, tokens, urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,6 +51,13 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary(), capacity=2048, end_id=1)
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda s: s["rank"] < len(pii.KINDS))
+    counts = [F.size(F.filter("spans", lambda s, k=k: s["rank"] == k)).cast("long").alias(f"n_{name}") for k, name in enumerate(pii.KINDS)]
+    return found.select("doc_id", *counts, F.sha2(pii.joined(base), 256).alias("base_sha256"), pii.joined(F.col("spans")).alias("spans"))
+
+
 def op9_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hmm.scores(table(spark, sf_dir, "documents"), folds=7, held_out=2)
 
@@ -67,6 +74,7 @@ def queries():
         "op5_quality": op5_quality,
         "op6_token_counts": op6_token_counts,
         "op7_packing": op7_packing,
+        "op8_pii": op8_pii,
         "op9_lm_scores": op9_lm_scores,
         "op10_simhash": op10_simhash,
     }
