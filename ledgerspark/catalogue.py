@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from ledgerspark.plans import cashflow_queries, coverage_queries
+
+MODULES = (cashflow_queries, coverage_queries)
+
 
 def queries():
-    return {}
+    return {name: run for module in MODULES for name, (run, _) in module.QUERIES.items()}
 
 
 def oracle_sql():
-    return {}
+    return {name: sql for module in MODULES for name, (_, sql) in module.QUERIES.items() if sql}
