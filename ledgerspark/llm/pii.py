@@ -122,8 +122,10 @@ def words_near(spans: DataFrame) -> DataFrame:
 def disclosing_terms(docs: DataFrame, spans: DataFrame, text: str = "text", share: float = SHARE, bits: float = BITS) -> tuple[DataFrame, DataFrame]:
     """The terms that reveal an entity, and the distinct texts they occur in: (``term``), (``digest``, ``term``); both stored."""
     near = words_near(spans)
+    # a term occurs in at least as many texts as it is seen in near any entity: most pairs can't reach the share and go at once
+    places = near.groupBy("term").agg(F.count_distinct("digest").alias("places"))
     pairs = near.groupBy("term", "entity").agg(F.count("*").alias("together")).filter(F.col("together") >= SUPPORT)
-    pairs = staged(pairs, "pii-pairs")
+    pairs = staged(pairs.join(places, "term").filter(F.col("together") / F.col("places") >= share), "pii-pairs")
     wanted = pairs.select("term").distinct()
     words = F.array_distinct(F.split(F.lower(text), r"[^\p{L}]+"))
     rows = docs.select(digest(text).alias("digest"), F.explode(words).alias("term")).join(if_small(wanted), "term", "left_semi").distinct()
