@@ -1,0 +1,118 @@
+"""Strict CSV statements: whole files are parsed in the workers, every cell stays text until it is read on purpose.
+
+Spark's own CSV reader keeps neither the file's hash nor its row numbers, and forgives ragged rows.
+A file is the unit of work: files are limited in size, so a task's memory is bounded.
+"""
+
+from __future__ import annotations
+
+import csv
+import hashlib
+import io
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+MAX_BYTES, MAX_COLUMNS, MAX_CELL, MAX_HEADING = 10 << 20, 100, 100_000, 255
+DELIMITERS = ",;\t|"
+SCHEMA = "path string, file_hash string, row_number int, cells map<string,string>, error string"
+
+# Headings that suggest a field, in normalised form.
+ALIASES = {
+    "transaction_date": ("date", "transaction date", "value date"), "posting_date": ("posting date", "posted date"),
+    "description": ("description", "details", "narrative"), "amount": ("amount", "value"), "debit": ("debit", "paid out", "money out"),
+    "credit": ("credit", "paid in", "money in"), "balance": ("balance", "running balance"), "external_id": ("transaction id", "reference"), "currency": ("currency",),
+}
+
+
+def decode(content: bytes) -> str:
+    """By byte-order mark, else UTF-8, else Windows-1252; an error for what is none of these."""
+    if content.startswith(b"\xef\xbb\xbf"):
+        return content.decode("utf-8-sig")
+    if content[:2] in (b"\xff\xfe", b"\xfe\xff"):
+        return content.decode("utf-16")
+    try:
+        return content.decode("utf-8")
+    except UnicodeDecodeError:
+        return content.decode("cp1252")
+
+
+def parse(content: bytes) -> tuple[list[tuple[int, dict[str, str]]], str | None]:
+    """Data rows with their numbers (the first is 2), or the reason why the file is refused."""
+    if len(content) > MAX_BYTES:
+        return [], "too_large"
+    try:
+        text = decode(content)
+    except UnicodeDecodeError:
+        return [], "undecodable"
+    if not text.strip():
+        return [], "empty"
+    if any(ord(c) < 32 and c not in "\t\r\n" for c in text):
+        return [], "binary"
+    head = text.lstrip("\r\n").split("\n", 1)[0][:8192]
+    delimiter = max(DELIMITERS, key=head.count)
+    try:
+        rows = [r for r in csv.reader(io.StringIO(text, newline=""), delimiter=delimiter, strict=True) if r]
+    except csv.Error:
+        return [], "bad_quoting"
+    names = [h.strip() for h in rows[0]]
+    if not all(names) or len(names) > MAX_COLUMNS or max(map(len, names)) > MAX_HEADING:
+        return [], "bad_heading"
+    if len({" ".join(n.lower().split()) for n in names}) < len(names):
+        return [], "repeated_heading"
+    if len(rows) < 2:
+        return [], "no_rows"
+    if any(len(r) != len(names) for r in rows):
+        return [], "ragged"
+    if any(len(c) > MAX_CELL for r in rows for c in r):
+        return [], "cell_too_long"
+    return [(i, dict(zip(names, r, strict=True))) for i, r in enumerate(rows[1:], 2)], None
+
+
+def read(spark: SparkSession, path: str) -> DataFrame:
+    """One row for each data row of each file; a refused file is one row with its ``error``."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for file in frame.itertuples():
+                found, error = parse(bytes(file.content))
+                digest = hashlib.sha256(file.content).hexdigest()
+                rows = [(file.path, digest, n, cells, None) for n, cells in found] or [(file.path, digest, None, None, error)]
+                yield pd.DataFrame(rows, columns=["path", "file_hash", "row_number", "cells", "error"]).astype({"row_number": "Int32"})
+
+    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    return files.mapInPandas(run, SCHEMA)
+
+
+def suggest(headings: list[str]) -> dict[str, str]:
+    """Field to heading, for headings that are a known alias."""
+    normal = {" ".join(h.lower().replace("_", " ").split()): h for h in headings}
+    return {f: normal[a] for f, names in ALIASES.items() for a in names if a in normal}
+
+
+def mapped(rows: DataFrame, mapping: dict[str, str]) -> DataFrame:
+    """The cells of a confirmed mapping as columns of text; fields without a heading are null."""
+    cell = {f: F.col("cells")[mapping[f]] if f in mapping else F.lit(None).cast("string") for f in ALIASES}
+    return rows.filter("error IS NULL").select("path", "file_hash", "row_number", *(c.alias(f) for f, c in cell.items()))
+
+
+def preview(rows: DataFrame, n: int = 25) -> DataFrame:
+    return rows.orderBy("path", "row_number").limit(n)
+
+
+def layout(name: str) -> list[Column]:
+    """Projections of a ledger for export: canonical, debit_credit or signed_amount."""
+    money = lambda c: F.format_string("%.2f", c)
+    if name == "canonical":
+        return [F.col(c) for c in ("txn_id", "account_id", "txn_date", "merchant", "role")] + [money("amount").alias("amount")]
+    if name == "debit_credit":
+        return [F.col("txn_date").alias("Date"), F.col("merchant").alias("Description"), F.when(F.col("amount") < 0, money(-F.col("amount"))).alias("Debit"), F.when(F.col("amount") > 0, money("amount")).alias("Credit")]
+    if name == "signed_amount":
+        return [F.col("txn_date").alias("Date"), F.col("merchant").alias("Description"), money("amount").alias("Amount")]
+    raise ValueError(f"no layout {name}")
+
+
+def export(ledger: DataFrame, path: str, name: str) -> None:
+    ledger.select(*layout(name)).write.mode("errorifexists").csv(path, header=True)
