@@ -83,44 +83,44 @@ class Lexicon:
     ends: int
     tokens: int  # N, ends included
     distinct: int  # V, the end included
+    own: int = SYMBOLS  # words with a symbol of their own
 
     @classmethod
-    def of(cls, counts: DataFrame, ends: int) -> Lexicon:
-        top = counts.orderBy(F.desc("c"), "word").limit(TABLE).toPandas()
+    def of(cls, counts: DataFrame, ends: int, own: int = SYMBOLS, table: int = TABLE) -> Lexicon:
+        top = counts.orderBy(F.desc("c"), "word").limit(table).toPandas()
         words = [bytes(w) for w in top["word"]]
         total = counts.agg(F.sum("c"), F.count("c")).first()
         tokens, kinds = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
         for row in counts.groupBy(bucket_column("word").alias("b")).agg(F.sum("c").alias("c"), F.count("c").alias("n")).collect():
             tokens[row.b], kinds[row.b] = row.c, row.n
         c = top["c"].to_numpy(np.int64)
-        for word, n in zip(words[:SYMBOLS], c, strict=False):
+        for word, n in zip(words[:own], c, strict=False):
             tokens[bucket_of(word)] -= n
             kinds[bucket_of(word)] -= 1
-        return cls(words, c, tokens, kinds, ends, int(total[0] or 0) + ends, int(total[1]) + (ends > 0))
+        return cls(words, c, tokens, kinds, ends, int(total[0] or 0) + ends, int(total[1]) + (ends > 0), own)
 
     @property
     def end(self) -> int:
-        return SYMBOLS
+        return self.own
 
     def symbols(self) -> np.ndarray:
         """The symbol of each word in the table."""
-        own = np.arange(len(self.words))
-        return np.array([i if i < SYMBOLS else SYMBOLS + 1 + bucket_of(self.words[i]) for i in own], np.uint16)
+        return np.array([i if i < self.own else self.own + 1 + bucket_of(w) for i, w in enumerate(self.words)], np.uint16)
 
     def within(self) -> np.ndarray:
         """log10 of each table word's probability within its symbol."""
         out = np.zeros(len(self.words))
-        for i in range(SYMBOLS, len(self.words)):
+        for i in range(self.own, len(self.words)):
             b = bucket_of(self.words[i])
             out[i] = np.log10((self.counts[i] + 1) / (self.bucket_tokens[b] + self.bucket_words[b] + 1))
         return out
 
     def frequencies(self) -> np.ndarray:
         """Smoothed overall probability of each symbol."""
-        n = np.ones(SYMBOLS + 1 + BUCKETS)
-        n[: min(SYMBOLS, len(self.words))] += self.counts[:SYMBOLS]
-        n[SYMBOLS] += self.ends
-        n[SYMBOLS + 1 :] += self.bucket_tokens
+        n = np.ones(self.own + 1 + BUCKETS)
+        n[: min(self.own, len(self.words))] += self.counts[: self.own]
+        n[self.own] += self.ends
+        n[self.own + 1 :] += self.bucket_tokens
         return n / n.sum()
 
 
@@ -146,7 +146,7 @@ def encode(docs: DataFrame, lexicon: Lexicon, id_type: str) -> DataFrame:
                 rare = [words[i] for i in np.flatnonzero(at < 0)]
                 row = np.empty(len(words) + 1, np.uint16)
                 row[:-1][at >= 0] = symbols[known]
-                row[:-1][at < 0] = [SYMBOLS + 1 + bucket_of(w) for w in rare]
+                row[:-1][at < 0] = [end + 1 + bucket_of(w) for w in rare]
                 row[-1] = end
                 out.append((len(row), len(known), float(logs[known].sum()), float(within[known].sum()), row.tobytes(), rare))
             columns = list(zip(*out, strict=True)) or [()] * 6
@@ -274,12 +274,12 @@ def baum_welch(encoded: DataFrame, lexicon: Lexicon, states: int = STATES, round
     return model
 
 
-def scores(docs: DataFrame, id_col: str = "doc_id", text: str = "text", folds: int = 7, held_out: int = 2, states: int = STATES, rounds: int = ROUNDS) -> DataFrame:
+def scores(docs: DataFrame, id_col: str = "doc_id", text: str = "text", folds: int = 7, held_out: int = 2, states: int = STATES, rounds: int = ROUNDS, symbols: int = SYMBOLS, table: int = TABLE) -> DataFrame:
     """One row for each document: id, ``held_out``, ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score``, ``score``."""
     rows = docs.select(F.col(id_col).alias("id"), (fold(F.col(id_col), folds) == held_out).alias("held_out"), utf8(text).alias("text"))
     training = rows.filter(~F.col("held_out"))
     counts = word_counts(training.select("text"))
-    lexicon = Lexicon.of(counts, training.count())
+    lexicon = Lexicon.of(counts, training.count(), symbols, table)
     encoded = encode(rows, lexicon, docs.schema[id_col].dataType.simpleString())
     model = baum_welch(encoded, lexicon, states, rounds)
     shared = docs.sparkSession.sparkContext.broadcast(model)
