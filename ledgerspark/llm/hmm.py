@@ -74,7 +74,7 @@ def word_counts(texts: DataFrame) -> DataFrame:
 
 @dataclass
 class Lexicon:
-    """The frequent words by falling count, with their counts, and the classes' totals; bounded by TABLE and BUCKETS."""
+    """The frequent words by falling count, as many whole counts as fit the table, and the classes' totals; bounded by TABLE and BUCKETS."""
 
     words: list[bytes]
     counts: np.ndarray
@@ -87,13 +87,20 @@ class Lexicon:
 
     @classmethod
     def of(cls, counts: DataFrame, ends: int, own: int = SYMBOLS, table: int = TABLE) -> Lexicon:
-        top = counts.orderBy(F.desc("c"), "word").limit(table).toPandas()
-        words = [bytes(w) for w in top["word"]]
+        # the counts from which on the words fit the table: no task sends its own candidates for it to the driver
+        least, room = 1, table
+        for row in counts.groupBy("c").agg(F.count("*").alias("n")).orderBy(F.desc("c")).limit(table + 1).collect():
+            room -= row.n
+            if room < 0:
+                least = row.c + 1
+                break
+        top = sorted((-row.c, bytes(row.word)) for row in counts.filter(F.col("c") >= least).toLocalIterator())
+        words = [w for _, w in top]
         total = counts.agg(F.sum("c"), F.count("c")).first()
         tokens, kinds = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
         for row in counts.groupBy(bucket_column("word").alias("b")).agg(F.sum("c").alias("c"), F.count("c").alias("n")).collect():
             tokens[row.b], kinds[row.b] = row.c, row.n
-        c = top["c"].to_numpy(np.int64)
+        c = np.array([-n for n, _ in top], np.int64)
         for word, n in zip(words[:own], c, strict=False):
             tokens[bucket_of(word)] -= n
             kinds[bucket_of(word)] -= 1
