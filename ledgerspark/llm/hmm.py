@@ -142,8 +142,8 @@ def encode(docs: DataFrame, lexicon: Lexicon, id_type: str) -> DataFrame:
         if id(shared.value) not in _tables:
             _tables.clear()
             lex: Lexicon = shared.value
-            _tables[id(lex)] = ({w: i for i, w in enumerate(lex.words)}, lex.symbols(), lex.within(), np.log10(lex.counts + 1.0), lex.end)
-        index, symbols, within, logs, end = _tables[id(shared.value)]
+            _tables[id(lex)] = ({w: i for i, w in enumerate(lex.words)}, lex.symbols(), lex.within(), np.log10(lex.counts + 1.0), lex.end, lex)  # the last keeps its id from being given to another
+        index, symbols, within, logs, end, _ = _tables[id(shared.value)]
         for batch in batches:
             out: list[tuple] = []
             for one in batch.column(2).to_pylist():
