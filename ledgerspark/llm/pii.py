@@ -170,7 +170,7 @@ def spans_by_text(docs: DataFrame, text: str = "text", share: float = SHARE, bit
 
 def find(docs: DataFrame, id_col: str = "doc_id", text: str = "text", share: float = SHARE, bits: float = BITS) -> DataFrame:
     """One row for each document: id and its ``spans``, an array of (rank, start, end)."""
-    found = spans_by_text(docs, text, share, bits)
+    found = staged(spans_by_text(docs, text, share, bits), "pii-by-text")  # stored, so that the join of a hot text's copies can be split
     rows = docs.select(F.col(id_col).alias("id"), digest(text).alias("digest")).join(found, "digest", "left")
     return rows.select(F.col("id").alias(id_col), F.coalesce("spans", F.array().cast("array<struct<rank:int,start:long,end:long>>")).alias("spans"))
 
