@@ -206,7 +206,7 @@ def contamination(
         .groupBy("digest")
         .agg(F.sort_array(F.collect_set("item")).alias("items"))
     )
-    told = hits.select("digest", "n_hit").join(items, "digest")
+    told = staged(hits.select("digest", "n_hit").join(items, "digest"), "benchmark-told")  # stored, so that the join of a hot text's copies can be split
     return index.select("id", "digest", "n_words").join(told, "digest", "left").select(
         F.col("id").alias(id_col),
         "digest",

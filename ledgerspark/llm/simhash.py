@@ -126,6 +126,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     least = linked.groupBy("root").agg(F.min("least").alias("component"))
     moved = linked.join(least, "root").select("fp", "component")
     final = distinct.join(moved, "fp", "left").select("fp", F.coalesce("component", "least").alias("component_id"))
+    final = staged(final, "simhash-final")  # stored, so that the join of a hot fingerprint's copies can be split
     return found.join(final, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
 
 
