@@ -12,6 +12,13 @@ value with finds the same components with 65 rows for each member, whatever the
 Links become components by alternating large-star and small-star steps, each written to the shared
 folder. Only links between different fingerprints take part.
 
+``keep_one`` has a rule of its own: texts are near copies if their sets of 5-word shingles have a
+Jaccard similarity of 0.8 or more. Such texts differ in about 10 bits of a fingerprint, too many for
+blocks, so candidates meet in min-hash bands: ROWS smallest values under as many random orders agree
+with probability similarity ** ROWS, so at 0.8 a pair shares none of BANDS bands once in 16,000.
+Candidates are verified on their exact sets, each first with one member of its bucket, then, only
+where a bucket is still of several components, with the members of the others.
+
 Nulls: a null text is empty; a text without words has fingerprint zero and is linked like any
 other; a null id is never the smallest unless its component has no other. Repeated rows each give
 a row. An empty table gives an empty result. Other columns of the input are ignored.
@@ -31,6 +38,8 @@ from ledgerspark.llm.shared import LOWER, staged, utf8
 
 #: Bits in which linked fingerprints may differ, and the bucket size up to which pairs are verified one by one.
 DISTANCE, PAIRS_UP_TO = 2, 64
+#: Bands of ``keep_one`` and smallest values in each.
+BANDS, ROWS = 32, 6
 
 
 def shingle_hashes(words: list[bytes], width: int) -> np.ndarray:
@@ -130,8 +139,119 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     return found.join(final, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text", width: int = 3) -> DataFrame:
-    """The documents with one of each group: those whose id is their component's smallest; of repeated ids one row each stays too."""
-    found = near_duplicates(docs, id_col, text, width)
-    kept = found.filter(F.col(id_col).eqNullSafe(F.col("component_id"))).select(id_col).distinct()
+def signatures(docs: DataFrame, id_col: str, text: str, width: int) -> DataFrame:
+    """Each row's ``id``, ``node`` (hash of its set of shingles), the set's size ``n`` and its ``keys``, one for each band."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for one in batch.column(1):
+                own = shingle_set(one.as_py(), width)
+                found.append((node_of(own), len(own), band_keys(own)))
+            nodes, sizes, keys = list(zip(*found, strict=True)) or [()] * 3
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["id", "node", "n", "keys"])
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    return docs.select(F.col(id_col).alias("id"), utf8(text).alias("text")).mapInArrow(run, f"id {kind}, node long, n long, keys array<long>")
+
+
+def shingle_set(text: bytes, width: int) -> np.ndarray:
+    """The distinct shingle hashes of a text, sorted."""
+    return np.unique(shingle_hashes(text.translate(LOWER).split(), width))
+
+
+def node_of(own: np.ndarray) -> int:
+    import xxhash
+
+    found = xxhash.xxh64_intdigest(own.tobytes(), 42)
+    return found - (found >> 63 << 64)
+
+
+def band_keys(own: np.ndarray) -> list[int]:
+    """A hash of each band of ROWS smallest values, over BANDS * ROWS orders of the shingles; none for an empty set."""
+    import xxhash
+
+    if not len(own):
+        return []
+    rng = np.random.default_rng(11)
+    flip, odd = rng.integers(0, 1 << 64, (2, BANDS * ROWS), np.uint64)
+    odd |= np.uint64(1)
+    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max)
+    for at in range(0, len(own), 1024):  # bounded memory for very long texts
+        least = np.minimum(least, ((own[at : at + 1024, None] ^ flip) * odd).min(0))
+    found = [xxhash.xxh64_intdigest(band.tobytes(), k) for k, band in enumerate(least.reshape(BANDS, ROWS))]
+    return [f - (f >> 63 << 64) for f in found]
+
+
+def shingle_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text: str, width: int) -> DataFrame:
+    """Stored: ``node`` and its sorted shingle hashes ``own`` (bytes) for the nodes of ``wanted`` (id, node)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingle_set(one.as_py(), width) for one in batch.column(1)]
+            of = [(w, own.tobytes()) for w, own in zip(batch.column(0).to_pylist(), sets, strict=True) if node_of(own) == w]  # rows may share an id
+            yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in of], pa.int64()), pa.array([o for _, o in of], pa.binary())], ["node", "own"])
+
+    rows = docs.select(F.col(id_col).alias("_id"), utf8(text).alias("text"))
+    rows = rows.join(wanted, F.col("_id").eqNullSafe(F.col("id"))).select("node", "text")
+    return staged(rows.mapInArrow(run, "node long, own binary").dropDuplicates(["node"]), "shingle-sets")
+
+
+def alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Stored: the pairs (a, b) whose shingle sets have a Jaccard similarity of at least ``similarity``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column(2), batch.column(3), strict=True):
+                x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(both / (len(x) + len(y) - both) >= similarity)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    of = lambda side: sets.select(F.col("node").alias(side), F.col("own").alias(f"own_{side}"))
+    both = pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "own_a", "own_b")
+    return staged(both.mapInArrow(run, "a long, b long"), "alike")
+
+
+def near_groups(docs: DataFrame, id_col: str, text: str, width: int, similarity: float) -> DataFrame:
+    """``id`` and ``component_id`` of each row: the smallest id reachable over pairs of texts that are ``similarity`` alike."""
+    found = staged(signatures(docs, id_col, text, width), "signatures")
+    distinct = staged(found.groupBy("node").agg(F.min("id").alias("least"), F.any_value("n").alias("n"), F.any_value("keys").alias("keys")), "signatures-distinct")
+    dealt = distinct.select("node", "n", F.explode("keys").alias("key"))
+    leaders = dealt.groupBy("key").agg(F.min(F.struct("node", "n")).alias("first"), F.count("*").alias("size")).filter("size > 1")
+    leaders = staged(leaders.select("key", F.col("first.node").alias("b"), F.col("first.n").alias("bn")), "bucket-leaders")
+    shared = staged(dealt.join(leaders, "key"), "buckets")
+    wanted = distinct.join(shared.select("node").distinct(), "node").select(F.col("least").alias("id"), "node")
+    sets = shingle_sets(docs, wanted, id_col, text, width)
+
+    def sizes(x: str, y: str):  # sets whose sizes differ by more can't be alike
+        return F.least(x, y) >= F.greatest(x, y) * similarity
+
+    # each member with its bucket's first; then pairs that share a bucket but no component yet
+    stars = staged(shared.filter((F.col("node") != F.col("b")) & sizes("n", "bn")).select(F.col("node").alias("a"), "b").distinct(), "stars")
+    edges = alike(stars, sets, similarity)
+    roots = components(edges)
+    placed = shared.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    placed = staged(placed, "buckets-placed")
+    mixed = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("key")
+    open_ = staged(placed.join(mixed, "key").filter("node <> b"), "buckets-open")
+    x, y = open_.alias("x"), open_.alias("y")
+    rest = x.join(y, F.expr("x.key = y.key AND x.node < y.node AND x.root <> y.root") & sizes("x.n", "y.n"))
+    rest = staged(rest.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct(), "bucket-pairs")
+    roots = components(edges.unionByName(alike(rest, sets, similarity)))
+
+    linked = distinct.select("node", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    least = linked.groupBy("root").agg(F.min("least").alias("component_id"))
+    final = staged(linked.join(least, "root").select("node", "component_id"), "near-final")  # stored, so that the join of a hot text's copies can be split
+    return found.select("id", "node").join(final, "node").select("id", "component_id")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
+    """The documents with one of each group of near copies: those whose id is their component's smallest; of repeated ids one row each stays too.
+
+    Near copies have sets of ``width``-word shingles with a Jaccard similarity of at least ``similarity``.
+    """
+    found = near_groups(docs, id_col, text, width, similarity)
+    kept = found.filter(F.col("id").eqNullSafe(F.col("component_id"))).select(F.col("id").alias(id_col)).distinct()
     return docs.join(kept, docs[id_col].eqNullSafe(kept[id_col]), "left_semi")

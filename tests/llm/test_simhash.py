@@ -96,3 +96,51 @@ def test_keep_one(spark):
 
 def test_empty(spark):
     assert simhash.near_duplicates(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def plain_kept(rows, width=5, similarity=0.8):
+    """Ids whose component over all pairs with a Jaccard similarity of ``similarity`` has none smaller."""
+
+    def shingles(text):
+        words = (text or "").encode().translate(simhash.LOWER).split()
+        return frozenset(tuple(words[i : i + width]) for i in range(max(len(words) - width, 0) + 1)) if words else frozenset()
+
+    sets = {d: shingles(t) for d, t in rows}
+    root = {d: d for d in sets}
+
+    def find(d):
+        while root[d] != d:
+            d = root[d]
+        return d
+
+    order = sorted(sets)
+    for i, a in enumerate(order):
+        for b in order[i + 1 :]:
+            x, y = sets[a], sets[b]
+            if x == y or len(x & y) / len(x | y) >= similarity:
+                lo, hi = sorted((find(a), find(b)))
+                root[hi] = lo
+    return sorted(d for d in order if find(d) == d)
+
+
+def test_keep_one_by_similarity(spark):
+    """Edited copies, chains of them whose ends are less alike, a crowd, and texts just below the bar."""
+    rng = random.Random(5)
+    base = [f"w{i}" for i in range(300)]
+    rows = [(1, " ".join(base)), (2, None), (3, ""), (4, "Too short"), (5, "too SHORT"), (6, "one two three four five six")]
+    words = list(base)
+    for i in range(12):  # each edited in two more places than the one before
+        words = [*words[: 20 * i + 7], f"x{i}", *words[20 * i + 8 :]]
+        rows.append((10 + i, " ".join(words)))
+    for i in range(80):
+        other = [f"v{j}" for j in range(200)]
+        for _ in range(rng.randint(0, 6)):
+            other[rng.randrange(200)] = f"y{rng.randrange(1000)}"
+        rows.append((100 + i, " ".join(other)))
+    got = simhash.keep_one(spark.createDataFrame([(d, t, "", 0) for d, t in rows], SCHEMA))
+    assert sorted(r.doc_id for r in got.collect()) == plain_kept(rows)
+
+
+def test_keep_one_of_a_table(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    assert sorted(r.doc_id for r in simhash.keep_one(docs).collect()) == plain_kept([(r.doc_id, r.text) for r in docs.collect()])
