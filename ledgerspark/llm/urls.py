@@ -5,7 +5,7 @@ by a class at once. What is left is counted for each host and shape, with the la
 behind it, and the tree is grown on those counts, level by level: a child segment stays literal
 if its share of bad labels is above its siblings' by a two-proportion test, or if it has labels and
 its siblings have none; those below merge into one good branch, and all others, statistically alike
-or without evidence, into a wildcard, as do all bad children where a node has very many. A template is rejected if its share of
+or without evidence, into a wildcard. A template is rejected if its share of
 bad labels, smoothed towards that of all pages, reaches ``reject``.
 
 Everything is DataFrame aggregation: counts are combined before each shuffle, and the pages meet
@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 from ledgerspark.llm.shared import staged
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Levels of the tree; children beyond which all merge; the test's critical value; labels that count as evidence; weight of the smoothing.
-DEPTH, MANY, CRITICAL, EVIDENCE, WEIGHT = 4, 200, 1.96, 3, 2.0
+#: Levels of the tree; the test's critical value; labels that count as evidence; weight of the smoothing.
+DEPTH, CRITICAL, EVIDENCE, WEIGHT = 4, 1.96, 3, 2.0
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -80,7 +80,7 @@ def template_tree(counts: DataFrame, reject: float = 0.8) -> DataFrame:
         worse = gap > 0
         differs = F.coalesce(F.abs(gap) > CRITICAL * error, F.lit(False))
         alone = (n >= EVIDENCE) & (rest == 0)
-        literal = (((differs & worse) | alone) & (F.col("kids") <= MANY)) | (F.col("kids") == 1)
+        literal = (differs & worse) | alone | (F.col("kids") == 1)
         to = F.when(literal, F.col("segment")).when(differs & ~worse, "<good>").otherwise("*")
         judged = judged.select("host", "template", "segment", to.alias("to"))
         tree = tree.join(judged, ["host", "template", "segment"]).withColumn("template", F.concat("template", F.lit("/"), "to")).drop("to", "segment")

@@ -49,5 +49,16 @@ def test_templates_follow_the_labels(spark):
     assert all(got[i].verdict == "block" for i in range(30)) and all(got[i].verdict == "allow" for i in range(100, 130))
 
 
+def test_verdicts_do_not_depend_on_the_number_of_siblings(spark):
+    """Of hosts with 200 and 201 first segments, one bad by rule, clean pages are allowed and the bad branch stays literal."""
+    rows = []
+    for host, kids in (("a.example.com", 200), ("b.example.com", 201)):
+        rows += [(f"http://{host}/de/{i}", 0) for i in range(12)] + [(f"http://{host}/s{'x' * i}/{i}", 1) for i in range(kids - 1)]
+    rows += [(f"http://quiet{i}.org/fr/{i}", 2) for i in range(40)]  # a low share of bad labels overall
+    got = urls.judge(spark.createDataFrame([(i, u, "", v) for i, (u, v) in enumerate(rows)], SCHEMA), RULES).collect()
+    assert {r.verdict for r in got if r.path.startswith("/s")} == {"allow"}
+    assert {r.template for r in got if r.path.startswith("/de/")} == {"/de/<n>///"}
+
+
 def test_empty(spark):
     assert urls.judge(spark.createDataFrame([], SCHEMA), RULES).count() == 0
