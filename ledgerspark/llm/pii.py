@@ -4,12 +4,24 @@ Four kinds are found by pattern, leftmost and without overlap, with the checks o
 patterns are written so that every position is tried in constant time: runs are taken possessively
 and can't be entered in the middle, which gives the same matches as the plain patterns.
 
-Terms are sanitised by what they disclose. Each valid match names a protected entity. Words of
-letters within ``REACH`` places of a match are counted with its entity, by distinct texts; those
-seen with one entity in at least ``SUPPORT`` texts are counted over all texts of the corpus. Where
-P(entity | term) reaches ``share`` and the pointwise mutual information reaches ``bits``, the term
-reveals the entity, and every occurrence in any text is a span of kind ``term``. ``sanitise``
-generalises the spans to a label of their kind.
+Terms are sanitised by what they disclose, on two levels, both counted by distinct texts.
+
+Words and single entities: each valid match names a protected entity. Words of letters within
+``REACH`` places of a match are counted with its entity; those seen with one entity in at least
+``SUPPORT`` texts are counted over all texts of the corpus. Where P(entity | term) reaches ``share``
+and the pointwise mutual information reaches ``bits``, the term reveals the entity.
+
+Shapes and protected classes: an opaque token (16 characters and more with a digit in it, or 9 digits
+and more) hardly ever occurs twice, so it is counted as its shape: its alphabet and length. What it
+reveals is the class of the place it is found in: the value given to a name (``name = "..."``), or
+one of the four kinds, where a valid match lies within the token. A shape is a disclosing term if
+P(class | shape), by texts, reaches ``share`` and its mutual information with the class reaches
+``part`` of the class's own information, -log2 of its share of all words of the distinct texts. No list of names is used: that
+40 hexadecimal digits are a credential follows from where the corpus puts them. Each token of such
+a shape is then a span, wherever it stands.
+
+Every occurrence of a disclosing term, outside the spans found by pattern, is a span of kind
+``term``. ``sanitise`` generalises: patterns to their kind, shapes to their alphabet, words to TERM.
 
 DataFrame functions only. Texts are known by their MD5 digest, so copies count and are searched
 once. Positions are running sums of the lengths between and within matches, one window for each
@@ -27,7 +39,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerspark.llm.decontamination import if_small
-from ledgerspark.llm.shared import staged
+from ledgerspark.llm.shared import staged, unused
 
 KINDS = ("email", "ip", "card", "phone")
 #: kind: (a cheap test, the pattern). ``\G`` lets a match follow the one before inside a run; the look-behinds bar other mid-run starts.
@@ -38,7 +50,11 @@ PATTERNS = {
     "phone": (r"\+[0-9]", r"\+[0-9][ ().0-9-]+[0-9]"),
 }
 REACH, NEAR, SUPPORT = 6, 120, 3
-SHARE, BITS = 0.8, 4.0
+SHARE, BITS, PART = 0.8, 4.0, 0.8
+#: Opaque tokens: from their own start on, so in constant time for each character. Numbers may be cut by single marks.
+OPAQUE = {"opaque": (r"[0-9]", r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*+[0-9])(?:[A-Za-z0-9+/_-]{16,}+={0,2}+|[0-9]{9,}+)(?![A-Za-z0-9+/_=@-])")}
+#: What stands between the last letter of a name and the value given to it.
+GIVEN = r"[=:](?<=[\p{L}\p{N}_][\"'\]]? {0,3}[=:])[=>]? {0,3}[\"'(\[]{0,2}"
 
 
 def digest(text: str) -> Column:
@@ -140,6 +156,52 @@ def disclosing_terms(docs: DataFrame, spans: DataFrame, text: str = "text", shar
     return told, rows.join(if_small(told), "term", "left_semi")
 
 
+def alphabet(value: Column) -> Column:
+    return F.when(value.rlike("^[0-9]++$"), "digits").when(value.rlike("^[0-9a-f-]++$|^[0-9A-F-]++$"), "hex").otherwise("key")
+
+
+def opaque_tokens(docs: DataFrame, spans: DataFrame, text: str = "text") -> DataFrame:
+    """Stored: ``digest``, ``start``, ``end``, ``shape``, ``label`` and ``class`` (null: no protected place) of each opaque token.
+
+    A token that overlaps a valid match has that match's kind as its class.
+    """
+    tokens = positioned(pattern_matches(docs, text, OPAQUE))
+    value = F.col("value")
+    shape = F.concat_ws(":", alphabet(value), F.length(value))
+    given = F.when(F.col("before").rlike(f"{GIVEN}$"), "given")
+    tokens = tokens.select("digest", "start", "end", shape.alias("shape"), F.upper(alphabet(value)).alias("label"), given.alias("class"))
+    lies = spans.groupBy("digest").agg(F.collect_list(F.struct("start", "end", "kind")).alias("spans"))  # one text's valid matches
+    own = tokens.select("digest").distinct()
+    lies = lies.join(if_small(own), "digest", "left_semi")
+    both = tokens.join(lies, "digest", "left")
+    over = F.filter("spans", lambda s: (s["start"] < F.col("end")) & (s["end"] > F.col("start")))
+    kind = F.get(F.transform(over, lambda s: s["kind"]), F.lit(0))
+    return staged(both.withColumn("base", kind.isNotNull()).withColumn("class", F.coalesce(kind, "class")).drop("spans"), "pii-opaque")
+
+
+def disclosing_shapes(docs: DataFrame, tokens: DataFrame, spans: DataFrame, text: str = "text", share: float = SHARE, part: float = PART) -> DataFrame:
+    """Stored: the ``shape``s that reveal a protected class; there are no more shapes than lengths and alphabets that occur in SUPPORT texts."""
+    words = F.length(text) - F.length(F.replace(F.col(text), F.lit(" "))) + 1
+    by_text = docs.filter(F.col(text).isNotNull()).select(digest(text).alias("digest"), words.alias("words"), F.regexp_count(text, F.lit(rf"{GIVEN}\S")).alias("given")).distinct()
+    told = by_text.agg(F.sum("words").alias("words"), F.sum("given").alias("given")).first()
+    classes = spans.groupBy(F.col("kind").alias("class")).agg(F.count("*").alias("places"))
+    classes = classes.unionByName(classes.sparkSession.createDataFrame([("given", told.given or 0)], "class string, places long"))
+    found = tokens.groupBy("shape").agg(F.count_distinct("digest").alias("with_shape")).filter(F.col("with_shape") >= SUPPORT)
+    pairs = tokens.filter("class IS NOT NULL").groupBy("shape", "class").agg(F.count_distinct("digest").alias("together"))
+    judged = pairs.join(found, "shape").join(F.broadcast(classes), "class")  # five classes
+    held = F.col("together") / F.col("with_shape")
+    own = F.log2(float(max(told.words or 1, 1)) / F.col("places"))
+    told = judged.filter((held >= share) & (F.col("together") >= SUPPORT) & (F.log2(held) + own >= part * own))
+    return staged(told.select("shape").distinct(), "pii-shapes")
+
+
+def shape_spans(docs: DataFrame, spans: DataFrame, text: str = "text", share: float = SHARE, part: float = PART) -> DataFrame:
+    """Each token of a disclosing shape outside the base spans: ``digest``, ``start``, ``end``, ``label``."""
+    tokens = opaque_tokens(docs, spans, text)
+    shapes = disclosing_shapes(docs, tokens, spans, text, share, part)
+    return tokens.filter("NOT base").join(if_small(shapes), "shape", "left_semi").select("digest", "start", "end", "label")
+
+
 def term_spans(docs: DataFrame, hits: DataFrame, spans: DataFrame, text: str = "text") -> DataFrame:
     """Every occurrence of a disclosing term, outside the base spans: ``digest``, ``start``, ``end``."""
     word = {"term": (r"\p{L}", r"\p{L}+")}
@@ -157,22 +219,23 @@ def term_spans(docs: DataFrame, hits: DataFrame, spans: DataFrame, text: str = "
     return both.filter(~F.col("base") & clear).select("digest", "start", "end")
 
 
-def spans_by_text(docs: DataFrame, text: str = "text", share: float = SHARE, bits: float = BITS) -> DataFrame:
-    """``digest`` and ``spans``: (rank of the kind, start, end) sorted, of each distinct text that has any."""
+def spans_by_text(docs: DataFrame, text: str = "text", share: float = SHARE, bits: float = BITS, part: float = PART) -> DataFrame:
+    """``digest`` and ``spans``: (rank of the kind, start, end, label) sorted, of each distinct text that has any."""
     base = base_spans(docs, text)
     _, hits = disclosing_terms(docs, base, text, share, bits)
     rank = reduce(lambda c, k: c.when(F.col("kind") == k[1], k[0]), enumerate(KINDS), F.when(F.lit(False), -1))
-    every = base.select("digest", rank.alias("rank"), "start", "end").unionByName(
-        term_spans(docs, hits, base, text).select("digest", F.lit(len(KINDS)).alias("rank"), "start", "end")
-    )
-    return every.groupBy("digest").agg(F.sort_array(F.collect_list(F.struct("rank", "start", "end"))).alias("spans"))
+    term = F.lit(len(KINDS)).alias("rank")
+    every = base.select("digest", rank.alias("rank"), "start", "end", F.upper("kind").alias("label"))
+    every = every.unionByName(term_spans(docs, hits, base, text).select("digest", term, "start", "end", F.lit("TERM").alias("label")))
+    every = every.unionByName(shape_spans(docs, base, text, share, part).select("digest", term, "start", "end", "label"))
+    return every.groupBy("digest").agg(F.sort_array(F.collect_list(F.struct("rank", "start", "end", "label"))).alias("spans"))
 
 
-def find(docs: DataFrame, id_col: str = "doc_id", text: str = "text", share: float = SHARE, bits: float = BITS) -> DataFrame:
-    """One row for each document: id and its ``spans``, an array of (rank, start, end)."""
-    found = staged(spans_by_text(docs, text, share, bits), "pii-by-text")  # stored, so that the join of a hot text's copies can be split
+def find(docs: DataFrame, id_col: str = "doc_id", text: str = "text", share: float = SHARE, bits: float = BITS, part: float = PART) -> DataFrame:
+    """One row for each document: id and its ``spans``, an array of (rank, start, end, label)."""
+    found = staged(spans_by_text(docs, text, share, bits, part), "pii-by-text")  # stored, so that the join of a hot text's copies can be split
     rows = docs.select(F.col(id_col).alias("id"), digest(text).alias("digest")).join(found, "digest", "left")
-    return rows.select(F.col("id").alias(id_col), F.coalesce("spans", F.array().cast("array<struct<rank:int,start:long,end:long>>")).alias("spans"))
+    return rows.select(F.col("id").alias(id_col), F.coalesce("spans", F.array().cast("array<struct<rank:int,start:long,end:long,label:string>>")).alias("spans"))
 
 
 def joined(spans: Column) -> Column:
@@ -181,18 +244,18 @@ def joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", names[s["rank"]], s["start"], s["end"])), ",")
 
 
-def sanitise(docs: DataFrame, id_col: str = "doc_id", text: str = "text", share: float = SHARE, bits: float = BITS) -> DataFrame:
-    """The documents, with each span of their text replaced by ``[KIND]``; a span that begins inside another is part of it."""
-    names = F.array(*map(F.lit, (*KINDS, "term")))
-    found = spans_by_text(docs, text, share, bits).withColumnRenamed("digest", "_digest").withColumnRenamed("spans", "_spans")
-    by_start = F.array_sort(F.transform("_spans", lambda s: F.struct(s["start"], s["end"], s["rank"])))
+def sanitise(docs: DataFrame, id_col: str = "doc_id", text: str = "text", share: float = SHARE, bits: float = BITS, part: float = PART) -> DataFrame:
+    """The documents, with each span of their text replaced by ``[LABEL]``; a span that begins inside another is part of it."""
+    own, key, spans = unused(docs, "own_digest", "digest", "spans")
+    found = staged(spans_by_text(docs, text, share, bits, part), "pii-by-text").toDF(key, spans)
+    by_start = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"], s["end"], s["label"])))
     start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
 
     def step(state: Column, s: Column) -> Column:
-        more = F.concat(state["out"], F.substring(F.col(text), (state["at"] + 1).cast("int"), (s["start"] - state["at"]).cast("int")), F.lit("["), F.upper(names[s["rank"]]), F.lit("]"))
+        more = F.concat(state["out"], F.substring(F.col(text), (state["at"] + 1).cast("int"), (s["start"] - state["at"]).cast("int")), F.lit("["), s["label"], F.lit("]"))
         inside = s["start"] < state["at"]
         return F.struct(F.greatest(state["at"], s["end"]).alias("at"), F.when(inside, state["out"]).otherwise(more).alias("out"))
 
     cleaned = F.aggregate(by_start, start, step, lambda s: F.concat(s["out"], F.substring(F.col(text), (s["at"] + 1).cast("int"), F.length(text))))
-    both = docs.withColumn("_own", digest(text)).join(found, F.col("_own") == F.col("_digest"), "left")
-    return both.withColumn(text, F.when(F.col("_spans").isNull(), F.col(text)).otherwise(cleaned)).select(docs.columns)
+    both = docs.withColumn(own, digest(text)).join(found, F.col(own) == F.col(key), "left")
+    return both.withColumn(text, F.when(F.col(spans).isNull(), F.col(text)).otherwise(cleaned)).select(docs.columns)

@@ -27,14 +27,48 @@ def shared_dir(spark: SparkSession) -> str:
     return "/tmp/checkpoints"
 
 
+#: Folders of this session's staged tables that still exist.
+_staged: set[str] = set()
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    _staged.add(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def forget(*tables: DataFrame) -> None:
+    """Delete staged tables that nothing reads from now on."""
+    for table in tables:
+        folders = {file.rsplit("/", 1)[0] for file in table.inputFiles()}
+        _delete(table.sparkSession, [p for p in _staged if any(folder.endswith(p.split(":")[-1]) for folder in folders)])
+
+
+def _delete(spark: SparkSession, paths: list[str]) -> None:
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+        _staged.discard(path)
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete all staged tables of this session, once its results are written: they can't be read afterwards."""
+    _delete(spark, list(_staged))
+
+
+def unused(df: DataFrame, *names: str) -> tuple[str, ...]:
+    """The names, each with as many underscores before it as no column of ``df`` has."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        out.append(name)
+    return tuple(out)
+
+
 def utf8(column: str) -> Column:
     """The text as UTF-8 bytes, null as empty, so that Python workers never decode it."""
     return F.coalesce(F.col(column), F.lit("")).cast("binary")

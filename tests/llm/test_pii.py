@@ -1,5 +1,6 @@
 """Pattern spans against Python's re, and disclosing terms on a small corpus."""
 
+import math
 import random
 import re
 
@@ -30,7 +31,7 @@ def plain(text):
 
 def check(spark, rows):
     got = pii.find(spark.createDataFrame(rows, SCHEMA)).collect()
-    found = sorted(((r.doc_id, [tuple(s) for s in r.spans if s["rank"] < 4]) for r in got), key=str)
+    found = sorted(((r.doc_id, [tuple(s)[:3] for s in r.spans if s["rank"] < 4]) for r in got), key=str)
     assert found == sorted(((r[0], plain(r[1])) for r in rows), key=str)
 
 
@@ -81,5 +82,81 @@ def test_terms_that_disclose(spark):
     assert cleaned[5] == text[5] and len(cleaned) == len(rows)
 
 
+OPAQUE = re.compile(r"(?<![A-Za-z0-9+/_=-])(?:[A-Za-z0-9+/_-]{16,}={0,2}|[0-9]{9,})(?![A-Za-z0-9+/_=@-])")
+GIVEN = r"[^\W][\"'\]]? {0,3}(?:=>?|:=?) {0,3}[\"'(\[]{0,2}"
+
+
+def plain_shapes(rows, share=pii.SHARE, part=pii.PART):
+    """Spans of disclosing shapes by text, from counts over all distinct texts."""
+    texts = {r[1] or "" for r in rows}
+    seen, classes = {}, {"given": sum(len(re.findall(GIVEN + r"\S", t)) for t in texts)}
+    words = sum(t.count(" ") + 1 for t in texts if t)
+    tokens = {t: [] for t in texts}
+    for t in texts:
+        base = plain(t)
+        for k, _, _ in base:
+            classes[k] = classes.get(k, 0) + 1
+        for m in OPAQUE.finditer(t):
+            if not re.search("[0-9]", m[0]):
+                continue
+            kind = "digits" if m[0].isdigit() else "hex" if re.fullmatch("[0-9a-f-]+|[0-9A-F-]+", m[0]) else "key"
+            over = [k for k, a, b in base if a < m.end() and b > m.start()]
+            own = over[0] if over else "given" if re.search(GIVEN + "$", t[: m.start()]) else None
+            tokens[t].append((f"{kind}:{len(m[0])}", m.start(), m.end(), bool(over)))
+            seen.setdefault(f"{kind}:{len(m[0])}", []).append((own, t))
+    told = set()
+    for shape, found in seen.items():
+        n = len({t for _, t in found})
+        for c in {c for c, _ in found if c is not None}:
+            both = len({t for k, t in found if k == c})
+            own = math.log2(words / classes[c])
+            if both >= pii.SUPPORT and both / n >= share and math.log2(both / n) + own >= part * own:
+                told.add(shape)
+    return {t: [(a, b) for s, a, b, base in found if s in told and not base] for t, found in tokens.items()}
+
+
+def shaped():
+    rng = random.Random(9)
+    mixed = lambda n, of="0123456789abcdef": "".join(rng.choice(of) for _ in range(n))
+    rows = [(i, f"clean prose, number {i}: none", "", 0) for i in range(40)]
+    rows += [(100 + i, f"some config {'key' if i % 2 else 'Token'} = \"{mixed(32)}\" and on", "", 0) for i in range(6)]
+    rows += [(120 + i, f"a hash {mixed(32)} with no name", "", 0) for i in range(1)]  # the same shape, elsewhere
+    rows += [(130 + i, f"commit {mixed(24)} pushed; id: {mixed(20)}A" if i < 2 else f"commit {mixed(24)} pushed", "", 0) for i in range(8)]  # mostly not given
+    rows += [(150 + i, f"secret: {mixed(20, 'abcXYZ789')}7z== next", "", 0) for i in range(4)] + [(160, f"loose {mixed(20, 'abcXYZ789')}7z==", "", 0)]
+    rows += [(170 + i, f"card 411111111111111{i} there", "", 0) for i in range(5)] + [(180, None, "", 0), (181, "", "", 0)]
+    return rows
+
+
+def check_shapes(spark, rows):
+    found = {}
+    for r in pii.find(spark.createDataFrame(rows, SCHEMA)).collect():
+        found[r.doc_id] = [(s["start"], s["end"]) for s in r.spans if s["rank"] == 4 and s["label"] != "TERM"]
+    want = plain_shapes(rows)
+    assert found == {r[0]: want[r[1] or ""] for r in rows}
+    return found
+
+
+def test_shapes_that_disclose(spark):
+    rows = shaped()
+    found = check_shapes(spark, rows)
+    assert all(found[100 + i] for i in range(6)) and found[120] and all(found[150 + i] for i in range(4)) and found[160]
+    assert not any(found[i] for i in range(40)) and not any(found[132 + i] for i in range(6))
+    cleaned = {r.doc_id: r.text for r in pii.sanitise(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert cleaned[101] == 'some config key = "[HEX]" and on' and cleaned[160] == "loose [KEY]" and cleaned[3] == rows[3][1]
+
+
+def test_shapes_of_a_table(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()
+    found = check_shapes(spark, [(r.doc_id, r.text, "", 0) for r in docs])
+    assert any(found.values())
+
+
+def test_sanitise_keeps_columns_of_any_name(spark):
+    rows = [(1, "mail a@b.cd", 1, 2, 3), (None, None, 4, 5, 6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, own_digest int, digest int, spans int")
+    got = pii.sanitise(docs)
+    assert got.columns == docs.columns and sorted(map(tuple, got.collect()), key=str) == sorted([(1, "mail [EMAIL]", 1, 2, 3), rows[1]], key=str)
+
+
 def test_empty(spark):
     assert pii.find(spark.createDataFrame([], SCHEMA)).count() == 0
