@@ -1,31 +1,43 @@
-"""URL filter: rules first, then a path-template tree for each host.
+"""URL filter: rules first, then path-template trees for each host, with evidence shared upwards.
 
 Paths are cut into segments, and segments that are numbers, hexadecimal names or dates are replaced
 by a class at once. What is left is counted for each host and shape, with the labels of the pages
-behind it, and the tree is grown on those counts, level by level: a child segment stays literal
+behind it. A tree is grown on those counts for every host, for every registered domain (the last two
+labels of a host) and for all pages together. Growing passes over the segments that all shapes of a
+node have in common, then judges the children by their next segment: a child stays literal
 if its share of bad labels is above its siblings' by a two-proportion test, or if it has labels and
 its siblings have none; those below merge into one good branch, and all others, statistically alike
-or without evidence, into a wildcard. A template is rejected if its share of
-bad labels, smoothed towards that of all pages, reaches ``reject``.
+or without evidence, into a wildcard. A node without labels, or with one shape only, is a template
+as it is. So a tree is as deep as its paths branch, and no segment is left out.
+
+A template's share of bad labels is smoothed: the host's towards the domain's, that towards all
+pages', that towards the share of bad labels at large, each with ``WEIGHT`` labels. A page is
+rejected if the result reaches ``reject`` and its three templates hold ``EVIDENCE`` labels at least.
+So a branch that is bad wherever it is labelled is rejected on hosts without labels of their own,
+and a host's own good labels outweigh it.
 
 Everything is DataFrame aggregation: counts are combined before each shuffle, and the pages meet
-the finished tree once, in a join that adaptive execution splits for a hot host.
+the finished trees once, in a join that adaptive execution splits for a hot host.
 
 Nulls: a null url, or one without ``://``, has an empty host and path and is judged like any other
 template. Repeated rows each give a row. An empty table gives an empty result; without any label
-the share of bad is taken as one half before smoothing. Other columns are ignored.
+the share of bad is taken as one half before smoothing, and nothing is rejected. Other columns are ignored.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerspark.llm.shared import staged
+from ledgerspark.llm.shared import forget, staged
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Levels of the tree; the test's critical value; labels that count as evidence; weight of the smoothing.
-DEPTH, CRITICAL, EVIDENCE, WEIGHT = 4, 1.96, 3, 2.0
+#: The test's critical value; labels that count as evidence; weight of the smoothing; the mark that ends a shape.
+CRITICAL, EVIDENCE, WEIGHT, END = 1.96, 3, 2.0, "<end>"
+#: The trees that a host's pages belong to, from its own to that of all pages.
+SCOPES = 3
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -58,39 +70,74 @@ def segment_class(segment: Column) -> Column:
 
 
 def shape(path: Column) -> Column:
-    """The first DEPTH segments by class, then how many more there are: an array of DEPTH + 1 strings."""
+    """All segments by class, and the end mark: an array of strings."""
     parts = F.split(F.regexp_replace(path, "^/", ""), "/", -1)
-    padded = F.concat(parts, F.array_repeat(F.lit(""), DEPTH))
-    first = F.transform(F.slice(padded, 1, DEPTH), segment_class)
-    return F.concat(first, F.array(F.when(F.size(parts) > DEPTH, "<more>").otherwise("")))
-
-
-def template_tree(counts: DataFrame, reject: float = 0.8) -> DataFrame:
-    """``host``, ``shape``, ``template``, ``purity``, ``rejected`` for ``counts`` (host, shape, good, bad), one row a shape."""
-    tree = staged(counts.withColumn("template", F.lit("")), "url-tree")
-    for level in range(DEPTH + 1):
-        tree = tree.withColumn("segment", F.col("shape")[level])
-        children = tree.groupBy("host", "template", "segment").agg(F.sum("good").alias("g"), F.sum("bad").alias("b"))
-        parents = children.groupBy("host", "template").agg(F.sum("g").alias("pg"), F.sum("b").alias("pb"), F.count("*").alias("kids"))
-        judged = children.join(parents, ["host", "template"])
+    return F.concat(F.transform(parts, segment_class), F.array(F.lit(END)))
+
+
+def scopes(host: Column) -> Column:
+    """The keys of a host's trees: itself, its registered domain, all."""
+    return F.array(host, F.concat(F.lit("*."), F.substring_index(host, ".", -2)), F.lit("*"))
+
+
+def template_tree(counts: DataFrame) -> DataFrame:
+    """Stored: ``scope``, ``shape`` and its ``template`` for ``counts`` (scope, shape, good, bad), one row a shape."""
+    growing = staged(counts.withColumn("rest", F.col("shape")).withColumn("template", F.lit("")), "url-tree")
+    finished, parts = [], []
+    while not growing.isEmpty():
+        nodes = growing.groupBy("scope", "template").agg(F.min("rest").alias("lo"), F.max("rest").alias("hi"), F.sum(F.col("good") + F.col("bad")).alias("labels"))
+        # the smallest and the largest shape of a node share just what all of them share
+        shared = F.array_position(F.zip_with("lo", "hi", lambda x, y: x.eqNullSafe(y)), False).cast("int") - 1
+        done = (F.col("lo") == F.col("hi")) | (F.col("labels") == 0)
+        nodes = nodes.select("scope", "template", done.alias("done"), F.when(~done, shared).otherwise(0).alias("shared"), (F.col("lo") == F.col("hi")).alias("single"))
+        tree = growing.join(nodes, ["scope", "template"])
+        onward = F.when(F.col("done"), F.when(F.col("single"), F.array_join("rest", "/")).otherwise("**")).otherwise(F.array_join(F.slice("rest", F.lit(1), F.col("shared")), "/"))
+        tree = tree.withColumn("template", F.concat_ws("/", "template", F.when(onward != "", onward)))
+        tree = tree.withColumn("rest", F.expr("slice(rest, shared + 1, size(rest))")).withColumn("segment", F.get("rest", F.lit(0)))
+        tree = staged(tree.drop("shared", "single"), "url-tree")
+        parts += [growing, tree]
+        finished.append(tree.filter("done").select("scope", "shape", "template", "good", "bad"))
+        children = tree.filter("NOT done").groupBy("scope", "template", "segment").agg(F.sum("good").alias("g"), F.sum("bad").alias("b"))
+        parents = children.groupBy("scope", "template").agg(F.sum("g").alias("pg"), F.sum("b").alias("pb"))
+        judged = children.join(parents, ["scope", "template"])
         n, rest = F.col("g") + F.col("b"), F.col("pg") + F.col("pb") - F.col("g") - F.col("b")
         pooled = (F.col("pb") + 0.5) / (F.col("pg") + F.col("pb") + 1)
         gap = F.try_divide("b", n) - F.try_divide(F.col("pb") - F.col("b"), rest)
         error = F.sqrt(pooled * (1 - pooled) * (F.try_divide(F.lit(1.0), n) + F.try_divide(F.lit(1.0), rest)))
-        worse = gap > 0
         differs = F.coalesce(F.abs(gap) > CRITICAL * error, F.lit(False))
         alone = (n >= EVIDENCE) & (rest == 0)
-        literal = (differs & worse) | alone | (F.col("kids") == 1)
-        to = F.when(literal, F.col("segment")).when(differs & ~worse, "<good>").otherwise("*")
-        judged = judged.select("host", "template", "segment", to.alias("to"))
-        tree = tree.join(judged, ["host", "template", "segment"]).withColumn("template", F.concat("template", F.lit("/"), "to")).drop("to", "segment")
-        tree = staged(tree, "url-tree")  # each level reads the one above twice
-    templates = tree.groupBy("host", "template").agg(F.sum("good").alias("g"), F.sum("bad").alias("b"))
-    total = tree.agg(F.sum("good"), F.sum("bad")).first()
-    good, bad = float(total[0] or 0), float(total[1] or 0)
-    purity = (F.col("b") + WEIGHT * (bad + 0.5) / (good + bad + 1)) / (F.col("g") + F.col("b") + WEIGHT)
-    templates = templates.select("host", "template", purity.alias("purity")).withColumn("rejected", F.col("purity") >= reject)
-    return tree.select("host", "shape", "template").join(templates, ["host", "template"])
+        to = F.when((differs & (gap > 0)) | alone, F.col("segment")).when(differs, "<good>").otherwise("*")
+        judged = judged.select("scope", "template", "segment", to.alias("to"))
+        grown = tree.filter("NOT done").join(judged, ["scope", "template", "segment"])
+        grown = grown.withColumn("template", F.concat_ws("/", "template", "to")).withColumn("rest", F.expr("slice(rest, 2, size(rest))"))
+        # a shape that ends here leaves nothing to grow on
+        ended = F.size("rest") == 0
+        grown = staged(grown.select("scope", "shape", "template", "good", "bad", "rest", ended.alias("ended")), "url-tree")
+        finished.append(grown.filter("ended").select("scope", "shape", "template", "good", "bad"))
+        growing = grown.filter("NOT ended").drop("ended")
+    found = staged(reduce(DataFrame.unionByName, finished, growing.select("scope", "shape", "template", "good", "bad")), "url-templates")
+    forget(growing, *parts)
+    return found
+
+
+def judged_shapes(counts: DataFrame, reject: float = 0.8) -> DataFrame:
+    """``host``, ``shape``, ``template`` (the host's own), ``purity``, ``rejected`` for ``counts`` (host, shape, good, bad), one row each."""
+    counts = staged(counts, "url-counts")
+    by_scope = counts.select(F.explode(F.array_distinct(scopes(F.col("host")))).alias("scope"), "shape", "good", "bad")
+    tree = template_tree(by_scope.groupBy("scope", "shape").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad")))
+    told = counts.agg(F.sum("good"), F.sum("bad")).first()
+    good, bad = float(told[0] or 0), float(told[1] or 0)
+    sums = tree.groupBy("scope", "template").agg(F.sum("good").alias("g"), F.sum("bad").alias("b"))
+    found = counts.select("host", "shape", F.posexplode(scopes(F.col("host"))).alias("at", "scope")).join(tree.select("scope", "shape", "template"), ["scope", "shape"]).join(sums, ["scope", "template"])
+    found = found.groupBy("host", "shape").agg(F.sort_array(F.collect_list(F.struct("at", "template", "g", "b"))).alias("t"))  # SCOPES entries
+    purity = F.lit((bad + 0.5) / (good + bad + 1))
+    for at in reversed(range(SCOPES)):
+        t = F.col("t")[at]
+        purity = (t["b"] + WEIGHT * purity) / (t["g"] + t["b"] + WEIGHT)
+    labels = F.col("t")[SCOPES - 1]["g"] + F.col("t")[SCOPES - 1]["b"]  # all pages': at least as many as the host's and the domain's
+    labels = F.greatest(labels, *(F.col("t")[i]["g"] + F.col("t")[i]["b"] for i in range(SCOPES - 1)))
+    found = found.select("host", "shape", F.regexp_replace(F.col("t")[0]["template"], f"/{END}$", "").alias("template"), purity.alias("purity"), labels.alias("labels"))
+    return found.withColumn("rejected", (F.col("purity") >= reject) & (F.col("labels") >= EVIDENCE))
 
 
 def judge(
@@ -112,6 +159,6 @@ def judge(
     parsed = parsed.withColumn("rule", rule).withColumn("said", said).withColumn("shape", shape(F.col("path")))
     label = F.coalesce("label", F.col("said") == "block")
     counts = parsed.groupBy("host", "shape").agg(F.count_if(~label).alias("good"), F.count_if(label).alias("bad"))
-    tree = template_tree(counts, reject)
+    tree = staged(judged_shapes(counts, reject), "url-judged")
     verdict = F.coalesce("said", F.when(F.col("rejected"), "block").otherwise("allow"))
     return parsed.join(tree, ["host", "shape"]).select(F.col("id").alias(id_col), "host", "path", "rule", verdict.alias("verdict"), "template", "purity")
