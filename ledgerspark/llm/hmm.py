@@ -1,15 +1,19 @@
 """A hidden Markov language model of words.
 
-Words beyond the ``SYMBOLS`` most frequent share one of ``BUCKETS`` classes by their ending, and a
-class's probability is spread over its words by their counts, with one share for all unseen. So
-the states emit a bounded number of symbols, whatever the vocabulary, and the part of a word's
-probability within its class is the same in every state: it is added to the text's score outside
-the recursion, from a join with the full counts for words that the broadcast table doesn't hold.
+Every word counted ``LEAST`` times in the training texts has a symbol of its own, up to the
+``SYMBOLS`` most frequent, the bound of what is broadcast. The others share one of ``BUCKETS``
+classes by their ending, and a class's probability is spread over its words by their counts, with
+one share for all unseen. So the part of a word's probability within its class is the same in every
+state: it is added to the text's score outside the recursion, from a join with the full counts for
+words that the broadcast table doesn't hold.
 
 Training: counts of all words over all training texts; then Baum-Welch, where each partition runs a
-scaled forward-backward over its texts, cut into stretches of ``STRETCH`` tokens, and emits
-expected counts that are summed across partitions. Scoring: the scaled forward recursion over whole
-texts, whose scale factors multiply to the exact likelihood.
+scaled forward-backward over its whole texts and emits expected counts that are summed across
+partitions, until a round gains less than ``GAIN`` of the log-likelihood. A text of more than
+``STRETCH`` tokens is worked on in stretches of that length side by side: the products of each
+stretch's transitions and emissions carry the forward and backward messages from one to the next,
+so the expected counts are those of the whole text, whatever STRETCH is. Scoring: the scaled forward
+recursion over whole texts, whose scale factors multiply to the exact likelihood.
 
 Nulls: a null text is empty, a single end token; a null id counts as the text '' for the fold.
 Repeated rows each train and give a row. An empty table gives an empty result; without training
@@ -31,9 +35,10 @@ from pyspark.sql import functions as F
 from ledgerspark.llm.quality import fold
 from ledgerspark.llm.shared import LOWER, columns_of, staged, utf8
 
-#: Words with a symbol of their own; classes of the others; words in the broadcast table of counts; distinct words a task counts before it emits.
-SYMBOLS, BUCKETS, TABLE, COUNTED = 8_191, 256, 200_000, 300_000
-STATES, ROUNDS, STRETCH, AT_ONCE = 8, 6, 256, 2_048
+#: Most words with a symbol of their own and the count they need; classes of the others; words in the broadcast table of counts; distinct words a task counts before it emits.
+SYMBOLS, LEAST, BUCKETS, TABLE, COUNTED = 65_279, 3, 256, 200_000, 300_000
+#: Rounds at most and the share of the log-likelihood a round must gain; tokens of a stretch; tokens worked on at once.
+STATES, ROUNDS, GAIN, STRETCH, AT_ONCE = 8, 6, 1e-3, 1_024, 1 << 19
 #: Weight of the overall frequencies in each state's, in tokens.
 PRIOR = 100.0
 
@@ -83,10 +88,10 @@ class Lexicon:
     ends: int
     tokens: int  # N, ends included
     distinct: int  # V, the end included
-    own: int = SYMBOLS  # words with a symbol of their own
+    own: int  # words with a symbol of their own
 
     @classmethod
-    def of(cls, counts: DataFrame, ends: int, own: int = SYMBOLS, table: int = TABLE) -> Lexicon:
+    def of(cls, counts: DataFrame, ends: int, symbols: int = SYMBOLS, table: int = TABLE) -> Lexicon:
         # the counts from which on the words fit the table: no task sends its own candidates for it to the driver
         least, room = 1, table
         for row in counts.groupBy("c").agg(F.count("*").alias("n")).orderBy(F.desc("c")).limit(table + 1).collect():
@@ -101,6 +106,7 @@ class Lexicon:
         for row in counts.groupBy(bucket_column("word").alias("b")).agg(F.sum("c").alias("c"), F.count("c").alias("n")).collect():
             tokens[row.b], kinds[row.b] = row.c, row.n
         c = np.array([-n for n, _ in top], np.int64)
+        own = min(symbols, int((c >= LEAST).sum()))
         for word, n in zip(words[:own], c, strict=False):
             tokens[bucket_of(word)] -= n
             kinds[bucket_of(word)] -= 1
@@ -167,12 +173,36 @@ def encode(docs: DataFrame, lexicon: Lexicon, id_type: str) -> DataFrame:
     return staged(docs.mapInArrow(run, schema).withColumn("row", F.monotonically_increasing_id()), "hmm-symbols")
 
 
+def side_by_side(rows: list[np.ndarray]) -> tuple[np.ndarray, list[int], np.ndarray]:
+    """The rows, longest first, as a grid; how many of them reach each column; and their order."""
+    sizes = np.array(list(map(len, rows)))
+    order = np.argsort(-sizes, kind="stable")
+    sizes = sizes[order]
+    grid = np.zeros((len(rows), int(sizes[0])), np.uint16)
+    for j, i in enumerate(order):
+        grid[j, : sizes[j]] = rows[i]
+    return grid, [int(np.searchsorted(-sizes, -t, "left")) for t in range(int(sizes[0]))], order
+
+
+def by_size(rows: list[bytes]) -> Iterator[list[np.ndarray]]:
+    """Symbols of texts in lots of about AT_ONCE tokens; a longer text is a lot of its own."""
+    lot, size = [], 0
+    for row in rows:
+        one = np.frombuffer(row, np.uint16)
+        if lot and size + len(one) > AT_ONCE:
+            yield lot
+            lot, size = [], 0
+        lot.append(one)
+        size += len(one)
+    if lot:
+        yield lot
+
+
 @dataclass
 class Model:
-    """Start, transition and emission probabilities; ``inner`` starts stretches that don't open a text."""
+    """Start, transition and emission probabilities."""
 
     start: np.ndarray
-    inner: np.ndarray
     move: np.ndarray
     emit: np.ndarray  # symbols x states
 
@@ -180,53 +210,102 @@ class Model:
     def first(cls, frequencies: np.ndarray, states: int, seed: int = 7) -> Model:
         noise = np.random.default_rng(seed).uniform(0.2, 1.8, (len(frequencies), states))
         emit = frequencies[:, None] * noise
-        even = np.full(states, 1 / states)
         move = np.full((states, states), 0.4 / states) + 0.6 * np.eye(states)
-        return cls(even, even, move, emit / emit.sum(0))
+        return cls(np.full(states, 1 / states), move, emit / emit.sum(0))
+
+    def transfers(self, stretches: list[np.ndarray]) -> np.ndarray:
+        """Of each stretch, from the state before it to the state at its end: the scaled product of its steps."""
+        k = len(self.start)
+        grid, alive, order = side_by_side(stretches)
+        out = np.empty((len(stretches), k, k))
+        now = np.broadcast_to(np.eye(k), (len(stretches), k, k))
+        for t, n in enumerate(alive):
+            if n < len(now):
+                out[n : len(now)] = now[n:]
+            now = (now[:n].reshape(-1, k) @ self.move).reshape(n, k, k) * self.emit[grid[:n, t], None, :]
+            now = now / now.sum((1, 2), keepdims=True)
+        out[: len(now)] = now
+        back = np.empty_like(out)
+        back[order] = out
+        return back
+
+    def messages(self, symbols: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
+        """All texts as stretches, each with the state's distribution before it (of its first token where it opens a text), whether it opens one, and the backward message from what follows."""
+        k = len(self.start)
+        parts = [[s[i : i + STRETCH] for i in range(0, len(s), STRETCH)] for s in symbols]
+        opens = np.concatenate([np.arange(len(p)) == 0 for p in parts])
+        before, after = np.tile(self.start, (len(opens), 1)), np.ones((len(opens), k))
+        first = np.cumsum([0, *map(len, parts)])
+        long = [i for i, p in enumerate(parts) if len(p) > 1]
+        if long:
+            products = self.transfers([x for i in long for x in parts[i][1:]])
+            heads = self.heads([parts[i][0] for i in long])
+            at = 0
+            for i, a in zip(long, heads, strict=True):
+                n, lo = len(parts[i]) - 1, first[i]
+                own = products[at : at + n]
+                at += n
+                for j in range(n):
+                    before[lo + 1 + j] = a
+                    a = a @ own[j]
+                    a = a / a.sum()
+                b = np.ones(k)
+                for j in range(n - 1, -1, -1):
+                    b = own[j] @ b
+                    b = b / b.sum()
+                    after[lo + j] = b
+        return [x for p in parts for x in p], opens, before, after
+
+    def heads(self, stretches: list[np.ndarray]) -> np.ndarray:
+        """The state's distribution at the end of stretches of equal length that open a text."""
+        grid = np.stack(stretches)
+        a = self.start * self.emit[grid[:, 0]]
+        for t in range(1, grid.shape[1]):
+            a = a / a.sum(1, keepdims=True)
+            a = (a @ self.move) * self.emit[grid[:, t]]
+        return a / a.sum(1, keepdims=True)
 
     def expected(self, symbols: list[np.ndarray]) -> tuple[np.ndarray, ...]:
-        """Expected starts, transitions, emissions and the log-likelihood, over texts cut into stretches."""
-        parts = [(len(s[i : i + STRETCH]), i == 0, s[i : i + STRETCH]) for s in symbols for i in range(0, len(s), STRETCH)]
-        parts.sort(key=lambda p: -p[0])
+        """Expected starts, transitions, emissions and the log-likelihood of whole texts."""
+        parts, opens, before, after = self.messages(symbols)
         k = len(self.start)
         starts, moves, emits, total = np.zeros(k), np.zeros((k, k)), np.zeros(self.emit.shape), 0.0
-        for i in range(0, len(parts), AT_ONCE):
-            some = parts[i : i + AT_ONCE]
-            sizes, opens = np.array([p[0] for p in some]), np.array([p[1] for p in some])
-            grid = np.zeros((len(some), sizes[0]), np.uint16)
-            for j, p in enumerate(some):
-                grid[j, : p[0]] = p[2]
-            alive = [int(np.searchsorted(-sizes, -t, "left")) for t in range(int(sizes[0]))]
-            alpha, scale = [], []
-            for t, n in enumerate(alive):
-                a = np.where(opens[:, None], self.start, self.inner) if t == 0 else alpha[-1][:n] @ self.move
-                a = a * self.emit[grid[:n, t]]
-                c = a.sum(1)
-                alpha.append(a / c[:, None])
-                scale.append(c)
-                total += float(np.log(c).sum())
-            beta = np.ones((alive[-1], k))
-            for t in range(len(alive) - 1, -1, -1):
-                n = alive[t]
-                if t + 1 < len(alive):
-                    m = alive[t + 1]
-                    onward = self.emit[grid[:m, t + 1]] * beta / scale[t + 1][:, None]
-                    moves += alpha[t][:m].T @ onward
-                    beta = np.ones((n, k))
-                    beta[:m] = onward @ self.move.T
-                alpha[t] = gamma = alpha[t] * beta
-                if t == 0:
-                    starts += gamma[opens].sum(0)
-            flat = np.concatenate([grid[:n, t] for t, n in enumerate(alive)])
-            weight = np.concatenate(alpha)
-            for s in range(k):
-                emits[:, s] += np.bincount(flat, weight[:, s], len(emits))
+        grid, alive, order = side_by_side(parts)
+        opens, before, after = opens[order], before[order], after[order]
+        alpha, scale = [], []
+        for t, n in enumerate(alive):
+            a = np.where(opens[:, None], before, before @ self.move) if t == 0 else alpha[-1][:n] @ self.move
+            a = a * self.emit[grid[:n, t]]
+            c = a.sum(1)
+            alpha.append(a / c[:, None])
+            scale.append(c)
+            total += float(np.log(c).sum())
+        beta = np.empty((0, k))
+        for t in range(len(alive) - 1, -1, -1):
+            n, m = alive[t], len(beta)
+            last = after[:n].copy()
+            if m:
+                onward = self.emit[grid[:m, t + 1]] * beta
+                last[:m] = onward @ self.move.T / scale[t + 1][:, None]
+            gamma = alpha[t] * last
+            norm = gamma.sum(1, keepdims=True)
+            if m:
+                moves += alpha[t][:m].T @ (onward / (scale[t + 1][:, None] * norm[:m]))
+            alpha[t], beta = gamma / norm, last
+        starts += alpha[0][opens].sum(0)
+        if not opens.all():  # the steps between a text's stretches
+            onward = (self.emit[grid[:, 0]] * beta)[~opens]
+            into = before[~opens]
+            moves += into.T @ (onward / ((into @ self.move) * onward).sum(1, keepdims=True))
+        flat = np.concatenate([grid[:n, t] for t, n in enumerate(alive)])
+        weight = np.concatenate(alpha)
+        for s in range(k):
+            emits[:, s] += np.bincount(flat, weight[:, s], len(emits))
         return starts, moves * self.move, emits, np.array([total])
 
     def next(self, starts: np.ndarray, moves: np.ndarray, emits: np.ndarray, frequencies: np.ndarray) -> Model:
         emit = emits + PRIOR * frequencies[:, None]
-        share = emits.sum(0) + 1
-        return Model((starts + 1) / (starts + 1).sum(), share / share.sum(), (moves + 1) / (moves + 1).sum(1, keepdims=True), emit / emit.sum(0))
+        return Model((starts + 1) / (starts + 1).sum(), (moves + 1) / (moves + 1).sum(1, keepdims=True), emit / emit.sum(0))
 
     def log_likelihoods(self, symbols: list[np.ndarray]) -> np.ndarray:
         """Natural log of each whole text's probability, by the scaled forward recursion over all texts at once."""
@@ -258,26 +337,34 @@ def baum_welch(encoded: DataFrame, lexicon: Lexicon, states: int = STATES, round
     frequencies = lexicon.frequencies()
     model = Model.first(frequencies, states)
     training = encoded.filter(~F.col("held_out")).select("symbols")
+    columns, last = [f"s{i}" for i in range(states)], None
     for _ in range(rounds):
         shared = training.sparkSession.sparkContext.broadcast(model)
 
         def count(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             sums = None
             for (rows,) in columns_of(batches):
-                for i in range(0, len(rows), 2_000):
-                    found = shared.value.expected([np.frombuffer(r, np.uint16) for r in rows[i : i + 2_000]])
+                for lot in by_size(rows):
+                    found = shared.value.expected(lot)
                     sums = found if sums is None else tuple(a + b for a, b in zip(sums, found, strict=True))
             if sums is not None:
-                flat = np.concatenate([s.ravel() for s in sums])
-                at = np.flatnonzero(flat)
-                yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(flat[at], pa.float64())], ["at", "value"])
-
-        summed = training.mapInArrow(count, "at long, value double").groupBy("at").agg(F.sum("value").alias("value")).toPandas()
-        flat = np.zeros(states + states * states + states * len(frequencies) + 1)
-        flat[summed["at"].to_numpy(np.int64)] = summed["value"]
-        starts, moves, emits, _ = np.split(flat, [states, states + states**2, len(flat) - 1])
-        model = model.next(starts, moves.reshape(states, states), emits.reshape(-1, states), frequencies)
+                # a row for the starts, one for each state's transitions, the log-likelihood, then the symbols that occur
+                starts, moves, emits, total = sums
+                seen = np.flatnonzero(emits.any(1))
+                values = np.vstack([starts, moves, np.full(states, total[0] / states), emits[seen]])
+                at = np.concatenate([np.arange(-states - 2, 0), seen])
+                yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), *(pa.array(v, pa.float64()) for v in values.T)], ["at", *columns])
+
+        found = training.mapInArrow(count, "at int, " + ", ".join(f"{c} double" for c in columns))
+        summed = found.groupBy("at").agg(*(F.sum(c).alias(c) for c in columns)).toPandas()
+        values = np.zeros((states + 2 + len(frequencies), states))
+        values[summed["at"].to_numpy(np.int64) + states + 2] = summed[columns]
+        starts, moves, total, emits = values[0], values[1 : states + 1], float(values[states + 1].sum()), values[states + 2 :]
+        model = model.next(starts, moves, emits, frequencies)
         shared.unpersist()
+        if last is not None and total - last < GAIN * abs(last):
+            break
+        last = total
     return model
 
 

@@ -15,14 +15,14 @@ SCHEMA = "doc_id long, text string, score double, row int, symbols string"
 def small_model(states=2, symbols=4):
     rng = np.random.default_rng(3)
     one = lambda *shape: (lambda x: x / x.sum(-1, keepdims=True))(rng.random(shape))
-    return hmm.Model(one(states), one(states), one(states, states), one(states, symbols).T)
+    return hmm.Model(one(states), one(states, states), one(states, symbols).T)
 
 
-def paths(model, seq, opening=True):
+def paths(model, seq):
     k = len(model.start)
     out = {}
     for q in product(range(k), repeat=len(seq)):
-        p = (model.start if opening else model.inner)[q[0]] * model.emit[seq[0], q[0]]
+        p = model.start[q[0]] * model.emit[seq[0], q[0]]
         for t in range(1, len(seq)):
             p *= model.move[q[t - 1], q[t]] * model.emit[seq[t], q[t]]
         out[q] = p
@@ -34,24 +34,35 @@ def test_forward_is_the_sum_over_paths():
     assert np.allclose(np.exp(model.log_likelihoods(seqs)), [sum(paths(model, s).values()) for s in seqs])
 
 
-def test_expected_counts(monkeypatch):
-    monkeypatch.setattr(hmm, "STRETCH", 3)
-    model, seqs = small_model(), [np.array([0, 1, 3, 2, 2], np.uint16), np.array([2], np.uint16)]
+@pytest.mark.parametrize("stretch", [1, 2, 3, 1000])
+def test_expected_counts_are_those_of_whole_texts(monkeypatch, stretch):
+    monkeypatch.setattr(hmm, "STRETCH", stretch)
+    texts = ([0, 1, 3, 2, 2, 1, 0], [2], [1, 1, 3], [3, 0])
+    model, seqs = small_model(), [np.array(t, np.uint16) for t in texts]
     starts, moves, emits, total = model.expected(seqs)
     want_starts, want_moves, want_emits, want_total = np.zeros(2), np.zeros((2, 2)), np.zeros((4, 2)), 0.0
-    for part, opening in (([0, 1, 3], True), ([2, 2], False), ([2], True)):
-        p = paths(model, part, opening)
+    for text in texts:
+        p = paths(model, text)
         z = sum(p.values())
         want_total += np.log(z)
         for q, w in p.items():
-            want_starts[q[0]] += w / z * opening
+            want_starts[q[0]] += w / z
             for t, s in enumerate(q):
-                want_emits[part[t], s] += w / z
+                want_emits[text[t], s] += w / z
                 if t:
                     want_moves[q[t - 1], s] += w / z
     assert np.allclose(starts, want_starts) and np.allclose(moves, want_moves) and np.allclose(emits, want_emits) and np.isclose(total[0], want_total)
 
 
+def test_long_texts_stay_finite(monkeypatch):
+    rng = np.random.default_rng(2)
+    model, seqs = small_model(8, 50), [rng.integers(0, 50, n).astype(np.uint16) for n in (5_000, 30, 1_025, 1_024)]
+    found = model.expected(seqs)
+    monkeypatch.setattr(hmm, "STRETCH", 10_000)
+    assert all(np.allclose(a, b) for a, b in zip(found, model.expected(seqs), strict=True))
+    assert np.isclose(found[3][0], model.log_likelihoods(seqs).sum()) and np.isclose(found[2].sum(), sum(map(len, seqs)))
+
+
 def base(rows, folds=7, held=2):
     out = lambda d: zlib.crc32(str("" if d is None else d).encode()) % folds == held
     words = lambda t: [*(t or "").encode().translate(hmm.LOWER).split(), None]
@@ -75,7 +86,7 @@ def test_base_scores(spark, symbols, table):
 
 def test_the_model_is_a_distribution(spark):
     """Over all words, seen or one unseen class, a state's emissions times the shares within symbols add up to one."""
-    lex = hmm.Lexicon([b"a", b"b"], np.array([5, 2]), np.full(hmm.BUCKETS, 3), np.full(hmm.BUCKETS, 2), 4, 11 + 3 * hmm.BUCKETS, 3 + 2 * hmm.BUCKETS)
+    lex = hmm.Lexicon([b"a", b"b"], np.array([5, 2]), np.full(hmm.BUCKETS, 3), np.full(hmm.BUCKETS, 2), 4, 11 + 3 * hmm.BUCKETS, 3 + 2 * hmm.BUCKETS, 2)
     model = hmm.Model.first(lex.frequencies(), 4)
     assert np.allclose(model.emit.sum(0), 1) and np.allclose(model.move.sum(1), 1) and np.isclose(model.start.sum(), 1)
 
