@@ -4,8 +4,8 @@ A window is ``size`` consecutive words of a benchmark item, or a whole shorter i
 frequency of every benchmark term ranks a window's terms; postings (term, text, positions) are
 stored for the three rarest terms of any window and for no others. A window's list for its rarest
 term, moved back by the term's offset, gives possible starts; the lists of the next two terms,
-moved likewise, are intersected with it by joins on (term, text). What remains is compared word by
-word with the text. ``proximity_matches`` stops before that comparison and allows a slop.
+moved likewise, are intersected with it by joins on (term, text), within ``SLOP`` words: these are the
+proximity matches. Those that meet exactly are compared word by word with the text: the phrase matches.
 
 Texts are known by their MD5 digest, so copies are indexed and verified once. The sides of joins
 that follow the benchmark's size are broadcast only after their rows are counted, and joined by
@@ -27,9 +27,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerspark.llm.shared import columns_of, staged, utf8
+from ledgerspark.llm.shared import columns_of, staged, unused, utf8
 
 SMALL, TERMS = 200_000, 500_000
+#: Words by which the rarest terms of a window may lie out of place in a proximity match.
+SLOP = 3
 #: Words as the contract has them, for Spark; and each byte as its lower-cased self or a space.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -89,7 +91,8 @@ def term_counts(docs: DataFrame, text: str, terms: DataFrame) -> DataFrame:
 
 def rarest_terms(wins: DataFrame, counts: DataFrame) -> DataFrame:
     """Each window that can occur with its three rarest (term, offset); a shorter one repeats its rarest."""
-    placed = wins.select("win", F.posexplode(F.split("win", " ")).alias("offset", "term")).join(counts, "term", "left")
+    # counts of the benchmark's terms only, so broadcast once counted: a frequent term is no hot key
+    placed = wins.select("win", F.posexplode(F.split("win", " ")).alias("offset", "term")).join(if_small(counts), "term", "left")
     ranked = placed.groupBy("win").agg(
         F.sort_array(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "term", "offset"))).alias("ranked")
     )
@@ -128,8 +131,8 @@ def build_index(docs: DataFrame, id_col: str, text: str, terms: DataFrame) -> Da
     )
 
 
-def candidates(index: DataFrame, anchors: DataFrame, slop: int = 0) -> DataFrame:
-    """``win``, ``digest``, ``start``: where the lists of a window's three rarest terms meet, within ``slop`` words."""
+def candidates(index: DataFrame, anchors: DataFrame, slop: int = SLOP) -> DataFrame:
+    """``win``, ``digest``, ``start``, ``exact``: where the lists of a window's three rarest terms meet within ``slop`` words, and whether exactly."""
     postings = (
         index.select("digest", F.explode("postings").alias("p"))
         .select("digest", "p.term", "p.positions")
@@ -142,22 +145,23 @@ def candidates(index: DataFrame, anchors: DataFrame, slop: int = 0) -> DataFrame
     for i in (2, 3):
         other = postings.select("digest", F.col("term").alias(f"term{i}"), F.col("positions").alias(f"positions{i}"))
         near = f"exists(positions{i}, p -> abs(p - start - offset{i}) <= {int(slop)})"
-        found = found.join(other, ["digest", f"term{i}"]).filter(near).drop(f"positions{i}")
-    return found.select("win", "digest", "start").distinct()
+        exact = f"array_contains(positions{i}, start + offset{i})"
+        found = found.join(other, ["digest", f"term{i}"]).filter(near).withColumn(f"exact{i}", F.expr(exact)).drop(f"positions{i}")
+    return found.groupBy("win", "digest", "start").agg(F.bool_or(F.expr("exact2 AND exact3")).alias("exact"))
 
 
 def _prepare(docs: DataFrame, benchmark: DataFrame, id_col: str, text: str, item_col: str, item_text: str, size: int):
     pairs = staged(windows(benchmark, item_col, item_text, size), "benchmark-windows")
     wins = pairs.select("win").distinct()
     terms = wins.select(F.explode(F.split("win", " ")).alias("term")).distinct()
-    anchors = staged(rarest_terms(wins, term_counts(docs, text, terms)), "benchmark-anchors")
+    anchors = staged(rarest_terms(wins, staged(term_counts(docs, text, terms), "benchmark-terms")), "benchmark-anchors")
     rare = anchors.select(F.explode(F.array("term1", "term2", "term3")).alias("term")).distinct()
     return pairs, anchors, build_index(docs, id_col, text, rare)
 
 
-def _hits(docs: DataFrame, index: DataFrame, anchors: DataFrame, text: str) -> DataFrame:
-    """``digest``, ``n_hit`` and the ``wins`` that occur, for each text with an occurrence."""
-    found = candidates(index, anchors).groupBy("digest").agg(F.collect_list(F.struct("start", "win")).alias("found"))
+def _hits(docs: DataFrame, near: DataFrame, text: str) -> DataFrame:
+    """``digest``, ``n_hit`` and the ``wins`` that occur, for each text with an occurrence among the candidates ``near``."""
+    found = near.filter("exact").groupBy("digest").agg(F.collect_list(F.struct("start", "win")).alias("found"))
     found = staged(found, "benchmark-candidates")
     wanted = found.select("digest")
     rows = docs.filter(F.col(text).isNotNull()).select(F.unhex(F.md5(F.col(text).cast("binary"))).alias("digest"), utf8(text).alias("text"))
@@ -193,32 +197,35 @@ def contamination(
     item_text: str = "text",
     size: int = 13,
     share: int = 20,
+    slop: int = SLOP,
 ) -> DataFrame:
-    """One row for each document: id, ``digest``, ``n_words``, ``n_hit``, ``items`` (sorted as strings), ``contaminated``.
+    """One row for each document: id, ``digest``, ``n_words``, ``n_hit``, ``items`` (sorted as strings), ``near_items``, ``contaminated``.
 
-    Contaminated: some word is hit, and at least one of ``share`` words.
+    Contaminated: some word is hit, and at least one of ``share`` words. ``near_items``: the items with
+    a proximity match, those of ``items`` included.
     """
     pairs, anchors, index = _prepare(docs, benchmark, id_col, text, item_col, item_text, size)
-    hits = staged(_hits(docs, index, anchors, text), "benchmark-hits")
-    items = (
-        hits.select("digest", F.explode("wins").alias("win"))
-        .join(if_small(pairs), "win")
-        .groupBy("digest")
-        .agg(F.sort_array(F.collect_set("item")).alias("items"))
-    )
-    told = staged(hits.select("digest", "n_hit").join(items, "digest"), "benchmark-told")  # stored, so that the join of a hot text's copies can be split
+    near = staged(candidates(index, anchors, slop), "benchmark-candidates")
+    hits = staged(_hits(docs, near, text), "benchmark-hits")
+    of = if_small(pairs)
+    named = lambda found, name: found.join(of, "win").groupBy("digest").agg(F.sort_array(F.collect_set("item")).alias(name))
+    told = named(near.select("digest", "win").distinct(), "near_items")
+    told = told.join(hits.select("digest", "n_hit"), "digest", "left").join(named(hits.select("digest", F.explode("wins").alias("win")), "items"), "digest", "left")
+    told = staged(told, "benchmark-told")  # stored, so that the join of a hot text's copies can be split
+    none = F.array().cast("array<string>")
     return index.select("id", "digest", "n_words").join(told, "digest", "left").select(
         F.col("id").alias(id_col),
         "digest",
         "n_words",
         F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
-        F.coalesce("items", F.array().cast("array<string>")).alias("items"),
+        F.coalesce("items", none).alias("items"),
+        F.coalesce("near_items", none).alias("near_items"),
         F.expr(f"coalesce(n_hit, 0) > 0 AND {int(share)} * coalesce(n_hit, 0) >= n_words").alias("contaminated"),
     )
 
 
 def proximity_matches(
-    docs: DataFrame, benchmark: DataFrame, slop: int = 3, id_col: str = "doc_id", text: str = "text", item_col: str = "item_id", item_text: str = "text", size: int = 13
+    docs: DataFrame, benchmark: DataFrame, slop: int = SLOP, id_col: str = "doc_id", text: str = "text", item_col: str = "item_id", item_text: str = "text", size: int = 13
 ) -> DataFrame:
     """id, ``item``, ``start``: where a window's three rarest terms lie within ``slop`` words of their places."""
     pairs, anchors, index = _prepare(docs, benchmark, id_col, text, item_col, item_text, size)
@@ -229,6 +236,7 @@ def proximity_matches(
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """The documents that are not contaminated, with their own columns; whether one is depends on its text alone."""
     bad = contamination(docs, benchmark, id_col, text, **options).filter("contaminated").select("digest").distinct()
-    bad = if_small(staged(bad, "contaminated").withColumnRenamed("digest", "_digest"))
-    kept = docs.withColumn("_own_digest", F.unhex(F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary"))))
-    return kept.join(bad, F.col("_own_digest") == F.col("_digest"), "left_anti").drop("_own_digest")
+    (key,) = unused(docs, "digest")
+    bad = if_small(staged(bad, "contaminated").withColumnRenamed("digest", key))
+    own = F.unhex(F.md5(F.coalesce(docs[text], F.lit("")).cast("binary")))
+    return docs.join(bad, own == bad[key], "left_anti")

@@ -70,6 +70,54 @@ def test_a_table(spark):
     check(spark, [tuple(r) for r in docs], [(r.item_id, r.text) for r in items])
 
 
+def plain_near(docs, items, size=13, slop=dec.SLOP):
+    """Items with a proximity match, by the rule: the three rarest terms of a window (count, term, offset), all near one start."""
+    pairs, counts = set(), {}
+    for item, text in items:
+        words = words_of(text)
+        if item is not None and words:
+            pairs |= {(str(item), tuple(words[i : i + size])) for i in range(max(1, len(words) - size + 1))}
+    for _, text in docs:
+        for w in words_of(text):
+            counts[w] = counts.get(w, 0) + 1
+    out = []
+    for doc_id, text in docs:
+        at, found = {}, set()
+        for i, w in enumerate(words_of(text)):
+            at.setdefault(w, []).append(i)
+        for item, win in pairs:
+            ranked = sorted((counts.get(w, 0), w, i) for i, w in enumerate(win))
+            if ranked[0][0] and item not in found:
+                (_, t1, o1), *others = [ranked[min(i, len(ranked) - 1)] if i < len(ranked) else ranked[0] for i in range(3)]
+                for p in at.get(t1, []):
+                    if p >= o1 and all(any(abs(q - (p - o1) - o) <= slop for q in at.get(t, [])) for _, t, o in others):
+                        found.add(item)
+        out.append((doc_id, sorted(found)))
+    return sorted(out, key=str)
+
+
+def test_proximity_against_a_scan(spark):
+    rng = random.Random(8)
+    vocab = [f"w{i}" for i in range(60)]
+    prose = lambda n: [rng.choice(vocab) for _ in range(n)]
+    items = [(i, " ".join(prose(rng.randint(1, 25)))) for i in range(12)]
+    docs = [(None, ""), (None, None)]
+    for i in range(60):
+        words = items[i % 12][1].split()
+        for _ in range(rng.randint(0, 3)):  # edits inside the passage
+            words.insert(rng.randint(0, len(words)), rng.choice(vocab))
+        docs.append((i, " ".join(prose(rng.randint(0, 40)) + words + prose(rng.randint(0, 40)))))
+    got = dec.contamination(spark.createDataFrame([(d, t, "", 1) for d, t in docs], SCHEMA), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert sorted(((r.doc_id, list(r.near_items)) for r in got), key=str) == plain_near(docs, items)
+    assert all(set(r["items"]) <= set(r.near_items) for r in got) and any(set(r["items"]) < set(r.near_items) for r in got)
+
+
+def test_decontaminate_keeps_columns_of_any_name(spark):
+    docs = spark.createDataFrame([(1, "a b", 5, 6), (2, "only two", 7, 8)], "doc_id long, text string, digest int, own_digest int")
+    kept = dec.decontaminate(docs, spark.createDataFrame([(9, "only two")], "item_id long, text string"))
+    assert kept.columns == docs.columns and list(map(tuple, kept.collect())) == [(1, "a b", 5, 6)]
+
+
 def test_proximity_finds_an_edited_window(spark):
     item = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu"
     docs = spark.createDataFrame([(1, item.replace("delta", "delta extra"), "", 0), (2, "alpha nu", "", 0)], SCHEMA)
