@@ -2,10 +2,11 @@
 
 A text is split at ASCII white space. The tokenizer drops white space before it forms words, so no
 token crosses such a split and a text's token count is the sum over its chunks. Chunks repeat a
-great deal: one pass gathers the frequent ones from fixed-size summaries of each partition, the
-driver measures these few thousand and broadcasts their lengths, and the second pass looks every
-chunk up, encoding only those that neither the table nor the worker's cache holds. The table only
-saves time: every count is exact whatever it holds.
+great deal: the frequent ones are taken from about ``SAMPLE`` texts, a random sample of all
+rows, whose chunks the driver counts, so nothing is shuffled. The driver measures the most
+frequent and broadcasts their lengths, and a pass over all texts looks every chunk up, encoding only
+those that neither the table nor the worker's cache holds. The table only saves time: every count is
+exact whatever it holds.
 
 Nulls: a null text is empty and has 0 tokens; a null id is carried along. Repeated rows each give
 a row. An empty table gives an empty result. Other columns of the input are ignored.
@@ -25,10 +26,10 @@ from ledgerspark.llm.shared import LOWER, columns_of, utf8
 
 #: Chunks in the broadcast table: at most this many short byte strings, about 2 MB.
 TABLE_SIZE = 32_768
-#: Chunks that one partition puts forward for the table, and those it counts before it prunes.
-SUMMARY_SIZE, COUNTED = 8_192, 200_000
-#: Entries that a worker's cache holds before it starts again from the table.
-CACHE_SIZE = 400_000
+#: Texts whose chunks are counted for the table, about; the distinct chunks that a task puts forward.
+SAMPLE, SUMMARY_SIZE = 4_000, 8_192
+#: Longest chunk kept in the table or a cache, in bytes; entries that a worker's cache holds before it starts again from the table.
+LONGEST, CACHE_SIZE = 256, 400_000
 
 _LETTERS = re.compile(r"[a-zA-ZÀ-ÖØ-öø-ÿ]+")
 _MARKS = frozenset(b".,;:!?")
@@ -107,28 +108,29 @@ class Lookup(dict):
         if len(self) >= CACHE_SIZE:
             self.clear()
             self.update(self.frequent)
-        self[chunk] = value = self.make(chunk)
+        value = self.make(chunk)
+        if len(chunk) <= LONGEST:
+            self[chunk] = value
         return value
 
 
-def frequent_chunks(docs: DataFrame, text: str = "text", size: int = TABLE_SIZE) -> list[bytes]:
-    """The most frequent chunks over all texts, from a summary of fixed size of each partition."""
+def frequent_chunks(docs: DataFrame, text: str = "text", size: int = TABLE_SIZE, sample: int = SAMPLE) -> list[bytes]:
+    """The most frequent chunks of about ``sample`` texts; what reaches the driver is bounded by those texts' chunks."""
 
     def summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter[bytes] = Counter()
         for (texts,) in columns_of(batches):
             for one in texts:
-                seen.update(chunks(one))
-                if len(seen) > COUNTED:
-                    seen = Counter(dict(seen.most_common(COUNTED // 4)))
-        top = seen.most_common(SUMMARY_SIZE)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([c for c, _ in top], pa.binary()), pa.array([n for _, n in top], pa.int64())], ["chunk", "n"]
-        )
-
-    found = docs.select(utf8(text).alias("text")).mapInArrow(summaries, "chunk binary, n long")
-    top = found.groupBy("chunk").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "chunk").limit(size)
-    return [bytes(row.chunk) for row in top.collect()]
+                seen.update(c for c in chunks(one) if len(c) <= LONGEST)
+        if seen:
+            top = seen.most_common(SUMMARY_SIZE)
+            yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in top], pa.binary()), pa.array([n for _, n in top], pa.int64())], ["chunk", "n"])
+
+    chosen = docs.select(utf8(text).alias("text")).sample(min(1.0, sample / max(docs.count(), 1)), seed=5)
+    seen: Counter[bytes] = Counter()
+    for row in chosen.mapInArrow(summaries, "chunk binary, n long").collect():
+        seen[bytes(row.chunk)] += row.n
+    return [chunk for chunk, _ in sorted(seen.items(), key=lambda c: (-c[1], c[0]))[:size]]
 
 
 _lookups: dict[tuple, Lookup] = {}
