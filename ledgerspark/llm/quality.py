@@ -5,8 +5,8 @@ its neighbours; neighbouring states add a transition score. Documents lend their
 their lines for training. Forward-backward gives each line's probability of being good, and a
 document's score is the mean over its lines, weighted by their length.
 
-Training takes at most ``SAMPLE`` labelled documents, those with the smallest hash of their id, so
-what reaches the driver is bounded; scoring runs over whole texts in the workers. No feature uses
+Training takes at most ``SAMPLE`` labelled documents, those with the smallest hash of their id, and
+of these as many as hold ``SAMPLE_BYTES``, so what reaches the driver is bounded; scoring runs over whole texts in the workers. No feature uses
 an id, a label, a source or a language.
 
 Nulls: a null or empty text is one empty line and gets that line's probability; rows without a
@@ -17,18 +17,19 @@ without any). Other columns are ignored.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructType
 
-from ledgerspark.llm.shared import utf8
+from ledgerspark.llm.shared import unused, utf8
 
-#: Labelled documents for training; bytes of text whose features are computed at once.
-SAMPLE, AT_ONCE = 4_000, 4 << 20
+#: Labelled documents for training, and the bytes of their texts; bytes of text whose features are computed at once.
+SAMPLE, SAMPLE_BYTES, AT_ONCE = 4_000, 64 << 20, 4 << 20
 STEPS, RATE, RIDGE, MOST_TRANSITION = 150, 0.1, 1e-3, 2.0
 
 _KINDS = np.full(256, 5, np.uint8)  # other marks
@@ -59,8 +60,8 @@ def line_features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarra
     for i, line in enumerate(lines):
         parts = line.split()
         if parts:
-            distinct = len(set(parts))
-            words[i] = len(parts), distinct / len(parts), parts.count(parts[0]) / len(parts)
+            counted = Counter(parts)
+            words[i] = len(parts), len(counted) / len(parts), max(counted.values()) / len(parts)
     n = np.maximum(sizes, 1)[:, None]
     own = np.hstack(
         [
@@ -165,14 +166,16 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str
     known = labels.filter(F.col(label).isin(0, 1) & F.col(id_col).isNotNull() & (fold(F.col(id_col), 5) != 0))
     known = known.groupBy(F.col(id_col).alias("_id")).agg(F.min(label).alias("_label")).orderBy(F.xxhash64("_id"), "_id").limit(sample)
     rows = docs.select(F.col(id_col).alias("_id"), utf8(text).alias("_text")).join(F.broadcast(known), "_id")
-    found = sorted(rows.orderBy(F.xxhash64("_id"), "_id", F.xxhash64("_text")).limit(sample).collect())
+    rows = rows.orderBy(F.xxhash64("_id"), "_id", F.xxhash64("_text")).limit(sample)
+    so_far = Window.orderBy(F.xxhash64("_id"), "_id", F.xxhash64("_text")).rowsBetween(Window.unboundedPreceding, 0)  # over the sample only
+    found = sorted(rows.withColumn("_bytes", F.sum(F.octet_length("_text")).over(so_far)).filter(F.col("_bytes") <= SAMPLE_BYTES).collect())
     return LineField.train([bytes(r._text) for r in found], [int(r._label) for r in found])
 
 
-def score(docs: DataFrame, field: LineField, text: str = "text") -> DataFrame:
-    """``docs`` with a column ``score``, the probability that the text is good. An own column of that name is replaced."""
+def score(docs: DataFrame, field: LineField, text: str = "text", name: str = "score") -> DataFrame:
+    """``docs`` with a column ``name``, the probability that the text is good. An own column of that name is replaced."""
     model = docs.sparkSession.sparkContext.broadcast(field)
-    own = [c for c in docs.columns if c != "score"]
+    own = [c for c in docs.columns if c != name]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -184,10 +187,10 @@ def score(docs: DataFrame, field: LineField, text: str = "text") -> DataFrame:
                     found.append(model.value.scores(texts[at:i]))
                     at, size = i, 0
             scores = pa.array(np.concatenate(found) if found else [], pa.float64())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], scores], [*own, "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], scores], schema.names)
 
-    schema = StructType([*(docs.schema[c] for c in own)]).add("score", DoubleType())
-    return docs.select(*own, utf8(text).alias("__text")).mapInArrow(run, schema)
+    schema = StructType([*(docs.schema[c] for c in own)]).add(name, DoubleType())
+    return docs.select(*own, utf8(text).alias(unused(docs, "bytes")[0])).mapInArrow(run, schema)
 
 
 def quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, id_col: str = "doc_id", text: str = "text", sample: int = SAMPLE) -> DataFrame:
@@ -200,6 +203,5 @@ def quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, id_col:
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, id_col: str = "doc_id", text: str = "text", sample: int = SAMPLE) -> DataFrame:
     """The documents whose score reaches the threshold, with their own columns."""
     field = train(docs, labels, id_col, text, sample=sample)
-    renamed = docs.withColumnRenamed("score", "__own_score") if "score" in docs.columns else docs
-    kept = score(renamed, field, text=text).filter(F.col("score") >= threshold).drop("score")
-    return kept.withColumnRenamed("__own_score", "score").select(docs.columns)
+    (name,) = unused(docs, "score")
+    return score(docs, field, text, name).filter(F.col(name) >= threshold).select(docs.columns)

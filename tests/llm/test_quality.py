@@ -27,6 +27,18 @@ def test_marginals_against_all_paths():
     assert np.allclose(p, want) and np.allclose(moves, want_moves)
 
 
+def test_repetition_counts_whatever_word_it_is():
+    first, later = quality.line_features([b"buy buy buy buy see"])[0], quality.line_features([b"see buy buy buy buy"])[0]
+    assert np.allclose(first, later)
+
+
+def test_keep_good_keeps_columns_of_any_name(spark):
+    docs = spark.createDataFrame([(1, "some text", 3, 4, 5)], "doc_id long, text string, __text int, score int, bytes int")
+    labels = spark.createDataFrame([(1, 1)], "doc_id long, quality int")
+    kept = quality.keep_good(docs, labels)
+    assert kept.columns == docs.columns and list(map(tuple, kept.collect())) == [(1, "some text", 3, 4, 5)]
+
+
 def test_held_out_accuracy(spark):
     d = "/root/testdata/sf0.1"
     docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
