@@ -7,16 +7,23 @@ to a variable field. So two lines share a template if they have as many tokens,
 differ in at most one third of the rest. A shorter line has the one template of all its tokens, and
 one of fewer than ``LEAST`` tokens has none.
 
+Long lines are also cut into passages, after each stop that ends at least ``STRETCH`` characters
+without one. Where a cut falls depends on those characters only, so a passage repeated inside
+otherwise different lines is cut alike from its first long sentence on. A passage of at least
+``LONG`` tokens has the one template of all its tokens.
+
 A template recurs if it occurs in ``DOCS`` documents, or in ``SHORT_DOCS`` for a short line, which
-may recur by chance. A line with a recurring template stays in the document with the smallest id
-that has it and is dropped from all others, so that one copy of every passage remains.
+may recur by chance. A line or passage with a recurring template stays in the document with the
+smallest id that has it and is dropped from all others, so that one copy of everything remains.
 
 DataFrame functions only. Templates are 96-bit hashes; their documents are counted with map-side
 combining, and a hot template is split by adaptive execution where lines meet the recurring ones.
-A document is known by its id and its text's hash; repeated rows are the same document.
+A document is known by its id and its text's hash; repeated rows are the same document and are
+counted once.
 
 Nulls: a null text stays null; a null id comes after all others. Empty lines have no template and
-stay. Other columns are carried along, whatever their names. An empty table gives an empty result.
+stay. A text that holds the control character U+0001 is cut into lines only. Other columns are
+carried along, whatever their names. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -24,72 +31,118 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerspark.llm.shared import staged
+from ledgerspark.llm.shared import staged, unused
 
-LEAD, LONG, LEAST, THIRDS = 3, 8, 3, 3
+LEAD, LONG, LEAST, THIRDS, STRETCH = 3, 8, 3, 3, 40
 DOCS, SHORT_DOCS = 2, 5
+MARK = "\x01"
+#: The end of a passage, with the white space after it: a stop after STRETCH characters without one.
+CUT = rf"[.!?][\"')]{{0,2}}[ \t]++(?<=[^.!?\n]{{{STRETCH}}}[.!?][\"')]{{0,2}}[ \t]{{1,4}})"
 #: A token with a digit in it; taken possessively from its start, so in constant time for each character.
-VARIABLE = r"(?<!\S)[^\s0-9]*+[0-9]\S*+"
+VARIABLE = rf"(?<![^\s{MARK}])[^\s0-9{MARK}]*+[0-9][^\s{MARK}]*+"
+
+
+def cut(text: Column) -> Column:
+    """The text with a mark after each passage that ends within a line; without any, if it has marks of its own."""
+    return F.when(F.contains(text, F.lit(MARK)), F.translate(text, MARK, " ")).otherwise(F.regexp_replace(text, CUT, f"$0{MARK}"))
+
+
+def plain_spaces(text: Column) -> Column:
+    """Blanks for all white space but line ends."""
+    return F.when(text.rlike("[\t\r\f\x0b]"), F.translate(text, "\t\r\f\x0b", "    ")).otherwise(text)
 
 
 def tokens(line: Column) -> Column:
-    return F.filter(F.split(F.regexp_replace(line, VARIABLE, "<*>"), r"\s+"), lambda t: t != "")
+    return F.filter(F.split(line, " "), lambda t: t != "")
+
+
+def key(kind: int, short: Column | bool, *parts: Column) -> Column:
+    short = F.lit(short) if isinstance(short, bool) else short
+    return F.struct(F.xxhash64(F.lit(kind), *parts).alias("a"), F.hash(F.lit(kind), *parts).alias("b"), short.alias("short"))
 
 
 def templates(words: Column) -> Column:
-    """The hashes (a, b) of the templates that a line with these tokens belongs to."""
+    """The templates (a, b, short) that a line with these tokens belongs to."""
     n = F.size(words)
     width = F.ceil((n - LEAD) / THIRDS).cast("int")
-
-    def one(kind: int, *parts: Column) -> Column:
-        return F.struct(F.xxhash64(F.lit(kind), n, *parts).alias("a"), F.hash(F.lit(kind), n, *parts).alias("b"), (n < LONG).alias("short"))
-
-    whole = one(0, words)
-    generalised = [one(k, F.slice(words, 1, LEAD + (k - 1) * width), F.slice(words, LEAD + 1 + k * width, n)) for k in range(1, THIRDS + 1)]
+    generalised = [key(k, False, n, F.slice(words, F.lit(1), LEAD + (k - 1) * width), F.slice(words, LEAD + 1 + k * width, n)) for k in range(1, THIRDS + 1)]
+    whole = key(0, n < LONG, words)
     return F.when(n >= LONG, F.array(whole, *generalised)).when(n >= LEAST, F.array(whole)).otherwise(F.array().cast("array<struct<a:bigint,b:int,short:boolean>>"))
 
 
 def parsed(docs: DataFrame, id_col: str, text: str) -> DataFrame:
-    """Stored: ``id``, ``h`` and for each line its position ``i`` and templates ``ts``; lines without any are left out."""
-    rows = docs.filter(F.col(text).isNotNull()).select(
-        F.col(id_col).alias("id"), F.xxhash64(text).alias("h"), F.transform(F.split(text, "\n", -1), tokens).alias("words")
-    )
-    rows = rows.select("id", "h", F.transform("words", lambda w, i: F.struct(i.alias("i"), templates(w).alias("ts"))).alias("lines"))
-    return staged(rows.select("id", "h", F.filter("lines", lambda line: F.size(line["ts"]) > 0).alias("lines")), "line-templates")
+    """Stored: ``id``, ``h``, a line's position ``i``, its templates ``ts``, and the template of each of its passages (null: too short, or the line is one passage)."""
+    def once(value: Column) -> Column:  # a row of its own for the value: several uses do not compute it again
+        return F.explode(F.array(value))
+
+    rows = docs.filter(F.col(text).isNotNull()).select(F.col(id_col).alias("id"), F.xxhash64(text).alias("h"), once(cut(plain_spaces(F.col(text)))).alias("t"))
+    general = F.when(F.col("t").rlike("[0-9]"), F.regexp_replace("t", VARIABLE, "<*>")).otherwise(F.col("t"))
+    rows = rows.select("id", "h", F.posexplode(F.split(general, "\n", -1)).alias("i", "line"))
+    rows = rows.select("*", once(tokens(F.replace(F.col("line"), F.lit(MARK), F.lit("")))).alias("words")).filter(F.size("words") >= LEAST)
+
+    def passage(one: Column) -> Column:
+        words = tokens(one)
+        return F.when(F.size(words) >= LONG, key(0, False, words))
+
+    passages = F.when(F.contains("line", F.lit(MARK)), F.transform(F.split("line", MARK), passage))
+    return staged(rows.select("id", "h", "i", templates(F.col("words")).alias("ts"), passages.alias("passages")), "line-templates")
+
+
+def counted_once(docs: DataFrame, id_col: str, text: str) -> DataFrame:
+    """``docs`` with repeated rows, by id and text, once."""
+    own = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text")).filter("text IS NOT NULL")
+    repeated = staged(own.groupBy("id", F.xxhash64("text").alias("h")).count().filter("count > 1").select(F.col("id").alias("r"), "h"), "line-repeated")
+    if repeated.isEmpty():
+        return own
+    same = own["id"].eqNullSafe(repeated["r"]) & (F.xxhash64(own["text"]) == repeated["h"])
+    return own.join(repeated, same, "left_anti").unionByName(own.join(repeated, same, "left_semi").dropDuplicates())
 
 
 def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """``id``, ``h`` and the positions ``drop`` of the lines to leave out of that document."""
-    rows = parsed(docs, id_col, text)
-    own = F.array_distinct(F.flatten(F.transform("lines", lambda line: line["ts"])))
-    found = rows.select("id", F.explode(own).alias("t")).groupBy("t.a", "t.b", "t.short").agg(F.min("id").alias("first"), F.count("*").alias("docs"))
+    """``id``, ``h`` and what to leave out of that document: positions ``i`` of lines, with ``j``, of passages in lines (null: the whole line)."""
+    rows = parsed(counted_once(docs, id_col, text), "id", "text")
+    # a line's own templates, then its passages'; a line and a passage of the same tokens share the template
+    whole = rows.select("id", "h", "i", F.lit(None).cast("int").alias("j"), F.explode("ts").alias("t"))
+    part = rows.filter("passages IS NOT NULL").select("id", "h", "i", F.posexplode("passages").alias("j", "t")).filter("t IS NOT NULL")
+    every = whole.unionByName(part).select("id", "h", "i", "j", "t.a", "t.b", "t.short")
+    found = every.groupBy("a", "b", "short", "id", "h").agg(F.lit(1).alias("one")).groupBy("a", "b", "short").agg(F.min("id").alias("first"), F.count("*").alias("docs"))
     recurring = found.filter(F.col("docs") >= F.when(F.col("short"), SHORT_DOCS).otherwise(DOCS)).select("a", "b", "first")
-    lines = rows.select("id", "h", F.explode("lines").alias("line")).select("id", "h", "line.i", F.explode("line.ts").alias("t")).select("id", "h", "i", "t.a", "t.b")
-    met = lines.join(recurring, (lines.a == recurring.a) & (lines.b == recurring.b) & ((F.col("first") < F.col("id")) | (F.col("id").isNull() & F.col("first").isNotNull())))
-    return met.groupBy("id", "h").agg(F.collect_set("i").alias("drop"))
+    met = every.join(recurring, ["a", "b"]).filter((F.col("first") < F.col("id")) | (F.col("id").isNull() & F.col("first").isNotNull()))
+    return met.groupBy("id", "h").agg(F.collect_set(F.struct("i", "j")).alias("drop"))
 
 
 def marked(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with the text deduplicated, and ``_n_lines`` and ``_n_dropped`` added."""
-    drops = dropped_lines(docs, id_col, text).withColumnsRenamed({"id": "_id", "h": "_h", "drop": "_drop"}).hint("shuffle_hash")
-    keyed = docs.withColumn("_own_h", F.xxhash64(text))
-    both = keyed.join(drops, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_own_h") == F.col("_h")), "left")
+    """``docs`` with the text deduplicated, and ``_n_lines``, ``_n_dropped`` (lines left out whole) and ``_n_cut`` (passages left out of others) added, in place of columns of these names."""
+    added = ["_n_lines", "_n_dropped", "_n_cut"]
+    own, key_id, key_h, drop = unused(docs, "own_h", "id", "h", "drop")
+    drops = dropped_lines(docs, id_col, text).toDF(key_id, key_h, drop).hint("shuffle_hash")
+    both = docs.withColumn(own, F.xxhash64(text)).join(drops, F.col(id_col).eqNullSafe(F.col(key_id)) & (F.col(own) == F.col(key_h)), "left")
     lines = F.split(text, "\n", -1)
-    n = F.coalesce(F.size(lines), F.lit(0))
-    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "_drop")
-    cleaned = F.when(F.col("_drop").isNull(), F.col(text)).otherwise(F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n"))
+    gone = F.transform(F.filter(drop, lambda d: d["j"].isNull()), lambda d: d["i"])
+
+    def shortened(i: Column) -> Column:
+        some = F.transform(F.filter(drop, lambda d: (d["i"] == i) & d["j"].isNotNull()), lambda d: d["j"])
+        parts = F.split(cut(F.get(lines, i)), MARK)
+        kept = F.filter(parts, lambda p, j: ~F.array_contains(some, j))
+        return F.when(F.size(some) == 0, F.get(lines, i)).otherwise(F.rtrim(F.array_join(kept, "")))
+
+    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), gone)
+    cleaned = F.when(F.col(drop).isNull(), F.col(text)).otherwise(F.array_join(F.transform(kept, shortened), "\n"))
+    cuts = F.size(F.filter(drop, lambda d: d["j"].isNotNull() & ~F.array_contains(gone, d["i"])))
     return both.select(
-        *(F.col(c) for c in docs.columns if c != text),
+        *(F.col(c) for c in docs.columns if c != text and c not in added),
         cleaned.alias(text),
-        F.when(F.col(text).isNull(), 0).otherwise(n).cast("long").alias("_n_lines"),
-        F.coalesce(F.size("_drop"), F.lit(0)).cast("long").alias("_n_dropped"),
+        F.when(F.col(text).isNull(), 0).otherwise(F.size(lines)).cast("long").alias(added[0]),
+        F.when(F.col(drop).isNull(), 0).otherwise(F.size(gone)).cast("long").alias(added[1]),
+        F.when(F.col(drop).isNull(), 0).otherwise(cuts).cast("long").alias(added[2]),
     )
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text", length: str | None = None) -> DataFrame:
-    """``docs`` with repeated lines left out; ``length`` names a column that holds the text's length in characters."""
-    found = marked(docs, id_col, text)
+    """``docs`` with repeated lines and passages left out; ``length`` names a column that holds the text's length in characters."""
+    names = {c: unused(docs, c)[0] for c in docs.columns if c in ("_n_lines", "_n_dropped", "_n_cut")}  # own columns of these names are kept
+    found = marked(docs.withColumnsRenamed(names), id_col, text)
     if length and length in docs.columns:
-        size = F.when(F.col("_n_dropped") > 0, F.length(text).cast(docs.schema[length].dataType)).otherwise(F.col(length))
+        size = F.when(F.col("_n_dropped") + F.col("_n_cut") > 0, F.length(text).cast(docs.schema[length].dataType)).otherwise(F.col(length))
         found = found.withColumn(length, size)
-    return found.select(docs.columns)
+    return found.select(*(F.col(names.get(c, c)).alias(c) for c in docs.columns))

@@ -33,7 +33,7 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = lines.marked(table(spark, sf_dir, "documents"))
-    return found.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_dropped").alias("n_dropped"), "text")
+    return found.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_dropped").alias("n_dropped"), F.col("_n_cut").alias("n_cut"), "text")
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,31 +1,54 @@
 """Line templates against plain Python."""
 
 import math
+import re
 
 from ledgerspark.llm import lines
 
 SCHEMA = "doc_id long, text string, n_chars long, h string, id int"
 
 
+SPACES = str.maketrans("\t\r\f\x0b", "    ")
+
+
+def passages(line):
+    """The passages of a line, each with the white space after it."""
+    out, at = [], 0
+    for m in re.finditer(r"[.!?][\"')]{0,2}[ \t]+", line):
+        stop = m.start()
+        if not re.search(r"[.!?]", line[max(stop - lines.STRETCH, 0) : stop]) and stop >= lines.STRETCH and len(m[0].lstrip(".!?\"')")) <= 4:
+            out.append(line[at : m.end()])
+            at = m.end()
+    return [*out, line[at:]]
+
+
 def plain(rows):
-    """What stays of each row's text: templates as tuples, documents by id, nulls last."""
+    """What stays of each row's text: templates as tuples, documents by id and text, nulls last."""
+
+    def words(line):
+        return ["<*>" if any(c in "0123456789" for c in w) else w for w in line.translate(SPACES).split(" ") if w]
 
     def keys(line):
-        words = ["<*>" if any(c in "0123456789" for c in w) else w for w in line.split()]
-        n = len(words)
+        own = words(line)
+        n = len(own)
         if n < lines.LEAST:
             return []
-        out = [(0, tuple(words))]
+        out = [(0, tuple(own))]
         if n >= lines.LONG:
             width = math.ceil((n - lines.LEAD) / lines.THIRDS)
             for k in range(1, lines.THIRDS + 1):
                 lo, hi = lines.LEAD + (k - 1) * width, lines.LEAD + k * width
-                out.append((k, n, tuple(words[:lo]), tuple(words[hi:])))
+                out.append((k, n, tuple(own[:lo]), tuple(own[hi:])))
         return out
 
+    def part_keys(line):
+        parts = passages(line)
+        return [[(0, tuple(words(p)))] if len(parts) > 1 and len(words(p)) >= lines.LONG else [] for p in parts]
+
     seen = {}
-    for doc_id, text, *_ in rows:
-        for t in {t for line in (text or "").split("\n") for t in keys(line)}:
+    for doc_id, text in {(r[0], r[1]) for r in rows}:
+        own = {t for line in (text or "").split("\n") for t in keys(line)}
+        for t in own | {t for line in (text or "").split("\n") for p in part_keys(line) for t in p}:
             seen.setdefault(t, []).append(doc_id)
     first = {}
     for t, ids in seen.items():
@@ -36,7 +59,14 @@ def plain(rows):
     out = []
     for doc_id, text, *_ in rows:
         if text is not None:
-            text = "\n".join(line for line in text.split("\n") if not any(t in first and (doc_id is None or first[t] < doc_id) for t in keys(line)))
+            gone = lambda own: any(t in first and (doc_id is None or first[t] < doc_id) for t in own)  # noqa: B023, E731
+            kept = []
+            for line in text.split("\n"):
+                if not gone(keys(line)):
+                    parts, own = passages(line), part_keys(line)
+                    some = [p for p, t in zip(parts, own, strict=True) if not gone(t)]
+                    kept.append(line if len(some) == len(parts) else "".join(some).rstrip(" "))
+            text = "\n".join(kept)
         out.append((doc_id, text))
     return sorted(out, key=str)
 
@@ -73,6 +103,32 @@ def test_a_table(spark):
     for r in marked:
         n = text[r.doc_id].count("\n") + 1
         assert r["_n_lines"] == n and r["_n_dropped"] == (n if r.text == "" and r["_n_dropped"] == n else n - r.text.count("\n") - 1)
+        assert r["_n_cut"] or r["_n_dropped"] or r.text == text[r.doc_id]
+
+
+def test_repeated_rows_are_one_document(spark):
+    rows = [(1, "one short line", 0, "", 0)] * 5 + [(2, "one short line", 0, "", 0)]
+    assert [r.text for r in lines.dedup(spark.createDataFrame(rows, SCHEMA)).collect()] == ["one short line"] * 6
+
+
+def test_passages_inside_lines(spark):
+    """A passage of several sentences in the middle of other lines goes from all documents but the first; the words around it stay."""
+    passage = "Every copy of this long sentence is the same in all of the texts here. Short one. The second long sentence, with year 1999 in it, closes the shared passage of them all. "
+    own = lambda i: f"Text {'abcdefg'[i]} {'abcdefg'[i]} begins with words that nobody else has, up to this stop. "
+    after = lambda i: f"What comes after it belongs to {'hijklmn'[i]} alone, and is long enough to count as one."
+    rows = [(i, own(i) + passage.replace("1999", str(1999 + i)) + after(i), 0, "", 0) for i in range(5)]
+    rows += [(9, rows[3][1] + "\x01 odd", 0, "", 0)]
+    got = {r.doc_id: r.text for r in lines.dedup(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got[0] == rows[0][1] and got[9] == rows[5][1]
+    assert all(got[i] == own(i) + after(i) for i in range(1, 5))
+    assert sorted(got.items(), key=str) == plain([r for r in rows if r[0] != 9]) + [(9, rows[5][1])]
+
+
+def test_columns_of_any_name(spark):
+    rows = [(1, PASSAGE, 5, 6, 7, 8, 9), (2, PASSAGE, 1, 2, 3, 4, 5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, own_h int, id int, _n_lines int, _id int, drop int")
+    got = lines.dedup(docs)
+    assert got.columns == docs.columns and sorted(map(tuple, got.collect())) == [rows[0], (2, "", *rows[1][2:])]
 
 
 def test_no_python(spark):
