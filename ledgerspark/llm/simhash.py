@@ -26,6 +26,7 @@ a row. An empty table gives an empty result. Other columns of the input are igno
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from itertools import combinations, repeat
 
@@ -34,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerspark.llm.shared import LOWER, staged, utf8
+from ledgerspark.llm.shared import LOWER, forget, staged, unused, utf8
 
 #: Bits in which linked fingerprints may differ, and the bucket size up to which pairs are verified one by one.
 DISTANCE, PAIRS_UP_TO = 2, 64
@@ -115,7 +116,8 @@ def components(edges: DataFrame, rounds: int = 64) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u")
         small = small.filter("v <> m").select(F.col("v").alias("a"), F.col("m").alias("b")).union(small.select("u", "m")).distinct()
-        now = staged(small, "components")
+        before, now = now, staged(small, "components")
+        forget(before)
         told = now.agg(F.count("a"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if told == state:
             break
@@ -140,19 +142,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
 
 
 def signatures(docs: DataFrame, id_col: str, text: str, width: int) -> DataFrame:
-    """Each row's ``id``, ``node`` (hash of its set of shingles), the set's size ``n`` and its ``keys``, one for each band."""
+    """Each row's ``id``, ``digest`` (MD5 of the text), ``node`` (hash of its set of shingles), the set's size ``n`` and its ``keys``, one for each band."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = []
             for one in batch.column(1):
                 own = shingle_set(one.as_py(), width)
-                found.append((node_of(own), len(own), band_keys(own)))
-            nodes, sizes, keys = list(zip(*found, strict=True)) or [()] * 3
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["id", "node", "n", "keys"])
+                found.append((hashlib.md5(one.as_py(), usedforsecurity=False).digest(), node_of(own), len(own), band_keys(own)))
+            columns = list(zip(*found, strict=True)) or [()] * 4
+            kinds = (pa.binary(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, columns, kinds)], ["id", "digest", "node", "n", "keys"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), utf8(text).alias("text")).mapInArrow(run, f"id {kind}, node long, n long, keys array<long>")
+    return docs.select(F.col(id_col).alias("id"), utf8(text).alias("text")).mapInArrow(run, f"id {kind}, digest binary, node long, n long, keys array<long>")
 
 
 def shingle_set(text: bytes, width: int) -> np.ndarray:
@@ -215,14 +218,14 @@ def alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
 
 
 def near_groups(docs: DataFrame, id_col: str, text: str, width: int, similarity: float) -> DataFrame:
-    """``id`` and ``component_id`` of each row: the smallest id reachable over pairs of texts that are ``similarity`` alike."""
+    """``id``, ``digest`` of the text and ``root`` of each row; rows with one root are reachable over pairs of texts that are ``similarity`` alike."""
     found = staged(signatures(docs, id_col, text, width), "signatures")
-    distinct = staged(found.groupBy("node").agg(F.min("id").alias("least"), F.any_value("n").alias("n"), F.any_value("keys").alias("keys")), "signatures-distinct")
+    distinct = staged(found.groupBy("node").agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id")).alias("first"), F.any_value("n").alias("n"), F.any_value("keys").alias("keys")), "signatures-distinct")
     dealt = distinct.select("node", "n", F.explode("keys").alias("key"))
     leaders = dealt.groupBy("key").agg(F.min(F.struct("node", "n")).alias("first"), F.count("*").alias("size")).filter("size > 1")
     leaders = staged(leaders.select("key", F.col("first.node").alias("b"), F.col("first.n").alias("bn")), "bucket-leaders")
     shared = staged(dealt.join(leaders, "key"), "buckets")
-    wanted = distinct.join(shared.select("node").distinct(), "node").select(F.col("least").alias("id"), "node")
+    wanted = distinct.join(shared.select("node").distinct(), "node").select(F.col("first.id").alias("id"), "node")
     sets = shingle_sets(docs, wanted, id_col, text, width)
 
     def sizes(x: str, y: str):  # sets whose sizes differ by more can't be alike
@@ -241,17 +244,25 @@ def near_groups(docs: DataFrame, id_col: str, text: str, width: int, similarity:
     rest = staged(rest.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct(), "bucket-pairs")
     roots = components(edges.unionByName(alike(rest, sets, similarity)))
 
-    linked = distinct.select("node", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    least = linked.groupBy("root").agg(F.min("least").alias("component_id"))
-    final = staged(linked.join(least, "root").select("node", "component_id"), "near-final")  # stored, so that the join of a hot text's copies can be split
-    return found.select("id", "node").join(final, "node").select("id", "component_id")
+    final = distinct.select("node").join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
+    final = staged(final, "near-final")  # stored, so that the join of a hot text's copies can be split
+    forget(shared, stars, placed, open_, rest, sets)
+    return found.select("id", "digest", "node").join(final, "node").select("id", "digest", "root")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
-    """The documents with one of each group of near copies: those whose id is their component's smallest; of repeated ids one row each stays too.
+    """The documents with one row of each group of near copies: of those with the smallest id, the one with the smallest MD5 of its text.
 
-    Near copies have sets of ``width``-word shingles with a Jaccard similarity of at least ``similarity``.
+    Near copies have sets of ``width``-word shingles with a Jaccard similarity of at least ``similarity``;
+    all texts without words are one group. A null id comes after all others. Of repeated rows (id and
+    text) that would stay, one does, with the other columns of any of them.
     """
-    found = near_groups(docs, id_col, text, width, similarity)
-    kept = found.filter(F.col("id").eqNullSafe(F.col("component_id"))).select(F.col("id").alias(id_col)).distinct()
-    return docs.join(kept, docs[id_col].eqNullSafe(kept[id_col]), "left_semi")
+    rows = near_groups(docs, id_col, text, width, similarity).groupBy("root", "id", "digest").count()
+    first = rows.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id", "digest", "count")).alias("first"))
+    key, id_key, copies = unused(docs, "digest", "id", "copies")
+    first = staged(first.select(F.col("first.id").alias(id_key), F.col("first.digest").alias(key), F.col("first.count").alias(copies)), "near-first")
+    own = F.unhex(F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")))
+    told = lambda some: docs.join(some, docs[id_col].eqNullSafe(some[id_key]) & (own == some[key]))
+    single, repeated = first.filter(F.col(copies) == 1), first.filter(F.col(copies) > 1)
+    kept = told(single).select(docs["*"])
+    return kept.unionByName(told(repeated).dropDuplicates([id_key, key]).select(*(docs[c] for c in docs.columns)))

@@ -1,7 +1,9 @@
 """The pipeline's stages, each on its own input, and what they must keep and catch."""
 
+from test_simhash import plain_kept
+
 import corpus_pipeline
-from ledgerspark.llm import decontamination, lines, quality, simhash
+from ledgerspark.llm import decontamination, lines, quality
 
 DIR = "/root/testdata/sf0.001"
 
@@ -18,7 +20,7 @@ def test_stages(spark):
     assert ids(outs[names[0]]) == ids(quality.quality(docs, labels).filter("predicted = 1"))
     assert sorted(map(tuple, outs[names[1]].select("doc_id", "text").collect())) == sorted(map(tuple, lines.marked(docs).select("doc_id", "text").collect()))
     assert all(r.n_chars == len(r.text) for r in outs[names[1]].collect())
-    assert ids(outs[names[2]]) == ids(simhash.near_duplicates(docs).filter("doc_id = component_id"))
+    assert ids(outs[names[2]]) == plain_kept([(r.doc_id, r.text) for r in docs.collect()])
     assert ids(outs[names[3]]) == ids(decontamination.contamination(docs, items).filter("NOT contaminated"))
     docs.unpersist()
 

@@ -94,6 +94,17 @@ def test_keep_one(spark):
     assert sorted(r.doc_id for r in kept.collect()) == [1, 2] and kept.columns == ["doc_id", "text", "fp", "k"]
 
 
+def test_keep_one_of_repeated_ids_and_rows(spark):
+    """One row of each group stays, whatever ids and rows repeat; each id's texts are judged apart."""
+    same, near, other = "a b c d e f g", "A b  c d e f g", "q r s t u v w"
+    rows = [(1, same, "x", 1), (1, same, "x", 1), (2, same, "", 2), (2, other, "", 3), (None, near, "", 4), (None, None, "", 5), (None, "", "", 6), (None, "h i j k l m", "", 7), (None, "h i j k l m", "", 7)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, digest string, copies int")
+    got = sorted(((r.doc_id, r.text or "", r.digest, r["copies"]) for r in simhash.keep_one(docs).collect()), key=str)
+    assert [g for g in got if g[1]] == sorted([(1, same, "x", 1), (2, other, "", 3), (None, "h i j k l m", "", 7)], key=str)
+    assert len(got) == 4 and simhash.keep_one(docs).columns == docs.columns
+    assert simhash.keep_one(docs.limit(0)).count() == 0
+
+
 def test_empty(spark):
     assert simhash.near_duplicates(spark.createDataFrame([], SCHEMA)).count() == 0
 
