@@ -26,7 +26,7 @@ def plain(rows, k, step):
 @pytest.mark.parametrize("shard", [40, 8192])
 def test_against_all_products(spark, monkeypatch, shard):
     monkeypatch.setattr(topk, "SHARD", shard)
-    monkeypatch.setattr(topk, "BLOCK", 10)
+    monkeypatch.setattr(topk, "NEAR", 1)
     monkeypatch.setattr(topk, "LEAF", 8)
     rng = random.Random(shard)
     rows = [(i, [rng.gauss(0, 0.3) for _ in range(6)], 0, 0.0) for i in range(150)]
@@ -37,6 +37,22 @@ def test_against_all_products(spark, monkeypatch, shard):
     assert sorted(map(tuple, got)) == plain(rows, 20, 20)
 
 
+def test_large_components_are_exact(spark):
+    """Scores beyond 2**43, beyond 2**53 and beyond 64 bits, which are ranked by value and returned as the nearest long."""
+    for top in (60_000.0, 3e6, 3e30):
+        rng = random.Random(int(top))
+        rows = [(i, [float(np.float32(rng.uniform(-top, top))) for _ in range(4)], 0, 0.0) for i in range(120)]
+        rows += [(500 + i, [float(np.float32(top))] * 4, 0, 0.0) for i in range(4)]  # ties
+        whole = [(i, [int(np.floor(64 * x)) for x in v]) for i, v, *_ in rows]
+        want = []
+        for i, v in whole:
+            if i % 20 == 0:
+                best = sorted((-sum(a * b for a, b in zip(v, w, strict=True)), j) for j, w in whole if j != i)[:20]
+                want += [(i, r, j, max(min(-s, 2**63 - 1), -(2**63))) for r, (s, j) in enumerate(best, 1)]
+        got = topk.top_k(spark.createDataFrame(rows, SCHEMA), F.col("vec_id") % 20 == 0).collect()
+        assert sorted(map(tuple, got)) == sorted(want)
+
+
 def test_few_and_none(spark):
     rows = [(20, [1.0], 0, 0.0), (1, [2.0], 0, 0.0)]
     got = topk.top_k(spark.createDataFrame(rows, SCHEMA), F.col("vec_id") % 20 == 0).collect()
