@@ -1,18 +1,17 @@
 """Line deduplication with a log-template tree of fixed depth.
 
 A line is cut into tokens, and tokens with a digit become ``<*>``. The tree's path is the token
-count and the ``LEAD`` leading tokens; below that, a line of at least ``LONG`` tokens belongs to the
-template of its whole tail and to three more, in each of which one third of the tail is generalised
-to a variable field. So two lines share a template if they have as many tokens, begin alike, and
-differ in at most one third of the rest. A shorter line has the one template of all its tokens, and
-one of fewer than ``LEAST`` tokens has none.
+count and the ``LEAD`` leading tokens; below that, a line of at least ``LONG`` tokens belongs to three
+templates, in each of which one third of the tail is generalised to a variable field. So two lines
+share a template if they have as many tokens, begin alike, and differ within one of the three thirds
+of the rest. Each line but the shortest, of fewer than ``LEAST`` tokens, has the template of all it holds.
 
 Long lines are also cut into passages, after each stop that ends at least ``STRETCH`` characters
 without one. Where a cut falls depends on those characters only, so a passage repeated inside
 otherwise different lines is cut alike from its first long sentence on. A passage of at least
-``LONG`` tokens has the one template of all its tokens.
+``STRETCH`` characters has the template of all it holds, one with a line of the same content.
 
-A template recurs if it occurs in ``DOCS`` documents, or in ``SHORT_DOCS`` for a short line, which
+A template recurs if it occurs in two documents, or in ``SHORT_DOCS`` for a short line, which
 may recur by chance. A line or passage with a recurring template stays in the document with the
 smallest id that has it and is dropped from all others, so that one copy of everything remains.
 
@@ -34,7 +33,7 @@ from pyspark.sql import functions as F
 from ledgerspark.llm.shared import staged, unused
 
 LEAD, LONG, LEAST, THIRDS, STRETCH = 3, 8, 3, 3, 40
-DOCS, SHORT_DOCS = 2, 5
+SHORT_DOCS = 5
 MARK = "\x01"
 #: The end of a passage, with the white space after it: a stop after STRETCH characters without one.
 CUT = rf"[.!?][\"')]{{0,2}}[ \t]++(?<=[^.!?\n]{{{STRETCH}}}[.!?][\"')]{{0,2}}[ \t]{{1,4}})"
@@ -53,70 +52,76 @@ def plain_spaces(text: Column) -> Column:
 
 
 def tokens(line: Column) -> Column:
-    return F.filter(F.split(line, " "), lambda t: t != "")
+    return F.array_remove(F.split(line, " "), "")
 
 
-def key(kind: int, short: Column | bool, *parts: Column) -> Column:
+def key(short: Column | bool, *parts: Column) -> Column:
     short = F.lit(short) if isinstance(short, bool) else short
-    return F.struct(F.xxhash64(F.lit(kind), *parts).alias("a"), F.hash(F.lit(kind), *parts).alias("b"), short.alias("short"))
+    return F.struct(F.xxhash64(short, *parts).alias("a"), F.hash(short, *parts).alias("b"), short.alias("short"))
 
 
-def templates(words: Column) -> Column:
-    """The templates (a, b, short) that a line with these tokens belongs to."""
+def templates(line: Column, words: Column, single: Column) -> Column:
+    """The templates (a, b, short) of a line with these tokens; that of all it holds only where the line is a ``single`` passage, else its passages stand for it."""
     n = F.size(words)
     width = F.ceil((n - LEAD) / THIRDS).cast("int")
-    generalised = [key(k, False, n, F.slice(words, F.lit(1), LEAD + (k - 1) * width), F.slice(words, LEAD + 1 + k * width, n)) for k in range(1, THIRDS + 1)]
-    whole = key(0, n < LONG, words)
-    return F.when(n >= LONG, F.array(whole, *generalised)).when(n >= LEAST, F.array(whole)).otherwise(F.array().cast("array<struct<a:bigint,b:int,short:boolean>>"))
+    thirds = [key(False, F.lit(k), n, F.slice(words, F.lit(1), LEAD + (k - 1) * width), F.slice(words, LEAD + 1 + k * width, n)) for k in range(1, THIRDS + 1)]
+    whole = key(n < LONG, F.trim(line))
+    return F.when((n >= LONG) & single, F.array(whole, *thirds)).when(n >= LONG, F.array(*thirds)).otherwise(F.array(whole))
 
 
-def parsed(docs: DataFrame, id_col: str, text: str) -> DataFrame:
-    """Stored: ``id``, ``h``, a line's position ``i``, its templates ``ts``, and the template of each of its passages (null: too short, or the line is one passage)."""
+def parsed(docs: DataFrame, apart: bool) -> DataFrame:
+    """Stored, for ``docs`` (id, text): ``id``, ``h``, a line's position ``i``, its templates ``ts``, and the template of each of its passages (null: too short, or the line is one passage).
+
+    ``h`` tells texts of one id ``apart``, and is 0 where ids do not repeat.
+    """
+
     def once(value: Column) -> Column:  # a row of its own for the value: several uses do not compute it again
         return F.explode(F.array(value))
 
-    rows = docs.filter(F.col(text).isNotNull()).select(F.col(id_col).alias("id"), F.xxhash64(text).alias("h"), once(cut(plain_spaces(F.col(text)))).alias("t"))
+    h = F.xxhash64("text") if apart else F.lit(0).cast("long")
+    rows = docs.select("id", h.alias("h"), once(cut(plain_spaces(F.col("text")))).alias("t"))
     general = F.when(F.col("t").rlike("[0-9]"), F.regexp_replace("t", VARIABLE, "<*>")).otherwise(F.col("t"))
     rows = rows.select("id", "h", F.posexplode(F.split(general, "\n", -1)).alias("i", "line"))
     rows = rows.select("*", once(tokens(F.replace(F.col("line"), F.lit(MARK), F.lit("")))).alias("words")).filter(F.size("words") >= LEAST)
-
-    def passage(one: Column) -> Column:
-        words = tokens(one)
-        return F.when(F.size(words) >= LONG, key(0, False, words))
-
-    passages = F.when(F.contains("line", F.lit(MARK)), F.transform(F.split("line", MARK), passage))
-    return staged(rows.select("id", "h", "i", templates(F.col("words")).alias("ts"), passages.alias("passages")), "line-templates")
+    several = F.contains("line", F.lit(MARK))
+    passages = F.when(several, F.transform(F.split("line", MARK), lambda p: F.when(F.length(p) >= STRETCH, key(False, F.trim(p)))))
+    return staged(rows.select("id", "h", "i", templates(F.col("line"), F.col("words"), ~several).alias("ts"), passages.alias("passages")), "line-templates")
 
 
-def counted_once(docs: DataFrame, id_col: str, text: str) -> DataFrame:
-    """``docs`` with repeated rows, by id and text, once."""
-    own = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text")).filter("text IS NOT NULL")
-    repeated = staged(own.groupBy("id", F.xxhash64("text").alias("h")).count().filter("count > 1").select(F.col("id").alias("r"), "h"), "line-repeated")
+def counted_once(docs: DataFrame, id_col: str, text: str) -> tuple[DataFrame, bool]:
+    """``id`` and ``text`` of each row with a text, repeated rows once; and whether ids repeat."""
+    own = docs.filter(F.col(text).isNotNull()).select(F.col(id_col).alias("id"), F.col(text).alias("text"))
+    repeated = staged(own.groupBy("id").count().filter("count > 1").select(F.col("id").alias("r")), "line-repeated")
     if repeated.isEmpty():
-        return own
-    same = own["id"].eqNullSafe(repeated["r"]) & (F.xxhash64(own["text"]) == repeated["h"])
-    return own.join(repeated, same, "left_anti").unionByName(own.join(repeated, same, "left_semi").dropDuplicates())
+        return own, False
+    same = own["id"].eqNullSafe(repeated["r"])
+    return own.join(repeated, same, "left_anti").unionByName(own.join(repeated, same, "left_semi").dropDuplicates()), True
 
 
-def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """``id``, ``h`` and what to leave out of that document: positions ``i`` of lines, with ``j``, of passages in lines (null: the whole line)."""
-    rows = parsed(counted_once(docs, id_col, text), "id", "text")
-    # a line's own templates, then its passages'; a line and a passage of the same tokens share the template
+def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> tuple[DataFrame, bool]:
+    """``id``, ``h`` and what to leave out of that document: positions ``i`` of lines, with ``j``, of passages in lines (null: the whole line); and whether ``h`` tells texts apart."""
+    own, apart = counted_once(docs, id_col, text)
+    rows = parsed(own, apart)
+    # a line's own templates, then its passages'
     whole = rows.select("id", "h", "i", F.lit(None).cast("int").alias("j"), F.explode("ts").alias("t"))
     part = rows.filter("passages IS NOT NULL").select("id", "h", "i", F.posexplode("passages").alias("j", "t")).filter("t IS NOT NULL")
     every = whole.unionByName(part).select("id", "h", "i", "j", "t.a", "t.b", "t.short")
-    found = every.groupBy("a", "b", "short", "id", "h").agg(F.lit(1).alias("one")).groupBy("a", "b", "short").agg(F.min("id").alias("first"), F.count("*").alias("docs"))
-    recurring = found.filter(F.col("docs") >= F.when(F.col("short"), SHORT_DOCS).otherwise(DOCS)).select("a", "b", "first")
-    met = every.join(recurring, ["a", "b"]).filter((F.col("first") < F.col("id")) | (F.col("id").isNull() & F.col("first").isNotNull()))
-    return met.groupBy("id", "h").agg(F.collect_set(F.struct("i", "j")).alias("drop"))
+    # two documents have a template if one has a larger id than the first: no count is needed
+    found = every.filter("NOT short").groupBy("a", "b").agg(F.min("id").alias("first"), F.max("id").alias("last"), F.bool_or(F.col("id").isNull()).alias("nameless"))
+    recurring = found.filter(F.col("first").isNotNull() & ((F.col("first") < F.col("last")) | F.col("nameless"))).select("a", "b", "first")
+    counts = every.filter("short").select("a", "b", "id", "h").distinct().groupBy("a", "b").agg(F.min("id").alias("first"), F.count("*").alias("docs"))
+    recurring = recurring.unionByName(counts.filter(F.col("docs") >= SHORT_DOCS).select("a", "b", "first"))
+    met = every.drop("short").join(recurring, ["a", "b"]).filter((F.col("first") < F.col("id")) | (F.col("id").isNull() & F.col("first").isNotNull()))
+    return met.groupBy("id", "h").agg(F.collect_set(F.struct("i", "j")).alias("drop")), apart
 
 
 def marked(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with the text deduplicated, and ``_n_lines``, ``_n_dropped`` (lines left out whole) and ``_n_cut`` (passages left out of others) added, in place of columns of these names."""
     added = ["_n_lines", "_n_dropped", "_n_cut"]
     own, key_id, key_h, drop = unused(docs, "own_h", "id", "h", "drop")
-    drops = dropped_lines(docs, id_col, text).toDF(key_id, key_h, drop).hint("shuffle_hash")
-    both = docs.withColumn(own, F.xxhash64(text)).join(drops, F.col(id_col).eqNullSafe(F.col(key_id)) & (F.col(own) == F.col(key_h)), "left")
+    drops, apart = dropped_lines(docs, id_col, text)
+    drops = drops.toDF(key_id, key_h, drop).hint("shuffle_hash")
+    both = docs.withColumn(own, F.xxhash64(text) if apart else F.lit(0).cast("long")).join(drops, F.col(id_col).eqNullSafe(F.col(key_id)) & (F.col(own) == F.col(key_h)), "left")
     lines = F.split(text, "\n", -1)
     gone = F.transform(F.filter(drop, lambda d: d["j"].isNull()), lambda d: d["i"])
 

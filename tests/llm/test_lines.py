@@ -25,15 +25,18 @@ def passages(line):
 def plain(rows):
     """What stays of each row's text: templates as tuples, documents by id and text, nulls last."""
 
+    def general(line):  # with the blanks as they are
+        return ["<*>" if any(c in "0123456789" for c in w) else w for w in line.translate(SPACES).split(" ")]
+
     def words(line):
-        return ["<*>" if any(c in "0123456789" for c in w) else w for w in line.translate(SPACES).split(" ") if w]
+        return [w for w in general(line) if w]
 
     def keys(line):
         own = words(line)
         n = len(own)
         if n < lines.LEAST:
             return []
-        out = [(0, tuple(own))]
+        out = [(0, " ".join(general(line)).strip(" "), n < lines.LONG)] if n < lines.LONG or len(passages(line)) == 1 else []
         if n >= lines.LONG:
             width = math.ceil((n - lines.LEAD) / lines.THIRDS)
             for k in range(1, lines.THIRDS + 1):
@@ -43,7 +46,8 @@ def plain(rows):
 
     def part_keys(line):
         parts = passages(line)
-        return [[(0, tuple(words(p)))] if len(parts) > 1 and len(words(p)) >= lines.LONG else [] for p in parts]
+        texts = [" ".join(general(p)) for p in parts]
+        return [[(0, t.strip(" "), False)] if len(parts) > 1 and len(t) >= lines.STRETCH else [] for t in texts]
 
     seen = {}
     for doc_id, text in {(r[0], r[1]) for r in rows}:
@@ -52,9 +56,9 @@ def plain(rows):
             seen.setdefault(t, []).append(doc_id)
     first = {}
     for t, ids in seen.items():
-        short = t[0] == 0 and len(t[1]) < lines.LONG
+        short = t[0] == 0 and t[2]
         known = [i for i in ids if i is not None]
-        if len(ids) >= (lines.SHORT_DOCS if short else lines.DOCS) and known:
+        if len(ids) >= (lines.SHORT_DOCS if short else 2) and known:
             first[t] = min(known)
     out = []
     for doc_id, text, *_ in rows:
