@@ -38,7 +38,7 @@ from ledgerspark.llm.shared import LOWER, columns_of, staged, utf8
 #: Most words with a symbol of their own and the count they need; classes of the others; words in the broadcast table of counts; distinct words a task counts before it emits.
 SYMBOLS, LEAST, BUCKETS, TABLE, COUNTED = 65_279, 3, 256, 200_000, 300_000
 #: Rounds at most and the share of the log-likelihood a round must gain; tokens of a stretch; tokens worked on at once.
-STATES, ROUNDS, GAIN, STRETCH, AT_ONCE = 8, 6, 1e-3, 1_024, 1 << 19
+STATES, ROUNDS, GAIN, STRETCH, AT_ONCE = 8, 6, 1e-3, 1_024, 1 << 20
 #: Weight of the overall frequencies in each state's, in tokens.
 PRIOR = 100.0
 
@@ -174,14 +174,14 @@ def encode(docs: DataFrame, lexicon: Lexicon, id_type: str) -> DataFrame:
 
 
 def side_by_side(rows: list[np.ndarray]) -> tuple[np.ndarray, list[int], np.ndarray]:
-    """The rows, longest first, as a grid; how many of them reach each column; and their order."""
+    """The rows, longest first, as the columns of a grid; how many of them reach each of its rows; and their order."""
     sizes = np.array(list(map(len, rows)))
     order = np.argsort(-sizes, kind="stable")
     sizes = sizes[order]
     grid = np.zeros((len(rows), int(sizes[0])), np.uint16)
     for j, i in enumerate(order):
         grid[j, : sizes[j]] = rows[i]
-    return grid, [int(np.searchsorted(-sizes, -t, "left")) for t in range(int(sizes[0]))], order
+    return np.ascontiguousarray(grid.T), [int(np.searchsorted(-sizes, -t, "left")) for t in range(int(sizes[0]))], order
 
 
 def by_size(rows: list[bytes]) -> Iterator[list[np.ndarray]]:
@@ -222,7 +222,7 @@ class Model:
         for t, n in enumerate(alive):
             if n < len(now):
                 out[n : len(now)] = now[n:]
-            now = (now[:n].reshape(-1, k) @ self.move).reshape(n, k, k) * self.emit[grid[:n, t], None, :]
+            now = (now[:n].reshape(-1, k) @ self.move).reshape(n, k, k) * self.emit.take(grid[t, :n], 0)[:, None, :]
             now = now / now.sum((1, 2), keepdims=True)
         out[: len(now)] = now
         back = np.empty_like(out)
@@ -258,11 +258,11 @@ class Model:
 
     def heads(self, stretches: list[np.ndarray]) -> np.ndarray:
         """The state's distribution at the end of stretches of equal length that open a text."""
-        grid = np.stack(stretches)
-        a = self.start * self.emit[grid[:, 0]]
-        for t in range(1, grid.shape[1]):
+        grid = np.stack(stretches, 1)
+        a = self.start * self.emit[grid[0]]
+        for symbols in grid[1:]:
             a = a / a.sum(1, keepdims=True)
-            a = (a @ self.move) * self.emit[grid[:, t]]
+            a = (a @ self.move) * self.emit.take(symbols, 0)
         return a / a.sum(1, keepdims=True)
 
     def expected(self, symbols: list[np.ndarray]) -> tuple[np.ndarray, ...]:
@@ -272,10 +272,10 @@ class Model:
         starts, moves, emits, total = np.zeros(k), np.zeros((k, k)), np.zeros(self.emit.shape), 0.0
         grid, alive, order = side_by_side(parts)
         opens, before, after = opens[order], before[order], after[order]
-        alpha, scale = [], []
+        alpha, scale, told = [], [], [self.emit.take(grid[t, :n], 0) for t, n in enumerate(alive)]
         for t, n in enumerate(alive):
             a = np.where(opens[:, None], before, before @ self.move) if t == 0 else alpha[-1][:n] @ self.move
-            a = a * self.emit[grid[:n, t]]
+            a = a * told[t]
             c = a.sum(1)
             alpha.append(a / c[:, None])
             scale.append(c)
@@ -285,7 +285,8 @@ class Model:
             n, m = alive[t], len(beta)
             last = after[:n].copy()
             if m:
-                onward = self.emit[grid[:m, t + 1]] * beta
+                onward = told[t + 1] * beta
+                told[t + 1] = None
                 last[:m] = onward @ self.move.T / scale[t + 1][:, None]
             gamma = alpha[t] * last
             norm = gamma.sum(1, keepdims=True)
@@ -294,10 +295,10 @@ class Model:
             alpha[t], beta = gamma / norm, last
         starts += alpha[0][opens].sum(0)
         if not opens.all():  # the steps between a text's stretches
-            onward = (self.emit[grid[:, 0]] * beta)[~opens]
+            onward = (told[0] * beta)[~opens]
             into = before[~opens]
             moves += into.T @ (onward / ((into @ self.move) * onward).sum(1, keepdims=True))
-        flat = np.concatenate([grid[:n, t] for t, n in enumerate(alive)])
+        flat = np.concatenate([grid[t, :n] for t, n in enumerate(alive)]).astype(np.int64)
         weight = np.concatenate(alpha)
         for s in range(k):
             emits[:, s] += np.bincount(flat, weight[:, s], len(emits))
