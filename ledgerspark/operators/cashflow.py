@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerspark.operators import intervals
+
 TOTALS = {
     "income": "income", "expense": "expenses", "refund": "refunds", "reimbursement": "reimbursements",
     "cash_withdrawal": "withdrawals", "transfer_in": "transfers_in", "transfer_out": "transfers_out",
@@ -75,12 +77,41 @@ def monthly(ledger: DataFrame, months: DataFrame, key: str) -> DataFrame:
     return filled.withColumn("net", net())
 
 
+def month_coverage(ranges: DataFrame, spine: DataFrame, key: str, account: str) -> DataFrame:
+    """``key``, ``month``, ``full_days``, ``partial_days``, ``missing_days`` and ``status`` of each of a key's months, from merged ranges of its accounts.
+
+    A day is full if all accounts of the key cover it. Ranges are cut at the ends of months, then swept month by month.
+    """
+    accounts = ranges.groupBy(key).agg(F.count_distinct(account).alias("accounts"))
+    months = F.explode(F.sequence(F.trunc("start_date", "MM"), F.col("end_date"), F.expr("interval 1 month"))).alias("month")
+    cut = ranges.select(key, account, "start_date", "end_date", months).join(F.broadcast(spine), "month")  # months of a period
+    cut = cut.select(key, "month", F.greatest("start_date", "first_day").alias("start_date"), F.least("end_date", "last_day").alias("end_date")).filter("start_date <= end_date")
+    swept = intervals.sweep(cut, key, "month").withColumn("n", intervals.days()).join(accounts, key)
+    of = lambda condition: F.coalesce(F.sum(F.when(condition, F.col("n"))), F.lit(0)).cast("long")
+    counted = swept.groupBy(key, "month").agg(of(F.col("active") >= F.col("accounts")).alias("full_days"), of((F.col("active") > 0) & (F.col("active") < F.col("accounts"))).alias("partial_days"))
+    listed = spine.agg(F.collect_list(F.struct("month", (F.datediff("last_day", "first_day") + 1).cast("long").alias("total"), "whole")).alias("m"))
+    every = accounts.join(F.broadcast(listed)).select(key, F.explode("m").alias("m")).select(key, "m.*")
+    rows = every.join(counted, [key, "month"], "left").na.fill(0, ["full_days", "partial_days"])
+    status = F.when(F.col("full_days") == F.col("total"), "complete").when(F.col("full_days") + F.col("partial_days") > 0, "partial").otherwise("missing")
+    return rows.select(key, "month", "whole", "full_days", "partial_days", (F.col("total") - F.col("full_days") - F.col("partial_days")).alias("missing_days"), status.alias("status"))
+
+
+def monthly_report(months: DataFrame, covered: DataFrame, key: str) -> DataFrame:
+    """Months with their coverage: totals are null where nothing is covered, and the savings rate needs full coverage."""
+    both = covered.join(months, [key, "month"], "left")
+    names = [*TOTALS.values(), "net", "unknown_rows", "rows"]
+    zero = lambda c: F.when(F.col("status") != "missing", F.coalesce(c, F.lit(0))).cast(months.schema[c].dataType)
+    return savings_rate(both.withColumns({c: zero(c) for c in names}), F.col("status") == "complete")
+
+
 def comparisons(months: DataFrame, key: str) -> DataFrame:
-    """Change against the month before, or the reason why there is none."""
+    """Change against the month before, or the reason why there is none; months with a coverage ``status`` must be complete."""
     order = Window.partitionBy(key).orderBy("month")
     before = {c: F.lag(c).over(order) for c in ("income", "expenses", "net", "unknown_rows", "whole")}
+    uncovered = (F.col("status") != "complete") | (F.lag("status").over(order) != "complete") if "status" in months.columns else F.lit(False)
     reason = (
         F.when(~F.col("whole") | ~before["whole"], "partial_calendar_month")
+        .when(uncovered, "incomplete_coverage")
         .when((F.col("unknown_rows") > 0) | (before["unknown_rows"] > 0), "unresolved_financial_roles")
     )
     rows = months.withColumn("previous_month", F.lag("month").over(order)).withColumn("reason", reason)

@@ -40,13 +40,26 @@ def clip(ranges: DataFrame, start: Column, end: Column) -> DataFrame:
     return clipped.filter("start_date <= end_date")
 
 
+def sweep(ranges: DataFrame, *keys: str) -> DataFrame:
+    """Each key's stretches between range edges: ``start_date``, ``end_date`` and how many ranges are ``active``. +1 where a range begins, -1 after it ends."""
+    edges = ranges.select(*keys, F.col("start_date").alias("day"), F.lit(1).alias("step")).unionByName(
+        ranges.select(*keys, F.date_add("end_date", 1).alias("day"), F.lit(-1).alias("step"))
+    )
+    order = Window.partitionBy(*keys).orderBy("day")
+    swept = edges.groupBy(*keys, "day").agg(F.sum("step").alias("step"))
+    swept = swept.withColumn("active", F.sum("step").over(order)).withColumn("end_date", F.date_sub(F.lead("day").over(order), 1))
+    return swept.filter("end_date IS NOT NULL").select(*keys, F.col("day").alias("start_date"), "end_date", "active")
+
+
+def in_all(ranges: DataFrame, sets: int, *keys: str) -> DataFrame:
+    """Days that all of a key's ``sets`` merged range sets hold, merged: accounts covered together."""
+    return merge(sweep(ranges, *keys).filter(F.col("active") >= sets).drop("active"), *keys)
+
+
 def intersect(left: DataFrame, right: DataFrame, *keys: str) -> DataFrame:
-    """Days in both sets of a key, merged."""
-    a, b = left.alias("a"), right.alias("b")
-    on = [F.col(f"a.{k}") == F.col(f"b.{k}") for k in keys]
-    met = a.join(b, [*on, F.expr("a.start_date <= b.end_date AND b.start_date <= a.end_date")])
-    parts = met.select(*(f"a.{k}" for k in keys), F.greatest("a.start_date", "b.start_date").alias("start_date"), F.least("a.end_date", "b.end_date").alias("end_date"))
-    return merge(parts, *keys)
+    """Days in both sets of a key, merged; by a sweep over the edges of both, so ranges are never joined with ranges."""
+    columns = [*keys, "start_date", "end_date"]
+    return in_all(merge(left, *keys).select(columns).unionByName(merge(right, *keys).select(columns)), 2, *keys)
 
 
 def complement(merged: DataFrame, spans: DataFrame, *keys: str) -> DataFrame:
@@ -66,17 +79,8 @@ def days() -> Column:
 
 
 def indicator(ranges: DataFrame, start: Column, end: Column, accounts: int, *keys: str) -> DataFrame:
-    """Day counts by class from merged ranges of each (key, account): full if all ``accounts`` cover a day, partial if some, else missing.
-
-    A sweep over range edges: +1 where a range begins, -1 after it ends.
-    """
-    inside = clip(ranges, start, end)
-    edges = inside.select(*keys, F.col("start_date").alias("day"), F.lit(1).alias("step")).unionByName(
-        inside.select(*keys, F.date_add("end_date", 1).alias("day"), F.lit(-1).alias("step"))
-    )
-    order = Window.partitionBy(*keys).orderBy("day")
-    swept = edges.groupBy(*keys, "day").agg(F.sum("step").alias("step"))
-    swept = swept.withColumn("active", F.sum("step").over(order)).withColumn("n", F.datediff(F.lead("day").over(order), F.col("day")))
+    """Day counts by class from merged ranges of each (key, account): full if all ``accounts`` cover a day, partial if some, else missing."""
+    swept = sweep(clip(ranges, start, end), *keys).withColumn("n", days())
     counted = swept.groupBy(*keys).agg(
         F.coalesce(F.sum(F.when(F.col("active") >= accounts, F.col("n"))), F.lit(0)).cast("long").alias("full_days"),
         F.coalesce(F.sum(F.when((F.col("active") > 0) & (F.col("active") < accounts), F.col("n"))), F.lit(0)).cast("long").alias("partial_days"),

@@ -43,34 +43,7 @@ def duplicate_scores(pairs: DataFrame, alike: Column) -> DataFrame:
     day = F.element_at(F.array(F.lit(0.25), F.lit(0.2), F.lit(0.1)), (F.col("days") + 1).cast("int"))
     scored = pairs.filter("first_amount = second_amount").withColumn("similarity", alike)
     score = F.lit(0.4) + day + F.when(F.col("similarity") >= 0.6, F.col("similarity") * 0.25).otherwise(0.0)
-    return scored.withColumn("score", F.round(score, 6)).withColumn("status", F.when(F.col("score") >= PROBABLE, "probable").otherwise("unique"))
-
-
-def resolve_imports(rows: DataFrame) -> DataFrame:
-    """Which rows of an account are accepted, in id order: one that equals an accepted row is exact, one that scores as probable is set aside.
-
-    Rows of different amounts never match, so each account and amount is folded by itself: rows are
-    dealt and sorted by these, and a worker streams through its partition holding one fold's days.
-    With equal text the score reaches the threshold exactly for the same merchant within the days.
-    """
-
-    def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, accepted = None, {}
-        for frame in frames:
-            out = []
-            for r in frame.itertuples():
-                if key != (r.account_id, r.amount):
-                    key, accepted = (r.account_id, r.amount), {}
-                near = [r.merchant in accepted.get(r.day + gap, ()) for gap in range(-DUPLICATE_DAYS, DUPLICATE_DAYS + 1)]
-                status = "exact" if near[DUPLICATE_DAYS] else "probable" if any(near) else "accepted"
-                if status == "accepted":
-                    accepted.setdefault(r.day, set()).add(r.merchant)
-                out.append((r.txn_id, r.account_id, status))
-            yield pd.DataFrame(out, columns=["txn_id", "account_id", "status"])
-
-    day = F.datediff("txn_date", F.lit("1970-01-01").cast("date")).alias("day")
-    dealt = rows.select("txn_id", "account_id", "amount", "merchant", day).repartition("account_id", "amount")
-    return dealt.sortWithinPartitions("account_id", "amount", "txn_id").mapInPandas(fold, "txn_id long, account_id long, status string")
+    return scored.withColumn("score", F.round(score, 3)).withColumn("status", F.when(F.col("score") >= PROBABLE, "probable").otherwise("unique"))
 
 
 def transfer_candidates(rows: DataFrame) -> DataFrame:
@@ -95,21 +68,29 @@ def transfer_confidence(pairs: DataFrame, alike: Column) -> DataFrame:
 def transfer_pairs(scored: DataFrame) -> DataFrame:
     """One to one: outflows by date and id each take the free inflow of the highest confidence, then id.
 
-    Pairs share owner and size, so a fold within each such group is the whole result.
+    Pairs share owner and size: rows are dealt by these and stream through sorted partitions, best
+    candidate first, and a fold holds the inflows taken in the last days, later ones being out of reach.
     """
 
-    def fold(frame: pd.DataFrame) -> pd.DataFrame:
-        taken, out = set(), []
-        for (_, out_id), some in frame.groupby(["out_date", "out_id"], sort=True):
-            free = [(r.confidence, r.in_id) for r in some.itertuples() if r.in_id not in taken]
-            if free:
-                confidence, in_id = max(free)
-                taken.add(in_id)
+    def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, served, taken = None, None, {}
+        for frame in frames:
+            out = []
+            for profile, size, day, out_id, in_id, confidence in zip(*(frame[c] for c in frame.columns), strict=True):
+                if key != (profile, size):
+                    key, served, taken = (profile, size), None, {}
+                if out_id == served or in_id in taken:
+                    continue
+                served, taken[in_id] = out_id, day
+                if len(taken) > 1_000:
+                    taken = {i: d for i, d in taken.items() if day - d <= 2 * TRANSFER_DAYS}
                 out.append((out_id, in_id, confidence))
-        return pd.DataFrame(out, columns=["out_id", "in_id", "confidence"])
+            yield pd.DataFrame(out, columns=["out_id", "in_id", "confidence"])
 
-    slim = scored.select("profile_id", "size", "out_date", "out_id", "in_id", "confidence")
-    return slim.groupBy("profile_id", "size").applyInPandas(fold, "out_id long, in_id long, confidence double")
+    day = F.datediff("out_date", F.lit("1970-01-01").cast("date")).alias("day")
+    slim = scored.select("profile_id", F.col("size").cast("string").alias("size"), day, "out_id", "in_id", "confidence").repartition("profile_id", "size")
+    ranked = slim.sortWithinPartitions("profile_id", "size", "day", "out_id", F.desc("confidence"), F.desc("in_id"))
+    return ranked.mapInPandas(fold, "out_id long, in_id long, confidence double")
 
 
 def best_rule(rows: DataFrame, id_col: str, matches: DataFrame) -> DataFrame:
@@ -120,14 +101,14 @@ def best_rule(rows: DataFrame, id_col: str, matches: DataFrame) -> DataFrame:
     return rows.join(chosen, id_col, "left")
 
 
-def keyword_matches(rows: DataFrame, rules: DataFrame, text: str = "text") -> DataFrame:
-    """Rows that hold a rule's phrase as whole words and fit its direction. ``rules`` is a short list, sent to every task."""
-    listed = rules.agg(F.collect_list(F.struct("rule_id", "phrase", "category_id", "direction", "priority")).alias("rules"))
-    each = rows.join(F.broadcast(listed)).select(*rows.columns, F.explode("rules").alias("r"))
-    met = each.filter(tx.has_phrase(F.col(text), F.col("r.phrase")) & (F.col("r.direction").isNull() | (F.col("r.direction") == F.col("direction"))))
-    words = F.size(F.split(F.col("r.phrase"), " "))
-    rank = F.struct(F.col("r.priority").alias("priority"), F.col("r.direction").isNotNull().cast("int").alias("directed"), words.alias("words"), F.length("r.phrase").alias("chars"))
-    return met.select("txn_id", F.col("r.rule_id").alias("rule_id"), F.col("r.category_id").alias("category_id"), rank.alias("rank"))
+def keyword_matches(rows: DataFrame, rules: DataFrame, text: str = "text", key: str = "txn_id") -> DataFrame:
+    """Rows that hold a rule's phrase as whole words and fit its direction: an equi-join of the row's words with the phrases' first words, then the whole phrase."""
+    heads = rules.withColumn("_head", F.element_at(F.split("phrase", " "), 1))
+    each = rows.select("*", F.explode(F.array_distinct(F.split(text, " "))).alias("_head")).join(heads.toDF(*(f"r_{c}" for c in heads.columns)), F.col("_head") == F.col("r__head"))
+    met = each.filter(tx.has_phrase(F.col(text), F.col("r_phrase")) & (F.col("r_direction").isNull() | (F.col("r_direction") == F.col("direction"))))
+    words = F.size(F.split(F.col("r_phrase"), " "))
+    rank = F.struct(F.col("r_priority").alias("priority"), F.col("r_direction").isNotNull().cast("int").alias("directed"), words.alias("words"), F.length("r_phrase").alias("chars"))
+    return met.select(key, F.col("r_rule_id").alias("rule_id"), F.col("r_category_id").alias("category_id"), rank.alias("rank"))
 
 
 def latest_as_of(history: DataFrame, key: str, value: str, at: str, order: str, cutoff: Column) -> DataFrame:

@@ -46,20 +46,52 @@ def expected(series: DataFrame, as_of: Column) -> DataFrame:
     return rows.withColumn("missed", missed).withColumn("next_date", F.array_min(F.filter("_days", lambda d: d > as_of))).drop("_days")
 
 
-def daily(rows: DataFrame, start: str, end: str, key: str) -> DataFrame:
-    """Spend of each key and day of the period; a day without rows is zero."""
-    period = F.sequence(F.lit(start).cast("date"), F.lit(end).cast("date"))
-    spent = rows.filter(F.col("txn_date").between(F.lit(start), F.lit(end))).groupBy(key, "txn_date").agg(F.sum(-F.col("amount")).alias("spend"))
-    spine = spent.select(key).distinct().select(key, F.explode(period).alias("txn_date"))
-    return spine.join(spent, [key, "txn_date"], "left").select(key, "txn_date", F.coalesce("spend", F.lit(0)).cast("decimal(38,2)").alias("spend"))
+def daily(rows: DataFrame, covered: DataFrame, start: str, end: str, key: str) -> DataFrame:
+    """Every day of the period for each key of ``covered`` (merged ranges): spend and rows where the day is covered, zero without rows; nulls where it is not."""
+    first, last = F.lit(start).cast("date"), F.lit(end).cast("date")
+    spent = rows.filter(F.col("txn_date").between(first, last)).groupBy(key, "txn_date").agg(F.sum(-F.col("amount")).alias("spend"), F.count("*").alias("rows"))
+    keys = covered.select(key).distinct()
+    spine = keys.select(key, F.explode(F.sequence(first, last)).alias("txn_date"))
+    clipped = covered.select(key, F.greatest("start_date", first).alias("a"), F.least("end_date", last).alias("b")).filter("a <= b")
+    known = clipped.select(key, F.explode(F.sequence("a", "b")).alias("txn_date")).withColumn("known", F.lit(True))  # at most the spine's days
+    both = spine.join(known, [key, "txn_date"], "left").join(spent, [key, "txn_date"], "left")
+    value = lambda c, kind: F.when(F.col("known"), F.coalesce(c, F.lit(0))).cast(kind).alias(c)
+    status = F.when(F.col("known"), "covered").otherwise("unknown").alias("status")
+    return both.select(key, "txn_date", status, value("spend", "decimal(38,2)"), value("rows", "long"))
 
 
 def weekly(days: DataFrame, key: str) -> DataFrame:
-    """Monday weeks of which all seven days are known."""
+    """Monday weeks of which all seven days are covered."""
     weeks = days.withColumn("week_start", F.date_trunc("week", "txn_date").cast("date")).groupBy(key, "week_start").agg(F.count("spend").alias("n"), F.sum("spend").cast("decimal(38,2)").alias("target"))
     return weeks.filter("n = 7").drop("n")
 
 
+def with_known_outflow(weeks: DataFrame, confirmed: DataFrame, key: str) -> DataFrame:
+    """Each week with the sum of what confirmed series (``next_date``, ``expected_amount``) are expected to take in it."""
+    due = confirmed.filter("expected_amount < 0").withColumn("week_start", F.date_trunc("week", "next_date").cast("date"))
+    due = due.groupBy(key, "week_start").agg(F.sum(F.abs("expected_amount")).cast("decimal(38,2)").alias("known_outflow"))
+    return weeks.join(due, [key, "week_start"], "left").withColumn("known_outflow", F.coalesce("known_outflow", F.lit(0).cast("decimal(38,2)")))
+
+
+def confidence(series: DataFrame, as_of: Column, known: DataFrame, account: str, least: int) -> DataFrame:
+    """Series with ``covered_missed`` and ``confidence``: the mean of three scores, less 0.15 for each expected day that was covered and stayed empty, within 0 and 1.
+
+    Scores: how even the gaps are, how alike the amounts, how many rows there are. ``known``: merged ranges of each account.
+    """
+    rows = series.withColumn("_n", F.monotonically_increasing_id())
+    steps = F.greatest(F.ceil(F.datediff(as_of, "last_date") / F.least("interval_days", F.lit(28))) + 1, F.lit(1)).cast("int")
+    walk = F.aggregate(F.sequence(F.lit(1), steps), F.array("last_date"), lambda days, _: F.concat(days, F.array(step(F.element_at(days, -1), F.col("frequency")))))
+    ranges = known.groupBy(account).agg(F.collect_list(F.struct("start_date", "end_date")).alias("_ranges"))  # one account's merged ranges
+    rows = rows.join(ranges, account, "left").withColumn("_due", F.filter(walk, lambda d: (d > F.col("last_date")) & (d <= as_of)))
+    missed = F.size(F.filter("_due", lambda d: F.exists("_ranges", lambda r: d.between(r["start_date"], r["end_date"]))))
+    rows = rows.withColumn("covered_missed", F.when(F.col("_ranges").isNull(), 0).otherwise(missed).cast("long"))
+    off = F.greatest(F.abs(F.col("gap_lo") - F.col("interval_days")), F.abs(F.col("gap_hi") - F.col("interval_days")))
+    even, like = F.greatest(F.lit(0.0), 1 - off / F.greatest("interval_days", F.lit(1))), F.greatest(F.lit(0.0), 1 - F.col("amount_deviation"))
+    enough = F.least(F.lit(1.0), F.col("n") / F.lit(max(least + 2, 1)))
+    sure = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (even + like + enough) / 3 - F.col("covered_missed") * 0.15))
+    return rows.withColumn("confidence", F.round(sure, 6)).drop("_n", "_due", "_ranges")
+
+
 def features(weeks: DataFrame, key: str) -> DataFrame:
     """Lags 1, 2, 4 and means of the 4 and 8 weeks before, where these eight are consecutive."""
     order = Window.partitionBy(key).orderBy("week_start")

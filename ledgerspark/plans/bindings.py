@@ -102,3 +102,16 @@ def activity(spark: SparkSession, sf_dir: str) -> DataFrame:
 ACTIVITY = """activity AS (SELECT * FROM (SELECT event_id AS txn_id, user_id AS account_id, user_id % 10 AS profile_id, CAST(ts AS DATE) AS txn_date, event_type AS merchant,
   CASE WHEN event_id % 3 = 0 THEN 'internal transfer ' WHEN event_id % 7 = 0 THEN 'refund issued ' ELSE '' END || event_type || ' ref ' || CAST(event_id % 5 AS VARCHAR) AS description,
   CAST(CASE WHEN event_type IN ('purchase', 'click') THEN -1 ELSE 1 END * CAST(value AS DECIMAL(18,2)) AS DECIMAL(18,2)) AS amount FROM events) WHERE amount <> 0)"""
+
+
+def profile_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two accounts of each profile, covered month by month: the first but for every seventh month, the second but for every fifth."""
+    month = F.explode(F.expr("sequence(date'1996-01-01', date'1999-12-01', interval 1 month)")).alias("start_date")
+    rows = ledger(spark, sf_dir).select("profile_id").distinct().select("profile_id", F.explode(F.array(F.lit(7), F.lit(5))).alias("account_id")).select("*", month)
+    covered = (F.col("profile_id") + F.year("start_date") * 12 + F.month("start_date")) % F.col("account_id") != 0
+    return rows.filter(covered).withColumn("end_date", F.last_day("start_date"))
+
+
+#: Whether a day of a profile is covered by both accounts, and by one of them.
+COVERED = "((profile_id + year({0}) * 12 + month({0})) % 7 <> 0 AND (profile_id + year({0}) * 12 + month({0})) % 5 <> 0)"
+TOUCHED = "((profile_id + year({0}) * 12 + month({0})) % 7 <> 0 OR (profile_id + year({0}) * 12 + month({0})) % 5 <> 0)"

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ledgerspark.operators import cashflow
-from ledgerspark.plans.bindings import COVERAGE, LEDGER, coverage, ledger, read
+from ledgerspark.operators import cashflow, intervals
+from ledgerspark.plans.bindings import COVERAGE, COVERED, LEDGER, TOUCHED, coverage, ledger, profile_coverage, read
 
 START, END = "1996-01-15", "1998-12-31"
 _SUMS = """CAST(coalesce(sum(CASE WHEN role = 'income' THEN abs(amount) END), 0) AS DECIMAL(38,2)) AS income,
@@ -22,6 +22,11 @@ _MONTHLY = f"""{LEDGER}, months AS (SELECT CAST(m AS DATE) AS month FROM (SELECT
   sums AS (SELECT s.profile_id, s.month, {_SUMS} FROM (SELECT profile_id, month FROM (SELECT DISTINCT profile_id FROM inside) CROSS JOIN months) s
     LEFT JOIN inside i ON i.profile_id = s.profile_id AND i.month = s.month GROUP BY s.profile_id, s.month),
   monthly AS (SELECT *, {_NET} FROM sums)"""
+_REPORT = f"""{_MONTHLY}, covered AS (SELECT profile_id, month, month <> DATE '1996-01-01' AS whole, CAST(last_day(month) - greatest(month, DATE '{START}') + 1 AS BIGINT) AS total,
+    {COVERED.format("month")} AS f, {TOUCHED.format("month")} AS t FROM (SELECT DISTINCT profile_id FROM ledger) CROSS JOIN months),
+  report AS (SELECT c.profile_id, c.month, whole, CASE WHEN f THEN 'complete' WHEN t THEN 'partial' ELSE 'missing' END AS status, CASE WHEN f THEN total ELSE 0 END AS full_days, CASE WHEN t AND NOT f THEN total ELSE 0 END AS partial_days,
+    CASE WHEN t THEN 0 ELSE total END AS missing_days, CASE WHEN t THEN coalesce(income, 0) END AS income, CASE WHEN t THEN coalesce(expenses, 0) END AS expenses, CASE WHEN t THEN coalesce(net, 0) END AS net, CASE WHEN t THEN coalesce(rows, 0) END AS rows,
+    CASE WHEN t THEN coalesce(unknown_rows, 0) END AS unknown_rows FROM covered c LEFT JOIN monthly m ON m.profile_id = c.profile_id AND m.month = c.month)"""
 
 
 def role_totals(spark, d):
@@ -63,6 +68,21 @@ def monthly_comparison(spark, d):
     return cashflow.comparisons(rows, "profile_id").select("profile_id", "month", "reason", "income_change", "expenses_change", "net_change")
 
 
+def monthly_report(spark, d):
+    spine = cashflow.month_spine(START, END, spark)
+    ranges = intervals.merge(profile_coverage(spark, d), "profile_id", "account_id")
+    return cashflow.monthly_report(monthly_frame(spark, d), cashflow.month_coverage(ranges, spine, "profile_id", "account_id"), "profile_id")
+
+
+def monthly_coverage_report(spark, d):
+    shown = ("profile_id", "month", "status", "full_days", "partial_days", "missing_days", "income", "expenses", "net", "rows", "reason")
+    return monthly_report(spark, d).select(*shown)
+
+
+def monthly_comparison_covered(spark, d):
+    return cashflow.comparisons(monthly_report(spark, d).drop("reason"), "profile_id").select("profile_id", "month", "reason", "net_change")
+
+
 def largest_transactions(spark, d):
     return cashflow.largest(ledger(spark, d), 10).select("txn_id", "account_id", "txn_date", "role", cashflow.money(F.col("amount")).alias("amount"))
 
@@ -120,6 +140,17 @@ QUERIES = {
         SELECT profile_id, month, reason, CASE WHEN reason IS NULL THEN CAST(income - pi AS DECIMAL(38,2)) END AS income_change,
         CASE WHEN reason IS NULL THEN CAST(expenses - pe AS DECIMAL(38,2)) END AS expenses_change, CASE WHEN reason IS NULL THEN CAST(net - pn AS DECIMAL(38,2)) END AS net_change FROM r""",
     ),
+    "monthly_coverage_report": (
+        monthly_coverage_report,
+        f"""WITH {_REPORT} SELECT profile_id, month, status, full_days, partial_days, missing_days, income, expenses, net, rows,
+        CASE WHEN status <> 'complete' THEN 'incomplete_coverage' WHEN unknown_rows > 0 THEN 'unresolved_financial_roles' WHEN income = 0 THEN 'no_income' END AS reason FROM report""",
+    ),
+    "monthly_comparison_covered": (
+        monthly_comparison_covered,
+        f"""WITH {_REPORT}, l AS (SELECT *, lag(month) OVER w AS pm, lag(whole) OVER w AS pw, lag(status) OVER w AS ps, lag(unknown_rows) OVER w AS pu, lag(net) OVER w AS pn FROM report WINDOW w AS (PARTITION BY profile_id ORDER BY month)),
+        r AS (SELECT *, CASE WHEN NOT whole OR NOT pw THEN 'partial_calendar_month' WHEN status <> 'complete' OR ps <> 'complete' THEN 'incomplete_coverage' WHEN unknown_rows > 0 OR pu > 0 THEN 'unresolved_financial_roles' END AS reason FROM l WHERE pm IS NOT NULL)
+        SELECT profile_id, month, reason, CASE WHEN reason IS NULL THEN CAST(net - pn AS DECIMAL(38,2)) END AS net_change FROM r""",
+    ),
     "largest_transactions": (
         largest_transactions,
         f"WITH {LEDGER} SELECT txn_id, account_id, txn_date, role, CAST(amount AS DECIMAL(38,2)) AS amount FROM ledger WHERE role <> 'excluded' ORDER BY abs(amount) DESC, txn_date, account_id, txn_id LIMIT 10",

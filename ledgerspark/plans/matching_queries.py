@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ledgerspark.functions import text as tx
-from ledgerspark.operators import matching
+from ledgerspark.operators import duplicates, matching
 from ledgerspark.plans.bindings import ACTIVITY, LEDGER, activity, ledger, read
 
 #: Keyword rules of the query: (rule_id, phrase, category, direction, priority).
@@ -40,7 +40,8 @@ def duplicate_scores(spark, d):
 
 def import_resolution(spark, d):
     rows = activity(spark, d).withColumn("amount", F.floor(F.col("amount") / 5).cast("decimal(18,2)"))
-    return matching.resolve_imports(rows)
+    none = F.lit(None).cast("string")
+    return duplicates.resolve(rows.select("txn_id", F.col("txn_id").cast("string").alias("source_fingerprint"), "account_id", "txn_date", "amount", F.col("merchant").alias("text"), none.alias("external_id")))
 
 
 def transfer_candidates(spark, d):
@@ -127,7 +128,7 @@ QUERIES = {
     "duplicate_candidates": (duplicate_candidates, f"WITH {LEDGER}, {_NEAR} SELECT account_id, first_id, second_id, days FROM near"),
     "duplicate_scores_exact_text": (
         duplicate_scores_exact_text,
-        f"""WITH {LEDGER}, {_NEAR}, s AS (SELECT first_id, second_id, round(0.4 + CASE days WHEN 0 THEN 0.25 WHEN 1 THEN 0.2 ELSE 0.1 END + CASE WHEN first_text = second_text THEN 0.25 ELSE 0 END, 6) AS score
+        f"""WITH {LEDGER}, {_NEAR}, s AS (SELECT first_id, second_id, round(0.4 + CASE days WHEN 0 THEN 0.25 WHEN 1 THEN 0.2 ELSE 0.1 END + CASE WHEN first_text = second_text THEN 0.25 ELSE 0 END, 3) AS score
           FROM near WHERE round(first_amount / 100000, 0) = round(second_amount / 100000, 0)) SELECT first_id, second_id, CAST(score AS DOUBLE) AS score, CASE WHEN score >= 0.75 THEN 'probable' ELSE 'unique' END AS status FROM s""",
     ),
     "duplicate_scores": (duplicate_scores, None),

@@ -7,14 +7,15 @@ from pyspark.sql import functions as F
 
 from ledgerspark.functions import money as mn
 from ledgerspark.functions import text as tx
-from ledgerspark.operators import series
-from ledgerspark.plans.bindings import ACTIVITY, LEDGER, activity, ledger, read
+from ledgerspark.operators import intervals, series
+from ledgerspark.plans.bindings import ACTIVITY, COVERED, LEDGER, activity, coverage, ledger, profile_coverage, read
 
 FROM, TO = "2024-01-01", "2024-01-28"
-_WEEKLY = f"""spent AS (SELECT profile_id, txn_date, sum(-amount) AS spend FROM ledger WHERE role = 'expense' AND txn_date BETWEEN DATE '1996-01-01' AND DATE '1999-12-26' GROUP BY profile_id, txn_date),
-  daily AS (SELECT s.profile_id, s.txn_date, CAST(coalesce(spend, 0) AS DECIMAL(38,2)) AS spend FROM (SELECT profile_id, CAST(unnest(generate_series(DATE '1996-01-01', DATE '1999-12-26', INTERVAL 1 DAY)) AS DATE) AS txn_date
-    FROM (SELECT DISTINCT profile_id FROM spent)) s LEFT JOIN spent p ON p.profile_id = s.profile_id AND p.txn_date = s.txn_date),
-  weekly AS (SELECT profile_id, CAST(date_trunc('week', txn_date) AS DATE) AS week_start, CAST(sum(spend) AS DECIMAL(38,2)) AS target FROM daily GROUP BY 1, 2)"""
+_WEEKLY = f"""spent AS (SELECT profile_id, txn_date, sum(-amount) AS spend, count(*) AS rows FROM ledger WHERE role = 'expense' AND txn_date BETWEEN DATE '1996-01-01' AND DATE '1999-12-26' GROUP BY profile_id, txn_date),
+  daily AS (SELECT s.profile_id, s.txn_date, CASE WHEN s.known THEN 'covered' ELSE 'unknown' END AS status, CASE WHEN s.known THEN CAST(coalesce(spend, 0) AS DECIMAL(38,2)) END AS spend, CASE WHEN s.known THEN coalesce(rows, 0) END AS rows
+    FROM (SELECT *, {COVERED.format("txn_date")} AS known FROM (SELECT profile_id, CAST(unnest(generate_series(DATE '1996-01-01', DATE '1999-12-26', INTERVAL 1 DAY)) AS DATE) AS txn_date
+    FROM (SELECT DISTINCT profile_id FROM ledger))) s LEFT JOIN spent p ON p.profile_id = s.profile_id AND p.txn_date = s.txn_date),
+  weekly AS (SELECT profile_id, CAST(date_trunc('week', txn_date) AS DATE) AS week_start, CAST(sum(spend) AS DECIMAL(38,2)) AS target FROM daily GROUP BY 1, 2 HAVING count(spend) = 7)"""
 
 
 def recurrence_series(spark, d):
@@ -27,8 +28,23 @@ def recurrence_next_date(spark, d):
     return series.expected(found, F.lit("2001-12-31").cast("date")).select("account_id", "merchant", "role", "frequency", "missed", "next_date")
 
 
+def recurrence_confidence(spark, d):
+    found = series.recurring(ledger(spark, d), ["account_id", "merchant", "role"], 3, 10.0, 1000)
+    known = intervals.merge(intervals.known(coverage(spark, d), "account_id"), "account_id")
+    sure = series.confidence(found, F.lit("2001-12-31").cast("date"), known, "account_id", 3)
+    return sure.select("account_id", "merchant", "role", "covered_missed", "confidence")
+
+
+def forecast_known_outflow(spark, d):
+    """Weeks with what monthly series of the profile, one in ten of its rows, take in them."""
+    due = ledger(spark, d).filter("txn_id % 10 = 0").select("profile_id", F.col("txn_date").alias("next_date"), F.col("amount").alias("expected_amount"))
+    return series.with_known_outflow(series.weekly(_days(spark, d), "profile_id"), due, "profile_id")
+
+
 def _days(spark, d):
-    return series.daily(ledger(spark, d).filter("role = 'expense'"), "1996-01-01", "1999-12-26", "profile_id")
+    ranges = intervals.merge(profile_coverage(spark, d), "profile_id", "account_id")
+    covered = intervals.in_all(ranges, 2, "profile_id")
+    return series.daily(ledger(spark, d).filter("role = 'expense'"), covered, "1996-01-01", "1999-12-26", "profile_id")
 
 
 def forecast_daily_calendar(spark, d):
@@ -148,6 +164,12 @@ _FITS = "greatest(CAST(hi AS DOUBLE) - mean, mean - CAST(lo AS DOUBLE)) / abs(me
 QUERIES = {
     "recurrence_series": (recurrence_series, f"{_RECURRENCE} SELECT account_id, merchant, role, n, median_gap, frequency, CAST(interval_days AS BIGINT) AS interval_days, last_date FROM f WHERE {_FITS}"),
     "recurrence_next_date": (recurrence_next_date, None),
+    "recurrence_confidence": (recurrence_confidence, None),
+    "forecast_known_outflow": (
+        forecast_known_outflow,
+        f"""WITH {LEDGER}, {_WEEKLY}, due AS (SELECT profile_id, CAST(date_trunc('week', txn_date) AS DATE) AS week_start, sum(-amount) AS o FROM ledger WHERE txn_id % 10 = 0 AND amount < 0 GROUP BY 1, 2)
+        SELECT w.profile_id, w.week_start, target, CAST(coalesce(o, 0) AS DECIMAL(38,2)) AS known_outflow FROM weekly w LEFT JOIN due ON due.profile_id = w.profile_id AND due.week_start = w.week_start""",
+    ),
     "forecast_daily_calendar": (forecast_daily_calendar, f"WITH {LEDGER}, {_WEEKLY} SELECT * FROM daily"),
     "forecast_weekly_targets": (forecast_weekly_targets, f"WITH {LEDGER}, {_WEEKLY} SELECT * FROM weekly"),
     "forecast_features": (

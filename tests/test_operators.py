@@ -82,13 +82,6 @@ def test_duplicate_scores_fall_with_the_days(spark):
     assert [r[0] for r in alike] == [1.0]
 
 
-def test_import_keeps_the_first_and_sets_the_probable_aside(spark):
-    rows = [(1, 1, day(0), "A"), (2, 1, day(0), "A"), (3, 1, day(1), "A"), (4, 1, day(4), "A"), (5, 1, day(2), "A"), (6, 2, day(0), "A"), (7, 1, day(0), "B")]
-    frame = spark.createDataFrame([(t, a, d, Decimal(1), m) for t, a, d, m in rows], "txn_id long, account_id long, txn_date date, amount decimal(18,2), merchant string")
-    got = {r.txn_id: r.status for r in matching.resolve_imports(frame).collect()}
-    assert got == {1: "accepted", 2: "exact", 3: "probable", 4: "accepted", 5: "probable", 6: "accepted", 7: "accepted"}
-
-
 def test_transfer_pairs_are_one_to_one(spark):
     rows = [(1, 1, day(0), -500, "internal transfer"), (2, 2, day(1), 500, "transfer in"), (3, 3, day(0), 500, "internal transfer"), (4, 1, day(2), -500, "x")]
     frame = spark.createDataFrame([(t, 9, a, d, Decimal(m), x) for t, a, d, m, x in rows], "txn_id long, profile_id long, account_id long, txn_date date, amount decimal(18,2), description string")
