@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ledgerspark.functions.normalise import month_days
+
 
 def unit(seed: int, *parts: str | Column) -> Column:
     """A number in [0, 1) that depends on its arguments alone, so reruns and lost tasks give the same rows."""
@@ -28,3 +30,66 @@ def ledger(spark: SparkSession, accounts: int, start: str, end: str, seed: int =
     rows = parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3]).filter(F.col("txn_date") <= F.lit(end).cast("date"))
     order = Window.partitionBy("account_id").orderBy("txn_date", "merchant", "amount")
     return rows.withColumn("txn_id", F.row_number().over(order)).withColumn("balance", F.sum("amount").over(order.rowsBetween(Window.unboundedPreceding, 0)).cast("decimal(18,2)"))
+
+
+# Fixed values of the domain: each profile's recurring payments, as (series, merchant, role, amount, day of the month or weekday, yearly rise).
+MONTHLY = {
+    "student": (("maintenance", "Student Finance", "income", 850, 1, 0.0), ("rent", "Student Halls", "expense", -520, 3, 0.04), ("phone", "Mobile Network", "expense", -15, 12, 0.0)),
+    "salaried": (("salary", "Employer Ltd", "income", 2600, 28, 0.03), ("rent", "Landlord", "expense", -950, 1, 0.03), ("energy", "Energy Supplier", "expense", -120, 15, 0.05)),
+    "irregular": (("rent", "Landlord", "expense", -700, 1, 0.03), ("insurance", "Insurer", "expense", -65, 10, 0.02)),
+}
+WEEKLY = {"student": ("bus", "City Buses", "expense", -12, 0), "salaried": ("groceries", "Grocer", "expense", -68, 5), "irregular": ("groceries", "Grocer", "expense", -45, 5)}
+LARGE = {"student": -480, "salaried": -1250, "irregular": -780}
+
+
+def period_end(start: Column, years: Column) -> Column:
+    """The day before the anniversary, for one to three years; the 28th stands for a missing 29 February."""
+    return F.when(years.between(1, 3), F.date_sub(F.add_months(start, (years * 12).cast("int")), 1))
+
+
+def drifted(amount: Column, day: Column, start: Column, rate: Column) -> Column:
+    """An amount after the yearly rises since the start's year, half up to a penny."""
+    return F.round(amount * (1 + rate * F.greatest(F.year(day) - F.year(start), F.lit(0))), 2).cast("decimal(18,2)")
+
+
+def posting_date(day: Column) -> Column:
+    """The next day that is no weekend."""
+    return F.date_add(day, F.when(F.weekday(day) == 4, 3).when(F.weekday(day) == 5, 2).otherwise(1))
+
+
+def external_id(profile: Column, sequence: Column) -> Column:
+    return F.concat(F.upper(F.left(profile, F.lit(3))), F.lit("-"), F.lpad(sequence.cast("string"), 7, "0"))
+
+
+def recurring(accounts: DataFrame) -> DataFrame:
+    """Monthly and weekly rows of accounts (``account_id``, ``profile``, ``start_date``, ``end_date``) by their profile's lists."""
+    spark = accounts.sparkSession
+    monthly = [(p, *row) for p, rows in MONTHLY.items() for row in rows]
+    weekly = [(p, *row) for p, row in WEEKLY.items()]
+    kinds = "profile string, series string, merchant string, role string, base int, day int"
+    by_month = accounts.join(F.broadcast(spark.createDataFrame(monthly, f"{kinds}, rate double")), "profile")
+    by_month = by_month.withColumn("txn_date", F.explode(month_days(F.col("start_date"), F.col("end_date"), F.col("day"))))
+    by_week = accounts.join(F.broadcast(spark.createDataFrame(weekly, kinds)), "profile").withColumn("rate", F.lit(0.0))
+    first = F.date_add("start_date", F.pmod(F.col("day") - F.weekday("start_date"), F.lit(7)))
+    by_week = by_week.withColumn("txn_date", F.explode(F.when(first <= F.col("end_date"), F.sequence(first, F.col("end_date"), F.expr("interval 7 day")))))
+    rows = by_month.unionByName(by_week).withColumn("amount", drifted(F.col("base"), F.col("txn_date"), F.col("start_date"), F.col("rate")))
+    return rows.select("account_id", "profile", "txn_date", "series", "merchant", "role", "amount")
+
+
+def anomalies(accounts: DataFrame, purchases: DataFrame) -> DataFrame:
+    """A large purchase in the middle of each account's period, and its first purchase again: on the same day as it is, and on the next under a longer text."""
+    amounts = F.create_map(*(F.lit(x) for pair in LARGE.items() for x in pair))
+    middle = F.date_add("start_date", F.floor(F.datediff("end_date", "start_date") / 2).cast("int"))
+    large = accounts.select("account_id", middle.alias("txn_date"), F.lit("Example Travel").alias("merchant"), amounts[F.col("profile")].cast("decimal(18,2)").alias("amount"), F.lit("unusually_large").alias("anomaly"))
+    first = purchases.filter("amount < 0").groupBy("account_id").agg(F.min(F.struct("txn_date", "merchant", "amount")).alias("f")).select("account_id", "f.*")
+    exact = first.withColumn("anomaly", F.lit("exact_duplicate"))
+    again = first.join(accounts.select("account_id", "end_date"), "account_id")
+    again = again.select("account_id", F.least(F.date_add("txn_date", 1), "end_date").alias("txn_date"), F.concat("merchant", F.lit(" REPEAT")).alias("merchant"), "amount", F.lit("probable_duplicate").alias("anomaly"))
+    return large.unionByName(exact).unionByName(again)
+
+
+def balance_breaks(rows: DataFrame) -> DataFrame:
+    """Rows (``account_id``, ``txn_date``, ``txn_id``, ``amount``, ``balance``) whose stored balance is not the one before plus their amount."""
+    order = Window.partitionBy("account_id").orderBy("txn_date", "txn_id")
+    due = F.coalesce(F.lag("balance").over(order), F.lit(0)) + F.col("amount")
+    return rows.withColumn("due", due).filter(F.col("due") != F.col("balance"))

@@ -130,7 +130,7 @@ def test_csv_files(spark, tmp_path):
     rows = csv_statements.read(spark, str(tmp_path))
     got = sorted((r.path[-5:], r.row_number, r.error) for r in rows.collect())
     assert got == [("a.csv", 2, None), ("a.csv", 3, None), ("b.csv", None, "repeated_heading"), ("c.csv", None, "ragged"), ("d.csv", 2, None)]
-    plan = csv_statements.suggest(["Date", "Amount", "Other"])
+    plan = {field: found[0] for field, found in csv_statements.suggest(["Date", "Amount", "Other"]).items() if found}
     assert plan == {"transaction_date": "Date", "amount": "Amount"}
     assert [r.amount for r in csv_statements.mapped(rows, plan).orderBy("path", "row_number").collect()][:2] == ["café", "2"]
     assert csv_statements.preview(rows, 2).count() == 2
