@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ledgerspark.functions import money as mn
 from ledgerspark.functions import text as tx
-from ledgerspark.operators import intervals, series
+from ledgerspark.operators import classifier, intervals, series
 from ledgerspark.plans.bindings import ACTIVITY, COVERED, LEDGER, activity, coverage, ledger, profile_coverage, read
 
 FROM, TO = "2024-01-01", "2024-01-28"
@@ -137,22 +137,22 @@ def training_exclusions(spark, d):
     return rows.groupBy(reason.alias("reason")).agg(F.count("*").alias("rows"))
 
 
-def category_model_holdout(spark, d):
-    """TF-IDF of words and a logistic regression on early parts' names, scored on the rest: a chronological holdout."""
-    from pyspark.ml import Pipeline
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import IDF, HashingTF, NGram, Normalizer, StringIndexer, Tokenizer, VectorAssembler
+def _labelled(spark, d):
+    """Parts with a category that their type tells in its first word, hidden among other words."""
+    return read(spark, d, "part").select("p_partkey", F.concat_ws(" ", "p_name", "p_type", "p_brand").alias("text"), F.element_at(F.split("p_type", " "), 1).alias("category_id"))
+
 
-    rows = read(spark, d, "part").select("p_partkey", F.col("p_name").alias("text"), F.split("p_name", " ")[1].alias("category"))
+def category_model_holdout(spark, d):
+    """Metrics of the categoriser and of the most frequent class on a chronological holdout, the last fifth of the parts."""
+    rows = _labelled(spark, d)
     last = rows.agg(F.max("p_partkey")).first()[0]
-    train, test = rows.filter(F.col("p_partkey") <= last * 0.8), rows.filter(F.col("p_partkey") > last * 0.8)
-    stages = [
-        Tokenizer(inputCol="text", outputCol="words"), NGram(n=2, inputCol="words", outputCol="pairs"), HashingTF(numFeatures=4096, inputCol="words", outputCol="tf1"), HashingTF(numFeatures=4096, inputCol="pairs", outputCol="tf2"),
-        VectorAssembler(inputCols=["tf1", "tf2"], outputCol="tf"), IDF(inputCol="tf", outputCol="idf"), Normalizer(inputCol="idf", outputCol="features"),
-        StringIndexer(inputCol="category", outputCol="label", handleInvalid="keep"), LogisticRegression(maxIter=20, regParam=0.001),
-    ]
-    scored = Pipeline(stages=stages).fit(train).transform(test)
-    return scored.groupBy("category").agg(F.count("*").alias("support"), F.count_if(F.col("prediction") == F.col("label")).alias("hits"))
+    return classifier.evaluated(rows.filter(F.col("p_partkey") <= last * 0.8), rows.filter(F.col("p_partkey") > last * 0.8))
+
+
+def category_model_terms(spark, d):
+    """Words, pairs and character pieces of each part's text, counted."""
+    words, pieces = classifier.terms(F.col("p_name"))
+    return read(spark, d, "part").select("p_partkey", F.size(words).cast("long").alias("words"), F.size(pieces).cast("long").alias("pieces"))
 
 
 _RECURRENCE = f"""WITH {LEDGER}, g AS (SELECT *, CAST(txn_date - lag(txn_date) OVER (PARTITION BY account_id, merchant, role ORDER BY txn_date, txn_id) AS BIGINT) AS gap FROM ledger),
@@ -224,4 +224,9 @@ QUERIES = {
         WHEN txn_id % 23 = 0 THEN 'needs_review' ELSE 'eligible' END AS reason, count(*) AS rows FROM ledger GROUP BY 1""",
     ),
     "category_model_holdout": (category_model_holdout, None),
+    "category_model_terms": (
+        category_model_terms,
+        """SELECT p_partkey, CAST(2 * len(list_filter(string_split(p_name, ' '), lambda w: length(w) >= 2)) - 1 AS BIGINT) AS words,
+        CAST(list_sum(list_transform(string_split(p_name, ' '), lambda w: greatest(length(w), 1) + greatest(length(w) - 1, 1) + greatest(length(w) - 2, 1))) AS BIGINT) AS pieces FROM part""",
+    ),
 }
