@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerspark.functions.money import parse_amount, parse_date
+from ledgerspark.functions.normalise import normalise
+from ledgerspark.sources.csv_statements import ALIASES
 
 _DATE = r"([0-9]{1,2}[/-][0-9]{1,2}[/-][0-9]{4}|[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2} [A-Za-z]{3,9} [0-9]{4})"
 
@@ -40,3 +42,79 @@ def rows(pages: DataFrame, key: str, text: str = "text") -> DataFrame:
     parts = F.split(F.trim("line"), r"\s*\|\s*|\s{2,}")
     cut = lines.withColumn("parts", parts).filter(F.size("parts").between(3, 4) & parse_date(F.col("parts")[0]).isNotNull())
     return cut.select(key, "line_number", parse_date(F.col("parts")[0]).alias("txn_date"), F.col("parts")[1].alias("description"), parse_amount(F.col("parts")[2]).alias("amount"), parse_amount(F.get("parts", F.lit(3))).alias("balance"))
+
+
+#: A page number alone on a line.
+_PAGE = r"(?i)^(?:page\s+)?\d+(?:\s*(?:of|/)\s*\d+)?$"
+_MONEY = ("amount", "debit", "credit", "balance")
+
+
+def _fields(parts: Column) -> Column:
+    """The field of each cell by the headings' aliases, null for others; each field once."""
+    known = F.create_map(*(F.lit(x) for field, names in ALIASES.items() for name in names for x in (name, field)))
+    named = F.transform(parts, lambda c: F.try_element_at(known, F.trim(F.regexp_replace(F.lower(c), r"(?U)[^\w]+", " "))))
+    return F.transform(named, lambda f, i: F.when(F.array_position(named, f) == i + 1, f))
+
+
+def table_rows(pages: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """Movements of statement pages with a heading line: one row each, its cells as text by field, and its lines.
+
+    A line is cut at pipes, else at gaps of two blanks. One whose cells name a date, a description, and
+    an amount or a debit and a credit, is a heading; it holds until the page's next one. Headings repeated,
+    page numbers and lines without description or amount are left out. A line with a description only
+    continues the row before it. Lines before any heading count if they begin with a date and have three
+    or four cells: date, description, amount, balance.
+
+    ``key`` names a page. One window over a page's lines; nothing is collected but the lines of one row.
+    """
+    lines = pages.select(key, F.posexplode(F.split(text, "\r?\n")).alias("at", "line")).filter(F.trim("line") != "").filter(~F.trim("line").rlike(_PAGE))
+    trimmed = F.trim("line")
+    parts = F.when(F.contains(trimmed, F.lit("|")), F.transform(F.split(trimmed, r"\|"), lambda c: F.trim(c))).otherwise(F.filter(F.split(trimmed, r"\s{2,}"), lambda c: c != ""))
+    cells = lines.select(key, "at", parts.alias("parts")).withColumn("fields", _fields(F.col("parts")))
+    has = lambda f: F.array_contains(F.array_compact("fields"), f)
+    cells = cells.withColumn("heads", has("transaction_date") & has("description") & (has("amount") | (has("debit") & has("credit"))))
+    order = Window.partitionBy(key).orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    cells = cells.withColumn("plan", F.last(F.when(F.col("heads"), F.col("fields")), ignorenulls=True).over(order)).filter("NOT heads")
+    default = F.array(*map(F.lit, ("transaction_date", "description", "amount", "balance")))
+    dated = F.size("parts").between(3, 4) & parse_date(F.get("parts", F.lit(0))).isNotNull()
+    cells = cells.withColumn("plan", F.when(F.col("plan").isNull() & dated, default).otherwise(F.col("plan"))).filter("plan IS NOT NULL")
+    value = lambda f: F.nullif(F.get("parts", F.array_position("plan", f).cast("int") - 1), F.lit(""))
+    cells = cells.select(key, "at", *(value(f).alias(f) for f in ALIASES))
+    money = F.coalesce(*_MONEY).isNotNull()
+    follows = F.col("description").isNotNull() & F.col("transaction_date").isNull() & ~money
+    cells = cells.filter("description IS NOT NULL").filter(follows | F.coalesce("amount", "debit", "credit").isNotNull()).withColumn("follows", follows)
+    cells = cells.withColumn("row_number", F.sum(F.when(F.col("follows"), 0).otherwise(1)).over(order)).filter("row_number > 0")
+    text_of = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("at", "description"))), lambda x: x["description"]), "\n").alias("description")
+    first = [F.first(f, ignorenulls=True).alias(f) for f in ALIASES if f != "description"]
+    return cells.groupBy(key, "row_number").agg(text_of, *first, F.sort_array(F.collect_list("at")).alias("lines"))
+
+
+def candidates(found: DataFrame, account: Column, currency: Column, key: str) -> DataFrame:
+    """Rows of ``table_rows`` as ledger rows with the reason why one can't be read, keyed by page and row."""
+    named = found.withColumns({"source_id": F.concat_ws(":", F.col(key).cast("string"), F.col("row_number").cast("string")), "account_id": account, "account_currency": currency})
+    return normalise(named)
+
+
+def recognised_lines(found: DataFrame, lines: DataFrame, key: str) -> DataFrame:
+    """Rows of ``table_rows`` with the recognised line (``key``, ``line``, ``text``, ``confidence``) that holds their date: the first, else the one of the row's number; and each field's confidence and text."""
+    own, said = found.withColumn("_date", F.lower("transaction_date")), lines.select(key, "line", F.lower("text").alias("_text"), "confidence")
+    held = own.join(said, key)  # lines of one page
+    match = F.contains(F.col("_text"), F.col("_date"))
+    best = held.groupBy(key, "row_number").agg(F.min_by(F.struct("line", "confidence"), F.struct(F.when(match, 0).otherwise(1), F.when(match, F.col("line")).otherwise(F.abs(F.col("line") - F.col("row_number"))), "line")).alias("m"))
+    each = F.array(*(F.struct(F.lit(f).alias("field"), F.col("m.confidence").alias("confidence"), v.alias("value")) for f, v in (("transaction_date", F.col("transaction_date")), ("description", F.col("description")), ("amount", F.coalesce("amount", "debit", "credit")), ("balance_after", F.col("balance")))))
+    return found.join(best, [key, "row_number"], "left").select(*found.columns, F.col("m.line").alias("line"), F.filter(each, lambda x: x["value"].isNotNull()).alias("confidences"))
+
+
+def review_reasons(rows: DataFrame, least: float = 0.8) -> DataFrame:
+    """``reasons`` for review: ``extraction_error`` where the row can't be read, ``low_ocr_confidence`` where a field is below ``least``."""
+    low = F.exists("confidences", lambda c: c["confidence"] < least)
+    return rows.withColumn("reasons", F.array_compact(F.array(F.when(F.col("error").isNotNull(), "extraction_error"), F.when(low, "low_ocr_confidence"))))
+
+
+def balance_evidence(pages: DataFrame, key: str, page: str, text: str = "text") -> DataFrame:
+    """Opening and closing balance of each document with the page and line that states it, the last of its kind."""
+    lines = pages.select(key, page, F.posexplode(F.split(text, "\n")).alias("at", "line"))
+    pattern = r"(?i)\b(opening|closing) balance:?\s+(.+)$"
+    found = lines.select(key, page, (F.col("at") + 1).alias("line_number"), F.lower(F.regexp_extract("line", pattern, 1)).alias("kind"), parse_amount(F.regexp_extract("line", pattern, 2)).alias("amount"), F.trim("line").alias("raw"))
+    last = F.max(F.struct(F.col(page).alias("page"), "line_number", "amount", "raw")).alias("e")
+    return found.filter("kind <> '' AND amount IS NOT NULL").groupBy(key, "kind").agg(last).select(key, "kind", "e.*")

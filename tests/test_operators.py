@@ -149,6 +149,29 @@ def test_statement_text(spark):
     assert statement_text.words_to_lines(words).first()[4:] == (0.75, 2, "one two")
 
 
+def test_statement_tables(spark):
+    """Headings, repeated ones, page numbers, continuations, dated lines without a heading, and recognised lines."""
+    text_ = "03/02/2026  Early shop  -1.00\nDate  Description  Amount  Balance\n04/02/2026  Coffee  -3.50  96.50\n  with milk\nDate  Description  Amount  Balance\n2\nPage 2 of 3\n05/02/2026  Rent | x\n06/02/2026  Pay  10.00  106.50"
+    found = statement_text.table_rows(spark.createDataFrame([(1, text_), (2, ""), (3, None)], "page int, text string"), "page")
+    got = sorted((r.row_number, r.transaction_date, r.description, r.amount, r.balance) for r in found.collect())
+    assert got == [(1, "03/02/2026", "Early shop", "-1.00", None), (2, "04/02/2026", "Coffee", "-3.50", "96.50"), (3, "06/02/2026", "Pay", "10.00", "106.50")]
+    lines = spark.createDataFrame([(1, 1, "x", 0.9), (1, 2, "04/02/2026 coffee", 0.5), (1, 3, "06/02/2026 pay", 0.95)], "page int, line int, text string, confidence double")
+    seen = {r.row_number: r for r in statement_text.recognised_lines(found, lines, "page").collect()}
+    assert (seen[1].line, seen[2].line, seen[3].line) == (1, 2, 3) and [c.field for c in seen[1].confidences] == ["transaction_date", "description", "amount"]
+    rows = statement_text.recognised_lines(found, lines, "page").withColumn("error", F.when(F.col("row_number") == 3, "invalid_date"))
+    assert {r.row_number: r.reasons for r in statement_text.review_reasons(rows).collect()} == {1: [], 2: ["low_ocr_confidence"], 3: ["extraction_error"]}
+
+
+def test_layouts_and_names(spark):
+    fault = csv_statements.layout_fault
+    heads = ["Date", "Text", "In", "Out", "Sum"]
+    base = {"transaction_date": "Date", "description": "Text"}
+    assert fault({**base, "amount": "Sum"}, heads) is None and fault({**base, "debit": "Out", "credit": "In"}, heads) is None
+    assert [fault(m, heads) for m in (base, {"amount": "Sum"}, {**base, "debit": "Out"}, {**base, "amount": "text"}, {**base, "amount": "None"})] == ["amount_layout", "missing_field", "amount_layout", "heading_twice", "unknown_heading"]
+    names = spark.createDataFrame([("C:\\x\\a.CSV",), ("/b/c.csv ",), ("d.pdf",), (".csv",)], "p string").select(csv_statements.safe_name(F.col("p")).alias("n")).collect()
+    assert [r.n for r in names] == ["a.CSV", "c.csv", None, None]
+
+
 def test_confirming_assigns_both_legs_and_rejects_rivals(spark):
     ledger = spark.createDataFrame([(1, "unknown"), (2, "unknown"), (3, "income")], "txn_id long, role string")
     made = spark.createDataFrame([(10, 1, 2, "transfer_out", "transfer_in", "pending"), (11, 1, 3, "transfer_out", "transfer_in", "pending"), (12, 3, None, "refund", None, "pending")], "suggestion_id long, txn_id long, counterpart_id long, suggested_role string, counterpart_role string, status string")
