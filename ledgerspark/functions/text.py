@@ -12,6 +12,7 @@ SUFFIXES = ("atm", "gb", "ltd", "plc", "uk")
 # Fixed values of the domain: words and phrases that tell a role.
 TRANSFER_WORDS = ("transfer", "xfer", "savings", "internal")
 REFUND_WORDS = ("refund", "refunded", "reversal", "reversed", "chargeback")
+REIMBURSEMENT_PHRASES = ("reimbursement", "reimbursed", "expense repayment", "expenses repayment")
 
 
 @F.pandas_udf(StringType())

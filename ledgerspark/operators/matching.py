@@ -115,3 +115,9 @@ def latest_as_of(history: DataFrame, key: str, value: str, at: str, order: str,
     """The value each key had at the cutoff: the last by time, then id."""
     known = history.filter(F.col(at) <= cutoff)
     return known.groupBy(key).agg(F.max_by(value, F.struct(at, order)).alias(value))
+
+
+def unresolved_as_of(suggestions: DataFrame, cutoff: Column) -> DataFrame:
+    """Both rows of suggestions (``out_id``, ``in_id``) that were made by the cutoff and not reviewed by then."""
+    open_ = suggestions.filter((F.col("created_at") <= cutoff) & (F.col("reviewed_at").isNull() | (F.col("reviewed_at") > cutoff)))
+    return open_.select(F.explode(F.array("out_id", "in_id")).alias("txn_id")).filter("txn_id IS NOT NULL").distinct()

@@ -162,6 +162,15 @@ def test_statement_tables(spark):
     assert {r.row_number: r.reasons for r in statement_text.review_reasons(rows).collect()} == {1: [], 2: ["low_ocr_confidence"], 3: ["extraction_error"]}
 
 
+def test_single_row_roles(spark):
+    from ledgerspark.operators import rules
+
+    rows = [("Internal move", 5), ("xfer out", -5), ("REFUND shop", 5), ("refund shop", -5), ("expenses repayment May", 5), ("shop", 5)]
+    role, sure = rules.single_row_role(F.col("t"), F.col("a"))
+    got = [tuple(r) for r in spark.createDataFrame(rows, "t string, a int").select(role, sure).collect()]
+    assert got == [("transfer_in", 0.55), ("transfer_out", 0.55), ("refund", 0.8), (None, None), ("reimbursement", 0.8), (None, None)]
+
+
 def test_layouts_and_names(spark):
     fault = csv_statements.layout_fault
     heads = ["Date", "Text", "In", "Out", "Sum"]
