@@ -73,6 +73,21 @@ def complement(merged: DataFrame, spans: DataFrame, *keys: str) -> DataFrame:
     return gaps.unionByName(tails).filter("gap_start <= gap_end").withColumnsRenamed({"gap_start": "start_date", "gap_end": "end_date"})
 
 
+def overlapping_pairs(ranges: DataFrame, key: str, name: str, block: int = 32) -> DataFrame:
+    """Pairs of a key's ranges that share days, the smaller ``name`` first: names, shared ``days`` and ``kind`` (exact or partial).
+
+    Ranges meet in an equi-join on the blocks of days they touch; a pair counts in the block where its shared days begin.
+    """
+    at = lambda c: F.floor(F.datediff(c, F.lit("1970-01-01").cast("date")) / block)
+    touched = ranges.withColumn("_block", F.explode(F.sequence(at(F.col("start_date")), at(F.col("end_date")))))
+    a, b = touched.alias("a"), touched.alias("b")
+    met = a.join(b, (F.col(f"a.{key}") == F.col(f"b.{key}")) & (F.col("a._block") == F.col("b._block")) & (F.col(f"a.{name}") < F.col(f"b.{name}")))
+    first, last = F.greatest("a.start_date", "b.start_date"), F.least("a.end_date", "b.end_date")
+    met = met.filter((first <= last) & (at(first) == F.col("a._block")))
+    exact = (F.col("a.start_date") == F.col("b.start_date")) & (F.col("a.end_date") == F.col("b.end_date"))
+    return met.select(F.col(f"a.{name}").alias("first_id"), F.col(f"b.{name}").alias("second_id"), (F.datediff(last, first) + 1).cast("long").alias("days"), F.when(exact, "exact").otherwise("partial").alias("kind"))
+
+
 def days() -> Column:
     """Days of a range."""
     return F.datediff("end_date", "start_date") + 1

@@ -71,12 +71,7 @@ def coverage_gap_analysis(spark, d):
 
 def statement_overlap_pairs(spark, d):
     """Pairs of an account's statements that overlap, with the days they share."""
-    rows = coverage(spark, d).select("account_id", "statement_id", "start_date", "end_date")
-    a, b = rows.alias("a"), rows.alias("b")
-    met = a.join(b, F.expr("a.account_id = b.account_id AND a.statement_id < b.statement_id AND a.start_date <= b.end_date AND b.start_date <= a.end_date"))
-    shared = F.datediff(F.least("a.end_date", "b.end_date"), F.greatest("a.start_date", "b.start_date")) + 1
-    exact = F.expr("a.start_date = b.start_date AND a.end_date = b.end_date")
-    return met.select(F.col("a.statement_id").alias("first_id"), F.col("b.statement_id").alias("second_id"), shared.cast("long").alias("days"), F.when(exact, "exact").otherwise("partial").alias("kind"))
+    return intervals.overlapping_pairs(coverage(spark, d).select("account_id", "statement_id", "start_date", "end_date"), "account_id", "statement_id")
 
 
 def balance_latest(spark, d):

@@ -223,6 +223,9 @@ def test_streams(spark, tmp_path):
     for n in range(2):
         ingest.append_batches(stream, target, str(tmp_path / f"c{n}"), "txn_id").awaitTermination()
     assert spark.read.parquet(target).count() == 2
+    for n in range(2):
+        ingest.append_batches(stream, f"{target}-by-day", str(tmp_path / f"d{n}"), "txn_id", by="ts").awaitTermination()
+    assert sorted((r.txn_id, str(r["_day"])) for r in spark.read.parquet(f"{target}-by-day").collect()) == [(1, "2026-01-01"), (2, "2026-01-09")]
     query = ingest.daily_spend(stream).writeStream.format("memory").queryName("spend").outputMode("append").trigger(availableNow=True).start()
     query.awaitTermination()
     assert [r.spend for r in spark.sql("SELECT spend FROM spend").collect()] == [2]
