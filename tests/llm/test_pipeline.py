@@ -1,5 +1,6 @@
 """The pipeline's stages, each on its own input, and what they must keep and catch."""
 
+from pyspark.sql import functions as F
 from test_simhash import plain_kept
 
 import corpus_pipeline
@@ -25,6 +26,23 @@ def test_stages(spark):
     docs.unpersist()
 
 
+def test_stages_take_odd_rows(spark):
+    """Nulls, empty texts, repeated rows and ids, extra columns; and a table without rows."""
+    prose = "An ordinary sentence of plain words that a reader would call fine. " * 4
+    rows = [(1, prose, "en", "a", 5), (1, prose, "en", "a", 5), (2, prose + "And more.", None, None, None), (3, None, "en", "a", 0), (4, "", "en", "a", 0), (None, "A text without an id, but with some words in it.", "en", "a", 1), (5, "word " * 20_000, "en", "a", 100_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").withColumn("digest", F.lit(1)).withColumn("score", F.lit(2.0))
+    for name, stage in corpus_pipeline.STAGES:
+        for some in (docs, docs.limit(0)):
+            got = stage(spark, some, DIR)
+            if name != "packing":
+                assert got.columns == docs.columns
+                assert {r.doc_id for r in got.select("doc_id").collect()} <= {r[0] for r in rows}
+            else:
+                assert {r.doc_id for r in got.select("doc_id").collect()} == {r.doc_id for r in some.select("doc_id").collect()}
+    kept = [r.doc_id for r in corpus_pipeline.simhash_near_dedup(spark, docs, DIR).select("doc_id").collect()]
+    assert kept.count(1) == 1 and kept.count(3) + kept.count(4) == 1
+
+
 def test_run_chains_the_stages(spark):
     docs = spark.read.parquet(f"{DIR}/documents.parquet")
     for _, stage in corpus_pipeline.STAGES:
