@@ -108,21 +108,25 @@ def normalise(rows: DataFrame) -> DataFrame:
     Columns of text: transaction_date, posting_date, description, amount, debit, credit, balance,
     currency, external_id, transaction_type. A row with an error keeps what could be read.
     """
-    cleaned = rows.withColumn("_text", strip_bank_noise(clean(F.col("description"))))
-    blank = lambda c: F.col(c).isNull() | (tx.clean(F.col(c)) == "")
-    date, posting = mn.parse_date(tx.clean(F.col("transaction_date"))), mn.parse_date(tx.clean(F.col("posting_date")))
-    one, debit, credit, balance = (mn.parse_amount(tx.clean(F.col(c))) for c in ("amount", "debit", "credit", "balance"))
+    raw = ("transaction_date", "posting_date", "description", "amount", "debit", "credit", "balance", "currency", "external_id", "transaction_type")
+    once = lambda name, **parts: F.explode(F.array(F.struct(*(c.alias(n) for n, c in parts.items())))).alias(name)
+    # a row of its own for cleaned texts and for values: what is used several times is not computed again
+    texts = rows.select("*", once("_c", text=strip_bank_noise(clean(F.col("description"))), **{c: tx.clean(F.col(c)) for c in raw if c != "description"}))
+    c = lambda name: F.col(f"_c.{name}")
+    read = {"date": mn.parse_date(c("transaction_date")), "posting": mn.parse_date(c("posting_date")), **{k: mn.parse_amount(c(k)) for k in ("amount", "debit", "credit", "balance")}}
+    cleaned = texts.select("*", once("_v", **read)).withColumn("_text", c("text"))
+    blank = lambda name: c(name).isNull() | (c(name) == "")
+    date, posting, one, debit, credit, balance = (F.col(f"_v.{k}") for k in read)
     amount, amount_error = mn.signed(one, debit, credit)
     unit, unit_error = currency(F.col("currency"), F.col("account_currency"))
-    unread = lambda c, value: ~blank(c) & value.isNull()
+    unread = lambda name, value: ~blank(name) & value.isNull()
     error = (
         F.when(date.isNull(), "invalid_date").when(F.coalesce(F.col("_text"), F.lit("")) == "", "missing_description")
         .when(unread("amount", one) | unread("debit", debit) | unread("credit", credit), "invalid_amount").when(amount_error.isNotNull(), amount_error).when(amount == 0, "zero_amount")
         .when(unit_error.isNotNull(), unit_error).when(unread("posting_date", posting), "invalid_posting_date").when(unread("balance", balance), "invalid_balance")
     )
     merchant = tx.merchant_name(F.col("_text"))
-    raw = ("transaction_date", "posting_date", "description", "amount", "debit", "credit", "balance", "currency", "external_id", "transaction_type")
-    source = tx.fingerprint(source=F.col("source_id").cast("string"), **{c: F.col(c) for c in raw})
+    source = tx.fingerprint(source=F.col("source_id").cast("string"), **{name: F.col(name) for name in raw})
     canonical = tx.fingerprint(account_id=F.col("account_id").cast("string"), transaction_date=date.cast("string"), amount=amount.cast("string"), currency=unit, description=tx.matching(merchant))
     return cleaned.select(
         "source_id", "account_id", date.alias("txn_date"), posting.alias("posting_date"), F.col("_text").alias("description"), merchant.alias("merchant"), amount.alias("amount"), balance.alias("balance_after"), unit.alias("currency"),
