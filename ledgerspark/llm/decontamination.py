@@ -27,9 +27,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerspark.llm.shared import columns_of, staged, unused, utf8
+from ledgerspark.llm.shared import columns_of, if_small, staged, unused, utf8
 
-SMALL, TERMS = 200_000, 500_000
+TERMS = 500_000
 #: Words by which the rarest terms of a window may lie out of place in a proximity match.
 SLOP = 3
 #: Words as the contract has them, for Spark; and each byte as its lower-cased self or a space.
@@ -41,11 +41,6 @@ FOLD = bytes(
 )
 
 
-def if_small(df: DataFrame, rows: int = SMALL) -> DataFrame:
-    """With a broadcast hint if it has at most ``rows`` rows, counted; as it is otherwise."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
-
-
 def windows(benchmark: DataFrame, item_col: str = "item_id", text: str = "text", size: int = 13) -> DataFrame:
     """``item`` (string) and ``win`` (the window's words, space-joined), each pair once."""
     lowered = F.translate(F.coalesce(F.col(text), F.lit("")), UPPER, LOWER)

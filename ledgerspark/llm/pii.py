@@ -38,8 +38,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerspark.llm.decontamination import if_small
-from ledgerspark.llm.shared import staged, unused
+from ledgerspark.llm.shared import if_small, staged, unused
 
 KINDS = ("email", "ip", "card", "phone")
 #: kind: (a cheap test, the pattern). ``\G`` lets a match follow the one before inside a run; the look-behinds bar other mid-run starts.

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerspark.llm import decontamination, hmm, lines, packing, pii, quality, simhash, tokens, topk, urls
+from ledgerspark.llm import codes, decontamination, hmm, lines, orderhash, packing, pii, quality, simhash, tokens, topk, urls, whitening
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -77,6 +77,18 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"), components=8, scale=1024.0, shift=100_000)
+
+
+def op12_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return orderhash.with_edits(table(spark, sf_dir, "documents"))
+
+
+def op13_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.compressed(table(spark, sf_dir, "embeddings"), positions=8, entries=16, rounds=6, scale=4096.0)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -96,6 +108,9 @@ def queries():
         "op8_pii": op8_pii,
         "op9_lm_scores": op9_lm_scores,
         "op10_simhash": op10_simhash,
+        "op11_whitening": op11_whitening,
+        "op12_fingerprints": op12_fingerprints,
+        "op13_codes": op13_codes,
     }
 
 
