@@ -1,4 +1,4 @@
-"""Text normalisation as column expressions; the two Arrow functions have no Spark equivalent."""
+"""Text normalisation as column expressions; the three Arrow functions have no Spark equivalent."""
 
 from __future__ import annotations
 
@@ -21,6 +21,12 @@ def nfkc_casefold(text: pd.Series) -> pd.Series:
     return text.str.normalize("NFKC").str.casefold()
 
 
+@F.pandas_udf(StringType())
+def casefold(text: pd.Series) -> pd.Series:
+    """Full case folding."""
+    return text.str.casefold()
+
+
 @F.pandas_udf(DoubleType())
 def similarity(left: pd.Series, right: pd.Series) -> pd.Series:
     """Share of matching characters by longest matching blocks, 0 to 1."""
@@ -35,14 +41,25 @@ def clean(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(text, r"\p{C}", " "), r"\s+", " "))
 
 
+def folded(text: Column, how=casefold) -> Column:
+    """Case folding; only texts that aren't ASCII are sent to the Arrow function, the others are lower-cased in the JVM."""
+    odd = text.rlike(r"[^\x00-\x7F]")
+    return F.when(odd, how(F.when(odd, text))).otherwise(F.lower(text))
+
+
 def plain_words(text: Column) -> Column:
-    """ASCII words in lower case, one space between."""
-    return F.trim(F.regexp_replace(F.lower(text), "[^a-z0-9]+", " "))
+    """ASCII words of the case-folded text, one space between: what roles and account names are told by."""
+    return F.trim(F.regexp_replace(folded(text), "[^a-z0-9]+", " "))
+
+
+def rule_text(text: Column) -> Column:
+    """Letters and digits of any script after NFKC and case folding, all else as one space: what category rules compare."""
+    return F.trim(F.regexp_replace(folded(text, nfkc_casefold), r"[^\p{L}\p{N}]+", " "))
 
 
 def matching(text: Column) -> Column:
-    """Lower case with all that isn't a word character as one space; Unicode-aware."""
-    return F.trim(F.regexp_replace(F.lower(text), r"(?U)[^\w]+", " "))
+    """Case-folded words, all that isn't a word character as one space: what duplicates compare."""
+    return F.trim(F.regexp_replace(folded(text), r"[^\p{L}\p{N}_]+", " "))
 
 
 def merchant_name(text: Column) -> Column:

@@ -93,22 +93,54 @@ def transfer_pairs(scored: DataFrame) -> DataFrame:
     return ranked.mapInPandas(fold, "out_id long, in_id long, confidence double")
 
 
+#: Rules up to which a counted rule table is broadcast, and first words up to which a pattern finds them in a text.
+FEW, HEADS = 100_000, 200
+
+
 def best_rule(rows: DataFrame, id_col: str, matches: DataFrame) -> DataFrame:
-    """The category of each row's best-ranked matches (``rank`` struct); several categories at that rank need review."""
-    top = matches.groupBy(id_col).agg(F.max("rank").alias("rank"))
-    finals = matches.join(top, [id_col, "rank"]).groupBy(id_col).agg(F.min("rule_id").alias("rule_id"), F.min("category_id").alias("category_id"), F.count_distinct("category_id").alias("n"))
-    chosen = finals.select(id_col, "rule_id", F.when(F.col("n") == 1, F.col("category_id")).otherwise("needs_review").alias("category_id"))
+    """Each row with ``rule_id``, ``category_id`` and ``fields`` of its best-ranked matches; several categories at that rank need review.
+
+    ``matches``: the id, rule_id, category_id, fields and a ``rank`` struct; a match may come more than once. They are
+    read once: two aggregations, both combined before the shuffle, by rank and then by the highest rank. Fields are those
+    of the rule chosen, the smallest id, or of all finalists where these disagree.
+    """
+    lone = F.col("low") == F.col("high")
+    at = matches.groupBy(id_col, "rank").agg(
+        F.min("rule_id").alias("rule_id"), F.min("category_id").alias("low"), F.max("category_id").alias("high"),
+        F.min_by("fields", "rule_id").alias("own"), F.flatten(F.collect_set("fields")).alias("every"),
+    )
+    top = at.groupBy(id_col).agg(F.max_by(F.struct("rule_id", "low", "high", "own", "every"), "rank").alias("best")).select(id_col, "best.*")
+    chosen = top.select(
+        id_col, F.when(lone, F.col("rule_id")).alias("rule_id"), F.when(lone, F.col("low")).otherwise("needs_review").alias("category_id"),
+        F.when(lone, F.col("own")).otherwise(F.array_distinct("every")).alias("fields"),
+    )
     return rows.join(chosen, id_col, "left")
 
 
 def keyword_matches(rows: DataFrame, rules: DataFrame, text: str = "text", key: str = "txn_id") -> DataFrame:
-    """Rows that hold a rule's phrase as whole words and fit its direction: an equi-join of the row's words with the phrases' first words, then the whole phrase."""
-    heads = rules.withColumn("_head", F.element_at(F.split("phrase", " "), 1))
-    each = rows.select("*", F.explode(F.array_distinct(F.split(text, " "))).alias("_head")).join(heads.toDF(*(f"r_{c}" for c in heads.columns)), F.col("_head") == F.col("r__head"))
-    met = each.filter(tx.has_phrase(F.col(text), F.col("r_phrase")) & (F.col("r_direction").isNull() | (F.col("r_direction") == F.col("direction"))))
-    words = F.size(F.split(F.col("r_phrase"), " "))
-    rank = F.struct(F.col("r_priority").alias("priority"), F.col("r_direction").isNotNull().cast("int").alias("directed"), words.alias("words"), F.length("r_phrase").alias("chars"))
-    return met.select(key, F.col("r_rule_id").alias("rule_id"), F.col("r_category_id").alias("category_id"), rank.alias("rank"))
+    """Rows that hold a rule's phrase as whole words and fit its direction.
+
+    ``text`` and phrases are normalised by ``rule_text``. A text is turned into runs of as many words as the longest
+    phrase has, and a run meets the phrases by its first word: neither the text nor its row is copied, and rules are
+    broadcast once counted. A phrase that stands in the text several times matches as often; ``best_rule`` takes that.
+    """
+    heads = rules.filter(F.length("phrase") > 0).select(*(F.col(c).alias(f"r_{c}") for c in rules.columns)).withColumn("_words", F.size(F.split("r_phrase", " ")))
+    heads = heads.withColumn("_head", F.substring_index("r_phrase", " ", 1))
+    told = heads.agg(F.count("*").alias("n"), F.coalesce(F.max("_words"), F.lit(1)).alias("most"), F.count_distinct("_head").alias("heads")).first()
+    if 0 < told.heads <= HEADS:
+        one = "|".join(sorted(r._head for r in heads.select("_head").distinct().collect()))  # letters and digits only
+        runs = F.regexp_extract_all(F.col(text), F.lit(f"(?<![^ ])(?=((?:{one})(?![^ ])(?: [^ ]+){{0,{told.most - 1}}}))"), F.lit(1))
+    else:
+        runs = words = F.split(F.col(text), " ")
+        for later in range(2, told.most + 1):  # each word with those after it, an array at a time
+            runs = F.zip_with(runs, F.slice(words, later, 1 << 30), lambda run, word: F.concat_ws(" ", run, word))
+    each = rows.select(key, "direction", F.explode(F.array_distinct(runs)).alias("_run")).withColumn("_head", F.substring_index("_run", " ", 1))
+    met = each.join(F.broadcast(heads) if told.n <= FEW else heads, "_head").filter(
+        F.startswith(F.concat("_run", F.lit(" ")), F.concat("r_phrase", F.lit(" "))) & (F.col("r_direction").isNull() | (F.col("r_direction") == F.col("direction")))
+    )
+    rank = F.struct(F.col("r_priority").alias("priority"), F.col("r_direction").isNotNull().cast("int").alias("directed"), F.col("_words").alias("words"), F.length("r_phrase").alias("chars"))
+    fields = F.when(F.col("r_direction").isNull(), F.array(F.lit("description"))).otherwise(F.array(F.lit("direction"), F.lit("description")))
+    return met.select(key, F.col("r_rule_id").alias("rule_id"), F.col("r_category_id").alias("category_id"), fields.alias("fields"), rank.alias("rank"))
 
 
 def latest_as_of(history: DataFrame, key: str, value: str, at: str, order: str, cutoff: Column) -> DataFrame:

@@ -8,64 +8,95 @@ from pyspark.sql import functions as F
 from ledgerspark.functions import text as tx
 from ledgerspark.operators import matching
 
-#: What decides, the strongest first.
-SOURCES = ("correction", "personal_rule", "merchant", "keyword")
-#: Conditions of a personal rule in their fixed order; one that is null does not count.
-FIELDS = ("account_id", "merchant", "phrase", "direction", "least", "most")
+# Fixed values of the domain: what can decide, the strongest first; and why it did.
+SOURCES = ("transaction_decision", "personal_rule", "merchant_mapping", "keyword_rule", "ml_model", "needs_review")
+CODES = {
+    "transaction_decision": "transaction_decision_preserved", "personal_rule": "personal_rule_match", "merchant_mapping": "merchant_mapping_match", "keyword_rule": "keyword_rule_match",
+    "needs_review": "no_deterministic_match",
+}
+AMBIGUOUS = {"personal_rule": "ambiguous_personal_rules", "keyword_rule": "ambiguous_keyword_rules"}
+# Fixed values of the domain: facts that a rule can ask for, in their order.
+FIELDS = ("merchant", "direction", "account", "description", "amount")
+
+
+def in_order(fields: Column) -> Column:
+    """The facts in their fixed order."""
+    return F.filter(F.array(*map(F.lit, FIELDS)), lambda f: F.array_contains(fields, f))
+
+
+def direction(amount: Column) -> Column:
+    return F.when(amount > 0, "inflow").otherwise("outflow")
 
 
 def personal_matches(rows: DataFrame, rules: DataFrame) -> DataFrame:
-    """Rows that meet all conditions of an active rule of their profile: ``rule_id``, ``category_id``, ``fields`` (those it asked for) and ``rank``.
+    """Rows that meet all conditions of an active rule of their profile: ``rule_id``, ``category_id``, ``fields`` it asked for and ``rank``.
 
-    ``rules``: profile_id, rule_id, category_id, priority, active and FIELDS; a profile's own rules are few.
-    The rank is the priority, then the number of conditions.
+    ``rules``: profile_id, rule_id, category_id, priority, active, merchant, and direction, account_id, phrase, least, most
+    or null. A rule is anchored to a merchant: one without never matches, and rows and rules meet in an equi-join on profile
+    and merchant. The rank is the priority, then the number of facts asked for; the bounds of the amount are one fact.
     """
-    own = rules.filter("active").select("profile_id", *(F.col(c).alias(f"r_{c}") for c in ("rule_id", "category_id", "priority", *FIELDS)))
+    own = rules.filter("active").select("profile_id", tx.rule_text(F.col("merchant")).alias("_merchant"), *(F.col(c).alias(f"r_{c}") for c in rules.columns if c not in ("profile_id", "merchant", "active")))
+    own = F.broadcast(own) if own.limit(matching.FEW + 1).count() <= matching.FEW else own
     r = lambda c: F.col(f"r_{c}")
-    fits = {
-        "account_id": r("account_id") == F.col("account_id"), "merchant": r("merchant") == tx.plain_words(F.col("merchant")), "phrase": tx.has_phrase(tx.plain_words(F.col("description")), r("phrase")),
-        "direction": r("direction") == F.when(F.col("amount") > 0, "inflow").otherwise("outflow"), "least": F.abs("amount") >= r("least"), "most": F.abs("amount") <= r("most"),
+    size = F.abs("amount")
+    asked = {
+        "merchant": F.lit(True), "direction": r("direction").isNotNull(), "account": r("account_id").isNotNull(), "description": r("phrase").isNotNull(), "amount": r("least").isNotNull() | r("most").isNotNull(),
     }
-    asked = F.array_compact(F.array(*(F.when(r(f).isNotNull(), F.lit(f)) for f in FIELDS)))
-    met = rows.join(own, "profile_id").filter(F.size(asked) > 0)
-    for field, condition in fits.items():
-        met = met.filter(r(field).isNull() | condition)
-    return met.select("txn_id", r("rule_id").alias("rule_id"), r("category_id").alias("category_id"), asked.alias("fields"), F.struct(r("priority").alias("priority"), F.size(asked).alias("fields")).alias("rank"))
+    met = rows.withColumn("_merchant", tx.rule_text(F.col("merchant"))).join(own, ["profile_id", "_merchant"]).filter(
+        (r("direction").isNull() | (r("direction") == direction(F.col("amount")))) & (r("account_id").isNull() | (r("account_id") == F.col("account_id")))
+        & (r("least").isNull() | (size >= r("least"))) & (r("most").isNull() | (size <= r("most")))
+        & (r("phrase").isNull() | tx.has_phrase(tx.rule_text(F.col("description")), tx.rule_text(r("phrase"))))
+    )
+    fields = F.array_compact(F.array(*(F.when(asked[f], F.lit(f)) for f in FIELDS)))
+    return met.select("txn_id", r("rule_id").alias("rule_id"), r("category_id").alias("category_id"), fields.alias("fields"), F.struct(r("priority").alias("priority"), F.size(fields).alias("fields")).alias("rank"))
 
 
 def alias_matches(rows: DataFrame, aliases: DataFrame) -> DataFrame:
-    """Rows whose merchant, normalised, is an alias (``alias``, ``rule_id``, ``category_id``)."""
-    return rows.select("txn_id", tx.plain_words(F.col("merchant")).alias("alias")).join(aliases, "alias").select("txn_id", "rule_id", "category_id", F.struct(F.lit(1).alias("priority")).alias("rank"))
+    """Rows whose merchant is, normalised, an alias (``alias``, ``rule_id``, ``category_id``)."""
+    known = aliases.select(tx.rule_text(F.col("alias")).alias("alias"), "rule_id", "category_id")
+    known = F.broadcast(known) if known.limit(matching.FEW + 1).count() <= matching.FEW else known
+    met = rows.select("txn_id", tx.rule_text(F.col("merchant")).alias("alias")).join(known, "alias")
+    return met.select("txn_id", "rule_id", "category_id", F.array(F.lit("merchant")).alias("fields"), F.struct(F.lit(1).alias("priority")).alias("rank"))
 
 
 def categorise(rows: DataFrame, corrections: DataFrame, personal: DataFrame, aliases: DataFrame, keywords: DataFrame) -> DataFrame:
-    """One decision for each row: ``category_id``, ``source``, ``rule_id`` and ``status`` (applied or needs_review).
+    """One decision for each row: ``category_id``, ``source``, ``code``, ``rule_id`` and ``fields``.
 
-    The strongest source that has a match decides; if its best-ranked matches name several categories, the row needs review.
+    ``corrections`` (txn_id, category_id, correction_id) hold the latest of each transaction. The strongest source that has
+    a match decides; if its best-ranked matches name several categories, or none has one, the category is needs_review.
     """
-    described = rows.withColumn("text", tx.plain_words(F.col("description"))).withColumn("direction", F.when(F.col("amount") > 0, "inflow").otherwise("outflow"))
+    described = rows.withColumn("text", tx.rule_text(F.col("description"))).withColumn("direction", direction(F.col("amount")))
+    phrases = keywords.withColumn("phrase", tx.rule_text(F.col("phrase")))
     found = {
-        "personal_rule": personal_matches(rows, personal), "merchant": alias_matches(rows, aliases), "keyword": matching.keyword_matches(described, keywords),
+        "personal_rule": personal_matches(rows, personal), "merchant_mapping": alias_matches(rows, aliases), "keyword_rule": matching.keyword_matches(described, phrases),
     }
-    out = rows.select("txn_id").join(corrections.select("txn_id", F.col("category_id").alias("correction")), "txn_id", "left")
+    told = lambda source: F.struct(F.lit(source).alias("tier"), "category_id", "rule_id", "fields").alias(source)
+    explicit = corrections.withColumn("rule_id", F.col("correction_id").cast("string")).withColumn("fields", F.array().cast("array<string>"))
+    out = rows.select("txn_id").join(explicit.select("txn_id", told("transaction_decision")), "txn_id", "left")
     for source, matches in found.items():
-        best = matching.best_rule(rows.select("txn_id"), "txn_id", matches)
-        out = out.join(best.select("txn_id", F.col("category_id").alias(source), F.col("rule_id").alias(f"{source}_id")), "txn_id", "left")
-    source = F.coalesce(*(F.when(F.col(s).isNotNull(), F.lit(s)) for s in SOURCES))
-    category = F.coalesce(*SOURCES)
-    rule = F.when(source != "correction", F.coalesce(*(F.when(source == s, F.col(f"{s}_id")) for s in SOURCES[1:])))
-    status = F.when(category.isNull() | (category == "needs_review"), "needs_review").otherwise("applied")
-    return out.select("txn_id", F.when(status == "applied", category).alias("category_id"), source.alias("source"), rule.alias("rule_id"), status.alias("status"))
-
-
-def changed(before: DataFrame, after: DataFrame) -> DataFrame:
-    """Decisions that differ from the stored ones in category, source, rule or status, nulls being equal."""
-    fields = ("category_id", "source", "rule_id", "status")
-    old = before.select("txn_id", *(F.col(f).alias(f"_{f}") for f in fields), F.lit(True).alias("_known"))
-    same = F.coalesce(F.col("_known"), F.lit(False))
-    for f in fields:
-        same = same & F.col(f).eqNullSafe(F.col(f"_{f}"))
-    return after.join(old, "txn_id", "left").filter(~same).select(*after.columns)
+        best = matching.best_rule(matches.select("txn_id").distinct(), "txn_id", matches)
+        out = out.join(best.select("txn_id", told(source)), "txn_id", "left")
+    out = out.withColumn("d", F.coalesce("transaction_decision", *found)).select("txn_id", "d.*")
+    unsure = F.col("tier").isin(*AMBIGUOUS) & (F.col("category_id") == "needs_review") & F.col("rule_id").isNull()
+    lookup = lambda names, key: F.element_at(F.create_map(*(F.lit(x) for kv in names.items() for x in kv)), key)
+    return out.select(
+        "txn_id",
+        F.coalesce("category_id", F.lit("needs_review")).alias("category_id"),
+        F.when(F.col("tier").isNull() | unsure, "needs_review").otherwise(F.col("tier")).alias("source"),
+        F.when(F.col("tier").isNull(), CODES["needs_review"]).when(unsure, lookup(AMBIGUOUS, F.col("tier"))).otherwise(lookup(CODES, F.col("tier"))).alias("code"),
+        "rule_id",
+        in_order(F.coalesce("fields", F.array().cast("array<string>"))).alias("fields"),
+    )
+
+
+def changed(before: DataFrame, after: DataFrame, key: str = "txn_id") -> DataFrame:
+    """Decisions that differ from the stored ones in any column that both have, nulls being equal, or are new."""
+    both = [c for c in after.columns if c != key and c in before.columns]
+    same = before.select(key, *both).withColumn("_known", F.lit(True)).withColumnsRenamed({c: f"_{c}" for c in both})
+    equal = F.coalesce("_known", F.lit(False))
+    for c in both:
+        equal = equal & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    return after.join(same, key, "left").filter(~equal).select(*after.columns)
 
 
 def single_row_role(description: Column, amount: Column) -> tuple[Column, Column]:

@@ -15,7 +15,7 @@ KEYWORDS = [
 ]
 _KEYWORD_ROWS = ", ".join(f"('{r}', '{p}', '{c}', {'NULL' if d is None else repr(d)}, {n}, {len(p.split())}, {len(p)})" for r, p, c, d, n in KEYWORDS)
 _TEXTS = """texts AS (SELECT doc_id AS txn_id, CASE WHEN doc_id % 2 = 0 THEN 'inflow' ELSE 'outflow' END AS direction,
-  trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')) AS text FROM documents)"""
+  trim(regexp_replace(replace(lower(text), 'ß', 'ss'), '[^\\p{L}\\p{N}]+', ' ', 'g')) AS text FROM documents)"""
 _NEAR = """near AS (SELECT a.account_id, a.txn_id AS first_id, b.txn_id AS second_id, CAST(abs(a.txn_date - b.txn_date) AS BIGINT) AS days, a.amount AS first_amount, b.amount AS second_amount,
   a.merchant AS first_text, b.merchant AS second_text FROM ledger a JOIN ledger b ON a.account_id = b.account_id AND a.txn_id < b.txn_id AND abs(a.txn_date - b.txn_date) <= 2)"""
 _TRANSFERS = """pairs AS (SELECT a.profile_id, a.txn_id AS out_id, b.txn_id AS in_id, CAST(abs(a.txn_date - b.txn_date) AS BIGINT) AS days, a.description AS out_text, b.description AS in_text
@@ -80,9 +80,9 @@ def role_language_flags(spark, d):
 
 
 def keyword_frame(spark, d):
-    rows = read(spark, d, "documents").select(F.col("doc_id").alias("txn_id"), F.when(F.col("doc_id") % 2 == 0, "inflow").otherwise("outflow").alias("direction"), tx.plain_words(F.col("text")).alias("text"))
+    rows = read(spark, d, "documents").select(F.col("doc_id").alias("txn_id"), F.when(F.col("doc_id") % 2 == 0, "inflow").otherwise("outflow").alias("direction"), tx.rule_text(F.col("text")).alias("text"))
     rules = spark.createDataFrame(KEYWORDS, "rule_id string, phrase string, category_id string, direction string, priority int")
-    return matching.best_rule(rows.select("txn_id"), "txn_id", matching.keyword_matches(rows, rules))
+    return matching.best_rule(rows.select("txn_id"), "txn_id", matching.keyword_matches(rows, rules)).drop("fields")
 
 
 def merchant_mapping(spark, d):
@@ -159,7 +159,7 @@ QUERIES = {
         m AS (SELECT txn_id, rule_id, category_id, row(priority, CASE WHEN r.direction IS NULL THEN 0 ELSE 1 END, words, chars) AS rnk FROM texts t JOIN rules r
           ON contains(' ' || t.text || ' ', ' ' || r.phrase || ' ') AND (r.direction IS NULL OR r.direction = t.direction)),
         b AS (SELECT txn_id, max(rnk) AS rnk FROM m GROUP BY txn_id),
-        f AS (SELECT m.txn_id, min(rule_id) AS rule_id, CASE WHEN count(DISTINCT category_id) = 1 THEN min(category_id) ELSE 'needs_review' END AS category_id FROM m JOIN b ON m.txn_id = b.txn_id AND m.rnk = b.rnk GROUP BY m.txn_id)
+        f AS (SELECT m.txn_id, CASE WHEN count(DISTINCT category_id) = 1 THEN min(rule_id) END AS rule_id, CASE WHEN count(DISTINCT category_id) = 1 THEN min(category_id) ELSE 'needs_review' END AS category_id FROM m JOIN b ON m.txn_id = b.txn_id AND m.rnk = b.rnk GROUP BY m.txn_id)
         SELECT t.txn_id, f.rule_id, f.category_id FROM texts t LEFT JOIN f ON t.txn_id = f.txn_id""",
     ),
     "merchant_mapping": (

@@ -213,7 +213,7 @@ QUERIES = {
         fingerprints,
         f"""WITH {LEDGER} SELECT txn_id, sha256('{{"account":' || account_id || ',"amount":"' || amount || '","date":"' || txn_date || '","text":"' || trim(regexp_replace(lower(merchant), '[^a-z0-9_]+', ' ', 'g')) || '"}}') AS fingerprint FROM ledger""",
     ),
-    "rule_text_ascii": (rule_text_ascii, "SELECT conv_id, turn, trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')) AS words FROM conversations"),
+    "rule_text_ascii": (rule_text_ascii, "SELECT conv_id, turn, trim(regexp_replace(replace(lower(text), 'ß', 'ss'), '[^a-z0-9]+', ' ', 'g')) AS words FROM conversations"),
     "description_cleanup": (
         description_cleanup,
         """SELECT p_partkey, array_to_string(list_transform(string_split(p_name, ' '), lambda w: upper(w[1]) || lower(w[2:])), ' ') || ' LTD ' || array_to_string(list_transform(string_split(trim(regexp_replace(p_brand, '[^A-Za-z0-9 ]', ' ', 'g')), ' '), lambda w: upper(w[1]) || lower(w[2:])), ' ') AS merchant FROM part""",
