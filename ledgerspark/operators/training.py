@@ -1,54 +1,121 @@
-"""The categoriser's training data as of a cutoff, its holdouts, and its metrics."""
+"""The categoriser's training data as of a cutoff, its snapshots, its holdouts, and its metrics."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerspark.operators.matching import latest_as_of
+from ledgerspark.functions import text as tx
+from ledgerspark.operators.asof import AsOf
 
-#: Reasons that bar a row from training; the first that applies counts.
+# Fixed values of the domain: reasons that bar a transaction from training, in the order in which they are asked.
 REASONS = (
-    "not_owned", "unverified", "after_date", "after_cutoff", "rejected_import", "unread_fields", "unknown_role", "excluded_role", "transfer", "unresolved_transfer",
-    "needs_review", "no_label", "pending_label", "inactive_category", "empty_text", "too_rare",
+    "transaction_after_cutoff", "verified_after_cutoff", "source_lineage_mismatch", "unconfirmed_source_row", "untrusted_document", "duplicate_evidence", "no_authoritative_label", "needs_review_label",
+    "category_not_found", "category_inactive", "taxonomy_mismatch", "unresolved_financial_role", "excluded_financial_role", "needs_review_flag", "unresolved_transfer", "empty_feature_text",
 )
+# Fixed values of the domain: issues that say a row repeats another, and sources that are documents.
+DUPLICATE_ISSUES = ("exact_duplicate", "probable_duplicate")
+DOCUMENTS = ("digital_pdf", "ocr_pdf")
 
 
-def exclusion(flags: dict[str, Column]) -> Column:
-    """The first reason whose condition holds, null if none does: an eligible row. Reasons without a condition never apply."""
-    out = F.lit(None).cast("string")
-    for reason in reversed(REASONS):
-        if reason in flags:
-            out = F.when(flags[reason], reason).otherwise(out)
-    return out
+def first_reason(conditions: dict[str, Column]) -> Column:
+    """The first of REASONS whose condition holds, null if none does: an eligible row. A condition that is null does not hold."""
+    return F.coalesce(*(F.when(conditions[reason], F.lit(reason)) for reason in REASONS))
 
 
-def as_of(rows: DataFrame, corrections: DataFrame, audits: DataFrame, flagged: DataFrame, until: Column, cutoff: Column) -> DataFrame:
-    """Each row with the label and role known at the cutoff, and its ``reason``.
+def issue_codes(issues: Column) -> Column:
+    """The codes of the objects in a JSON list; of anything else none."""
+    found = F.get_json_object(issues, "$[*].code")  # a list of strings, or the only one in quotes
+    listed = F.from_json(found, "array<string>")
+    return F.coalesce(F.when(F.startswith(found, F.lit("[")), listed).when(found.isNotNull(), F.array(F.regexp_replace(found, '^"|"$', ""))), F.array().cast("array<string>"))
 
-    ``corrections`` (txn_id, category, at, id), ``audits`` (txn_id, role, at, id), ``flagged`` (txn_id, at).
+
+def candidates(ledger: DataFrame, raw: DataFrame, batches: DataFrame) -> DataFrame:
+    """Ledger rows with the lineage of their source: their raw row's review, its issues, and its batch.
+
+    ``ledger``: txn_id, account_id, raw_id, ...; ``raw``: raw_id, batch_id, source_type, review_status, issues (JSON);
+    ``batches``: batch_id, account_id, source_type, verification_status.
     """
-    labels = latest_as_of(corrections, "txn_id", "category", "at", "id", cutoff)
-    roles = latest_as_of(audits, "txn_id", "role", "at", "id", cutoff).withColumnRenamed("role", "known_role")
-    marks = flagged.filter(F.col("at") <= cutoff).select("txn_id").distinct().withColumn("flagged", F.lit(True))
-    both = rows.join(labels, "txn_id", "left").join(roles, "txn_id", "left").join(marks, "txn_id", "left")
-    role = F.coalesce("known_role", F.lit("unknown"))
-    reason = exclusion({
-        "after_date": F.col("txn_date") > until,
-        "after_cutoff": F.col("verified_at") > cutoff,
-        "unknown_role": role == "unknown",
-        "excluded_role": role == "excluded",
-        "transfer": role.isin("transfer_in", "transfer_out"),
-        "needs_review": F.col("flagged"),
-        "no_label": F.col("category").isNull(),
-        "empty_text": F.trim(F.coalesce("description", F.lit(""))) == "",
+    source = raw.select("raw_id", "batch_id", F.col("source_type").alias("row_source"), "review_status", issue_codes(F.col("issues")).alias("issue_codes"))
+    batch = batches.select("batch_id", F.col("account_id").alias("batch_account"), F.col("source_type").alias("batch_source"), "verification_status")
+    return ledger.join(source, "raw_id").join(batch, "batch_id")
+
+
+def as_of(rows: DataFrame, corrections: DataFrame, audits: DataFrame, flags: DataFrame, suggestions: DataFrame, categories: DataFrame, taxonomy: str, at: AsOf) -> DataFrame:
+    """Each of ``candidates`` with the ``category`` and ``role`` known at the cutoff, when the category was decided, and the ``reason`` that bars it, or null.
+
+    ``corrections`` (txn_id, category, at, id), ``audits`` (txn_id, role, at, id), ``flags`` (txn_id, at), ``suggestions`` (kind,
+    txn_id, counterpart_id, created_at, reviewed_at), ``categories`` (category_id, active, taxonomy_version).
+    """
+    labels = at.latest(corrections.withColumn("decided_at", F.col("at")), "txn_id", "category", "decided_at")
+    roles = at.latest(audits, "txn_id", "role")
+    flagged = flags.filter(F.col("at") <= at.known).select("txn_id").distinct().withColumn("_flagged", F.lit(True))
+    open_ = suggestions.filter((F.col("kind") == "transfer") & (F.col("created_at") <= at.known) & (F.col("reviewed_at").isNull() | (F.col("reviewed_at") > at.known)))
+    legs = open_.select(F.explode(F.array("txn_id", "counterpart_id")).alias("txn_id")).filter("txn_id IS NOT NULL").distinct().withColumn("_open", F.lit(True))
+    known = categories.select(F.col("category_id").alias("category"), F.col("active").alias("_active"), F.col("taxonomy_version").alias("_taxonomy"), F.lit(True).alias("_exists"))
+    both = rows.join(labels, "txn_id", "left").join(roles, "txn_id", "left").join(flagged, "txn_id", "left").join(legs, "txn_id", "left").join(known, "category", "left")
+    c = F.col
+    reason = first_reason({
+        "transaction_after_cutoff": c("txn_date") > at.day,
+        "verified_after_cutoff": c("verified_at") > at.known,
+        "source_lineage_mismatch": ~c("account_id").eqNullSafe(c("batch_account")) | ~c("row_source").eqNullSafe(c("batch_source")),
+        "unconfirmed_source_row": ~c("review_status").eqNullSafe("confirmed"),
+        "untrusted_document": (c("batch_source").isin(*DOCUMENTS) & ~c("verification_status").eqNullSafe("verified"))
+        | ((c("batch_source") == "csv") & ~F.coalesce(c("verification_status").isin("verified", "needs_review"), F.lit(False))),
+        "duplicate_evidence": F.arrays_overlap("issue_codes", F.array(*map(F.lit, DUPLICATE_ISSUES))),
+        "no_authoritative_label": c("category").isNull(),
+        "needs_review_label": c("category") == "needs_review",
+        "category_not_found": c("_exists").isNull(),
+        "category_inactive": ~c("_active"),
+        "taxonomy_mismatch": ~c("_taxonomy").eqNullSafe(taxonomy),
+        "unresolved_financial_role": F.coalesce(c("role"), F.lit("unknown")) == "unknown",
+        "excluded_financial_role": c("role") == "excluded",
+        "needs_review_flag": c("_flagged"),
+        "unresolved_transfer": c("_open"),
+        "empty_feature_text": feature_text(c("merchant"), c("description")).isNull(),
     })
-    return both.withColumn("role_as_of", role).withColumn("reason", reason).drop("known_role", "flagged")
+    return both.withColumn("role", F.coalesce("role", F.lit("unknown"))).withColumn("reason", reason).drop("_flagged", "_open", "_active", "_taxonomy", "_exists")
+
+
+def exclusions(rows: DataFrame) -> DataFrame:
+    """``place`` of each reason that occurs, in the order of REASONS, the reason and its ``rows``."""
+    place = F.array_position(F.array(*map(F.lit, REASONS)), F.col("reason"))
+    return rows.filter("reason IS NOT NULL").groupBy(place.alias("place"), "reason").agg(F.count("*").alias("rows"))
+
+
+EXAMPLE = ("txn_id", "txn_date", "verified_at", "merchant", "description", "merchant_group", "category", "decided_at")
+
+
+def examples(rows: DataFrame) -> DataFrame:
+    """The eligible rows as examples, each with the digest of its content. Their order is by txn_date, verified_at, txn_id."""
+    group = F.nullif(tx.rule_text(F.coalesce("merchant", F.lit(""))), F.lit(""))
+    kept = rows.filter("reason IS NULL").withColumn("merchant_group", group).select(*EXAMPLE)
+    return kept.withColumn("digest", tx.fingerprint(**{c: F.col(c).cast("string") for c in EXAMPLE}))
+
+
+def snapshot_digest(examples_: DataFrame) -> DataFrame:
+    """One row: ``rows`` and the ``digest`` of a set of examples.
+
+    Examples are ordered by what they hold, so a set has one order and needs no sort: the digests are added up in four parts
+    of 60 bits each, before the shuffle, and the sums hashed. Equal sets have equal digests, whatever their partitions.
+    """
+    part = lambda k: F.sum(F.conv(F.substring("digest", 15 * k + 1, 15), 16, 10).cast("decimal(38,0)"))
+    sums = [F.coalesce(part(k), F.lit(0).cast("decimal(38,0)")).cast("string") for k in range(4)]
+    return examples_.agg(F.count("*").alias("rows"), F.sha2(F.concat_ws(":", F.count("*").cast("string"), *sums), 256).alias("digest"))
+
+
+def difference(before: DataFrame, after: DataFrame) -> DataFrame:
+    """``txn_id`` and ``change`` (added, removed or changed) of the examples that differ between two snapshots: what a retraining learns anew."""
+    old, new = before.select("txn_id", F.col("digest").alias("_old")), after.select("txn_id", F.col("digest").alias("_new"))
+    change = F.when(F.col("_old").isNull(), "added").when(F.col("_new").isNull(), "removed").when(F.col("_old") != F.col("_new"), "changed")
+    return old.join(new, "txn_id", "full").select("txn_id", change.alias("change")).filter("change IS NOT NULL")
 
 
 def feature_text(merchant: Column, description: Column) -> Column:
-    missing = lambda c: F.coalesce(F.nullif(F.trim(c), F.lit("")), F.lit("missing"))
-    return F.concat_ws(" ", F.lit("merchant"), missing(merchant), F.lit("description"), missing(description))
+    """What the model reads; null for a row without any text."""
+    said = [F.coalesce(tx.rule_text(c), F.lit("")) for c in (merchant, description)]
+    shown = [F.when(c == "", "missing").otherwise(c) for c in said]
+    return F.when((said[0] != "") | (said[1] != ""), F.concat_ws(" ", F.lit("merchant"), shown[0], F.lit("description"), shown[1]))
 
 
 def chronological(rows: DataFrame, boundary: Column) -> tuple[DataFrame, DataFrame]:

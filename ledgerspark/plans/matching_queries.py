@@ -59,18 +59,6 @@ def transfer_pairs_greedy(spark, d):
     return matching.transfer_pairs(matching.transfer_confidence(pairs, tx.similarity("out_text", "in_text")))
 
 
-def transfer_links(spark, d):
-    """Confirmed pairs whose legs still have transfer roles, by leg: the smallest suggestion wins."""
-    rows = ledger(spark, d)
-    outs, ins = rows.filter("role = 'transfer_out'").alias("a"), rows.filter("role = 'transfer_in'").alias("b")
-    met = outs.join(ins, F.expr("a.profile_id = b.profile_id AND a.account_id <> b.account_id AND a.txn_date = b.txn_date"))
-    legs = met.select(
-        F.concat_ws("-", "a.txn_id", "b.txn_id").alias("suggestion_id"),
-        F.explode(F.array(F.struct(F.col("a.txn_id").alias("txn_id"), F.col("b.account_id").alias("other")), F.struct(F.col("b.txn_id").alias("txn_id"), F.col("a.account_id").alias("other")))).alias("leg"),
-    )
-    return legs.groupBy(F.col("leg.txn_id").alias("txn_id")).agg(F.min_by("leg.other", "suggestion_id").alias("counterpart_account"))
-
-
 def role_language_flags(spark, d):
     rows = activity(spark, d)
     transfer, refund = tx.has_word(F.col("description"), tx.TRANSFER_WORDS), tx.has_word(F.col("description"), tx.REFUND_WORDS)
@@ -140,13 +128,6 @@ QUERIES = {
         + CASE WHEN out_text LIKE 'internal transfer %' AND in_text LIKE 'internal transfer %' THEN 0.07 ELSE 0 END), 4) AS DOUBLE) AS confidence FROM pairs""",
     ),
     "transfer_pairs_greedy": (transfer_pairs_greedy, None),
-    "transfer_links": (
-        transfer_links,
-        f"""WITH {LEDGER}, m AS (SELECT a.txn_id AS x, b.txn_id AS y, a.account_id AS xa, b.account_id AS ya, concat(a.txn_id, '-', b.txn_id) AS sid FROM ledger a JOIN ledger b
-          ON a.role = 'transfer_out' AND b.role = 'transfer_in' AND a.profile_id = b.profile_id AND a.account_id <> b.account_id AND a.txn_date = b.txn_date),
-        l AS (SELECT x AS txn_id, ya AS other, sid FROM m UNION ALL SELECT y, xa, sid FROM m)
-        SELECT txn_id, other AS counterpart_account FROM l QUALIFY row_number() OVER (PARTITION BY txn_id ORDER BY sid) = 1""",
-    ),
     "role_language_flags": (
         role_language_flags,
         f"""WITH {ACTIVITY}, f AS (SELECT txn_id, amount, description LIKE 'internal transfer %' AS transfer, description LIKE 'refund issued %' AS refund FROM activity)

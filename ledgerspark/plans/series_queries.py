@@ -130,13 +130,6 @@ def description_cleanup(spark, d):
     return read(spark, d, "part").select("p_partkey", tx.merchant_name(tx.clean(F.concat(F.upper("p_name"), F.lit(" ltd, #"), F.col("p_brand")))).alias("merchant"))
 
 
-def training_exclusions(spark, d):
-    """Rows by the first reason that bars them from training."""
-    rows = ledger(spark, d)
-    reason = F.when(F.col("role") == "unknown", "unknown_role").when(F.col("role") == "excluded", "excluded_role").when(F.col("role").isin("transfer_in", "transfer_out"), "transfer").when(F.col("txn_date") > F.lit("2000-01-01"), "after_cutoff").when(F.col("txn_id") % 23 == 0, "needs_review").otherwise("eligible")
-    return rows.groupBy(reason.alias("reason")).agg(F.count("*").alias("rows"))
-
-
 def _labelled(spark, d):
     """Parts with a category that their type tells in its first word, hidden among other words."""
     return read(spark, d, "part").select("p_partkey", F.concat_ws(" ", "p_name", "p_type", "p_brand").alias("text"), F.element_at(F.split("p_type", " "), 1).alias("category_id"))
@@ -218,11 +211,6 @@ QUERIES = {
         description_cleanup,
         """SELECT p_partkey, array_to_string(list_transform(string_split(p_name, ' '), lambda w: upper(w[1]) || lower(w[2:])), ' ') || ' LTD ' || array_to_string(list_transform(string_split(trim(regexp_replace(p_brand, '[^A-Za-z0-9 ]', ' ', 'g')), ' '), lambda w: upper(w[1]) || lower(w[2:])), ' ') AS merchant FROM part""",
     ),
-    "training_exclusions": (
-        training_exclusions,
-        f"""WITH {LEDGER} SELECT CASE WHEN role = 'unknown' THEN 'unknown_role' WHEN role = 'excluded' THEN 'excluded_role' WHEN role IN ('transfer_in', 'transfer_out') THEN 'transfer' WHEN txn_date > DATE '2000-01-01' THEN 'after_cutoff'
-        WHEN txn_id % 23 = 0 THEN 'needs_review' ELSE 'eligible' END AS reason, count(*) AS rows FROM ledger GROUP BY 1""",
-    ),
     "category_model_holdout": (category_model_holdout, None),
     "category_model_terms": (
         category_model_terms,

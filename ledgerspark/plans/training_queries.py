@@ -8,22 +8,6 @@ from ledgerspark.operators import intervals, training, upserts
 from ledgerspark.plans.bindings import ACTIVITY, COVERAGE, activity, coverage, read
 from ledgerspark.plans.coverage_queries import _merged
 
-_CUTOFF = "2024-01-20 00:00:00"
-
-
-def training_rows_as_of(spark, d):
-    """Corrections and role audits are read from the event table itself: an event corrects the one 7 before, or audits the one 3 before."""
-    rows = activity(spark, d).join(read(spark, d, "events").select(F.col("event_id").alias("txn_id"), F.col("ts").alias("verified_at")), "txn_id")
-    events = read(spark, d, "events")
-    corrections = events.filter("event_id % 5 = 0 AND event_id >= 7").select((F.col("event_id") - 7).alias("txn_id"), F.col("event_type").alias("category"), F.col("ts").alias("at"), F.col("event_id").alias("id"))
-    role = F.when(F.col("event_id") % 7 == 0, "excluded").when(F.col("event_id") % 11 == 0, "transfer_in").otherwise("expense")
-    audits = events.filter("event_id % 4 <> 0 AND event_id >= 3").select((F.col("event_id") - 3).alias("txn_id"), role.alias("role"), F.col("ts").alias("at"), F.col("event_id").alias("id"))
-    flagged = events.filter("event_id % 29 = 0").select(F.col("event_id").alias("txn_id"), F.col("ts").alias("at"))
-    cutoff = F.lit(_CUTOFF).cast("timestamp_ntz")
-    found = training.as_of(rows, corrections, audits, flagged, F.lit("2024-01-18").cast("date"), cutoff)
-    return found.select("txn_id", "category", "role_as_of", "reason")
-
-
 def unseen_merchant_split(spark, d):
     """Parts by brand: each brand is whole on one side."""
     rows = training.unseen_groups(read(spark, d, "part"), "p_brand", 0.2)
@@ -66,15 +50,6 @@ def hybrid_decisions(spark, d):
 
 
 QUERIES = {
-    "training_rows_as_of": (
-        training_rows_as_of,
-        f"""WITH {ACTIVITY}, c AS (SELECT event_id - 7 AS txn_id, event_type AS category FROM events WHERE event_id % 5 = 0 AND event_id >= 7 AND ts <= TIMESTAMP '{_CUTOFF}'),
-        r AS (SELECT event_id - 3 AS txn_id, CASE WHEN event_id % 7 = 0 THEN 'excluded' WHEN event_id % 11 = 0 THEN 'transfer_in' ELSE 'expense' END AS role FROM events WHERE event_id % 4 <> 0 AND event_id >= 3 AND ts <= TIMESTAMP '{_CUTOFF}'),
-        f AS (SELECT event_id AS txn_id FROM events WHERE event_id % 29 = 0 AND ts <= TIMESTAMP '{_CUTOFF}')
-        SELECT a.txn_id, c.category, coalesce(r.role, 'unknown') AS role_as_of, CASE WHEN a.txn_date > DATE '2024-01-18' THEN 'after_date' WHEN e.ts > TIMESTAMP '{_CUTOFF}' THEN 'after_cutoff' WHEN r.role IS NULL THEN 'unknown_role'
-          WHEN r.role = 'excluded' THEN 'excluded_role' WHEN r.role = 'transfer_in' THEN 'transfer' WHEN f.txn_id IS NOT NULL THEN 'needs_review' WHEN c.category IS NULL THEN 'no_label' END AS reason
-        FROM activity a JOIN events e ON a.txn_id = e.event_id LEFT JOIN c ON a.txn_id = c.txn_id LEFT JOIN r ON a.txn_id = r.txn_id LEFT JOIN f ON a.txn_id = f.txn_id""",
-    ),
     "unseen_merchant_split": (unseen_merchant_split, "SELECT p_brand, CAST(1 AS BIGINT) AS sides, count(*) AS rows FROM part GROUP BY p_brand"),
     "overall_metrics": (
         overall_metrics,
