@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerspark.operators.contracts import first_broken
+from ledgerspark.sources.store import Rejected, Store, Version
+
 PRIORITY = {"manual": 4, "statement_closing": 3, "running_balance": 2, "statement_opening": 1}
 
 
@@ -60,3 +63,32 @@ def freshness(ledger: DataFrame, newest: DataFrame, islands: DataFrame, as_of: C
     ]
     rows = rows.withColumn("freshness", F.least("transaction_age", "balance_age")).withColumn("warnings", F.array_join(F.array_compact(F.array(*checks)), ","))
     return rows.withColumn("mode", F.when(F.col("warnings") == "", "active").otherwise("archive"))
+
+
+def manual_entries(entries: DataFrame, accounts: DataFrame) -> DataFrame:
+    """Balances that a user enters, each with the first reason against it (``violation``): a day after its recording, then its account.
+
+    ``entries``: account_id, balance, currency, as_of_date, recorded_at. ``accounts``: account_id, currency, active.
+    """
+    own = accounts.select("account_id", F.col("currency").alias("_currency"), F.col("active").alias("_active"), F.lit(True).alias("_exists"))
+    return first_broken(
+        entries.join(own, "account_id", "left"), (F.col("as_of_date") > F.col("recorded_at").cast("date"), "as_of_date_after_recording"), (F.col("_exists").isNull(), "account_not_found"),
+        (~F.col("_active"), "account_inactive"), (F.col("_currency") != F.col("currency"), "account_currency_mismatch"),
+    ).drop("_currency", "_active", "_exists")
+
+
+def manual_snapshots(judged: DataFrame) -> DataFrame:
+    """The entries that hold, as verified snapshots that no import brought."""
+    return judged.filter("violation IS NULL").drop("violation").withColumns({"import_batch_id": F.lit(None).cast("long"), "source": F.lit("manual"), "verification_status": F.lit("verified")})
+
+
+def record_manual(store: Store, entries: DataFrame) -> Version:
+    """Append the entries to the store's balances, all of them or, if one doesn't hold, none."""
+
+    def step(now: Version) -> dict:
+        judged = manual_entries(entries, now.read("accounts"))
+        if judged.filter("violation IS NOT NULL").limit(1).count():
+            raise Rejected("an entry breaks a rule; see manual_entries")
+        return {"append": {"balances": manual_snapshots(judged)}, "info": {"operation": "manual balances"}}
+
+    return store.update(step)
