@@ -9,7 +9,7 @@ proximity matches. Those that meet exactly are compared word by word with the te
 
 Texts are known by their MD5 digest, so copies are indexed and verified once. The sides of joins
 that follow the benchmark's size are broadcast only after their rows are counted, and joined by
-shuffle beyond ``SMALL`` rows; terms are sifted in the workers by a broadcast set only up to
+shuffle beyond ``shared.SMALL`` rows; terms are sifted in the workers by a broadcast set only up to
 ``TERMS`` terms, else by a join.
 
 Nulls: a null text has no words; a null id is carried along; items without an id or without words
@@ -127,7 +127,12 @@ def build_index(docs: DataFrame, id_col: str, text: str, terms: DataFrame) -> Da
 
 
 def candidates(index: DataFrame, anchors: DataFrame, slop: int = SLOP) -> DataFrame:
-    """``win``, ``digest``, ``start``, ``exact``: where the lists of a window's three rarest terms meet within ``slop`` words, and whether exactly."""
+    """``win``, ``digest``, ``start``, ``exact``: where the lists of a window's three rarest terms meet within ``slop`` words, and whether exactly.
+
+    The rarest term's positions give the starts; the others' are kept by blocks of as many words as a place may vary over, so a
+    start looks at two blocks at most, however often a text repeats the term. A start may come from both; they are one in the end.
+    """
+    wide = 2 * int(slop) + 1
     postings = (
         index.select("digest", F.explode("postings").alias("p"))
         .select("digest", "p.term", "p.positions")
@@ -137,11 +142,15 @@ def candidates(index: DataFrame, anchors: DataFrame, slop: int = SLOP) -> DataFr
         "digest", "win", "term2", "offset2", "term3", "offset3", F.explode("positions").alias("at"), "offset1"
     )
     found = found.withColumn("start", F.col("at") - F.col("offset1")).drop("at", "offset1").filter("start >= 0")
+    spots = postings.select("digest", "term", F.explode("positions").alias("at")).withColumn("block", F.floor(F.col("at") / wide))
+    blocks = spots.groupBy("digest", "term", "block").agg(F.collect_list("at").alias("spots"))
     for i in (2, 3):
-        other = postings.select("digest", F.col("term").alias(f"term{i}"), F.col("positions").alias(f"positions{i}"))
-        near = f"exists(positions{i}, p -> abs(p - start - offset{i}) <= {int(slop)})"
-        exact = f"array_contains(positions{i}, start + offset{i})"
-        found = found.join(other, ["digest", f"term{i}"]).filter(near).withColumn(f"exact{i}", F.expr(exact)).drop(f"positions{i}")
+        place = F.col("start") + F.col(f"offset{i}")
+        reach = F.array_distinct(F.array(F.floor((place - slop) / wide), F.floor((place + slop) / wide)))
+        other = blocks.withColumnRenamed("term", f"term{i}")
+        met = found.withColumn("block", F.explode(reach)).join(other, ["digest", f"term{i}", "block"])
+        near = F.expr(f"exists(spots, p -> abs(p - start - offset{i}) <= {int(slop)})")
+        found = met.filter(near).withColumn(f"exact{i}", F.expr(f"array_contains(spots, start + offset{i})")).drop("spots", "block")
     return found.groupBy("win", "digest", "start").agg(F.bool_or(F.expr("exact2 AND exact3")).alias("exact"))
 
 

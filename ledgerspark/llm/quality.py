@@ -22,9 +22,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructType
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from ledgerspark.llm.shared import unused, utf8
 
@@ -162,13 +162,23 @@ def fold(id_column: Column, folds: int) -> Column:
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", label: str = "quality", sample: int = SAMPLE) -> LineField:
-    """A field from at most ``sample`` labelled documents whose fold of 5 is not 0; a doc_id with several labels takes the smallest."""
+    """A field from at most ``sample`` labelled documents whose fold of 5 is not 0; a doc_id with several labels takes the smallest.
+
+    The sample is chosen by ids, in the order of their hashes, and by the texts' sizes: a text that no longer fits SAMPLE_BYTES is
+    passed over. Texts are fetched only then; equal texts of one id count once.
+    """
     known = labels.filter(F.col(label).isin(0, 1) & F.col(id_col).isNotNull() & (fold(F.col(id_col), 5) != 0))
     known = known.groupBy(F.col(id_col).alias("_id")).agg(F.min(label).alias("_label")).orderBy(F.xxhash64("_id"), "_id").limit(sample)
-    rows = docs.select(F.col(id_col).alias("_id"), utf8(text).alias("_text")).join(F.broadcast(known), "_id")
-    rows = rows.orderBy(F.xxhash64("_id"), "_id", F.xxhash64("_text")).limit(sample)
-    so_far = Window.orderBy(F.xxhash64("_id"), "_id", F.xxhash64("_text")).rowsBetween(Window.unboundedPreceding, 0)  # over the sample only
-    found = sorted(rows.withColumn("_bytes", F.sum(F.octet_length("_text")).over(so_far)).filter(F.col("_bytes") <= SAMPLE_BYTES).collect())
+    rows = docs.select(F.col(id_col).alias("_id"), utf8(text).alias("_text")).withColumn("_hash", F.xxhash64("_text"))
+    order = [F.xxhash64("_id"), F.col("_id"), F.col("_hash")]
+    sizes = rows.select("_id", "_hash", F.octet_length("_text").alias("_bytes")).join(F.broadcast(known), "_id").distinct().orderBy(*order).limit(sample).collect()
+    chosen, total = [], 0
+    for row in sizes:
+        if total + row._bytes <= SAMPLE_BYTES:
+            chosen.append((row._id, row._hash, int(row._label)))
+            total += row._bytes
+    wanted = docs.sparkSession.createDataFrame(chosen, StructType([StructField("_id", docs.schema[id_col].dataType), StructField("_hash", LongType()), StructField("_label", LongType())]))
+    found = sorted(rows.join(F.broadcast(wanted), ["_id", "_hash"]).select("_id", "_label", "_text").dropDuplicates(["_id", "_text"]).collect())
     return LineField.train([bytes(r._text) for r in found], [int(r._label) for r in found])
 
 

@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 
 import pytest
 
@@ -130,3 +131,14 @@ def test_empty(spark):
     docs, items = spark.createDataFrame([(1, "a b", "", 0)], SCHEMA), spark.createDataFrame([], "item_id long, text string")
     assert dec.contamination(docs.limit(0), items).count() == 0
     assert [r.n_hit for r in dec.contamination(docs, items).collect()] == [0]
+
+
+def test_one_word_repeated_very_often(spark):
+    """Places are looked up by blocks: the work is linear in what a text repeats."""
+    n = 200_000
+    docs = spark.createDataFrame([(1, "the " * n, "", 0), (2, "the " * 5, "", 0)], SCHEMA)
+    items = spark.createDataFrame([(1, "the " * 13)], "item_id long, text string")
+    dec.contamination(docs.limit(1), items).collect()  # warm-up
+    began = time.perf_counter()
+    got = {r.doc_id: (r.n_words, r.n_hit, r.contaminated) for r in dec.contamination(docs, items).collect()}
+    assert got == {1: (n, n, True), 2: (5, 0, False)} and time.perf_counter() - began < 60

@@ -60,3 +60,14 @@ def test_odd_rows(spark):
     kept = quality.keep_good(docs, labels.limit(0))
     assert kept.columns == docs.columns and sorted(map(tuple, kept.collect()), key=str) == sorted(rows, key=str)
     assert quality.quality(docs.limit(0), labels).count() == 0
+
+
+def test_a_text_that_does_not_fit_the_sample_is_passed_over(spark, monkeypatch):
+    monkeypatch.setattr(quality, "SAMPLE_BYTES", 4_000)
+    rows = [(i, ("good line\n" if i % 2 else "!!! ###\n") * 5) for i in range(1, 60)] + [(i, "x" * 9_000) for i in range(60, 90)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(1, 90)], "doc_id long, quality int")
+    field = quality.train(docs, labels)
+    assert field.share is None  # both classes were there, none of the long texts
+    low, high = field.scores([b"!!! ###\n" * 5, b"good line\n" * 5])
+    assert low < 0.5 < high
