@@ -13,7 +13,8 @@ otherwise different lines is cut alike from its first long sentence on. A passag
 
 A template recurs if it occurs in two documents, or in ``SHORT_DOCS`` for a short line, which
 may recur by chance. A line or passage with a recurring template stays in the document with the
-smallest id that has it and is dropped from all others, so that one copy of everything remains.
+smallest id that has it (of texts that share that id, in one) and is dropped from all others, so that
+one copy of everything remains.
 
 DataFrame functions only. Templates are 96-bit hashes; their documents are counted with map-side
 combining, and a hot template is split by adaptive execution where lines meet the recurring ones.
@@ -106,12 +107,13 @@ def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -
     whole = rows.select("id", "h", "i", F.lit(None).cast("int").alias("j"), F.explode("ts").alias("t"))
     part = rows.filter("passages IS NOT NULL").select("id", "h", "i", F.posexplode("passages").alias("j", "t")).filter("t IS NOT NULL")
     every = whole.unionByName(part).select("id", "h", "i", "j", "t.a", "t.b", "t.short")
-    # two documents have a template if one has a larger id than the first: no count is needed
-    found = every.filter("NOT short").groupBy("a", "b").agg(F.min("id").alias("first"), F.max("id").alias("last"), F.bool_or(F.col("id").isNull()).alias("nameless"))
+    # two documents have a template if one comes after the first, by id, then by text: no count is needed
+    doc = F.when(F.col("id").isNotNull(), F.struct("id", "h") if apart else F.col("id"))
+    found = every.filter("NOT short").groupBy("a", "b").agg(F.min(doc).alias("first"), F.max(doc).alias("last"), F.bool_or(F.col("id").isNull()).alias("nameless"))
     recurring = found.filter(F.col("first").isNotNull() & ((F.col("first") < F.col("last")) | F.col("nameless"))).select("a", "b", "first")
-    counts = every.filter("short").select("a", "b", "id", "h").distinct().groupBy("a", "b").agg(F.min("id").alias("first"), F.count("*").alias("docs"))
+    counts = every.filter("short").select("a", "b", "id", "h").distinct().groupBy("a", "b").agg(F.min(doc).alias("first"), F.count("*").alias("docs"))
     recurring = recurring.unionByName(counts.filter(F.col("docs") >= SHORT_DOCS).select("a", "b", "first"))
-    met = every.drop("short").join(recurring, ["a", "b"]).filter((F.col("first") < F.col("id")) | (F.col("id").isNull() & F.col("first").isNotNull()))
+    met = every.drop("short").join(recurring, ["a", "b"]).filter((F.col("first") < doc) | (F.col("id").isNull() & F.col("first").isNotNull()))
     return met.groupBy("id", "h").agg(F.collect_set(F.struct("i", "j")).alias("drop")), apart
 
 

@@ -142,3 +142,13 @@ def test_no_python(spark):
 
 def test_empty(spark):
     assert lines.dedup(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_texts_of_one_id_are_documents_of_their_own(spark):
+    """A line of two texts that share an id stays in one of them, as it does for two ids; a short one needs as many documents as ever."""
+    line = "one line of ten tokens that both of the texts have"
+    for first, second in ((7, 7), (7, 8)):
+        found = lines.dedup(spark.createDataFrame([(first, f"{line}\nthe first text's own words here", 0, "", 0), (second, f"{line}\nwhat the second text says instead", 0, "", 0)], SCHEMA)).collect()
+        assert sorted(line in r.text for r in found) == [False, True]
+    nameless = spark.createDataFrame([(None, f"{line}\na", 0, "", 0), (None, f"{line}\nb", 0, "", 0), (3, line, 0, "", 0)], SCHEMA)
+    assert [r.doc_id for r in lines.dedup(nameless).collect() if line in r.text] == [3]
