@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerspark.session import cut
+
 
 def by_id(table: DataFrame, key: str, value) -> DataFrame:
     """The one row of that id, or none: profiles, accounts, batches, rules, suggestions, transactions."""
@@ -101,15 +103,19 @@ def repeated_rules(rules: DataFrame) -> DataFrame:
     return ids.unionByName(phrases).filter("count > 1")
 
 
-def taxonomy_faults(categories: DataFrame, depth: int = 16) -> DataFrame:
-    """Categories of a tree (``category_id``, ``parent_id``) that name no existing parent or lie on a cycle.
+def taxonomy_faults(categories: DataFrame) -> DataFrame:
+    """Categories of a tree (``category_id``, ``parent_id``) that name no existing parent, or that lie on a cycle or below one.
 
-    Parents are followed by joins; a tree deeper than ``depth`` counts as a cycle.
+    Every category points to its parent, and each round makes it point to where that one points: twice as far. After as many
+    rounds as the number of categories has binary digits only those still point anywhere that never reach a root.
     """
-    links = categories.select(F.col("category_id").alias("_id"), F.col("parent_id").alias("_parent"))
-    walk = categories.select("category_id", F.col("parent_id").alias("at"))
-    orphan = walk.filter("at IS NOT NULL").join(links, F.col("at") == F.col("_id"), "left_anti").select("category_id", F.lit("missing_parent").alias("fault"))
-    for _ in range(depth):
-        walk = walk.filter("at IS NOT NULL").join(links, F.col("at") == F.col("_id")).select("category_id", F.col("_parent").alias("at"))
-    cycle = walk.filter("at IS NOT NULL").select("category_id", F.lit("cycle").alias("fault"))
-    return orphan.unionByName(cycle).distinct()
+    links = categories.select("category_id", "parent_id")
+    known = links.select(F.col("category_id").alias("parent_id"))
+    orphans = links.filter("parent_id IS NOT NULL").join(known, "parent_id", "left_anti")
+    walk = cut(links.join(orphans.select("category_id"), "category_id", "left_anti").filter("parent_id IS NOT NULL"))
+    for _ in range(categories.count().bit_length()):
+        if walk.isEmpty():
+            break
+        onward = walk.select(F.col("category_id").alias("_id"), F.col("parent_id").alias("_parent"))
+        walk = cut(walk.join(onward, F.col("parent_id") == F.col("_id")).select("category_id", F.col("_parent").alias("parent_id")))
+    return orphans.select("category_id", F.lit("missing_parent").alias("fault")).unionByName(walk.select("category_id", F.lit("cycle").alias("fault"))).distinct()

@@ -8,15 +8,16 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ledgerspark.functions import text as tx
 from ledgerspark.operators import asof, intervals, matching, training, transfers
 from ledgerspark.plans.bindings import ACTIVITY, COVERAGE, activity, coverage, read
 
 _ROLE = """CASE WHEN txn_id % 23 = 0 THEN 'excluded' WHEN txn_id % 29 = 0 THEN 'unknown' WHEN description LIKE 'internal transfer %' THEN CASE WHEN amount > 0 THEN 'transfer_in' ELSE 'transfer_out' END
   WHEN merchant = 'purchase' THEN 'expense' WHEN merchant = 'click' THEN 'cash_withdrawal' WHEN merchant = 'view' THEN 'income' WHEN merchant = 'signup' THEN CASE WHEN txn_id % 2 = 0 THEN 'refund' ELSE 'reimbursement' END ELSE 'unknown' END"""
 _CURRENCY = "CASE WHEN account_id % 7 = 0 THEN 'EUR' ELSE 'GBP' END"
-_SUGGESTED = """out_id * 1000000 + in_id AS suggestion_id, CASE WHEN (out_id + in_id) % 9 = 0 THEN 'refund' ELSE 'transfer' END AS kind, CASE (out_id + in_id) % 5 WHEN 0 THEN 'pending' WHEN 1 THEN 'rejected' ELSE 'confirmed' END AS status,
-  out_id AS txn_id, in_id AS counterpart_id, 'transfer_out' AS suggested_role, CASE WHEN out_id % 11 = 0 THEN 'refund' ELSE 'transfer_in' END AS counterpart_role"""
+_SUGGESTED = (
+    "out_id * 1000000 + in_id AS suggestion_id", "CASE WHEN (out_id + in_id) % 9 = 0 THEN 'refund' ELSE 'transfer' END AS kind", "CASE (out_id + in_id) % 5 WHEN 0 THEN 'pending' WHEN 1 THEN 'rejected' ELSE 'confirmed' END AS status",
+    "out_id AS txn_id", "in_id AS counterpart_id", "'transfer_out' AS suggested_role", "CASE WHEN out_id % 11 = 0 THEN 'refund' ELSE 'transfer_in' END AS counterpart_role",
+)
 
 
 def banked(spark, d):
@@ -26,12 +27,7 @@ def banked(spark, d):
 
 
 def suggested(spark, d):
-    return matching.transfer_candidates(banked(spark, d).filter("description LIKE 'internal transfer %'")).selectExpr(*map(str.strip, _split(_SUGGESTED)))
-
-
-def _split(expressions):
-    """A select list at its outer commas; none of the lists here has others."""
-    return [e for e in expressions.replace("\n", " ").split(", ")]
+    return matching.transfer_candidates(banked(spark, d).filter("description LIKE 'internal transfer %'")).selectExpr(*_SUGGESTED)
 
 
 def _scopes(rows):
@@ -59,7 +55,7 @@ def consolidated_cash_flow_covered(spark, d):
 _LINKED = f"""{ACTIVITY}, bank AS (SELECT * REPLACE (CAST(sign(amount) * 5 * ceil(abs(amount) / 5) AS DECIMAL(18,2)) AS amount), {_ROLE} AS role, {_CURRENCY} AS currency FROM activity),
   pairs AS (SELECT a.txn_id AS out_id, b.txn_id AS in_id FROM bank a JOIN bank b ON a.profile_id = b.profile_id AND a.amount < 0 AND b.amount = -a.amount AND a.account_id <> b.account_id AND abs(a.txn_date - b.txn_date) <= 3
     WHERE a.description LIKE 'internal transfer %' AND b.description LIKE 'internal transfer %'),
-  said AS (SELECT {_SUGGESTED} FROM pairs),
+  said AS (SELECT {", ".join(_SUGGESTED)} FROM pairs),
   fine AS (SELECT s.suggestion_id, x.txn_id AS a, y.txn_id AS b, x.account_id AS aa, y.account_id AS ba FROM said s JOIN bank x ON s.txn_id = x.txn_id JOIN bank y ON s.counterpart_id = y.txn_id
     WHERE s.kind = 'transfer' AND s.status = 'confirmed' AND x.role = s.suggested_role AND y.role = s.counterpart_role AND (x.role, y.role) IN (('transfer_in', 'transfer_out'), ('transfer_out', 'transfer_in'))
     AND x.account_id <> y.account_id AND x.currency = y.currency AND x.amount = -y.amount),
@@ -77,11 +73,15 @@ _CONSOLIDATED = f"""{_LINKED}, scopes AS (SELECT DISTINCT profile_id AS scope_id
 #: Cutoffs of the training queries.
 _DAY, _KNOWN, _TAXONOMY = "2024-01-25", "2024-01-27 00:00:00", "v1"
 _SOURCE = "CASE user_id % 3 WHEN 0 THEN 'csv' WHEN 1 THEN 'digital_pdf' ELSE 'ocr_pdf' END"
-_RAW = f"""event_id AS raw_id, user_id AS batch_id, CASE WHEN event_id % 37 = 0 THEN 'ocr_pdf' ELSE {_SOURCE} END AS source_type, CASE WHEN event_id % 41 = 0 THEN 'rejected' ELSE 'confirmed' END AS review_status,
-  CASE WHEN event_id % 43 = 0 THEN '[{{"code":"exact_duplicate"}}]' WHEN event_id % 47 = 0 THEN '[{{"code":"low","at":1}},{{"code":"probable_duplicate"}}]' WHEN event_id % 53 = 0 THEN '{{"code":"exact_duplicate"}}'
-  WHEN event_id % 5 = 0 THEN '[]' WHEN event_id % 3 = 0 THEN '[{{"code":"note"}},{{"x":1}}]' END AS issues"""
-_BATCH = f"user_id AS batch_id, user_id + CASE WHEN user_id % 59 = 0 THEN 1 ELSE 0 END AS account_id, {_SOURCE} AS source_type, CASE WHEN user_id % 13 = 0 THEN 'needs_review' WHEN user_id % 17 = 0 THEN 'failed' ELSE 'verified' END AS verification_status"
-_TEXTS = "CASE WHEN txn_id % 71 <> 0 THEN merchant END AS merchant, CASE WHEN txn_id % 71 <> 0 THEN description ELSE '--' END AS description"
+_RAW = (
+    "event_id AS raw_id", "user_id AS batch_id", f"CASE WHEN event_id % 37 = 0 THEN 'ocr_pdf' ELSE {_SOURCE} END AS source_type", "CASE WHEN event_id % 41 = 0 THEN 'rejected' ELSE 'confirmed' END AS review_status",
+    """CASE WHEN event_id % 43 = 0 THEN '[{"code":"exact_duplicate"}]' WHEN event_id % 47 = 0 THEN '[{"code":"low","at":1},{"code":"probable_duplicate"}]' WHEN event_id % 53 = 0 THEN '{"code":"exact_duplicate"}'
+    WHEN event_id % 5 = 0 THEN '[]' WHEN event_id % 3 = 0 THEN '[{"code":"note"},{"x":1}]' END AS issues""",
+)
+_BATCH = (
+    "user_id AS batch_id", "user_id + CASE WHEN user_id % 59 = 0 THEN 1 ELSE 0 END AS account_id", f"{_SOURCE} AS source_type", "CASE WHEN user_id % 13 = 0 THEN 'needs_review' WHEN user_id % 17 = 0 THEN 'failed' ELSE 'verified' END AS verification_status",
+)
+_TEXTS = ("CASE WHEN txn_id % 71 <> 0 THEN merchant END AS merchant", "CASE WHEN txn_id % 71 <> 0 THEN description ELSE '--' END AS description")
 _LABEL = "CASE event_id % 19 WHEN 0 THEN 'needs_review' WHEN 1 THEN 'ghost' WHEN 2 THEN 'old' WHEN 3 THEN 'foreign' ELSE event_type END"
 _CATEGORIES = [("view", True, "v1"), ("signup", True, "v1"), ("purchase", True, "v1"), ("click", True, "v1"), ("error", True, "v1"), ("needs_review", True, "v1"), ("old", False, "v1"), ("foreign", True, "v0")]
 _AUDIT = "CASE WHEN event_id % 29 = 0 THEN 'excluded' WHEN event_id % 31 = 0 THEN 'unknown' ELSE 'expense' END"
@@ -95,8 +95,8 @@ def evidence(spark, d, known=_KNOWN):
     """Each row of the event ledger with its category, role and reason as of the cutoffs."""
     events = read(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
     late = events.select(F.col("event_id").alias("txn_id"), F.expr("ts + make_dt_interval(cast(event_id % 6 as int))").alias("verified_at"), F.col("event_id").alias("raw_id"))
-    rows = activity(spark, d).selectExpr("txn_id", "account_id", "txn_date", *_TEXTS.split(", ")).join(late, "txn_id")
-    raw, batches = events.selectExpr(*_columns(_RAW)), events.selectExpr(*_columns(_BATCH)).distinct()
+    rows = activity(spark, d).selectExpr("txn_id", "account_id", "txn_date", *_TEXTS).join(late, "txn_id")
+    raw, batches = events.selectExpr(*_RAW), events.selectExpr(*_BATCH).distinct()
     corrections = events.filter("event_id % 3 <> 0").selectExpr("event_id - 7 AS txn_id", f"{_LABEL} AS category", "ts AS at", "event_id AS id").unionByName(
         events.filter("event_id % 4 = 0").selectExpr("event_id - 5 AS txn_id", f"{_LABEL} AS category", "ts AS at", "event_id AS id")
     )
@@ -107,13 +107,6 @@ def evidence(spark, d, known=_KNOWN):
     return training.as_of(training.candidates(rows, raw, batches), corrections, audits, flags, open_, categories, _TAXONOMY, _at(known=known))
 
 
-def _columns(expressions):
-    """A select list cut at the commas that follow an alias."""
-    import re
-
-    return re.split(r"(?<=\w), (?=event_id|user_id|CASE)|(?<= AS source_type),\s+|(?<= AS review_status),\s+", expressions.replace("\n", " "))
-
-
 def training_rows_as_of(spark, d):
     return evidence(spark, d).select("txn_id", "category", F.col("role").alias("role_as_of"), "reason")
 
@@ -132,8 +125,8 @@ def retraining_difference(spark, d):
     return training.difference(early, late)
 
 
-_EVIDENCE = f"""{ACTIVITY}, led AS (SELECT a.txn_id, a.account_id, a.txn_date, {_TEXTS}, ts + to_days(CAST(event_id % 6 AS INTEGER)) AS verified_at FROM activity a JOIN events e ON a.txn_id = e.event_id),
-  raw AS (SELECT {_RAW} FROM events), batch AS (SELECT DISTINCT {_BATCH} FROM events),
+_EVIDENCE = f"""{ACTIVITY}, led AS (SELECT a.txn_id, a.account_id, a.txn_date, {", ".join(_TEXTS)}, ts + to_days(CAST(event_id % 6 AS INTEGER)) AS verified_at FROM activity a JOIN events e ON a.txn_id = e.event_id),
+  raw AS (SELECT {", ".join(_RAW)} FROM events), batch AS (SELECT DISTINCT {", ".join(_BATCH)} FROM events),
   cor AS (SELECT event_id - 7 AS txn_id, {_LABEL} AS category, ts, event_id FROM events WHERE event_id % 3 <> 0 UNION ALL SELECT event_id - 5, {_LABEL}, ts, event_id FROM events WHERE event_id % 4 = 0),
   cats(category_id, active, taxonomy) AS (VALUES {", ".join(f"('{c}', {str(a).upper()}, '{t}')" for c, a, t in _CATEGORIES)}),
   open_s AS (SELECT event_id AS a, CASE WHEN event_id % 2 = 1 THEN event_id + 1 END AS b FROM events WHERE event_id % 67 = 0 AND ts <= TIMESTAMP '@known' AND (event_id % 3 <> 0 OR ts + INTERVAL 5 DAYS > TIMESTAMP '@known')),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(name: str = "ledgerspark", cpus: str | int = "*", partitions: int = 8, **conf: str) -> SparkSession:
@@ -20,3 +20,18 @@ def local_session(name: str = "ledgerspark", cpus: str | int = "*", partitions:
     for key, value in conf.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """The rows written to the shared checkpoint folder and read from there: a plan that grows from round to round ends here.
+
+    The folder is ``spark.checkpoint.dir``; only a local session without it gets one of its own.
+    """
+    spark = df.sparkSession
+    context = spark.sparkContext
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        if not shared and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(shared or "/tmp/checkpoints")
+    return df.checkpoint()

@@ -59,7 +59,7 @@ def parse(content: bytes) -> tuple[list[tuple[int, dict[str, str]]], str | None]
         return [], "empty"
     if any(ord(c) < 32 and c not in "\t\r\n" for c in text):
         return [], "binary"
-    head = text.lstrip("\r\n").split("\n", 1)[0][:8192]
+    head = re.sub(r'"[^"]*"', "", text.lstrip("\r\n").split("\n", 1)[0][:8192])  # what is quoted separates nothing
     delimiter = max(DELIMITERS, key=head.count)
     try:
         rows = [r for r in csv.reader(io.StringIO(text, newline=""), delimiter=delimiter, strict=True) if r]

@@ -56,6 +56,12 @@ def _fields(parts: Column) -> Column:
     return F.transform(named, lambda f, i: F.when(F.array_position(named, f) == i + 1, f))
 
 
+def _heads() -> Column:
+    """Whether ``fields`` name a date, a description, and an amount or a debit and a credit."""
+    has = lambda f: F.array_contains(F.array_compact("fields"), f)
+    return has("transaction_date") & has("description") & (has("amount") | (has("debit") & has("credit")))
+
+
 def table_rows(pages: DataFrame, key: str, text: str = "text") -> DataFrame:
     """Movements of statement pages with a heading line: one row each, its cells as text by field, and its lines.
 
@@ -71,24 +77,52 @@ def table_rows(pages: DataFrame, key: str, text: str = "text") -> DataFrame:
     trimmed = F.trim("line")
     parts = F.when(F.contains(trimmed, F.lit("|")), F.transform(F.split(trimmed, r"\|"), lambda c: F.trim(c))).otherwise(F.filter(F.split(trimmed, r"\s{2,}"), lambda c: c != ""))
     cells = lines.select(key, "at", parts.alias("parts")).withColumn("fields", _fields(F.col("parts")))
-    has = lambda f: F.array_contains(F.array_compact("fields"), f)
-    cells = cells.withColumn("heads", has("transaction_date") & has("description") & (has("amount") | (has("debit") & has("credit"))))
+    cells = cells.withColumn("heads", _heads())
     order = Window.partitionBy(key).orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
     cells = cells.withColumn("plan", F.last(F.when(F.col("heads"), F.col("fields")), ignorenulls=True).over(order)).filter("NOT heads")
     default = F.array(*map(F.lit, ("transaction_date", "description", "amount", "balance")))
     dated = F.size("parts").between(3, 4) & parse_date(F.get("parts", F.lit(0))).isNotNull()
     cells = cells.withColumn("plan", F.when(F.col("plan").isNull() & dated, default).otherwise(F.col("plan"))).filter("plan IS NOT NULL")
+    cells = _by_field(cells, key).filter("description IS NOT NULL").filter(F.col("follows") | F.coalesce("amount", "debit", "credit").isNotNull())
+    return _rows(cells, key)
+
+
+def _by_field(cells: DataFrame, key: str) -> DataFrame:
+    """Cells (``parts``) under the headings in force (``plan``) as a column for each field, and whether the line ``follows`` the row before: a description without date and money."""
     value = lambda f: F.nullif(F.get("parts", F.array_position("plan", f).cast("int") - 1), F.lit(""))
-    cells = cells.select(key, "at", *(value(f).alias(f) for f in ALIASES))
+    named = cells.select(key, "at", *(value(f).alias(f) for f in ALIASES))
     money = F.coalesce(*_MONEY).isNotNull()
-    follows = F.col("description").isNotNull() & F.col("transaction_date").isNull() & ~money
-    cells = cells.filter("description IS NOT NULL").filter(follows | F.coalesce("amount", "debit", "credit").isNotNull()).withColumn("follows", follows)
+    return named.withColumn("follows", F.col("description").isNotNull() & F.col("transaction_date").isNull() & ~money)
+
+
+def _rows(cells: DataFrame, key: str) -> DataFrame:
+    """Rows with the lines that follow them joined, numbered within the page; a line before any row is left out."""
+    order = Window.partitionBy(key).orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
     cells = cells.withColumn("row_number", F.sum(F.when(F.col("follows"), 0).otherwise(1)).over(order)).filter("row_number > 0")
-    text_of = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("at", "description"))), lambda x: x["description"]), "\n").alias("description")
+    said = F.filter(F.sort_array(F.collect_list(F.struct("at", "description"))), lambda x: x["description"].isNotNull())
+    text_of = F.nullif(F.array_join(F.transform(said, lambda x: x["description"]), "\n"), F.lit("")).alias("description")
     first = [F.first(f, ignorenulls=True).alias(f) for f in ALIASES if f != "description"]
     return cells.groupBy(key, "row_number").agg(text_of, *first, F.sort_array(F.collect_list("at")).alias("lines"))
 
 
+def grid_rows(pages: DataFrame, key: str, tables: str = "tables") -> DataFrame:
+    """Movements of pages whose tables were recognised as grids: ``tables`` is an array of tables, each an array of rows of cells.
+
+    A table's heading is its first row whose cells name a date, a description and money; what is above it, and a table without one,
+    is left out, and so are headings repeated, page numbers and empty rows. Rows are cut or filled to the heading's width. A row with
+    a description only continues the one before it, be it in the table before; any other row counts, and rows are numbered over the
+    page's tables. Only a page's rows are ever together.
+    """
+    rows = pages.select(key, F.posexplode(tables).alias("table", "grid")).select(key, "table", F.posexplode("grid").alias("row", "raw"))
+    parts = F.transform(F.coalesce("raw", F.array().cast("array<string>")), lambda c: F.trim(F.coalesce(c, F.lit(""))))
+    cells = rows.select(key, F.struct("table", "row").alias("at"), parts.alias("parts")).withColumn("fields", _fields(F.col("parts"))).withColumn("heads", _heads())
+    order = Window.partitionBy(key, "at.table").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    cells = cells.withColumn("plan", F.first(F.when(F.col("heads"), F.col("fields")), ignorenulls=True).over(order)).filter("plan IS NOT NULL AND NOT heads")
+    cells = cells.withColumn("parts", F.slice("parts", F.lit(1), F.size("plan")))
+    said = F.filter("parts", lambda c: c != "")
+    return _rows(_by_field(cells.filter((F.size(said) > 0) & ~F.array_join(said, " ").rlike(_PAGE)), key), key)
+
+
 def candidates(found: DataFrame, account: Column, currency: Column, key: str) -> DataFrame:
     """Rows of ``table_rows`` as ledger rows with the reason why one can't be read, keyed by page and row."""
     named = found.withColumns({"source_id": F.concat_ws(":", F.col(key).cast("string"), F.col("row_number").cast("string")), "account_id": account, "account_currency": currency})
@@ -105,9 +139,12 @@ def recognised_lines(found: DataFrame, lines: DataFrame, key: str) -> DataFrame:
     return found.join(best, [key, "row_number"], "left").select(*found.columns, F.col("m.line").alias("line"), F.filter(each, lambda x: x["value"].isNotNull()).alias("confidences"))
 
 
-def review_reasons(rows: DataFrame, least: float = 0.8) -> DataFrame:
-    """``reasons`` for review: ``extraction_error`` where the row can't be read, ``low_ocr_confidence`` where a field is below ``least``."""
-    low = F.exists("confidences", lambda c: c["confidence"] < least)
+def review_reasons(rows: DataFrame, source: Column | None = None, least: float = 0.85) -> DataFrame:
+    """``reasons`` for review: ``extraction_error`` where the row can't be read, ``low_ocr_confidence`` where a field of a recognised page is below ``least``.
+
+    ``source``: the kind of document, where not all were recognised; only ``ocr_pdf`` has confidences that count.
+    """
+    low = F.exists("confidences", lambda c: c["confidence"] < least) & (F.lit(True) if source is None else source == "ocr_pdf")
     return rows.withColumn("reasons", F.array_compact(F.array(F.when(F.col("error").isNotNull(), "extraction_error"), F.when(low, "low_ocr_confidence"))))
 
 

@@ -229,3 +229,30 @@ def test_streams(spark, tmp_path):
     query = ingest.daily_spend(stream).writeStream.format("memory").queryName("spend").outputMode("append").trigger(availableNow=True).start()
     query.awaitTermination()
     assert [r.spend for r in spark.sql("SELECT spend FROM spend").collect()] == [2]
+
+
+def test_taxonomies_of_any_depth(spark):
+    from ledgerspark.operators import lookups
+
+    rows = [(0, None), *((i, i - 1) for i in range(1, 40)), (100, 101), (101, 102), (102, 100), (103, 100), (200, 999), (201, 200), (300, 300)]
+    got = sorted(map(tuple, lookups.taxonomy_faults(spark.createDataFrame(rows, "category_id long, parent_id long")).collect()))
+    assert got == [(100, "cycle"), (101, "cycle"), (102, "cycle"), (103, "cycle"), (200, "missing_parent"), (300, "cycle")]
+
+
+def test_quoted_delimiters_and_review_thresholds(spark):
+    rows, reason = csv_statements.parse(b'"Date; posted; or; not",Description,Amount\n1,2,3\n')
+    assert reason is None and len(rows[0][1]) == 3
+    frame = spark.createDataFrame([(1, "ocr_pdf", None, [("amount", 0.84)]), (2, "ocr_pdf", None, [("amount", 0.85)]), (3, "digital_pdf", "bad", [("amount", 0.1)])], "id int, source string, error string, confidences array<struct<field:string,confidence:double>>")
+    got = {r.id: r.reasons for r in statement_text.review_reasons(frame, F.col("source")).collect()}
+    assert got == {1: ["low_ocr_confidence"], 2: [], 3: ["extraction_error"]}
+
+
+def test_grids_of_cells(spark):
+    tables = [
+        [["Title"], None, ["Date", "Description", None, "Amount"], ["1/1/2026", "A", "x", "5", "cut off"], [None, " and more ", None, None], ["Page 1"], ["3", "of 4"], ["", " ", None]],
+        [["no heading"], ["1/1/2026", "lost", "", "1"]],
+        [[" DATE", "description", "money in", "money out"], ["", "still A"], ["2/1/2026", None, "7"], ["Date", "Description", "Amount"], ["", "", "", "9.50"], ["", "", "", "9"]],
+    ]
+    frame = spark.createDataFrame([("p", tables), ("q", None), ("r", [])], "page string, tables array<array<array<string>>>")
+    got = sorted(map(tuple, statement_text.grid_rows(frame, "page").select("row_number", "transaction_date", "description", "amount", "credit", "debit").collect()))
+    assert got == [(1, "1/1/2026", "A\nand more\nstill A", "5", None, None), (2, "2/1/2026", None, None, "7", None), (3, None, None, None, None, "9.50")]
