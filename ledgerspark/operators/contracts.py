@@ -115,3 +115,47 @@ def reconciliations(rows: DataFrame) -> DataFrame:
 def observation_dates(rows: DataFrame) -> DataFrame:
     """A balance entered by hand is of the day it is recorded, or earlier."""
     return first_broken(rows, ((F.col("source") == "manual") & (F.col("as_of_date") > F.col("recorded_on")), "observed_after_recording"))
+
+
+def statement_balances(rows: DataFrame) -> DataFrame:
+    """A statement's parsed balances are among its evidence, and those confirmed are of the fields that its evidence names.
+
+    ``evidence``: an array of structs of field (opening or closing) and amount, null where it could not be read. ``opening_balance``,
+    ``closing_balance``: parsed, or null. ``confirmed``: a struct of both as the user confirmed them, null if not at all.
+    """
+    # one side as (field, amount) pairs: sets are compared as arrays without order or repeats
+    pair = lambda field, amount: F.when(amount.isNotNull(), F.struct(F.lit(field).alias("field"), amount.cast("decimal(18,2)").alias("amount")))
+    parsed = F.array_compact(F.array(pair("opening", F.col("opening_balance")), pair("closing", F.col("closing_balance"))))
+    read = F.transform(F.filter("evidence", lambda e: e["amount"].isNotNull()), lambda e: F.struct(e["field"].alias("field"), e["amount"].cast("decimal(18,2)").alias("amount")))
+    named = F.array_distinct(F.transform("evidence", lambda e: e["field"]))
+    told = F.array_compact(F.array(*(F.when(F.col(f"confirmed.{f}").isNotNull(), F.lit(f)) for f in ("opening", "closing"))))
+    differ = (F.size(F.array_except(told, named)) > 0) | (F.size(F.array_except(named, told)) > 0)
+    return first_broken(
+        rows, (F.size(F.array_except(parsed, read)) > 0, "balance_evidence_missing"), ((F.size(named) == 0) & F.col("confirmed").isNotNull(), "unexpected_balance_confirmation"),
+        ((F.size(named) > 0) & F.col("confirmed").isNull(), "balances_unconfirmed"), ((F.size(named) > 0) & differ, "balance_fields_changed"),
+    )
+
+
+def confusion_matrices(rows: DataFrame) -> DataFrame:
+    """``labels`` once each, ``matrix`` square over them without negative counts, and ``classes`` (category_id, support) in their order with the rows' sums."""
+    size = F.size("labels")
+    sums = F.transform("matrix", lambda r: F.aggregate(r, F.lit(0).cast("long"), lambda a, x: a + x))
+    return first_broken(
+        rows, (F.size(F.array_distinct("labels")) != size, "labels_not_unique"), ((F.size("matrix") != size) | F.exists("matrix", lambda r: F.size(r) != size), "matrix_not_square"),
+        (F.exists("matrix", lambda r: F.exists(r, lambda x: x < 0)), "negative_count"), (F.transform("classes", lambda c: c["category_id"]) != F.col("labels"), "classes_not_in_label_order"),
+        (F.transform("classes", lambda c: c["support"].cast("long")) != sums, "support_differs"),
+    )
+
+
+def evaluations(rows: DataFrame) -> DataFrame:
+    """Dates of both parts in order, training before test where the split is by time, and both models' matrices over all test rows, the same ones.
+
+    ``train_start``, ``train_end``, ``test_start``, ``test_end``, ``kind``, ``test_rows``, ``candidate`` and ``baseline`` (arrays of arrays of counts).
+    """
+    each = lambda c: F.transform(c, lambda r: F.aggregate(r, F.lit(0).cast("long"), lambda a, x: a + x))
+    total = lambda c: F.aggregate(each(c), F.lit(0).cast("long"), lambda a, x: a + x)
+    return first_broken(
+        rows, (F.col("train_end") < F.col("train_start"), "training_dates"), (F.col("test_end") < F.col("test_start"), "test_dates"),
+        ((F.col("kind") == "chronological") & (F.col("train_end") >= F.col("test_start")), "training_not_before_test"), (total("candidate") != F.col("test_rows"), "candidate_not_all_rows"),
+        (total("baseline") != F.col("test_rows"), "baseline_not_all_rows"), (each("candidate") != each("baseline"), "different_test_rows"),
+    )

@@ -45,6 +45,19 @@ def balance_breaks(spark, d):
     return synthetic.balance_breaks(rows).select("txn_id")
 
 
+def synthetic_receipts(spark, d):
+    return synthetic.receipts(holders(spark, d)).select("account_id", "txn_date", "merchant", "amount")
+
+
+def synthetic_purchases(spark, d):
+    """What each account buys at each shop over its period."""
+    return synthetic.purchases(holders(spark, d)).groupBy("account_id", "merchant").agg(F.count("*").alias("rows"), F.sum("amount").cast("decimal(38,2)").alias("spent"), F.min("txn_date").alias("first_day"))
+
+
+def _drawn(bound, *parts):
+    return f"(CAST('0x' || substr(md5(concat_ws('|', '17', {', '.join(parts)})), 1, 12) AS BIGINT) % ({bound}))"
+
+
 QUERIES = {
     "synthetic_recurring": (
         synthetic_recurring,
@@ -69,4 +82,19 @@ QUERIES = {
         f"""WITH {ACTIVITY}, b AS (SELECT *, sum(amount) OVER (PARTITION BY account_id ORDER BY txn_date, txn_id ROWS UNBOUNDED PRECEDING) + CASE WHEN txn_id % 50 = 0 THEN 0.01 ELSE 0 END AS balance FROM activity)
         SELECT txn_id FROM (SELECT *, coalesce(lag(balance) OVER (PARTITION BY account_id ORDER BY txn_date, txn_id), 0) + amount AS due FROM b) WHERE due <> balance""",
     ),
+    "synthetic_receipts": (
+        synthetic_receipts,
+        f"""WITH {HOLDERS}, m AS (SELECT *, CAST(unnest(generate_series(date_trunc('month', start_date), CAST(end_date AS TIMESTAMP), INTERVAL 1 MONTH)) AS DATE) AS month FROM holders WHERE profile = 'irregular'),
+        k AS (SELECT *, unnest(generate_series(1, {_drawn(4, "'count'", "account_id", "month")} + 1)) AS k FROM m),
+        r AS (SELECT account_id, month + CAST({_drawn("day(last_day(month))", "'day'", "account_id", "month", "k")} AS INTEGER) AS txn_date, ['Fictional Client A', 'Fictional Client B', 'Fictional Client C'][{_drawn(3, "'client'", "account_id", "month", "k")} + 1] AS merchant,
+          CAST(({_drawn(100001, "'amount'", "account_id", "month", "k")} + 25000) * 0.01 AS DECIMAL(18,2)) AS amount, start_date, end_date FROM k)
+        SELECT account_id, txn_date, merchant, amount FROM r WHERE txn_date BETWEEN start_date AND end_date""",
+    ),
+    "synthetic_purchases": (
+        synthetic_purchases,
+        f"""WITH {HOLDERS}, t AS (SELECT account_id, profile, CAST(unnest(generate_series(CAST(start_date AS TIMESTAMP), CAST(end_date AS TIMESTAMP), INTERVAL 1 DAY)) AS DATE) AS day FROM holders),
+        b AS (SELECT *, {_drawn(4, "'shop'", "account_id", "day")} AS shop FROM t WHERE {_drawn(10000, "'buys'", "account_id", "day")} < CASE profile WHEN 'student' THEN 4500 WHEN 'salaried' THEN 5500 ELSE 5000 END * CASE WHEN isodow(day) >= 6 THEN 1.2 ELSE 1.0 END),
+        s(shop, name, lo, hi) AS (VALUES {", ".join(f"({i}, '{n}', {lo}, {hi})" for i, (n, lo, hi) in enumerate(synthetic.SHOPS))})
+        SELECT account_id, name AS merchant, count(*) AS rows, CAST(sum(-CAST(({_drawn("hi - lo + 1", "'price'", "account_id", "day")} + lo) * 0.01 AS DECIMAL(18,2))) AS DECIMAL(38,2)) AS spent, min(day) AS first_day FROM b JOIN s USING (shop) GROUP BY account_id, name""",
+    ),
 }

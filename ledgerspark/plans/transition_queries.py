@@ -93,6 +93,33 @@ def contract_violations(spark, d):
     return told[0].unionByName(told[1]).unionByName(told[2]).select("contract", F.coalesce("violation", F.lit("none")).alias("violation"), "rows")
 
 
+def statement_balance_contracts(spark, d):
+    """Orders as statements whose balances are named, read, parsed and confirmed by remainders of their keys."""
+    key, price = F.col("o_orderkey"), F.col("o_totalprice").cast("decimal(18,2)")
+    said = lambda condition, field, amount: F.when(condition, F.struct(F.lit(field).alias("field"), amount.alias("amount")))
+    rows = read(spark, d, "orders").select(
+        key.alias("statement_id"), F.array_compact(F.array(said(key % 3 != 0, "opening", price), said(key % 4 != 0, "closing", F.when(key % 5 != 0, price)))).alias("evidence"),
+        F.when(key % 3 != 0, price + F.when(key % 7 == 0, 1).otherwise(0)).alias("opening_balance"), F.when((key % 4 != 0) & (key % 5 != 0), price).alias("closing_balance"),
+        F.when(key % 5 != 1, F.struct(F.when(key % 3 != 0, price).alias("opening"), F.when((key % 4 != 0) | (key % 11 == 0), price).alias("closing"))).alias("confirmed"),
+    )
+    return contracts.statement_balances(rows).select("statement_id", "violation")
+
+
+def confusion_matrix_contracts(spark, d):
+    key = F.col("o_orderkey")
+    counts = lambda *c: F.array(*(x.cast("long") if not isinstance(x, int) else F.lit(x).cast("long") for x in c))
+    first = F.when(key % 19 == 0, -1).otherwise(key % 5)
+    square = F.array(counts(first, 1), counts(2, key % 3))
+    one = lambda label, n: F.struct(F.lit(label).alias("category_id"), n.cast("long").alias("support"))
+    supports = (key % 5 + 1 + F.when(key % 7 == 0, 1).otherwise(0), key % 3 + 2)
+    rows = read(spark, d, "orders").select(
+        key.alias("evaluation_id"), F.when(key % 13 == 0, F.array(F.lit("a"), F.lit("a"))).otherwise(F.array(F.lit("a"), F.lit("b"))).alias("labels"),
+        F.when(key % 17 == 0, F.concat(square, F.array(counts(0, 0)))).otherwise(square).alias("matrix"),
+        F.when(key % 11 == 0, F.array(one("b", supports[0]), one("a", supports[1]))).otherwise(F.array(one("a", supports[0]), one("b", supports[1]))).alias("classes"),
+    )
+    return contracts.confusion_matrices(rows).select("evaluation_id", "violation")
+
+
 QUERIES = {
     "manual_balances": (
         manual_balances,
@@ -119,4 +146,14 @@ QUERIES = {
         i AS (SELECT CASE WHEN o_orderkey % 13 = 0 THEN 'counts_do_not_add_up' WHEN o_orderkey % 17 = 0 THEN 'listed_rows_differ' WHEN (o_orderkey % 2 = 1 AND o_orderkey % 4 <> 1) <> (o_orderkey % 2 > 0) THEN 'status_does_not_fit' ELSE 'none' END AS violation FROM orders)
         SELECT 'daily' AS contract, violation, count(*) AS rows FROM d GROUP BY 2 UNION ALL SELECT 'weekly', violation, count(*) FROM w GROUP BY 2 UNION ALL SELECT 'import', violation, count(*) FROM i GROUP BY 2""",
     ),
+    "statement_balance_contracts": (
+        statement_balance_contracts,
+        """SELECT o_orderkey AS statement_id, CASE WHEN o_orderkey % 3 <> 0 AND o_orderkey % 7 = 0 THEN 'balance_evidence_missing' WHEN o_orderkey % 12 = 0 AND o_orderkey % 5 <> 1 THEN 'unexpected_balance_confirmation'
+        WHEN o_orderkey % 12 <> 0 AND o_orderkey % 5 = 1 THEN 'balances_unconfirmed' WHEN o_orderkey % 12 <> 0 AND o_orderkey % 44 = 0 THEN 'balance_fields_changed' END AS violation FROM orders""",
+    ),
+    "confusion_matrix_contracts": (
+        confusion_matrix_contracts,
+        """SELECT o_orderkey AS evaluation_id, CASE WHEN o_orderkey % 13 = 0 THEN 'labels_not_unique' WHEN o_orderkey % 17 = 0 THEN 'matrix_not_square' WHEN o_orderkey % 19 = 0 THEN 'negative_count' WHEN o_orderkey % 11 = 0 THEN 'classes_not_in_label_order'
+        WHEN o_orderkey % 7 = 0 THEN 'support_differs' END AS violation FROM orders""",
+    ),
 }

@@ -256,3 +256,35 @@ def test_grids_of_cells(spark):
     frame = spark.createDataFrame([("p", tables), ("q", None), ("r", [])], "page string, tables array<array<array<string>>>")
     got = sorted(map(tuple, statement_text.grid_rows(frame, "page").select("row_number", "transaction_date", "description", "amount", "credit", "debit").collect()))
     assert got == [(1, "1/1/2026", "A\nand more\nstill A", "5", None, None), (2, "2/1/2026", None, None, "7", None), (3, None, None, None, None, "9.50")]
+
+
+def test_synthetic_datasets(spark):
+    accounts = spark.createDataFrame([(1, "student", D(2025, 1, 15), D(2025, 6, 14)), (2, "irregular", D(2025, 1, 1), D(2025, 12, 31))], "account_id long, profile string, start_date date, end_date date")
+    rows = synthetic.dataset(accounts).collect()
+    assert sorted(map(str, rows)) == sorted(map(str, synthetic.dataset(accounts.repartition(7)).collect()))
+    months = {}
+    for r in rows:
+        if r.series == "receipt":
+            months.setdefault(r.txn_date.month, []).append(r)
+            assert Decimal(250) <= r.amount <= Decimal(1250) and r.merchant in synthetic.CLIENTS
+    assert set(months) == set(range(1, 13)) and {len(v) for v in months.values()} <= {1, 2, 3, 4}
+    for account in (1, 2):
+        own = sorted((r for r in rows if r.account_id == account), key=lambda r: (r.txn_date, r.merchant, r.amount, r.anomaly is not None, r.anomaly or ""))
+        total = Decimal(0)
+        for r in own:
+            total += 0 if r.anomaly == "exact_duplicate" else r.amount
+            assert r.balance == total
+        twin = next(r for r in own if r.anomaly == "exact_duplicate")
+        assert any(r.anomaly is None and (r.external_id, r.balance) == (twin.external_id, twin.balance) for r in own)
+        weekend = sum(r.series == "purchase" and r.txn_date.weekday() >= 5 for r in own)
+        assert 0 < weekend < sum(r.series == "purchase" for r in own)
+
+
+def test_evaluations(spark):
+    from ledgerspark.operators import contracts
+
+    fine = (D(2026, 1, 1), D(2026, 1, 9), D(2026, 1, 10), D(2026, 1, 20), "chronological", 4, [[1, 1], [0, 2]], [[2, 0], [2, 0]])
+    cases = [fine, (D(2026, 1, 10), *fine[1:]), (*fine[:3], D(2026, 1, 9), *fine[4:]), (fine[0], D(2026, 1, 10), *fine[2:]), (fine[0], D(2026, 1, 10), *fine[2:4], "unseen_merchant", *fine[5:]), (*fine[:5], 5, *fine[6:]), (*fine[:7], [[1, 0], [2, 0]]), (*fine[:7], [[3, 0], [1, 0]])]
+    schema = "train_start date, train_end date, test_start date, test_end date, kind string, test_rows long, candidate array<array<long>>, baseline array<array<long>>"
+    got = [r.violation for r in contracts.evaluations(spark.createDataFrame(cases, schema)).collect()]
+    assert got == [None, "training_dates", "test_dates", "training_not_before_test", None, "candidate_not_all_rows", "baseline_not_all_rows", "different_test_rows"]
