@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerspark.operators import training
+from ledgerspark.session import cut
 
 #: Terms of each kind that are kept, the most frequent first; rows below which a part is too small.
 FEATURES, LEAST_TRAIN, LEAST_TEST = 1 << 16, 20, 5
@@ -81,7 +82,7 @@ def evaluated(train: DataFrame, test: DataFrame) -> DataFrame:
     most = train.groupBy("category_id").count().orderBy(F.desc("count"), "category_id").limit(1).select(F.col("category_id").alias("guess"))
     guesses = predict(fit(train), test).select(F.lit("candidate").alias("model"), F.col("category_id").alias("label"), "guess")
     guesses = guesses.unionByName(test.join(F.broadcast(most)).select(F.lit("baseline").alias("model"), F.col("category_id").alias("label"), "guess"))  # one row
-    cells = guesses.groupBy("model", "label", "guess").agg(F.count("*").alias("n")).cache()  # at most the square of the classes
+    cells = cut(guesses.groupBy("model", "label", "guess").agg(F.count("*").alias("n")))  # at most the square of the classes
     each = [training.overall_metrics(training.class_metrics(cells.filter(F.col("model") == m))).withColumn("model", F.lit(m)) for m in ("candidate", "baseline")]
     return each[0].unionByName(each[1])
 

@@ -26,8 +26,8 @@ def near_days(left: DataFrame, right: DataFrame, keys: list[str], days: int, dat
 
 
 def duplicate_candidates(rows: DataFrame) -> DataFrame:
-    """Pairs of one account's rows at most two days apart, the later id second."""
-    met = near_days(rows, rows, ["account_id"], DUPLICATE_DAYS).filter("a.txn_id < b.txn_id")
+    """Pairs of one account's rows of one amount at most two days apart, the later id second; others score below the threshold."""
+    met = near_days(rows, rows, ["account_id", "amount"], DUPLICATE_DAYS).filter("a.txn_id < b.txn_id")
     gap = F.abs(F.datediff("a.txn_date", "b.txn_date"))
     return met.select(
         F.col("a.account_id").alias("account_id"), F.col("a.txn_id").alias("first_id"), F.col("b.txn_id").alias("second_id"), gap.cast("long").alias("days"),

@@ -17,24 +17,29 @@ _KEYWORD_ROWS = ", ".join(f"('{r}', '{p}', '{c}', {'NULL' if d is None else repr
 _TEXTS = """texts AS (SELECT doc_id AS txn_id, CASE WHEN doc_id % 2 = 0 THEN 'inflow' ELSE 'outflow' END AS direction,
   trim(regexp_replace(replace(lower(text), 'ß', 'ss'), '[^\\p{L}\\p{N}]+', ' ', 'g')) AS text FROM documents)"""
 _NEAR = """near AS (SELECT a.account_id, a.txn_id AS first_id, b.txn_id AS second_id, CAST(abs(a.txn_date - b.txn_date) AS BIGINT) AS days, a.amount AS first_amount, b.amount AS second_amount,
-  a.merchant AS first_text, b.merchant AS second_text FROM ledger a JOIN ledger b ON a.account_id = b.account_id AND a.txn_id < b.txn_id AND abs(a.txn_date - b.txn_date) <= 2)"""
+  a.merchant AS first_text, b.merchant AS second_text FROM ledger a JOIN ledger b ON a.account_id = b.account_id AND a.txn_id < b.txn_id AND abs(a.txn_date - b.txn_date) <= 2
+  AND round(a.amount / 100000, 0) = round(b.amount / 100000, 0))"""
 _TRANSFERS = """pairs AS (SELECT a.profile_id, a.txn_id AS out_id, b.txn_id AS in_id, CAST(abs(a.txn_date - b.txn_date) AS BIGINT) AS days, a.description AS out_text, b.description AS in_text
   FROM activity a JOIN activity b ON a.profile_id = b.profile_id AND a.amount < 0 AND b.amount = -a.amount AND a.account_id <> b.account_id AND abs(a.txn_date - b.txn_date) <= 3)"""
 
 
+def _rounded(spark, d):
+    """The binding has no equal amounts to speak of, so its amounts are rounded to 100,000."""
+    return ledger(spark, d).withColumn("amount", F.round(F.col("amount") / 100000, 0).cast("decimal(18,2)"))
+
+
 def duplicate_candidates(spark, d):
-    return matching.duplicate_candidates(ledger(spark, d)).select("account_id", "first_id", "second_id", "days")
+    return matching.duplicate_candidates(_rounded(spark, d)).select("account_id", "first_id", "second_id", "days")
 
 
 def duplicate_scores_exact_text(spark, d):
-    """The binding has no equal amounts to speak of, so its amounts are rounded to 100,000 first."""
-    rows = ledger(spark, d).withColumn("amount", F.round(F.col("amount") / 100000, 0).cast("decimal(18,2)"))
+    rows = _rounded(spark, d)
     alike = (F.col("first_text") == F.col("second_text")).cast("double")
     return matching.duplicate_scores(matching.duplicate_candidates(rows), alike).select("first_id", "second_id", "score", "status")
 
 
 def duplicate_scores(spark, d):
-    rows = ledger(spark, d).withColumn("amount", F.round(F.col("amount") / 100000, 0).cast("decimal(18,2)"))
+    rows = _rounded(spark, d)
     return matching.duplicate_scores(matching.duplicate_candidates(rows), tx.similarity("first_text", "second_text")).select("first_id", "second_id", "score", "status")
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ledgerspark.functions import normalise as nm
@@ -111,9 +112,10 @@ def _approvals(spark, d):
 
 
 def _reviewed_rows(spark, d):
-    day, row = F.col("l_shipdate").cast("date"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("row_id")
-    rows = read(spark, d, "lineitem").filter("l_linenumber < 4").dropDuplicates(["l_orderkey", "l_linenumber"])
-    return rows.select(F.col("l_orderkey").alias("statement_id"), row, F.when(F.col("l_orderkey") % 7 == 0, F.date_format(day, "dd/MM/yyyy")).otherwise(day.cast("string")).alias("date_text"), day.alias("txn_date"), F.col("l_extendedprice").cast("decimal(18,2)").alias("amount"), F.lit(1).alias("account_id"), (F.col("l_linenumber") == 3).alias("needs_review"))
+    """All lines of an order, numbered: line numbers repeat in the table."""
+    day, row = F.col("l_shipdate").cast("date"), (F.col("l_orderkey") * 1000 + F.col("n")).alias("row_id")
+    rows = read(spark, d, "lineitem").withColumn("n", F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_shipdate", "l_extendedprice")))
+    return rows.select(F.col("l_orderkey").alias("statement_id"), row, F.when(F.col("l_orderkey") % 7 == 0, F.date_format(day, "dd/MM/yyyy")).otherwise(day.cast("string")).alias("date_text"), day.alias("txn_date"), F.col("l_extendedprice").cast("decimal(18,2)").alias("amount"), F.lit(1).alias("account_id"), (F.col("n") == 3).alias("needs_review"))
 
 
 def _decisions(spark, d):
@@ -183,7 +185,7 @@ QUERIES = {
     ),
     "statement_approval": (
         statement_approval,
-        """WITH r AS (SELECT DISTINCT ON (l_orderkey, l_linenumber) l_orderkey AS k, l_linenumber AS n, CAST(l_shipdate AS DATE) AS day, CAST(l_extendedprice AS DECIMAL(18,2)) AS amount FROM lineitem WHERE l_linenumber < 4),
+        """WITH r AS (SELECT l_orderkey AS k, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_shipdate, l_extendedprice) AS n, CAST(l_shipdate AS DATE) AS day, CAST(l_extendedprice AS DECIMAL(18,2)) AS amount FROM lineitem),
         o AS (SELECT o_orderkey AS k, CAST(o_orderdate AS DATE) AS day, CAST(o_totalprice AS DECIMAL(18,2)) AS total FROM orders),
         x AS (SELECT r.*, NOT (n = 3 AND r.k % 11 <> 0 AND r.k % 2 = 0) AS kept, n = 3 AND r.k % 11 = 0 AS open, n = 3 AND r.k % 11 <> 0 AND r.k % 17 = 0 AS moved, r.k % 7 = 0 AND day(r.day) <= 12 AND month(r.day) <> day(r.day) AS ambiguous,
           r.day NOT BETWEEN o.day AND o.day + 100 OR (r.k % 4 = 0 AND r.day BETWEEN o.day + 20 AND o.day + 24) AS outside FROM r JOIN o ON r.k = o.k),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ledgerspark.plans.bindings import read
@@ -10,11 +11,11 @@ from ledgerspark.sources import statement_text
 
 def pages(spark, d):
     """Each order as a page: a heading, its lines as movements, every second one continued on a further line, and a page number."""
-    rows = read(spark, d, "lineitem").filter("l_linenumber <= 7").dropDuplicates(["l_orderkey", "l_linenumber"])
+    rows = read(spark, d, "lineitem").withColumn("n", F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_shipdate", "l_partkey", "l_extendedprice")))
     day, cents = F.date_format(F.col("l_shipdate").cast("date"), "dd/MM/yyyy"), F.col("l_extendedprice").cast("decimal(18,2)").cast("string")
     line = F.concat(day, F.lit(" | part "), F.col("l_partkey").cast("string"), F.lit(" | "), cents, F.lit(" |"))
-    line = F.when(F.col("l_linenumber") % 2 == 0, F.concat(line, F.lit("\n | delivered late | |"))).otherwise(line)
-    body = rows.groupBy("l_orderkey").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("l_linenumber", line.alias("line")))), lambda x: x["line"]), "\n").alias("body"))
+    line = F.when(F.col("n") % 2 == 0, F.concat(line, F.lit("\n | delivered late | |"))).otherwise(line)
+    body = rows.groupBy("l_orderkey").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("n", line.alias("line")))), lambda x: x["line"]), "\n").alias("body"))
     heading = F.when(F.col("l_orderkey") % 3 == 0, "Date | Details | Paid out | Paid in").otherwise("Txn Date | Narrative | Amount | Balance")
     opening = F.concat(F.lit("Opening balance: "), F.col("l_orderkey").cast("string"), F.lit(".50"))
     return body.select(F.col("l_orderkey").alias("page"), F.concat_ws("\n", opening, heading, "body", F.lit("Page 1 of 1")).alias("text"))
@@ -35,7 +36,7 @@ def statement_balance_evidence(spark, d):
     return statement_text.balance_evidence(each, "document", "page").select("document", "kind", "page", "line_number", "amount")
 
 
-_LINES = """l AS (SELECT DISTINCT ON (l_orderkey, l_linenumber) l_orderkey AS page, l_linenumber AS n, CAST(l_shipdate AS DATE) AS day, l_partkey, CAST(l_extendedprice AS DECIMAL(18,2)) AS cents FROM lineitem WHERE l_linenumber <= 7),
+_LINES = """l AS (SELECT l_orderkey AS page, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_shipdate, l_partkey, l_extendedprice) AS n, CAST(l_shipdate AS DATE) AS day, l_partkey, CAST(l_extendedprice AS DECIMAL(18,2)) AS cents FROM lineitem),
   r AS (SELECT *, row_number() OVER (PARTITION BY page ORDER BY n) AS row_number FROM l)"""
 QUERIES = {
     "statement_rows": (
@@ -48,6 +49,6 @@ QUERIES = {
     ),
     "statement_balance_evidence": (
         statement_balance_evidence,
-        "SELECT l_orderkey % 100 AS document, 'opening' AS kind, max(l_orderkey) AS page, 1 AS line_number, CAST(max(l_orderkey) + 0.5 AS DECIMAL(18,2)) AS amount FROM lineitem WHERE l_linenumber <= 7 GROUP BY 1",
+        "SELECT l_orderkey % 100 AS document, 'opening' AS kind, max(l_orderkey) AS page, 1 AS line_number, CAST(max(l_orderkey) + 0.5 AS DECIMAL(18,2)) AS amount FROM lineitem GROUP BY 1",
     ),
 }
