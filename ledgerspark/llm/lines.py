@@ -124,8 +124,11 @@ def marked(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataF
     drops, apart = dropped_lines(docs, id_col, text)
     drops = drops.toDF(key_id, key_h, drop).hint("shuffle_hash")
     both = docs.withColumn(own, F.xxhash64(text) if apart else F.lit(0).cast("long")).join(drops, F.col(id_col).eqNullSafe(F.col(key_id)) & (F.col(own) == F.col(key_h)), "left")
-    lines = F.split(text, "\n", -1)
-    gone = F.transform(F.filter(drop, lambda d: d["j"].isNull()), lambda d: d["i"])
+    # the lines and those that go, in a row of their own: what is done for each line does not cut the text again
+    parts_of = F.struct(F.split(text, "\n", -1).alias("lines"), F.transform(F.filter(drop, lambda d: d["j"].isNull()), lambda d: d["i"]).alias("gone"))
+    (cut_up,) = unused(both, "cut_up")
+    both = both.select("*", F.explode(F.array(parts_of)).alias(cut_up))
+    lines, gone = F.col(f"{cut_up}.lines"), F.col(f"{cut_up}.gone")
 
     def shortened(i: Column) -> Column:
         some = F.transform(F.filter(drop, lambda d: (d["i"] == i) & d["j"].isNotNull()), lambda d: d["j"])
