@@ -16,8 +16,11 @@ rejected if the result reaches ``reject`` and its three templates hold ``EVIDENC
 So a branch that is bad wherever it is labelled is rejected on hosts without labels of their own,
 and a host's own good labels outweigh it.
 
-Everything is DataFrame aggregation: counts are combined before each shuffle, and the pages meet
-the finished trees once, in a join that adaptive execution splits for a hot host.
+Counts are combined before each shuffle. A node of at most ``NODE_CHARS`` characters of shapes is
+grown to its leaves in one grouped pass, whatever its depth; larger ones grow a level a round by
+DataFrame aggregation until their branches are small, so rounds follow how often more than that many
+characters share a branch, not the depth of paths. The pages meet the finished trees once, in a join
+that adaptive execution splits for a hot host.
 
 Nulls: a null url, or one without ``://``, has an empty host and path and is judged like any other
 template. Repeated rows each give a row. An empty table gives an empty result; without any label
@@ -28,14 +31,18 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerspark.llm.shared import forget, staged
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: The test's critical value; labels that count as evidence; weight of the smoothing; the mark that ends a shape.
-CRITICAL, EVIDENCE, WEIGHT, END = 1.96, 3, 2.0, "<end>"
+#: The test's critical value; labels that count as evidence; weight of the smoothing; the mark that ends a shape, which no segment can be.
+CRITICAL, EVIDENCE, WEIGHT, END = 1.96, 3, 2.0, "/<end>"
+#: Characters of shapes up to which a node's tree is grown in one task.
+NODE_CHARS = 1 << 24
 #: The trees that a host's pages belong to, from its own to that of all pages.
 SCOPES = 3
 
@@ -80,11 +87,77 @@ def scopes(host: Column) -> Column:
     return F.array(host, F.concat(F.lit("*."), F.substring_index(host, ".", -2)), F.lit("*"))
 
 
+def grown(template: str, segments: np.ndarray, names: list[str], starts: np.ndarray, ends: np.ndarray, good: np.ndarray, bad: np.ndarray) -> list[str]:
+    """The template of each shape below a node: ``segments`` index ``names``, a shape's are those from its start to its end."""
+    out = [""] * len(starts)
+    open_ = [(np.arange(len(starts)), 0, template)]  # shapes, segments used up, template so far
+    while open_:
+        rows, at, template = open_.pop()
+        first, n = rows[0], ends[rows] - starts[rows]
+        if not (good[rows].sum() + bad[rows].sum()):
+            alike = (n == n[0]).all() and all((segments[starts[rows] + k] == segments[starts[first] + k]).all() for k in range(at, n[0]))
+            onward = [names[s] for s in segments[starts[first] + at : ends[first]]] if alike else ["**"]
+            for r in rows:
+                out[r] = "/".join([template, *onward])
+            continue
+        while at < n.min() and (segments[starts[rows] + at] == segments[starts[first] + at]).all():
+            template, at = f"{template}/{names[segments[starts[first] + at]]}", at + 1
+        if at == n.min():  # only where all are alike: a shape ends with a mark of its own
+            for r in rows:
+                out[r] = template
+            continue
+        kinds, own = np.unique(segments[starts[rows] + at], return_inverse=True)
+        g, b = np.bincount(own, good[rows]), np.bincount(own, bad[rows])
+        pg, pb = g.sum(), b.sum()
+        n_own, n_rest = g + b, pg + pb - g - b
+        pooled = (pb + 0.5) / (pg + pb + 1)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            gap = b / n_own - (pb - b) / n_rest
+            differs = np.abs(gap) > CRITICAL * np.sqrt(pooled * (1 - pooled) * (1 / n_own + 1 / n_rest))
+        differs &= (n_own > 0) & (n_rest > 0)
+        literal = (differs & (gap > 0)) | ((n_own >= EVIDENCE) & (n_rest == 0))
+        to = np.array([names[k] if keep else "<good>" if apart else "*" for k, keep, apart in zip(kinds, literal, differs, strict=True)], object)
+        merged, branch = np.unique(to, return_inverse=True)
+        branch = branch[own]
+        order = np.argsort(branch, kind="stable")
+        for name, some in zip(merged, np.split(rows[order], np.cumsum(np.bincount(branch, minlength=len(merged)))[:-1]), strict=True):
+            ended = ends[some] - starts[some] == at + 1
+            for r in some[ended]:
+                out[r] = f"{template}/{name}"
+            if not ended.all():
+                open_.append((some[~ended], at + 1, f"{template}/{name}"))
+    return out
+
+
+def small_trees(nodes: DataFrame) -> DataFrame:
+    """``scope``, ``shape``, ``template``, ``good``, ``bad`` of all shapes of nodes that are small, each grown in one task."""
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        rest = table["rest"].chunk(0)
+        coded = rest.flatten().dictionary_encode()
+        ends = np.cumsum(rest.value_lengths().to_numpy())
+        starts = np.concatenate([[0], ends[:-1]])
+        good, bad = table["good"].to_numpy(), table["bad"].to_numpy()
+        found = grown(table["template"][0].as_py(), coded.indices.to_numpy(), coded.dictionary.to_pylist(), starts, ends, good, bad)
+        return table.select(["scope", "shape"]).append_column("template", pa.array(found, pa.string())).append_column("good", table["good"]).append_column("bad", table["bad"])
+
+    return nodes.select("scope", "shape", "template", "good", "bad", "rest").groupBy("scope", "template").applyInArrow(run, "scope string, shape array<string>, template string, good long, bad long")
+
+
 def template_tree(counts: DataFrame) -> DataFrame:
     """Stored: ``scope``, ``shape`` and its ``template`` for ``counts`` (scope, shape, good, bad), one row a shape."""
     growing = staged(counts.withColumn("rest", F.col("shape")).withColumn("template", F.lit("")), "url-tree")
-    finished, parts = [], []
+    finished, parts = [], [growing]
     while not growing.isEmpty():
+        chars = F.sum(F.length(F.array_join("rest", "/")))
+        sized = growing.join(growing.groupBy("scope", "template").agg((chars <= NODE_CHARS).alias("small")), ["scope", "template"])
+        sized = staged(sized, "url-sized")
+        finished.append(staged(small_trees(sized.filter("small")), "url-small"))
+        growing = sized.filter("NOT small").drop("small")
+        parts += [sized, finished[-1]]
+        if growing.isEmpty():
+            break
         nodes = growing.groupBy("scope", "template").agg(F.min("rest").alias("lo"), F.max("rest").alias("hi"), F.sum(F.col("good") + F.col("bad")).alias("labels"))
         # the smallest and the largest shape of a node share just what all of them share
         shared = F.array_position(F.zip_with("lo", "hi", lambda x, y: x.eqNullSafe(y)), False).cast("int") - 1
@@ -92,10 +165,10 @@ def template_tree(counts: DataFrame) -> DataFrame:
         nodes = nodes.select("scope", "template", done.alias("done"), F.when(~done, shared).otherwise(0).alias("shared"), (F.col("lo") == F.col("hi")).alias("single"))
         tree = growing.join(nodes, ["scope", "template"])
         onward = F.when(F.col("done"), F.when(F.col("single"), F.array_join("rest", "/")).otherwise("**")).otherwise(F.array_join(F.slice("rest", F.lit(1), F.col("shared")), "/"))
-        tree = tree.withColumn("template", F.concat_ws("/", "template", F.when(onward != "", onward)))
+        tree = tree.withColumn("template", F.concat_ws("/", "template", F.when(F.col("done") | (F.col("shared") > 0), onward)))
         tree = tree.withColumn("rest", F.expr("slice(rest, shared + 1, size(rest))")).withColumn("segment", F.get("rest", F.lit(0)))
         tree = staged(tree.drop("shared", "single"), "url-tree")
-        parts += [growing, tree]
+        parts.append(tree)
         finished.append(tree.filter("done").select("scope", "shape", "template", "good", "bad"))
         children = tree.filter("NOT done").groupBy("scope", "template", "segment").agg(F.sum("good").alias("g"), F.sum("bad").alias("b"))
         parents = children.groupBy("scope", "template").agg(F.sum("g").alias("pg"), F.sum("b").alias("pb"))
@@ -108,15 +181,16 @@ def template_tree(counts: DataFrame) -> DataFrame:
         alone = (n >= EVIDENCE) & (rest == 0)
         to = F.when((differs & (gap > 0)) | alone, F.col("segment")).when(differs, "<good>").otherwise("*")
         judged = judged.select("scope", "template", "segment", to.alias("to"))
-        grown = tree.filter("NOT done").join(judged, ["scope", "template", "segment"])
-        grown = grown.withColumn("template", F.concat_ws("/", "template", "to")).withColumn("rest", F.expr("slice(rest, 2, size(rest))"))
+        onward = tree.filter("NOT done").join(judged, ["scope", "template", "segment"])
+        onward = onward.withColumn("template", F.concat_ws("/", "template", "to")).withColumn("rest", F.expr("slice(rest, 2, size(rest))"))
         # a shape that ends here leaves nothing to grow on
         ended = F.size("rest") == 0
-        grown = staged(grown.select("scope", "shape", "template", "good", "bad", "rest", ended.alias("ended")), "url-tree")
-        finished.append(grown.filter("ended").select("scope", "shape", "template", "good", "bad"))
-        growing = grown.filter("NOT ended").drop("ended")
+        onward = staged(onward.select("scope", "shape", "template", "good", "bad", "rest", ended.alias("ended")), "url-tree")
+        finished.append(onward.filter("ended").select("scope", "shape", "template", "good", "bad"))
+        parts.append(onward)
+        growing = onward.filter("NOT ended").drop("ended")
     found = staged(reduce(DataFrame.unionByName, finished, growing.select("scope", "shape", "template", "good", "bad")), "url-templates")
-    forget(growing, *parts)
+    forget(*parts)
     return found
 
 

@@ -1,7 +1,9 @@
 """URL parsing, rules and the template tree against plain Python and hand-made hosts."""
 
 import random
+import time
 
+import pytest
 from pyspark.sql import functions as F
 
 from ledgerspark.llm import urls
@@ -136,7 +138,10 @@ def check_tree(spark, counts):
     return found
 
 
-def test_tree_against_plain_python(spark):
+@pytest.mark.parametrize("chars", [0, 300, urls.NODE_CHARS])
+def test_tree_against_plain_python(spark, monkeypatch, chars):
+    """In rounds only, in rounds until nodes are small, and in one pass."""
+    monkeypatch.setattr(urls, "NODE_CHARS", chars)
     rng = random.Random(4)
     counts = {}
     for _ in range(300):
@@ -160,6 +165,16 @@ def test_deep_and_wide_trees(spark):
     assert not any(found["w.org", (f"s{i}", "<n>", urls.END)][2] for i in range(1_000))
 
 
+def test_a_chain_of_nested_paths(spark):
+    """1,500 paths, each one segment longer than the one before, and a segment that looks like the mark of the end."""
+    counts = {("h.com", (*(["s"] * n), urls.END)): (n % 2, n % 3 == 0) for n in range(1, 1_501)}
+    counts |= {("x.org", ("a", "<end>", urls.END)): (3, 0), ("x.org", ("a", "<end>", "b", urls.END)): (0, 3), ("x.org", ("", urls.END)): (1, 0)}
+    rows = [(h, list(s), int(g), int(b)) for (h, s), (g, b) in counts.items()]
+    began = time.monotonic()
+    got = urls.judged_shapes(spark.createDataFrame(rows, "host string, shape array<string>, good long, bad long")).collect()
+    assert len(got) == len(rows) and time.monotonic() - began < 60
+
+
 def test_tree_of_a_table(spark):
     """The whole query's verdicts, with the labels its rules give."""
     pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
