@@ -17,7 +17,9 @@ Jaccard similarity of 0.8 or more. Such texts differ in about 10 bits of a finge
 blocks, so candidates meet in min-hash bands: ROWS smallest values under as many random orders agree
 with probability similarity ** ROWS, so at 0.8 a pair shares none of BANDS bands once in 16,000.
 Candidates are verified on their exact sets, each first with one member of its bucket, then, only
-where a bucket is still of several components, with the members of the others.
+where a bucket is still of several components, with the members of the others. In a bucket of more
+than ``PAIRS_UP_TO`` members those must also share one of their rarest shingles, as all sets that
+are alike do, so that a bucket filled by boilerplate is never paired with itself.
 
 Nulls: a null text is empty; a text without words has fingerprint zero and is linked like any
 other; a null id is never the smallest unless its component has no other. Repeated rows each give
@@ -32,12 +34,12 @@ from itertools import combinations, repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerspark.llm.shared import LOWER, forget, staged, unused, utf8
 
-#: Bits in which linked fingerprints may differ, and the bucket size up to which pairs are verified one by one.
+#: Bits in which linked fingerprints may differ, and the bucket size up to which all pairs of a bucket are looked at.
 DISTANCE, PAIRS_UP_TO = 2, 64
 #: Bands of ``keep_one`` and smallest values in each.
 BANDS, ROWS = 32, 6
@@ -217,6 +219,29 @@ def alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return staged(both.mapInArrow(run, "a long, b long"), "alike")
 
 
+def rarest(nodes: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Stored: ``node``, ``n``, ``root`` and, a row each, the rarest ``shingle``s of each node's set.
+
+    Sets of at least ``similarity`` share a shingle among the first n - ceil(similarity * n) + 1 of each
+    in any order that all follow. Here the rarest come first, so what many of the nodes have in common
+    (the boilerplate that filled their bucket) brings no pairs together.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for node, n, root, own in zip(*(column.to_pylist() for column in batch.columns), strict=True):
+                own = np.frombuffer(own, np.int64)
+                yield pa.RecordBatch.from_arrays([*(pa.array(np.full(len(own), one)) for one in (node, n, root)), pa.array(own)], ["node", "n", "root", "shingle"])
+
+    each = nodes.join(sets, "node").select("node", "n", "root", "own").mapInArrow(run, "node long, n long, root long, shingle long")
+    each = staged(each, "shingles-open")
+    held = each.join(each.groupBy("shingle").agg(F.count("*").alias("held")), "shingle")
+    place = F.row_number().over(Window.partitionBy("node").orderBy("held", "shingle"))  # one set's shingles
+    found = staged(held.withColumn("place", place).filter(F.col("place") <= F.col("n") - F.ceil(F.col("n") * similarity - 1e-9) + 1).select("node", "n", "root", "shingle"), "shingles-rare")
+    forget(each)
+    return found
+
+
 def near_groups(docs: DataFrame, id_col: str, text: str, width: int, similarity: float) -> DataFrame:
     """``id``, ``digest`` of the text and ``root`` of each row; rows with one root are reachable over pairs of texts that are ``similarity`` alike."""
     found = staged(signatures(docs, id_col, text, width), "signatures")
@@ -237,16 +262,21 @@ def near_groups(docs: DataFrame, id_col: str, text: str, width: int, similarity:
     roots = components(edges)
     placed = shared.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     placed = staged(placed, "buckets-placed")
-    mixed = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("key")
+    open_ = F.min("root") != F.max("root")
+    mixed = placed.groupBy("key").agg(open_.alias("open"), F.count("*").alias("members")).filter("open").select("key", "members")
     open_ = staged(placed.join(mixed, "key").filter("node <> b"), "buckets-open")
-    x, y = open_.alias("x"), open_.alias("y")
+    x, y = (open_.filter(F.col("members") <= PAIRS_UP_TO).alias(side) for side in "xy")
     rest = x.join(y, F.expr("x.key = y.key AND x.node < y.node AND x.root <> y.root") & sizes("x.n", "y.n"))
-    rest = staged(rest.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct(), "bucket-pairs")
+    rest = rest.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
+    rare = rarest(open_.filter(F.col("members") > PAIRS_UP_TO).select("node", "n", "root").distinct(), sets, similarity)
+    x, y = rare.alias("x"), rare.alias("y")
+    met = x.join(y, F.expr("x.shingle = y.shingle AND x.node < y.node AND x.root <> y.root") & sizes("x.n", "y.n"))
+    rest = staged(rest.unionByName(met.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))).distinct(), "bucket-pairs")
     roots = components(edges.unionByName(alike(rest, sets, similarity)))
 
     final = distinct.select("node").join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
     final = staged(final, "near-final")  # stored, so that the join of a hot text's copies can be split
-    forget(shared, stars, placed, open_, rest, sets)
+    forget(shared, stars, placed, open_, rare, rest, sets)
     return found.select("id", "digest", "node").join(final, "node").select("id", "digest", "root")
 
 

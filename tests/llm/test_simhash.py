@@ -152,6 +152,22 @@ def test_keep_one_by_similarity(spark):
     assert sorted(r.doc_id for r in got.collect()) == plain_kept(rows)
 
 
+@pytest.mark.parametrize("up_to", [0, 64])
+def test_keep_one_in_buckets_of_boilerplate(spark, monkeypatch, up_to):
+    """Pages of one site: most of each is shared, what tells them apart is just below or above the bar."""
+    monkeypatch.setattr(simhash, "PAIRS_UP_TO", up_to)
+    rng = random.Random(9)
+    shared = [f"menu{i}" for i in range(160)]
+    own = {k: [f"p{k}x{i}" for i in range(rng.randint(10, 60))] for k in range(60)}
+    rows = []
+    for i in range(150):
+        words = [*shared, *own[rng.randrange(60)]]
+        words[rng.randrange(len(words))] = f"edit{i % 7}"
+        rows.append((i, " ".join(words)))
+    got = simhash.keep_one(spark.createDataFrame([(d, t, "", 0) for d, t in rows], SCHEMA))
+    assert sorted(r.doc_id for r in got.collect()) == plain_kept(rows)
+
+
 def test_keep_one_of_a_table(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
     assert sorted(r.doc_id for r in simhash.keep_one(docs).collect()) == plain_kept([(r.doc_id, r.text) for r in docs.collect()])
