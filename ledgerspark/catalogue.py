@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from ledgerspark.plans import cashflow_queries, coverage_queries, duplicate_queries, evidence_queries, lookup_queries, matching_queries, normalise_queries, rule_queries, series_queries, statement_queries, synthetic_queries, training_queries, transition_queries
+from ledgerspark.plans import cashflow_queries, coverage_queries, duplicate_queries, evidence_queries, lookup_queries, matching_queries, normalise_queries, review_queries, rule_queries, series_queries, statement_queries, synthetic_queries, training_queries, transition_queries
 
-MODULES = (cashflow_queries, coverage_queries, duplicate_queries, evidence_queries, lookup_queries, matching_queries, normalise_queries, rule_queries, series_queries, statement_queries, synthetic_queries, training_queries, transition_queries)
+MODULES = (cashflow_queries, coverage_queries, duplicate_queries, evidence_queries, lookup_queries, matching_queries, normalise_queries, review_queries, rule_queries, series_queries, statement_queries, synthetic_queries, training_queries, transition_queries)
 
 
 def queries():

@@ -102,11 +102,12 @@ def suggestion_key(kind: Column, *ids: Column) -> Column:
     return F.sha2(F.concat_ws("|", kind, F.array_sort(F.array(*(i.cast("string") for i in ids)))), 256)
 
 
-def normalise(rows: DataFrame) -> DataFrame:
+def normalise(rows: DataFrame, *keep: str) -> DataFrame:
     """Ledger rows from source rows (``account_id``, ``account_currency``, ``source_id`` and the texts of their cells), with the first ``error`` of each.
 
     Columns of text: transaction_date, posting_date, description, amount, debit, credit, balance,
-    currency, external_id, transaction_type. A row with an error keeps what could be read.
+    currency, external_id, transaction_type. A row with an error keeps what could be read,
+    and every row the columns of ``keep``, whose names are none of those above or below.
     """
     raw = ("transaction_date", "posting_date", "description", "amount", "debit", "credit", "balance", "currency", "external_id", "transaction_type")
     once = lambda name, **parts: F.explode(F.array(F.struct(*(c.alias(n) for n, c in parts.items())))).alias(name)
@@ -131,5 +132,5 @@ def normalise(rows: DataFrame) -> DataFrame:
     return cleaned.select(
         "source_id", "account_id", date.alias("txn_date"), posting.alias("posting_date"), F.col("_text").alias("description"), merchant.alias("merchant"), amount.alias("amount"), balance.alias("balance_after"), unit.alias("currency"),
         F.when(amount > 0, "inflow").when(amount < 0, "outflow").alias("direction"), F.lit("unknown").alias("role"), optional_text(F.col("external_id")).alias("external_id"), optional_text(F.col("transaction_type")).alias("transaction_type"),
-        source.alias("source_fingerprint"), F.when(error.isNull(), canonical).alias("canonical_fingerprint"), error.alias("error"),
+        source.alias("source_fingerprint"), F.when(error.isNull(), canonical).alias("canonical_fingerprint"), error.alias("error"), *keep,
     )

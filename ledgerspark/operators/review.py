@@ -2,32 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerspark.operators.suggestions import review
 
-def confirm(ledger: DataFrame, suggestions: DataFrame, decisions: DataFrame, at) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Ledger, suggestions and new audits after ``decisions`` (suggestion_id, accepted).
 
-    Both legs of an accepted suggestion take its roles where that changes them; other pending
-    suggestions that touch a leg are rejected.
-    """
-    decided = suggestions.filter("status = 'pending'").join(decisions, "suggestion_id")
-    legs = F.explode(F.array(F.struct(F.col("txn_id"), F.col("suggested_role").alias("role")), F.struct(F.col("counterpart_id").alias("txn_id"), F.col("counterpart_role").alias("role")))).alias("leg")
-    assigned = decided.filter("accepted").select("suggestion_id", legs).select("suggestion_id", "leg.*").filter("txn_id IS NOT NULL")
-    one = assigned.groupBy("txn_id").agg(F.min(F.struct("suggestion_id", "role")).alias("a")).select("txn_id", F.col("a.role").alias("new_role"), F.col("a.suggestion_id").alias("by"))
-    joined = ledger.join(one, "txn_id", "left")
-    changed = F.col("new_role").isNotNull() & (F.col("new_role") != F.col("role"))
-    audits = joined.filter(changed).select("txn_id", F.col("role").alias("previous_role"), "new_role", F.col("by").alias("suggestion_id"), at.alias("changed_at"))
-    after = joined.withColumn("role", F.coalesce("new_role", "role")).select(ledger.columns)
-
-    touched = assigned.select("txn_id").distinct()
-    first = suggestions.join(touched, "txn_id", "left_semi").select("suggestion_id")
-    second = suggestions.join(touched.withColumnRenamed("txn_id", "counterpart_id"), "counterpart_id", "left_semi").select("suggestion_id")
-    rivals = first.union(second).distinct().withColumn("rival", F.lit(True))
-    state = suggestions.join(decisions, "suggestion_id", "left").join(rivals, "suggestion_id", "left")
-    status = F.when(F.col("status") != "pending", F.col("status")).when(F.col("accepted"), "confirmed").when(~F.col("accepted") | F.col("rival"), "rejected").otherwise("pending")
-    return after, state.withColumn("status", status).select(suggestions.columns), audits
+def confirm(ledger: DataFrame, suggestions: DataFrame, decisions: DataFrame, at: Column) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Ledger, suggestions and new audits after ``decisions`` (suggestion_id, accepted) of one moment, taken in the order of their ids; see ``suggestions.review``."""
+    taken = review(ledger, suggestions, decisions.select(F.col("suggestion_id").alias("decision_id"), "suggestion_id", "accepted", at.alias("at")))
+    return taken.ledger, taken.suggestions, taken.audits
 
 
 def supersede(decisions: DataFrame, reviewed: DataFrame) -> DataFrame:
@@ -37,15 +21,26 @@ def supersede(decisions: DataFrame, reviewed: DataFrame) -> DataFrame:
     return decisions.join(seen, "txn_id", "left").withColumn("status", status).select(decisions.columns)
 
 
-def reconcile(balances: DataFrame, rows: DataFrame, key: str, tolerance: str = "0.01") -> DataFrame:
-    """Opening plus movements against closing; a row without amount or a missing balance makes it unavailable."""
-    summed = rows.groupBy(key).agg(F.sum("amount").cast("decimal(38,2)").alias("movement"), F.count_if(F.col("amount").isNull()).alias("unread"))
-    both = balances.join(summed, key, "left").na.fill({"unread": 0}).withColumn("movement", F.coalesce("movement", F.lit(0).cast("decimal(38,2)")))
-    gap = F.when(F.col("unread") == 0, F.col("opening_balance") + F.col("movement") - F.col("closing_balance"))
-    rows = both.withColumn("difference", gap)
+def reconciled(rows: DataFrame, tolerance: str = "0.01") -> DataFrame:
+    """``expected_closing``, ``difference`` (closing less what opening and ``movement`` make) and ``status`` of rows with both balances.
+
+    A missing balance or an amount that could not be read (``unread``) makes it unavailable, with neither of the two.
+    """
+    money = lambda c: c.cast("decimal(38,2)")
+    known = (F.col("unread") == 0) & F.col("opening_balance").isNotNull() & F.col("closing_balance").isNotNull()
+    rows = rows.withColumn("expected_closing", F.when(known, money(F.col("opening_balance") + F.col("movement"))))
+    rows = rows.withColumn("difference", money(F.col("closing_balance") - F.col("expected_closing")))
     return rows.withColumn("status", F.when(F.col("difference").isNull(), "unavailable").when(F.abs("difference") <= F.lit(tolerance).cast("decimal(18,2)"), "reconciled").otherwise("mismatch"))
 
 
+def reconcile(balances: DataFrame, rows: DataFrame, key: str | list[str], tolerance: str = "0.01") -> DataFrame:
+    """The ``reconciled`` balances with the sum of their rows' amounts (``movement``), zero without rows, and how many could not be read."""
+    keys = [key] if isinstance(key, str) else key
+    summed = rows.groupBy(*keys).agg(F.coalesce(F.sum("amount"), F.lit(0)).cast("decimal(38,2)").alias("movement"), F.count_if(F.col("amount").isNull()).alias("unread"))
+    both = balances.join(summed, keys, "left").na.fill({"unread": 0}).withColumn("movement", F.coalesce("movement", F.lit(0).cast("decimal(38,2)")))
+    return reconciled(both, tolerance)
+
+
 def violations(rows: DataFrame, coverage: DataFrame, key: str) -> DataFrame:
     """The first gate that a draft movement fails: unread date or amount, zero, outside the statement's dates, or in one of its gaps."""
     both = rows.join(coverage.select(key, "start_date", "end_date", "missing"), key, "left")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ledgerspark.functions import money as mn
 from ledgerspark.functions import text as tx
-from ledgerspark.operators import classifier, intervals, series
+from ledgerspark.operators import classifier, intervals, review, series
 from ledgerspark.plans.bindings import ACTIVITY, COVERED, LEDGER, activity, coverage, ledger, profile_coverage, read
 
 FROM, TO = "2024-01-01", "2024-01-28"
@@ -74,12 +74,11 @@ def forecast_baselines(spark, d):
 def statement_reconciliation(spark, d):
     """Opening, movements and closing of each account's month: reconciled, off, or not available."""
     rows = activity(spark, d).withColumn("month", F.trunc("txn_date", "MM").cast("date"))
-    summed = rows.groupBy("account_id", "month").agg(F.sum("amount").cast("decimal(38,2)").alias("movement"), F.count("*").alias("rows"))
+    summed = rows.groupBy("account_id", "month").agg(F.sum("amount").cast("decimal(38,2)").alias("total"), F.count("*").alias("rows"))
     opening, off = F.col("account_id").cast("decimal(38,2)"), F.when(F.col("account_id") % 3 == 0, F.lit(0.05)).otherwise(F.lit(0.0)).cast("decimal(38,2)")
-    closing = F.when(F.col("account_id") % 5 != 0, opening + F.col("movement") + off)
-    gap = (closing - opening - F.col("movement")).cast("decimal(38,2)")
-    status = F.when(closing.isNull(), "unavailable").when(F.abs(gap) <= F.lit(0.01).cast("decimal(38,2)"), "reconciled").otherwise("mismatch")
-    return summed.select("account_id", "month", "movement", "rows", gap.alias("difference"), status.alias("status"))
+    closing = F.when(F.col("account_id") % 5 != 0, opening + F.col("total") + off)
+    stated = summed.select("account_id", "month", "rows", opening.alias("opening_balance"), closing.alias("closing_balance"))
+    return review.reconcile(stated, rows, ["account_id", "month"]).select("account_id", "month", "movement", "rows", "difference", "status")
 
 
 def running_balance(spark, d):

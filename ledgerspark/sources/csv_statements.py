@@ -134,7 +134,7 @@ def preview(rows: DataFrame, n: int = 25) -> DataFrame:
 
 def layout(name: str) -> list[Column]:
     """Projections of a ledger for export: canonical, debit_credit or signed_amount."""
-    money = lambda c: F.format_string("%.2f", c)
+    money = lambda c: (F.col(c) if isinstance(c, str) else c).cast("decimal(18,2)").cast("string")
     if name == "canonical":
         return [F.col(c) for c in ("txn_id", "account_id", "txn_date", "merchant", "role")] + [money("amount").alias("amount")]
     if name == "debit_credit":

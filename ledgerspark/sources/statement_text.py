@@ -27,13 +27,29 @@ def period(pages: DataFrame, key: str, text: str = "text") -> DataFrame:
     return pages.select(key, parse_date(F.regexp_extract(flat, pattern, 1)).alias("start_date"), parse_date(F.regexp_extract(flat, pattern, 2)).alias("end_date"))
 
 
+#: A line that states a balance.
+_BALANCE = r"(?i)\b(opening|closing)\s+balance\s*:?\s*(.+?)\s*$"
+
+
+def balance_lines(lines: DataFrame, key: str, page: str, text: str = "text") -> DataFrame:
+    """Every line (``key``, ``page``, ``line_number``, ``text``, perhaps ``confidence``) that states a balance, with its ``amount`` or the ``issue`` that it can't be read."""
+    trimmed = F.trim(text)
+    kind, raw = F.lower(F.regexp_extract(trimmed, _BALANCE, 1)), F.regexp_extract(trimmed, _BALANCE, 2)
+    more = [c for c in ("confidence",) if c in lines.columns]
+    found = lines.select(key, page, "line_number", *more, kind.alias("kind"), raw.alias("raw_amount"), trimmed.alias("raw")).filter("kind <> ''").withColumn("amount", parse_amount(F.col("raw_amount")))
+    return found.withColumn("issue", F.when(F.col("amount").isNull(), F.concat(F.lit("invalid_"), "kind", F.lit("_balance"))))
+
+
+def stated_balances(evidence: DataFrame, key: str, *order: str) -> DataFrame:
+    """Opening and closing balance of each document: the last of its ``balance_lines`` of that kind that can be read."""
+    of = lambda k, c: F.when((F.col("kind") == k) & F.col("amount").isNotNull(), c)
+    return evidence.groupBy(key).agg(*(F.max_by(of(k, F.col("amount")), of(k, F.struct(*order))).alias(f"{k}_balance") for k in ("opening", "closing")))
+
+
 def balances(pages: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """Opening and closing balance of each text: the last line of its kind wins."""
-    lines = pages.select(key, F.posexplode(F.split(text, "\n")).alias("at", "line"))
-    pattern = r"(?i)\b(opening|closing) balance:?\s+(.+)$"
-    found = lines.select(key, "at", F.lower(F.regexp_extract("line", pattern, 1)).alias("kind"), parse_amount(F.regexp_extract("line", pattern, 2)).alias("amount")).filter("kind <> '' AND amount IS NOT NULL")
-    side = {k: F.max_by(F.when(F.col("kind") == k, F.col("amount")), F.when(F.col("kind") == k, F.col("at"))).alias(f"{k}_balance") for k in ("opening", "closing")}
-    return found.groupBy(key).agg(*side.values())
+    """Opening and closing balance of each text that states one: the last line of its kind that can be read wins."""
+    lines = pages.select(key, F.lit(1).alias("_page"), F.posexplode(F.split(text, "\n")).alias("line_number", "_line"))
+    return stated_balances(balance_lines(lines, key, "_page", "_line").filter("amount IS NOT NULL"), key, "line_number")
 
 
 def rows(pages: DataFrame, key: str, text: str = "text") -> DataFrame:
@@ -123,10 +139,10 @@ def grid_rows(pages: DataFrame, key: str, tables: str = "tables") -> DataFrame:
     return _rows(_by_field(cells.filter((F.size(said) > 0) & ~F.array_join(said, " ").rlike(_PAGE)), key), key)
 
 
-def candidates(found: DataFrame, account: Column, currency: Column, key: str) -> DataFrame:
-    """Rows of ``table_rows`` as ledger rows with the reason why one can't be read, keyed by page and row."""
+def candidates(found: DataFrame, account: Column, currency: Column, key: str, *keep: str) -> DataFrame:
+    """Rows of ``table_rows`` as ledger rows with the reason why one can't be read, keyed by page and row; with the columns of ``keep``."""
     named = found.withColumns({"source_id": F.concat_ws(":", F.col(key).cast("string"), F.col("row_number").cast("string")), "account_id": account, "account_currency": currency})
-    return normalise(named)
+    return normalise(named, *keep)
 
 
 def recognised_lines(found: DataFrame, lines: DataFrame, key: str) -> DataFrame:
@@ -150,8 +166,6 @@ def review_reasons(rows: DataFrame, source: Column | None = None, least: float =
 
 def balance_evidence(pages: DataFrame, key: str, page: str, text: str = "text") -> DataFrame:
     """Opening and closing balance of each document with the page and line that states it, the last of its kind."""
-    lines = pages.select(key, page, F.posexplode(F.split(text, "\n")).alias("at", "line"))
-    pattern = r"(?i)\b(opening|closing) balance:?\s+(.+)$"
-    found = lines.select(key, page, (F.col("at") + 1).alias("line_number"), F.lower(F.regexp_extract("line", pattern, 1)).alias("kind"), parse_amount(F.regexp_extract("line", pattern, 2)).alias("amount"), F.trim("line").alias("raw"))
+    lines = pages.select(key, page, F.posexplode(F.split(text, "\n")).alias("at", "_line")).select(key, page, (F.col("at") + 1).alias("line_number"), "_line")
     last = F.max(F.struct(F.col(page).alias("page"), "line_number", "amount", "raw")).alias("e")
-    return found.filter("kind <> '' AND amount IS NOT NULL").groupBy(key, "kind").agg(last).select(key, "kind", "e.*")
+    return balance_lines(lines, key, page, "_line").filter("amount IS NOT NULL").groupBy(key, "kind").agg(last).select(key, "kind", "e.*")
