@@ -2,16 +2,24 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Fixed values of the domain: date spellings, tried in this order.
 DATE_FORMATS = ("yyyy-MM-dd", "dd/MM/yyyy", "dd-MM-yyyy", "d MMM yyyy", "d MMMM yyyy")
+#: How a text of each format begins: a format that doesn't fit costs an exception, so only the one that can is tried.
+_SHAPES = (r"^\d{4}-", r"^\d\d/", r"^\d\d-", r"^\d{1,2} [A-Za-z]{3} ", r"^\d{1,2} [A-Za-z]{4,} ")
+
+
+def once(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of a value that is computed once, however often ``f`` names it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
 
 
 def parse_date(text: Column) -> Column:
-    trimmed = F.trim(text)
-    return F.coalesce(*(F.try_to_date(trimmed, f) for f in DATE_FORMATS))
+    return once(F.trim(text), lambda t: F.coalesce(*(F.when(t.rlike(shape), F.try_to_date(t, f)) for f, shape in zip(DATE_FORMATS, _SHAPES, strict=True))))
 
 
 def parse_amount(text: Column) -> Column:
@@ -19,12 +27,20 @@ def parse_amount(text: Column) -> Column:
 
     Half-even to two places. A lone mark with a tail of three digits parts thousands; with one or two, it is the decimal mark.
     """
-    raw = F.upper(F.regexp_replace(F.trim(text), r"[\s'’£]|GBP", ""))
+    return once(F.upper(F.regexp_replace(F.trim(text), r"[\s'’£]|GBP", "")), _amount)
+
+
+def _amount(raw: Column) -> Column:
     negative = raw.rlike(r"^\(.*\)$") | raw.endswith("DR") | raw.startswith("-") | raw.endswith("-")
-    body = F.regexp_replace(raw, r"^[(+-]+|[)+-]+$|CR$|DR$", "")
+    value = once(F.regexp_replace(raw, r"^[(+-]+|[)+-]+$|CR$|DR$", ""), lambda body: F.bround(_number(body).try_cast("decimal(24,6)"), 2))
+    return once(value, lambda v: F.when(negative, -v).otherwise(v).try_cast("decimal(18,2)"))
+
+
+def _number(body: Column) -> Column:
+    """The digits with a point as the decimal mark, null where marks don't part a number."""
     comma, dot = F.instr(body, ",") > 0, F.instr(body, ".") > 0
     last_is_comma = F.length(F.substring_index(body, ",", -1)) < F.length(F.substring_index(body, ".", -1))
-    number = (
+    return (
         F.when(comma & dot & last_is_comma & body.rlike(r"^[0-9]{1,3}(\.[0-9]{3})*,[0-9]+$"), F.replace(F.replace(body, F.lit("."), F.lit("")), F.lit(","), F.lit(".")))
         .when(comma & dot & body.rlike(r"^[0-9]{1,3}(,[0-9]{3})*\.[0-9]+$"), F.replace(body, F.lit(","), F.lit("")))
         .when(comma & ~dot & body.rlike(r"^[0-9]{1,3}(,[0-9]{3})+$"), F.replace(body, F.lit(","), F.lit("")))
@@ -33,8 +49,6 @@ def parse_amount(text: Column) -> Column:
         .when(dot & ~comma & body.rlike(r"^[0-9]+\.[0-9]{1,2}$"), body)
         .when(~comma & ~dot & body.rlike("^[0-9]+$"), body)
     )
-    value = F.bround(number.try_cast("decimal(24,6)"), 2)
-    return F.when(negative, -value).otherwise(value).try_cast("decimal(18,2)")
 
 
 def signed(amount: Column, debit: Column, credit: Column) -> tuple[Column, Column]:
