@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerspark.functions.money import parse_amount, parse_date
+from ledgerspark.functions.money import once, parse_amount, parse_date
 from ledgerspark.functions.normalise import normalise
 from ledgerspark.sources.csv_statements import ALIASES
 
@@ -69,7 +69,7 @@ def _fields(parts: Column) -> Column:
     """The field of each cell by the headings' aliases, null for others; each field once."""
     known = F.create_map(*(F.lit(x) for field, names in ALIASES.items() for name in names for x in (name, field)))
     named = F.transform(parts, lambda c: F.try_element_at(known, F.trim(F.regexp_replace(F.lower(c), r"(?U)[^\w]+", " "))))
-    return F.transform(named, lambda f, i: F.when(F.array_position(named, f) == i + 1, f))
+    return once(named, lambda each: F.transform(each, lambda f, i: F.when(F.array_position(each, f) == i + 1, f)))
 
 
 def _heads() -> Column:
