@@ -1,10 +1,11 @@
 """Pattern spans against Python's re, and disclosing terms on a small corpus."""
 
+import hashlib
 import math
 import random
 import re
 
-from ledgerspark.llm import pii
+from ledgerspark.llm import pii, queries
 
 SCHEMA = "doc_id long, text string, digest string, spans int"
 PLAIN = {
@@ -160,3 +161,16 @@ def test_sanitise_keeps_columns_of_any_name(spark):
 
 def test_empty(spark):
     assert pii.find(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_counts_of_the_query(spark):
+    """Each kind is counted by its own spans, wherever these stand in the array of all."""
+    d = "/root/testdata/sf0.001"
+    columns = [f"n_{k}" for k in pii.KINDS]
+    got = {r.doc_id: (*(r[c] for c in columns), r.base_sha256) for r in queries.op8_pii(spark, d).collect()}
+    want = {}
+    for r in spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text").collect():
+        spans = plain(r.text)
+        digest = hashlib.sha256(",".join(f"{pii.KINDS[k]}:{a}:{b}" for k, a, b in spans).encode()).hexdigest()
+        want[r.doc_id] = (*(sum(s[0] == k for s in spans) for k in range(4)), digest)
+    assert got == want and sum(w[1] + w[2] + w[3] for w in want.values())
