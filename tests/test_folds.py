@@ -2,6 +2,7 @@
 
 import calendar
 import datetime
+import random
 from difflib import SequenceMatcher
 
 from pyspark.sql import functions as F
@@ -65,6 +66,43 @@ def test_similar_text_is_probable(spark):
     assert {r.txn_id: r.status for r in duplicates.resolve(df).collect()} == plain_outcomes(df.collect())
 
 
+def crowded():
+    """40 rows of few days, amounts, texts, sources and ids, some of them null, in two accounts."""
+    rng = random.Random(3)
+    one = lambda *of: rng.choice(of)
+    rows = [(i, one("a", "b", "c", None), one(1, 2), one(datetime.date(2024, 1, 1), datetime.date(2024, 1, 2), datetime.date(2024, 1, 4), None), one(5, 6, None), one("corner shop", "corner shp", "other", None), one("x", "X", None, None, f"z{i}")) for i in range(-4, 36)]
+    return [(i, s if rng.random() < 0.3 else f"s{i}", *r) for i, s, *r in rows]
+
+
+def test_best_match_without_pairs(spark, monkeypatch):
+    """The best of all pairs, found from classes: no join gives more rows than classes and rows need."""
+    df = spark.createDataFrame(crowded(), "txn_id long, source_fingerprint string, account_id long, txn_date date, amount int, text string, external_id string")
+    want = sorted(map(tuple, duplicates.best(duplicates.assess(duplicates.pairs(df, df))).collect()))
+    assert sorted(map(tuple, duplicates.best_of(df, df).collect())) == want and {w[3] for w in want} == {"probable", "exact"}
+    few, most = df.filter("txn_id % 3 = 0"), df.filter("txn_id % 3 <> 0")
+    want = sorted(map(tuple, duplicates.best(duplicates.assess(duplicates.pairs(few, most))).collect()))
+    assert sorted(map(tuple, duplicates.best_of(few, most).collect())) == want and want
+    monkeypatch.setattr(duplicates, "pairs", None)
+    assert duplicate_queries.duplicate_best_match(spark, DIR).count() > 0
+
+
+def test_outcomes_without_pairs(spark, monkeypatch):
+    monkeypatch.setattr(duplicates, "pairs", None)
+    dated = [r for r in crowded() if r[3] is not None and r[4] is not None and r[1] is not None]
+    df = spark.createDataFrame(dated, "txn_id long, source_fingerprint string, account_id long, txn_date date, amount int, text string, external_id string")
+    want = plain_outcomes(df.collect())
+    assert {r.txn_id: r.status for r in duplicates.resolve(df).collect()} == want and set(want.values()) == {"accepted", "probable", "exact"}
+
+
+def test_a_pair_is_found_once(spark):
+    """Rows of one source, external id and amount meet in all three joins and are one pair."""
+    df = spark.createDataFrame(crowded(), "txn_id long, source_fingerprint string, account_id long, txn_date date, amount int, text string, external_id string")
+    found = [(r.new_txn_id, r.old_txn_id) for r in duplicates.pairs(df, df).collect()]
+    assert len(found) == len(set(found)) > 0
+    plan = duplicates.pairs(df, df)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan  # pairs aren't shuffled to tell them apart
+
+
 def test_greedy_transfers(spark):
     larger = DIR.replace("0.001", "0.01")  # the smallest tables have no pair
     rows = bindings.activity(spark, larger).collect()
