@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -46,6 +48,8 @@ CLIENTS = ("Fictional Client A", "Fictional Client B", "Fictional Client C")
 #: Each profile's chance of a purchase on a weekday, in ten-thousandths, and what a weekend multiplies it by; shops with their least and most pence. The library's own.
 DAILY = {"student": 4500, "salaried": 5500, "irregular": 5000}
 WEEKEND = 1.2
+#: Accounts of a task that makes their rows.
+HELD = 2_000
 SHOPS = (("Corner Shop", 250, 2500), ("Cafe Central", 180, 1200), ("High Street Books", 600, 4500), ("City Pharmacy", 300, 3500))
 
 
@@ -102,6 +106,11 @@ def balance_breaks(rows: DataFrame) -> DataFrame:
     return rows.withColumn("due", due).filter(F.col("due") != F.col("balance"))
 
 
+def spread(accounts: DataFrame) -> DataFrame:
+    """The accounts in partitions of at most about ``HELD``: each becomes hundreds of rows, which one small input file would leave to one task."""
+    return accounts.repartition(max(1, math.ceil(accounts.count() / HELD)), "account_id")
+
+
 def draw(bound: Column | int, seed: int, *parts: str | Column) -> Column:
     """A whole number from 0 to below ``bound``, by the digest of the seed and the parts: any engine draws the same, in any order, again after a loss."""
     text = F.concat_ws("|", F.lit(str(seed)), *(p.cast("string") if isinstance(p, Column) else F.col(p).cast("string") for p in parts))
@@ -114,7 +123,7 @@ def receipts(accounts: DataFrame, seed: int = 17) -> DataFrame:
     Every draw is keyed by account, month and number, so no task needs another's. What falls outside the account's period is left out.
     """
     month = F.explode(F.sequence(F.trunc("start_date", "MM"), F.col("end_date"), F.expr("interval 1 month"))).alias("month")
-    months = accounts.filter("profile = 'irregular'").select("account_id", "profile", "start_date", "end_date", month).withColumn("month", F.col("month").cast("date"))
+    months = spread(accounts.filter("profile = 'irregular'")).select("account_id", "profile", "start_date", "end_date", month).withColumn("month", F.col("month").cast("date"))
     each = months.withColumn("k", F.explode(F.sequence(F.lit(1), (draw(4, seed, F.lit("count"), "account_id", "month") + 1).cast("int"))))
     pick = lambda bound, what: draw(bound, seed, F.lit(what), "account_id", "month", "k")
     day = F.date_add("month", pick(F.day(F.last_day("month")).cast("long"), "day").cast("int"))
@@ -127,7 +136,7 @@ def receipts(accounts: DataFrame, seed: int = 17) -> DataFrame:
 def purchases(accounts: DataFrame, seed: int = 17) -> DataFrame:
     """On each day of an account's period perhaps a purchase, likelier at weekends, at a drawn shop for a drawn price within its range."""
     chance = F.create_map(*(F.lit(x) for pair in DAILY.items() for x in pair))[F.col("profile")]
-    days = accounts.select("account_id", "profile", F.explode(F.sequence("start_date", "end_date")).alias("txn_date"))
+    days = spread(accounts).select("account_id", "profile", F.explode(F.sequence("start_date", "end_date")).alias("txn_date"))
     bought = days.filter(draw(10_000, seed, F.lit("buys"), "account_id", "txn_date") < chance * F.when(F.weekday("txn_date") >= 5, WEEKEND).otherwise(1.0))
     shop = F.element_at(F.array(*(F.struct(F.lit(n).alias("name"), F.lit(lo).alias("least"), F.lit(hi).alias("most")) for n, lo, hi in SHOPS)), (draw(len(SHOPS), seed, F.lit("shop"), "account_id", "txn_date") + 1).cast("int"))
     named = bought.withColumn("shop", shop)

@@ -82,6 +82,14 @@ def test_duplicate_scores_fall_with_the_days(spark):
     assert [r[0] for r in alike] == [1.0]
 
 
+def test_duplicate_candidates_of_any_amount(spark):
+    """Every pair of an account within two days is a candidate; only those of one amount are scored."""
+    rows = [(1, 1, day(0), Decimal("9.99"), "Shop"), (1, 2, day(1), Decimal("5.00"), "Cafe"), (1, 3, day(4), Decimal("9.99"), "Shop"), (2, 4, day(0), Decimal("9.99"), "Shop")]
+    pairs = matching.duplicate_candidates(spark.createDataFrame(rows, "account_id long, txn_id long, txn_date date, amount decimal(18,2), merchant string"))
+    assert [(r.first_id, r.second_id, r.days) for r in pairs.collect()] == [(1, 2, 1)]
+    assert matching.duplicate_scores(pairs, F.lit(1.0)).count() == 0
+
+
 def test_transfer_pairs_are_one_to_one(spark):
     rows = [(1, 1, day(0), -500, "internal transfer"), (2, 2, day(1), 500, "transfer in"), (3, 3, day(0), 500, "internal transfer"), (4, 1, day(2), -500, "x")]
     frame = spark.createDataFrame([(t, 9, a, d, Decimal(m), x) for t, a, d, m, x in rows], "txn_id long, profile_id long, account_id long, txn_date date, amount decimal(18,2), description string")
@@ -288,3 +296,14 @@ def test_evaluations(spark):
     schema = "train_start date, train_end date, test_start date, test_end date, kind string, test_rows long, candidate array<array<long>>, baseline array<array<long>>"
     got = [r.violation for r in contracts.evaluations(spark.createDataFrame(cases, schema)).collect()]
     assert got == [None, "training_dates", "test_dates", "training_not_before_test", None, "candidate_not_all_rows", "baseline_not_all_rows", "different_test_rows"]
+
+
+def test_synthetic_rows_are_made_by_many_tasks(spark, monkeypatch):
+    """One small file of accounts doesn't leave all of their rows to one task; the rows are the same however they are dealt."""
+    rows = [(n, ("student", "irregular")[n % 2], day(0), day(300)) for n in range(40)]
+    accounts = spark.createDataFrame(rows, "account_id long, profile string, start_date date, end_date date").coalesce(1)
+    told = lambda df: sorted(map(str, df.collect()))
+    whole = [told(make(accounts)) for make in (synthetic.purchases, synthetic.receipts)]
+    monkeypatch.setattr(synthetic, "HELD", 5)
+    for make, same, tasks in ((synthetic.purchases, whole[0], 8), (synthetic.receipts, whole[1], 4)):
+        assert make(accounts).rdd.getNumPartitions() == tasks and told(make(accounts)) == same
