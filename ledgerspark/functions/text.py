@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from difflib import SequenceMatcher
+from functools import lru_cache
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -27,13 +30,16 @@ def casefold(text: pd.Series) -> pd.Series:
     return text.str.casefold()
 
 
+@lru_cache(1 << 16)
+def ratio(left: str, right: str) -> float:
+    """Share of matching characters by longest matching blocks; a worker keeps those of the last texts, which pairs of rows repeat."""
+    return SequenceMatcher(None, left, right, autojunk=False).ratio()
+
+
 @F.pandas_udf(DoubleType())
 def similarity(left: pd.Series, right: pd.Series) -> pd.Series:
     """Share of matching characters by longest matching blocks, 0 to 1."""
-    from difflib import SequenceMatcher
-
-    pairs = zip(left.fillna(""), right.fillna(""), strict=True)
-    return pd.Series([SequenceMatcher(None, a, b, autojunk=False).ratio() for a, b in pairs], dtype="float64")
+    return pd.Series(map(ratio, left.fillna(""), right.fillna("")), dtype="float64")
 
 
 def clean(text: Column) -> Column:

@@ -3,6 +3,7 @@
 import datetime as dt
 from decimal import Decimal
 
+import pandas as pd
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -90,6 +91,13 @@ def test_duplicate_candidates_of_any_amount(spark):
     assert matching.duplicate_scores(pairs, F.lit(1.0)).count() == 0
 
 
+def test_similarity_of_repeated_texts_is_taken_once():
+    text.ratio.cache_clear()
+    left, right = pd.Series(["corner shop", None] * 500), pd.Series(["corner shp", "x"] * 500)
+    got = text.similarity.func(left, right)
+    assert sorted(set(got.round(3))) == [0.0, 0.952] and text.ratio.cache_info().misses == 2
+
+
 def test_transfer_pairs_are_one_to_one(spark):
     rows = [(1, 1, day(0), -500, "internal transfer"), (2, 2, day(1), 500, "transfer in"), (3, 3, day(0), 500, "internal transfer"), (4, 1, day(2), -500, "x")]
     frame = spark.createDataFrame([(t, 9, a, d, Decimal(m), x) for t, a, d, m, x in rows], "txn_id long, profile_id long, account_id long, txn_date date, amount decimal(18,2), description string")
