@@ -48,7 +48,7 @@ def balanced(rows: DataFrame) -> DataFrame:
     classes = rows.groupBy("category_id").agg(F.count("*").alias("_n"))
     total = classes.agg(F.sum("_n").alias("_rows"), F.count("*").alias("_classes"))
     weights = classes.join(F.broadcast(total)).select("category_id", (F.col("_rows") / (F.col("_classes") * F.col("_n"))).alias("weight"))  # one row of totals
-    return rows.join(weights, "category_id")
+    return rows.join(F.broadcast(weights), "category_id")  # a row for each class; rows of a small file would look the smaller side
 
 
 def guard(train: DataFrame, test: DataFrame, least_train: int = LEAST_TRAIN, least_test: int = LEAST_TEST) -> str | None:

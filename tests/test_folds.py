@@ -8,7 +8,7 @@ from difflib import SequenceMatcher
 from pyspark.sql import functions as F
 
 from ledgerspark import catalogue
-from ledgerspark.operators import duplicates
+from ledgerspark.operators import classifier, duplicates
 from ledgerspark.plans import bindings, duplicate_queries
 
 DIR = "/root/testdata/sf0.001"
@@ -186,3 +186,12 @@ def test_model_guards_and_storage(spark, tmp_path):
             raise AssertionError("should fail")
         except ValueError:
             pass
+
+
+def test_training_rows_are_not_broadcast(spark):
+    """A small file of rows looks smaller than the classes' weights; the rows must not go through the driver for that."""
+    rows = spark.read.parquet(f"{DIR}/part.parquet").select(F.col("p_name").alias("text"), F.col("p_type").alias("category_id"))
+    weighed = classifier.balanced(classifier.featured(rows))
+    plan = weighed._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "BuildLeft" not in plan
+    assert abs(weighed.agg(F.sum("weight")).first()[0] - rows.count()) < 1e-6
