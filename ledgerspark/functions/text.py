@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from difflib import SequenceMatcher
-from functools import lru_cache
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column
@@ -30,16 +29,15 @@ def casefold(text: pd.Series) -> pd.Series:
     return text.str.casefold()
 
 
-@lru_cache(1 << 16)
-def ratio(left: str, right: str) -> float:
-    """Share of matching characters by longest matching blocks; a worker keeps those of the last texts, which pairs of rows repeat."""
-    return SequenceMatcher(None, left, right, autojunk=False).ratio()
-
-
 @F.pandas_udf(DoubleType())
-def similarity(left: pd.Series, right: pd.Series) -> pd.Series:
-    """Share of matching characters by longest matching blocks, 0 to 1."""
-    return pd.Series(map(ratio, left.fillna(""), right.fillna("")), dtype="float64")
+def similarity(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    """Share of matching characters by longest matching blocks, 0 to 1; a task keeps those of the last texts, which pairs of rows repeat."""
+    from difflib import SequenceMatcher
+    from functools import lru_cache
+
+    ratio = lru_cache(1 << 16)(lambda a, b: SequenceMatcher(None, a, b, autojunk=False).ratio())
+    for left, right in batches:
+        yield pd.Series(map(ratio, left.fillna(""), right.fillna("")), dtype="float64")
 
 
 def clean(text: Column) -> Column:
