@@ -6,7 +6,9 @@ consolidated view hides both legs of a confirmed transfer whose other account is
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerspark.operators.cashflow import money
@@ -38,6 +40,33 @@ def links(suggestions: DataFrame, ledger: DataFrame) -> DataFrame:
     return legs.groupBy(F.col("leg.txn_id").alias("txn_id")).agg(F.min_by("leg.other", "suggestion_id").alias("counterpart_account"))
 
 
+def _least_two(legs: DataFrame, *keys: str) -> DataFrame:
+    """Of each group the smallest id, and the smallest id of any other account."""
+    each = legs.groupBy(*keys, "account_id").agg(F.min("txn_id").alias("txn_id"))
+    return each.withColumn("_place", F.row_number().over(Window.partitionBy(*keys).orderBy("txn_id"))).filter("_place <= 2").drop("_place")
+
+
+def links_by_rule(ledger: DataFrame, kind: Column, confirmed: Callable[[Column, Column], Column], days: int) -> DataFrame:
+    """``links`` of all pairs of an owner's legs that a rule confirms, where the pairs themselves are too many to be made.
+
+    ``ledger``: txn_id, account_id, profile_id, txn_date, amount, role, currency. ``kind`` is one of a fixed number of kinds of a leg, and
+    ``confirmed`` says, by the kinds of an outflow and an inflow, whether their suggestion is a confirmed transfer. Suggestions are in
+    the order of the outflow's id, then the inflow's, so a leg's first one names the smallest id it can meet. That is, for each day and
+    kind, the smallest in reach or, where this is of the leg's own account, the smallest of another: two legs stand for any number.
+    """
+    keys, amount = ("profile_id", "currency", "size"), F.col("amount")
+    moved = ledger.filter(((F.col("role") == "transfer_out") & (amount < 0)) | ((F.col("role") == "transfer_in") & (amount > 0)))
+    legs = moved.select("txn_id", "account_id", "profile_id", "currency", F.abs("amount").alias("size"), (amount < 0).alias("out"), F.col("txn_date").alias("day"), kind.alias("kind"))
+    first = _least_two(legs, *keys, "out", "day", "kind")
+    reach = first.withColumn("day", F.explode(F.sequence(F.date_sub("day", days), F.date_add("day", days))))
+    each = _least_two(reach, *keys, "out", "day", "kind")
+    offers = each.groupBy(*keys, (~F.col("out")).alias("out"), "day").agg(F.collect_list(F.struct("txn_id", "account_id", "kind")).alias("offers"))  # two of a kind at most
+    own = F.col("kind")
+    suits = lambda o: (o["account_id"] != F.col("account_id")) & F.when(F.col("out"), confirmed(own, o["kind"])).otherwise(confirmed(o["kind"], own))
+    met = legs.join(offers, [*keys, "out", "day"]).select("txn_id", F.array_min(F.filter("offers", suits)).alias("other")).filter("other IS NOT NULL")
+    return met.groupBy("txn_id").agg(F.min("other").alias("other")).select("txn_id", F.col("other.account_id").alias("counterpart_account"))
+
+
 def in_scopes(ledger: DataFrame, linked: DataFrame, scopes: DataFrame) -> DataFrame:
     """The rows of each scope's accounts (``scopes``: scope_id, account_id), ``internal`` if a confirmed transfer's other account is in the scope."""
     scopes = scopes.select("scope_id", "account_id").distinct()

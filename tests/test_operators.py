@@ -318,3 +318,26 @@ def test_synthetic_rows_are_made_by_many_tasks(spark, monkeypatch):
     monkeypatch.setattr(synthetic, "HELD", 5)
     for make, same, tasks in ((synthetic.purchases, whole[0], 8), (synthetic.receipts, whole[1], 4)):
         assert make(accounts).rdd.getNumPartitions() == tasks and told(make(accounts)) == same
+
+
+def test_links_by_rule_are_those_of_all_suggestions(spark, tmp_path):
+    """A crowd of legs of one owner and few sizes and accounts: the links of every pair's suggestion, without the pairs."""
+    import random
+
+    from ledgerspark.operators import transfers
+    from ledgerspark.plans import evidence_queries
+
+    rng = random.Random(4)
+    kinds = ("purchase", "view", "click", "signup")
+    rows = [(i, dt.datetime(2024, 1, rng.randint(1, 9)), rng.choice((1, 7, 11, 21, 31, 2)), rng.choice(kinds), float(rng.choice((3, 5, 8)))) for i in range(0, 1500)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, event_type string, value double").write.parquet(str(tmp_path / "events.parquet"))
+    d = str(tmp_path)
+    want = transfers.links(evidence_queries.suggested(spark, d), evidence_queries.banked(spark, d))
+    got = evidence_queries.transfer_links(spark, d)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.count() > 200
+    # legs of two accounts only, so that the smallest id is often the leg's own account's
+    legs = [(i, i % 2 if i < 40 else 0, 1, dt.date(2024, 1, 1 + i % 6), Decimal(5 if i % 3 else -5), "transfer_in" if i % 3 else "transfer_out", "GBP") for i in range(90)]
+    ledger = spark.createDataFrame(legs, "txn_id long, account_id long, profile_id long, txn_date date, amount decimal(18,2), role string, currency string")
+    found = dict(map(tuple, transfers.links_by_rule(ledger, F.lit(0), lambda a, b: a == b, 3).collect()))
+    assert found and all(found[i] != a for i, a, *_ in legs if i in found)
+    assert set(found) == {x[0] for x in legs for y in legs if x[4] == -y[4] and x[1] != y[1] and abs((x[3] - y[3]).days) <= 3}
