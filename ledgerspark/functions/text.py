@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import sys
+import unicodedata
 from collections.abc import Iterator
+from functools import cache
 
 import pandas as pd
 from pyspark.sql import Column
@@ -61,6 +64,36 @@ def rule_text(text: Column) -> Column:
     return F.trim(F.regexp_replace(folded(text, nfkc_casefold), r"[^\p{L}\p{N}]+", " "))
 
 
+@cache
+def _word_class() -> str:
+    """A character class of what becomes a letter or digit by NFKC and case folding: letters and digits, but for those that fold otherwise."""
+    own = lambda c: unicodedata.category(c)[0] in "LN"
+    more, less = [], []
+    for c in map(chr, range(128, sys.maxunicode + 1)):
+        if unicodedata.category(c) in ("Cn", "Co", "Cs"):
+            continue
+        composed = unicodedata.normalize("NFKC", c)
+        becomes = any(map(own, composed.casefold()))
+        known = any(own(x) and not 0x1DF00 <= ord(x) < 0x1E000 for x in composed.casefold())  # Latin letters of Unicode 14 are unknown to older JVMs
+        if becomes and (not own(c) or (composed != c and known)):  # a letter that the JVM may not know counts if it knows what that becomes
+            more.append(ord(c))
+        elif own(c) and not becomes:
+            less.append(ord(c))
+    return rf"[\p{{L}}\p{{N}}{_ranges(more)}&&[^{_ranges(less)}]]" if less else rf"[\p{{L}}\p{{N}}{_ranges(more)}]"
+
+
+def _ranges(codes: list[int]) -> str:
+    """Ascending code points as ranges of a character class: few, as each costs a level of the JVM's stack."""
+    starts = [c for i, c in enumerate(codes) if i == 0 or codes[i - 1] != c - 1]
+    ends = [c for i, c in enumerate(codes) if i + 1 == len(codes) or codes[i + 1] != c + 1]
+    return "".join(rf"\x{{{a:x}}}-\x{{{b:x}}}" for a, b in zip(starts, ends, strict=True))
+
+
+def has_rule_text(text: Column) -> Column:
+    """Whether ``rule_text`` leaves anything of a text; asked without the Arrow function, a character at a time. False for null."""
+    return F.coalesce(text.rlike("[A-Za-z0-9]") | text.rlike(_word_class()), F.lit(False))
+
+
 def matching(text: Column) -> Column:
     """Case-folded words, all that isn't a word character as one space: what duplicates compare."""
     return F.trim(F.regexp_replace(folded(text), r"[^\p{L}\p{N}_]+", " "))

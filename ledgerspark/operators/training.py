@@ -72,7 +72,7 @@ def as_of(rows: DataFrame, corrections: DataFrame, audits: DataFrame, flags: Dat
         "excluded_financial_role": c("role") == "excluded",
         "needs_review_flag": c("_flagged"),
         "unresolved_transfer": c("_open"),
-        "empty_feature_text": feature_text(c("merchant"), c("description")).isNull(),
+        "empty_feature_text": ~(tx.has_rule_text(c("merchant")) | tx.has_rule_text(c("description"))),
     })
     return both.withColumn("role", F.coalesce("role", F.lit("unknown"))).withColumn("reason", reason).drop("_flagged", "_open", "_active", "_taxonomy", "_exists")
 

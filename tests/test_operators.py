@@ -341,3 +341,19 @@ def test_links_by_rule_are_those_of_all_suggestions(spark, tmp_path):
     found = dict(map(tuple, transfers.links_by_rule(ledger, F.lit(0), lambda a, b: a == b, 3).collect()))
     assert found and all(found[i] != a for i, a, *_ in legs if i in found)
     assert set(found) == {x[0] for x in legs for y in legs if x[4] == -y[4] and x[1] != y[1] and abs((x[3] - y[3]).days) <= 3}
+
+
+def test_rule_text_is_known_to_be_empty_without_python(spark):
+    """Every character that folds to something else, with what stands beside it; and no Python worker for the reasons of exclusion."""
+    import sys
+    import unicodedata
+
+    from ledgerspark.plans import evidence_queries
+
+    odd = [c for c in map(chr, range(sys.maxunicode + 1)) if unicodedata.category(c) not in ("Cn", "Co", "Cs") and unicodedata.normalize("NFKC", c).casefold() != c]
+    texts = [*odd, *map(chr, range(1, 0x3400)), "-- !", "", "\uff9e\uff9f", "- \u2122", "e\u0301", "\u0301", " \u3099", "\u30ab\u3099", "<\u0338", None]
+    rows = spark.createDataFrame([(t,) for t in texts if t is None or not 0xD800 <= ord(t[:1] or " ") < 0xE000], "t string")
+    told = rows.select("t", text.has_rule_text(F.col("t")).alias("has"), (F.coalesce(text.rule_text(F.col("t")), F.lit("")) != "").alias("want"))
+    assert told.filter("has <> want").collect() == [] and told.filter("has").count() > 1000
+    plan = evidence_queries.training_exclusions(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan
