@@ -32,7 +32,8 @@ def nfkc(text: pd.Series) -> pd.Series:
 
 def clean(text: Column) -> Column:
     """NFKC, control characters as spaces, single spaces, ends trimmed."""
-    return tx.clean(nfkc(text))
+    odd = text.rlike(r"[^\x00-\x7F]")  # ASCII is as it is
+    return tx.clean(F.when(odd, nfkc(F.when(odd, text))).otherwise(text))
 
 
 def strip_bank_noise(cleaned: Column) -> Column:

@@ -45,7 +45,8 @@ def similarity(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Se
 
 def clean(text: Column) -> Column:
     """Control characters become spaces, runs of white space one, ends trimmed."""
-    return F.trim(F.regexp_replace(F.regexp_replace(text, r"\p{C}", " "), r"\s+", " "))
+    odd = text.rlike("[^ -~]|  ")  # else there is nothing to replace
+    return F.when(odd, F.trim(F.regexp_replace(F.regexp_replace(text, r"\p{C}", " "), r"\s+", " "))).otherwise(F.trim(text))
 
 
 def folded(text: Column, how=casefold) -> Column:

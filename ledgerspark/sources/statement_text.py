@@ -63,6 +63,9 @@ def rows(pages: DataFrame, key: str, text: str = "text") -> DataFrame:
 #: A page number alone on a line.
 _PAGE = r"(?i)^(?:page\s+)?\d+(?:\s*(?:of|/)\s*\d+)?$"
 _MONEY = ("amount", "debit", "credit", "balance")
+#: A pipe with the blanks around it, however many; and the words that names of a date begin with.
+_PIPE = r"(?:(?<! ) +)?\| *"
+_HEADED = "|".join(sorted({name.split(" ")[0] for name in ALIASES["transaction_date"]}))
 
 
 def _fields(parts: Column) -> Column:
@@ -89,24 +92,31 @@ def table_rows(pages: DataFrame, key: str, text: str = "text") -> DataFrame:
 
     ``key`` names a page. One window over a page's lines; nothing is collected but the lines of one row.
     """
-    lines = pages.select(key, F.posexplode(F.split(text, "\r?\n")).alias("at", "line")).filter(F.trim("line") != "").filter(~F.trim("line").rlike(_PAGE))
-    trimmed = F.trim("line")
-    parts = F.when(F.contains(trimmed, F.lit("|")), F.transform(F.split(trimmed, r"\|"), lambda c: F.trim(c))).otherwise(F.filter(F.split(trimmed, r"\s{2,}"), lambda c: c != ""))
-    cells = lines.select(key, "at", parts.alias("parts")).withColumn("fields", _fields(F.col("parts")))
-    cells = cells.withColumn("heads", _heads())
+    lines = pages.select(key, F.posexplode(F.split(text, "\r?\n")).alias("at", "line")).select(key, "at", F.trim("line").alias("line")).filter((F.col("line") != "") & ~F.col("line").rlike(_PAGE))
+    parts = F.when(F.contains("line", F.lit("|")), F.split("line", _PIPE)).otherwise(F.filter(F.split("line", r"\s{2,}"), lambda c: c != ""))
+    # only a line with a word that a date's name begins with is looked at as a heading
+    cells = lines.select(key, "at", parts.alias("parts"), F.lower("line").rlike(_HEADED).alias("headed"))
+    cells = cells.withColumn("fields", F.when(F.col("headed"), _fields(F.col("parts"))))
+    cells = cells.withColumn("heads", F.col("headed") & _heads())
     order = Window.partitionBy(key).orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
-    cells = cells.withColumn("plan", F.last(F.when(F.col("heads"), F.col("fields")), ignorenulls=True).over(order)).filter("NOT heads")
-    default = F.array(*map(F.lit, ("transaction_date", "description", "amount", "balance")))
+    cells = cells.withColumn("plan", F.last(F.when(F.col("heads"), _places(F.col("fields"))), ignorenulls=True).over(order)).filter("NOT heads")
+    default = _places(F.array(*map(F.lit, ("transaction_date", "description", "amount", "balance"))))
     dated = F.size("parts").between(3, 4) & parse_date(F.get("parts", F.lit(0))).isNotNull()
     cells = cells.withColumn("plan", F.when(F.col("plan").isNull() & dated, default).otherwise(F.col("plan"))).filter("plan IS NOT NULL")
     cells = _by_field(cells, key).filter("description IS NOT NULL").filter(F.col("follows") | F.coalesce("amount", "debit", "credit").isNotNull())
     return _rows(cells, key)
 
 
+def _places(fields: Column) -> Column:
+    """The cell of each field, from 0; -1 for fields that are not named."""
+    return F.struct(*((F.coalesce(F.array_position(fields, f), F.lit(0)).cast("int") - 1).alias(f) for f in ALIASES))
+
+
 def _by_field(cells: DataFrame, key: str) -> DataFrame:
-    """Cells (``parts``) under the headings in force (``plan``) as a column for each field, and whether the line ``follows`` the row before: a description without date and money."""
-    value = lambda f: F.nullif(F.get("parts", F.array_position("plan", f).cast("int") - 1), F.lit(""))
-    named = cells.select(key, "at", *(value(f).alias(f) for f in ALIASES))
+    """Cells (``parts``) under the headings in force (``plan``, from ``_places``) as a column for each field, and whether the line ``follows`` the row before: a description without date and money."""
+    value = lambda f: F.nullif(F.get("parts", F.col(f"plan.{f}")), F.lit(""))
+    # a row of its own for the values: what is used several times is not computed again
+    named = cells.select(key, "at", F.explode(F.array(F.struct(*(value(f).alias(f) for f in ALIASES)))).alias("_v")).select(key, "at", "_v.*")
     money = F.coalesce(*_MONEY).isNotNull()
     return named.withColumn("follows", F.col("description").isNotNull() & F.col("transaction_date").isNull() & ~money)
 
@@ -134,7 +144,7 @@ def grid_rows(pages: DataFrame, key: str, tables: str = "tables") -> DataFrame:
     cells = rows.select(key, F.struct("table", "row").alias("at"), parts.alias("parts")).withColumn("fields", _fields(F.col("parts"))).withColumn("heads", _heads())
     order = Window.partitionBy(key, "at.table").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
     cells = cells.withColumn("plan", F.first(F.when(F.col("heads"), F.col("fields")), ignorenulls=True).over(order)).filter("plan IS NOT NULL AND NOT heads")
-    cells = cells.withColumn("parts", F.slice("parts", F.lit(1), F.size("plan")))
+    cells = cells.withColumn("parts", F.slice("parts", F.lit(1), F.size("plan"))).withColumn("plan", _places(F.col("plan")))
     said = F.filter("parts", lambda c: c != "")
     return _rows(_by_field(cells.filter((F.size(said) > 0) & ~F.array_join(said, " ").rlike(_PAGE)), key), key)
 

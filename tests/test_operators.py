@@ -357,3 +357,17 @@ def test_rule_text_is_known_to_be_empty_without_python(spark):
     assert told.filter("has <> want").collect() == [] and told.filter("has").count() > 1000
     plan = evidence_queries.training_exclusions(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan
+
+
+def test_cells_between_pipes_and_headings_within_a_page(spark):
+    """Blanks around pipes go, empty cells stay in place; a heading holds until the next, whatever its case."""
+    page = "Txn  Date|Narrative  |  Amount |Balance\n01/02/2024|   shop |   5.00|\n  |   late   |  |\nDATE | Details | Paid Out | Paid in\n02/02/2024 |a  b| | 7.00 |\nPage 1 of 2\n03/02/2024 | updated transaction | 1.00 | |"
+    got = statement_text.table_rows(spark.createDataFrame([(1, page)], "page long, text string"), "page").orderBy("row_number").collect()
+    assert [(r.transaction_date, r.description, r.amount, r.debit, r.credit, r.lines) for r in got] == [
+        ("01/02/2024", "shop\nlate", "5.00", None, None, [1, 2]),
+        ("02/02/2024", "a  b", None, None, "7.00", [4]),
+        ("03/02/2024", "updated transaction", None, "1.00", None, [6]),
+    ]
+    texts = ["a b", " a  b ", "a\tb", " a​b", "", " ", "x", " x"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", text.clean(F.col("t")).alias("c"), F.expr(r"trim(regexp_replace(regexp_replace(t, '\\p{C}', ' '), '\\s+', ' '))").alias("w"))
+    assert rows.filter("c <> w").collect() == []
