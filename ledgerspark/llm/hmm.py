@@ -148,20 +148,21 @@ def encode(docs: DataFrame, lexicon: Lexicon, id_type: str) -> DataFrame:
         if id(shared.value) not in _tables:
             _tables.clear()
             lex: Lexicon = shared.value
-            _tables[id(lex)] = ({w: i for i, w in enumerate(lex.words)}, lex.symbols(), lex.within(), np.log10(lex.counts + 1.0), lex.end, lex)  # the last keeps its id from being given to another
+            nothing = lambda values: np.append(values, values.dtype.type(0))  # noqa: E731 - at -1, for the words beyond the table
+            _tables[id(lex)] = ({w: i for i, w in enumerate(lex.words)}, nothing(lex.symbols()), nothing(lex.within()), nothing(np.log10(lex.counts + 1.0)), lex.end, lex)  # the last keeps its id from being given to another
         index, symbols, within, logs, end, _ = _tables[id(shared.value)]
         for batch in batches:
             out: list[tuple] = []
             for one in batch.column(2).to_pylist():
                 words = words_of(one)
                 at = np.fromiter(map(index.get, words, [-1] * len(words)), np.int64, len(words))
-                known = at[at >= 0]
-                rare = [words[i] for i in np.flatnonzero(at < 0)]
+                beyond = np.flatnonzero(at < 0)
+                rare = [words[i] for i in beyond.tolist()]
                 row = np.empty(len(words) + 1, np.uint16)
-                row[:-1][at >= 0] = symbols[known]
-                row[:-1][at < 0] = [end + 1 + bucket_of(w) for w in rare]
+                row[:-1] = symbols[at]
+                row[beyond] = [end + 1 + bucket_of(w) for w in rare]
                 row[-1] = end
-                out.append((len(row), len(known), float(logs[known].sum()), float(within[known].sum()), row.tobytes(), rare))
+                out.append((len(row), len(words) - len(rare), float(logs[at].sum()), float(within[at].sum()), row.tobytes(), rare))
             columns = list(zip(*out, strict=True)) or [()] * 6
             kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary(), pa.list_(pa.binary()))
             yield pa.RecordBatch.from_arrays(
@@ -179,9 +180,9 @@ def side_by_side(rows: list[np.ndarray]) -> tuple[np.ndarray, list[int], np.ndar
     order = np.argsort(-sizes, kind="stable")
     sizes = sizes[order]
     grid = np.zeros((len(rows), int(sizes[0])), np.uint16)
-    for j, i in enumerate(order):
-        grid[j, : sizes[j]] = rows[i]
-    return np.ascontiguousarray(grid.T), [int(np.searchsorted(-sizes, -t, "left")) for t in range(int(sizes[0]))], order
+    for j, i in enumerate(order.tolist()):
+        grid[j, : len(rows[i])] = rows[i]
+    return np.ascontiguousarray(grid.T), np.searchsorted(-sizes, -np.arange(int(sizes[0])), "left").tolist(), order
 
 
 def by_size(rows: list[bytes]) -> Iterator[list[np.ndarray]]:
@@ -213,20 +214,24 @@ class Model:
         move = np.full((states, states), 0.4 / states) + 0.6 * np.eye(states)
         return cls(np.full(states, 1 / states), move, emit / emit.sum(0))
 
+    def told(self, symbols: np.ndarray) -> np.ndarray:
+        """The symbols' emissions, a row for each state: steps work along their columns, many texts at a time."""
+        return np.ascontiguousarray(self.emit.take(symbols, 0).T)
+
     def transfers(self, stretches: list[np.ndarray]) -> np.ndarray:
         """Of each stretch, from the state before it to the state at its end: the scaled product of its steps."""
         k = len(self.start)
         grid, alive, order = side_by_side(stretches)
-        out = np.empty((len(stretches), k, k))
-        now = np.broadcast_to(np.eye(k), (len(stretches), k, k))
-        for t, n in enumerate(alive):
-            if n < len(now):
-                out[n : len(now)] = now[n:]
-            now = (now[:n].reshape(-1, k) @ self.move).reshape(n, k, k) * self.emit.take(grid[t, :n], 0)[:, None, :]
-            now = now / now.sum((1, 2), keepdims=True)
-        out[: len(now)] = now
-        back = np.empty_like(out)
-        back[order] = out
+        out = np.empty((k, k, len(stretches)))  # state at the end, state before
+        now = np.repeat(np.eye(k)[:, :, None], len(stretches), 2)
+        for n, row in zip(alive, grid, strict=True):
+            out[:, :, n : now.shape[2]] = now[:, :, n:]
+            now = (self.move.T @ now[:, :, :n].reshape(k, -1)).reshape(k, k, n)
+            told = self.told(row[:n])
+            now *= (told / np.einsum("ebn,en->n", now, told))[:, None, :]
+        out[:, :, : now.shape[2]] = now
+        back = np.empty((len(stretches), k, k))
+        back[order] = out.transpose(2, 1, 0)
         return back
 
     def messages(self, symbols: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
@@ -259,50 +264,49 @@ class Model:
     def heads(self, stretches: list[np.ndarray]) -> np.ndarray:
         """The state's distribution at the end of stretches of equal length that open a text."""
         grid = np.stack(stretches, 1)
-        a = self.start * self.emit[grid[0]]
+        a = self.start[:, None] * self.told(grid[0])
         for symbols in grid[1:]:
-            a = a / a.sum(1, keepdims=True)
-            a = (a @ self.move) * self.emit.take(symbols, 0)
-        return a / a.sum(1, keepdims=True)
+            a /= a.sum(0)
+            a = self.move.T @ a
+            a *= self.told(symbols)
+        return (a / a.sum(0)).T
 
     def expected(self, symbols: list[np.ndarray]) -> tuple[np.ndarray, ...]:
         """Expected starts, transitions, emissions and the log-likelihood of whole texts."""
         parts, opens, before, after = self.messages(symbols)
         k = len(self.start)
-        starts, moves, emits, total = np.zeros(k), np.zeros((k, k)), np.zeros(self.emit.shape), 0.0
         grid, alive, order = side_by_side(parts)
-        opens, before, after = opens[order], before[order], after[order]
-        alpha, scale, told = [], [], [self.emit.take(grid[t, :n], 0) for t, n in enumerate(alive)]
-        for t, n in enumerate(alive):
-            a = np.where(opens[:, None], before, before @ self.move) if t == 0 else alpha[-1][:n] @ self.move
-            a = a * told[t]
-            c = a.sum(1)
-            alpha.append(a / c[:, None])
+        opens, before, after = opens[order], before[order], after[order].T
+        alpha, scale, told = [], [], []
+        for n, row in zip(alive, grid, strict=True):
+            here = self.told(row[:n])
+            a = self.move.T @ alpha[-1][:, :n] if alpha else np.where(opens, before.T, self.move.T @ before.T)
+            a *= here
+            c = a.sum(0)
+            a /= c
+            here /= c
+            alpha.append(a)
             scale.append(c)
-            total += float(np.log(c).sum())
-        beta = np.empty((0, k))
-        for t in range(len(alive) - 1, -1, -1):
-            n, m = alive[t], len(beta)
-            last = after[:n].copy()
-            if m:
-                onward = told[t + 1] * beta
-                told[t + 1] = None
-                last[:m] = onward @ self.move.T / scale[t + 1][:, None]
-            gamma = alpha[t] * last
-            norm = gamma.sum(1, keepdims=True)
+            told.append(here)
+        moves, beta = np.zeros((k, k)), np.empty((k, 0))
+        for a in reversed(alpha):
+            n, m = a.shape[1], beta.shape[1]
             if m:
-                moves += alpha[t][:m].T @ (onward / (scale[t + 1][:, None] * norm[:m]))
-            alpha[t], beta = gamma / norm, last
-        starts += alpha[0][opens].sum(0)
+                onward = told.pop()
+                onward *= beta
+                moves += a[:, :m] @ onward.T
+                beta = self.move @ onward
+            if m < n:  # stretches that end here; from here on a times beta sums to 1 at each of their steps
+                beta = np.concatenate([beta, after[:, m:n] / (a[:, m:] * after[:, m:n]).sum(0)], 1)
+            a *= beta
+        starts = alpha[0][:, opens].sum(1)
         if not opens.all():  # the steps between a text's stretches
-            onward = (told[0] * beta)[~opens]
+            onward = (told[0] * beta)[:, ~opens].T
             into = before[~opens]
             moves += into.T @ (onward / ((into @ self.move) * onward).sum(1, keepdims=True))
-        flat = np.concatenate([grid[t, :n] for t, n in enumerate(alive)]).astype(np.int64)
-        weight = np.concatenate(alpha)
-        for s in range(k):
-            emits[:, s] += np.bincount(flat, weight[:, s], len(emits))
-        return starts, moves * self.move, emits, np.array([total])
+        flat = np.concatenate([row[:n] for n, row in zip(alive, grid, strict=True)]).astype(np.int64)
+        emits = np.stack([np.bincount(flat, np.concatenate([a[s] for a in alpha]), len(self.emit)) for s in range(k)], 1)
+        return starts, moves * self.move, emits, np.array([np.log(np.concatenate(scale)).sum()])
 
     def next(self, starts: np.ndarray, moves: np.ndarray, emits: np.ndarray, frequencies: np.ndarray) -> Model:
         emit = emits + PRIOR * frequencies[:, None]
@@ -322,11 +326,12 @@ class Model:
             sizes = np.array([len(s) for s in some])
             joined, first = np.concatenate(some), np.cumsum(sizes) - sizes
             alive = np.searchsorted(-sizes, -np.arange(int(sizes[0])), "left")
-            logs, a = np.zeros(len(some)), np.broadcast_to(self.start, (len(some), len(self.start)))
+            logs, a = np.zeros(len(some)), np.repeat(self.start[:, None], len(some), 1)
             for t, n in enumerate(alive):
-                a = (a[:n] if t == 0 else a[:n] @ self.move) * self.emit[joined[first[:n] + t]]
-                c = a.sum(1)
-                a = a / c[:, None]
+                a = self.move.T @ a[:, :n] if t else a
+                a *= self.told(joined[first[:n] + t])
+                c = a.sum(0)
+                a /= c
                 logs[:n] += np.log(c)
             out[order[at:to]] = logs
             at = to

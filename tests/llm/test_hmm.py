@@ -63,6 +63,22 @@ def test_long_texts_stay_finite(monkeypatch):
     assert np.isclose(found[3][0], model.log_likelihoods(seqs).sum()) and np.isclose(found[2].sum(), sum(map(len, seqs)))
 
 
+def test_steps_work_along_columns():
+    """A row of contiguous entries for each state, a column for each text; the sums are those of a forward pass with the texts in rows."""
+    rng = np.random.default_rng(4)
+    model, seqs = small_model(8, 500), list(rng.integers(0, 500, (40, 300)).astype(np.uint16))
+    told = model.told(seqs[0])
+    assert told.shape == (8, 300) and told.flags.c_contiguous and np.array_equal(told, model.emit[seqs[0]].T)
+    a, total = model.start, 0.0
+    for t, symbols in enumerate(np.stack(seqs, 1)):
+        a = (a @ model.move if t else a) * model.emit[symbols]
+        total += np.log(a.sum(1)).sum()
+        a = a / a.sum(1, keepdims=True)
+    starts, moves, emits, found = model.expected(seqs)
+    assert np.isclose(found[0], total) and np.isclose(starts.sum(), 40) and np.isclose(moves.sum(), 40 * 299)
+    assert np.allclose(emits.sum(1), np.bincount(np.concatenate(seqs), minlength=500))
+
+
 def base(rows, folds=7, held=2):
     out = lambda d: zlib.crc32(str("" if d is None else d).encode()) % folds == held
     words = lambda t: [*(t or "").encode().translate(hmm.LOWER).split(), None]
