@@ -13,13 +13,15 @@ Links become components by alternating large-star and small-star steps, each wri
 folder. Only links between different fingerprints take part.
 
 ``keep_one`` has a rule of its own: texts are near copies if their sets of 5-word shingles have a
-Jaccard similarity of 0.8 or more. Such texts differ in about 10 bits of a fingerprint, too many for
-blocks, so candidates meet in min-hash bands: ROWS smallest values under as many random orders agree
-with probability similarity ** ROWS, so at 0.8 a pair shares none of BANDS bands once in 16,000.
-Candidates are verified on their exact sets, each first with one member of its bucket, then, only
-where a bucket is still of several components, with the members of the others. In a bucket of more
-than ``PAIRS_UP_TO`` members those must also share one of their rarest shingles, as all sets that
-are alike do, so that a bucket filled by boilerplate is never paired with itself.
+Jaccard similarity of 0.8 or more. Such texts differ in about 39 of the 256 bits of a wider
+fingerprint, too many for blocks of whole bits, so a block is known by its surest bit: of BLOCK
+sums of signed votes the place and sign of the largest, which small changes turn last. The sums are
+random directions through the 256 votes. KEYS keys of JOINED blocks each bring candidates together,
+the Hamming distance of the fingerprints is verified as above, at most APART bits, and what is left
+on the exact sets: each text first with one other of its buckets, then with the first of each, then,
+only where a bucket is still of several components, with the members of the others. In a bucket of
+more than ``PAIRS_UP_TO`` members those must also share one of their rarest shingles, as all sets
+that are alike do, so that a bucket filled by boilerplate is never paired with itself.
 
 Nulls: a null text is empty; a text without words has fingerprint zero and is linked like any
 other; a null id is never the smallest unless its component has no other. Repeated rows each give
@@ -30,6 +32,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import cache
 from itertools import combinations, repeat
 
 import numpy as np
@@ -41,8 +44,10 @@ from ledgerspark.llm.shared import LOWER, forget, staged, unused, utf8
 
 #: Bits in which linked fingerprints may differ, and the bucket size up to which all pairs of a bucket are looked at.
 DISTANCE, PAIRS_UP_TO = 2, 64
-#: Bands of ``keep_one`` and smallest values in each.
-BANDS, ROWS = 32, 6
+#: Words of 64 bits in a fingerprint of ``keep_one`` and the bits in which near copies' may differ.
+WIDE, APART = 4, 80
+#: Sums in a block, blocks, blocks joined to a key, and keys of a text.
+BLOCK, BLOCKS, JOINED, KEYS = 64, 448, 4, 448
 
 
 def shingle_hashes(words: list[bytes], width: int) -> np.ndarray:
@@ -144,20 +149,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
 
 
 def signatures(docs: DataFrame, id_col: str, text: str, width: int) -> DataFrame:
-    """Each row's ``id``, ``digest`` (MD5 of the text), ``node`` (hash of its set of shingles), the set's size ``n`` and its ``keys``, one for each band."""
+    """Each row's ``id``, ``digest`` (MD5 of the text), ``node`` (hash of its set of shingles), the set's size ``n``, its bits' ``votes`` and its fingerprint ``fp``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = []
             for one in batch.column(1):
                 own = shingle_set(one.as_py(), width)
-                found.append((hashlib.md5(one.as_py(), usedforsecurity=False).digest(), node_of(own), len(own), band_keys(own)))
-            columns = list(zip(*found, strict=True)) or [()] * 4
-            kinds = (pa.binary(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, columns, kinds)], ["id", "digest", "node", "n", "keys"])
+                sums = votes(own)
+                fp = np.packbits(sums > 0, bitorder="little").view(np.int64).tolist()
+                found.append((hashlib.md5(one.as_py(), usedforsecurity=False).digest(), node_of(own), len(own), stored(sums), fp))
+            columns = list(zip(*found, strict=True)) or [()] * 5
+            kinds = (pa.binary(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, columns, kinds)], ["id", "digest", "node", "n", "votes", "fp"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), utf8(text).alias("text")).mapInArrow(run, f"id {kind}, digest binary, node long, n long, keys array<long>")
+    return docs.select(F.col(id_col).alias("id"), utf8(text).alias("text")).mapInArrow(run, f"id {kind}, digest binary, node long, n long, votes binary, fp array<long>")
 
 
 def shingle_set(text: bytes, width: int) -> np.ndarray:
@@ -172,20 +179,66 @@ def node_of(own: np.ndarray) -> int:
     return found - (found >> 63 << 64)
 
 
-def band_keys(own: np.ndarray) -> list[int]:
-    """A hash of each band of ROWS smallest values, over BANDS * ROWS orders of the shingles; none for an empty set."""
-    import xxhash
+def votes(own: np.ndarray) -> np.ndarray:
+    """For each of WIDE * 64 bits, how many of the shingle hashes, mixed anew for each word, have it, less how many don't."""
+    ones = np.zeros(64 * WIDE, np.int64)
+    for at in range(0, len(own), 255):  # as many as fit a byte
+        words = np.empty((len(own[at : at + 255]), WIDE), np.uint64)
+        for k in range(WIDE):
+            x = (own[at : at + 255] + np.uint64(k)) * np.uint64(0x9E3779B97F4A7C15)
+            x = (x ^ x >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)
+            words[:, k] = x ^ x >> np.uint64(32)
+        ones += np.unpackbits(words.view(np.uint8), axis=1, bitorder="little").sum(0, dtype=np.uint8)
+    return 2 * ones - len(own)
+
+
+def stored(sums: np.ndarray) -> bytes:
+    """As 16-bit integers, in proportion if one of them is larger."""
+    return np.rint(sums / max(1.0, np.abs(sums).max() / 32767)).astype(np.int16).tobytes()
+
 
-    if not len(own):
-        return []
+@cache
+def directions() -> tuple[np.ndarray, np.ndarray]:
+    """The BLOCKS * BLOCK random directions, as columns, and the blocks of each key."""
     rng = np.random.default_rng(11)
-    flip, odd = rng.integers(0, 1 << 64, (2, BANDS * ROWS), np.uint64)
-    odd |= np.uint64(1)
-    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max)
-    for at in range(0, len(own), 1024):  # bounded memory for very long texts
-        least = np.minimum(least, ((own[at : at + 1024, None] ^ flip) * odd).min(0))
-    found = [xxhash.xxh64_intdigest(band.tobytes(), k) for k, band in enumerate(least.reshape(BANDS, ROWS))]
-    return [f - (f >> 63 << 64) for f in found]
+    picked = np.concatenate([rng.permutation(BLOCKS).reshape(-1, JOINED) for _ in range(-(-KEYS * JOINED // BLOCKS))])[:KEYS]
+    return rng.standard_normal((64 * WIDE, BLOCKS * BLOCK), np.float32), picked
+
+
+def block_keys(sums: np.ndarray) -> np.ndarray:
+    """Each row of votes' KEYS keys: which it is, then the surest bit, place and sign, of each of its blocks."""
+    along, picked = directions()
+    sure = np.empty((len(sums), BLOCKS), np.int64)
+    for at in range(0, BLOCKS, 16):  # bounded memory
+        some = (sums.astype(np.float32) @ along[:, at * BLOCK : (at + 16) * BLOCK]).reshape(len(sums), -1, BLOCK)
+        most, least = some.argmax(2), some.argmin(2)
+        up = np.take_along_axis(some, most[:, :, None], 2)[:, :, 0] >= -np.take_along_axis(some, least[:, :, None], 2)[:, :, 0]
+        sure[:, at : at + 16] = np.where(up, most, BLOCK + least)
+    keys = np.broadcast_to(np.arange(KEYS), (len(sums), KEYS))
+    for j in range(JOINED):
+        keys = keys * (2 * BLOCK) + sure[:, picked[:, j]]
+    return keys
+
+
+def dealt(distinct: DataFrame) -> DataFrame:
+    """``node`` and ``key``, a row for each key of each node that has shingles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, len(batch), 512):  # bounded memory
+                part = batch.slice(at, 512)
+                keys = block_keys(np.frombuffer(b"".join(part.column(1).to_pylist()), np.int16).reshape(len(part), -1))
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(part.column(0).to_numpy(), KEYS)), pa.array(keys.ravel())], ["node", "key"])
+
+    return distinct.filter("n > 0").select("node", "votes").mapInArrow(run, "node long, key long")
+
+
+def close(pairs: DataFrame, prints: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose fingerprints differ in at most APART bits, and whose sets' sizes don't rule out that they are alike."""
+    of = lambda side: prints.select(F.col("node").alias(side), F.col("n").alias(f"n_{side}"), F.col("fp").alias(f"fp_{side}"))
+    apart = " + ".join(f"bit_count(fp_a[{i}] ^ fp_b[{i}])" for i in range(WIDE))
+    fits = F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * similarity
+    return pairs.join(of("a"), "a").join(of("b"), "b").filter(fits & F.expr(f"{apart} <= {APART}")).select("a", "b")
 
 
 def shingle_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text: str, width: int) -> DataFrame:
@@ -245,33 +298,37 @@ def rarest(nodes: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
 def near_groups(docs: DataFrame, id_col: str, text: str, width: int, similarity: float) -> DataFrame:
     """``id``, ``digest`` of the text and ``root`` of each row; rows with one root are reachable over pairs of texts that are ``similarity`` alike."""
     found = staged(signatures(docs, id_col, text, width), "signatures")
-    distinct = staged(found.groupBy("node").agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id")).alias("first"), F.any_value("n").alias("n"), F.any_value("keys").alias("keys")), "signatures-distinct")
-    dealt = distinct.select("node", "n", F.explode("keys").alias("key"))
-    leaders = dealt.groupBy("key").agg(F.min(F.struct("node", "n")).alias("first"), F.count("*").alias("size")).filter("size > 1")
-    leaders = staged(leaders.select("key", F.col("first.node").alias("b"), F.col("first.n").alias("bn")), "bucket-leaders")
-    shared = staged(dealt.join(leaders, "key"), "buckets")
-    wanted = distinct.join(shared.select("node").distinct(), "node").select(F.col("first.id").alias("id"), "node")
+    first = F.min(F.struct(F.col("id").isNull().alias("last"), "id")).alias("first")
+    distinct = staged(found.groupBy("node").agg(first, *(F.any_value(c).alias(c) for c in ("n", "votes", "fp"))), "signatures-distinct")
+    prints = distinct.select("node", "n", "fp")
+    bucket = Window.partitionBy("key")
+    shared = dealt(distinct).withColumn("b", F.min("node").over(bucket)).withColumn("members", F.count("*").over(bucket))
+    shared = staged(shared.filter("members > 1"), "buckets")
+    stars = staged(close(shared.filter("node <> b").select(F.col("node").alias("a"), "b").distinct(), prints, similarity), "stars")
+    wanted = stars.select(F.col("a").alias("node")).union(stars.select("b")).union(shared.filter("members > 2").select("node")).distinct()
+    wanted = distinct.join(wanted, "node").select(F.col("first.id").alias("id"), "node")
     sets = shingle_sets(docs, wanted, id_col, text, width)
 
-    def sizes(x: str, y: str):  # sets whose sizes differ by more can't be alike
-        return F.least(x, y) >= F.greatest(x, y) * similarity
-
-    # each member with its bucket's first; then pairs that share a bucket but no component yet
-    stars = staged(shared.filter((F.col("node") != F.col("b")) & sizes("n", "bn")).select(F.col("node").alias("a"), "b").distinct(), "stars")
-    edges = alike(stars, sets, similarity)
+    # each text with the smallest of its buckets' firsts, then with those of other components; then pairs that share a bucket but no component yet
+    edges = alike(stars.groupBy("a").agg(F.min("b").alias("b")), sets, similarity)
+    roots = staged(components(edges), "near-roots")
+    of = lambda side: roots.select(F.col("node").alias(side), F.col("root").alias(f"root_{side}"))
+    more = stars.join(of("a"), "a", "left").join(of("b"), "b", "left").filter(F.coalesce("root_a", "a") != F.coalesce("root_b", "b"))
+    edges = edges.unionByName(alike(more.select("a", "b"), sets, similarity))
     roots = components(edges)
-    placed = shared.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    placed = staged(placed, "buckets-placed")
-    open_ = F.min("root") != F.max("root")
-    mixed = placed.groupBy("key").agg(open_.alias("open"), F.count("*").alias("members")).filter("open").select("key", "members")
+    placed = shared.filter("members > 2").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    placed = staged(placed.select("node", "root", "key", "b", "members"), "buckets-placed")
+    mixed = placed.groupBy("key").agg((F.min("root") != F.max("root")).alias("open")).filter("open").select("key")
     open_ = staged(placed.join(mixed, "key").filter("node <> b"), "buckets-open")
     x, y = (open_.filter(F.col("members") <= PAIRS_UP_TO).alias(side) for side in "xy")
-    rest = x.join(y, F.expr("x.key = y.key AND x.node < y.node AND x.root <> y.root") & sizes("x.n", "y.n"))
+    rest = x.join(y, F.expr("x.key = y.key AND x.node < y.node AND x.root <> y.root"))
     rest = rest.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
-    rare = rarest(open_.filter(F.col("members") > PAIRS_UP_TO).select("node", "n", "root").distinct(), sets, similarity)
+    crowded = open_.filter(F.col("members") > PAIRS_UP_TO).select("node", "root").distinct().join(prints.select("node", "n"), "node")
+    rare = rarest(crowded.select("node", "n", "root"), sets, similarity)
     x, y = rare.alias("x"), rare.alias("y")
-    met = x.join(y, F.expr("x.shingle = y.shingle AND x.node < y.node AND x.root <> y.root") & sizes("x.n", "y.n"))
-    rest = staged(rest.unionByName(met.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))).distinct(), "bucket-pairs")
+    met = x.join(y, F.expr("x.shingle = y.shingle AND x.node < y.node AND x.root <> y.root") & (F.least("x.n", "y.n") >= F.greatest("x.n", "y.n") * similarity))
+    rest = rest.unionByName(met.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))).distinct()
+    rest = staged(close(rest, prints, similarity), "bucket-pairs")
     roots = components(edges.unionByName(alike(rest, sets, similarity)))
 
     final = distinct.select("node").join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"))

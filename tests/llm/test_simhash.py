@@ -171,3 +171,16 @@ def test_keep_one_in_buckets_of_boilerplate(spark, monkeypatch, up_to):
 def test_keep_one_of_a_table(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
     assert sorted(r.doc_id for r in simhash.keep_one(docs).collect()) == plain_kept([(r.doc_id, r.text) for r in docs.collect()])
+
+
+def test_near_copies_meet_by_fingerprints():
+    """Sets at a similarity of 0.8 share a key of surest bits and lie within APART bits; unrelated sets do neither."""
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    pool = rng.integers(0, 1 << 63, (200, 333), np.uint64)
+    one, other, apart = (np.array([simhash.votes(p[at]) for p in pool]) for at in (slice(0, 300), slice(33, 333), slice(300, 333)))
+    keys = [simhash.block_keys(v) for v in (one, other, apart)]
+    assert (keys[0] == keys[1]).any(1).all() and (keys[0] == keys[2]).any(1).mean() < 0.1
+    distance = lambda x, y: ((x > 0) != (y > 0)).sum(1)
+    assert distance(one, other).max() <= simhash.APART < distance(one, apart).min()
