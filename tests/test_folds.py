@@ -94,6 +94,20 @@ def test_outcomes_without_pairs(spark, monkeypatch):
     assert {r.txn_id: r.status for r in duplicates.resolve(df).collect()} == want and set(want.values()) == {"accepted", "probable", "exact"}
 
 
+def test_assessments_score_classes_not_pairs(spark, monkeypatch):
+    """All pairs with their scores and reasons, though arrays of equal rows are scored, however small these arrays are; one table and two."""
+    df = spark.createDataFrame(crowded(), "txn_id long, source_fingerprint string, account_id long, txn_date date, amount int, text string, external_id string")
+    few, most = df.filter("txn_id % 3 = 0"), df.filter("txn_id % 3 <> 0")
+    want = [sorted(map(tuple, duplicates.assess(duplicates.pairs(new, old)).collect())) for new, old in ((df, df), (few, most))]
+    assert {w[3] for w in want[0]} == {"unique", "probable", "exact"}
+    monkeypatch.setattr(duplicates, "pairs", None)
+    for held, meeting in ((1_000, 8), (2, 1), (1, 2)):
+        monkeypatch.setattr(duplicates, "HELD", held)
+        monkeypatch.setattr(duplicates, "MEETING", meeting)
+        assert [sorted(map(tuple, duplicates.assessments(new, old).collect())) for new, old in ((df, df), (few, most))] == want
+    assert duplicate_queries.duplicate_assessments(spark, DIR).count() > 0
+
+
 def test_a_pair_is_found_once(spark):
     """Rows of one source, external id and amount meet in all three joins and are one pair."""
     df = spark.createDataFrame(crowded(), "txn_id long, source_fingerprint string, account_id long, txn_date date, amount int, text string, external_id string")
