@@ -19,15 +19,18 @@ def once(value: Column, f: Callable[[Column], Column]) -> Column:
 
 
 def parse_date(text: Column) -> Column:
-    return once(F.trim(text), lambda t: F.coalesce(*(F.when(t.rlike(shape), F.try_to_date(t, f)) for f, shape in zip(DATE_FORMATS, _SHAPES, strict=True))))
+    text = F.trim(text)  # cheaper again than once in a lambda, which isn't compiled
+    return F.coalesce(*(F.when(text.rlike(shape), F.try_to_date(text, f)) for f, shape in zip(DATE_FORMATS, _SHAPES, strict=True)))
 
 
 def parse_amount(text: Column) -> Column:
     """Signed amount: brackets and DR are negative, currency signs and apostrophes go, one decimal mark, thousands in groups of three.
 
     Half-even to two places. A lone mark with a tail of three digits parts thousands; with one or two, it is the decimal mark.
+    A plain number is read as it is, and nothing is asked of a missing one: the rest is a lambda, which isn't compiled.
     """
-    return once(F.upper(F.regexp_replace(F.trim(text), r"[\s'’£]|GBP", "")), _amount)
+    other = once(F.upper(F.regexp_replace(F.trim(text), r"[\s'’£]|GBP", "")), _amount)
+    return F.when(text.rlike(r"^[0-9]+\.[0-9]{1,2}\z"), text.try_cast("decimal(18,2)")).when(text.isNotNull(), other)
 
 
 def _amount(raw: Column) -> Column:

@@ -112,11 +112,15 @@ def normalise(rows: DataFrame, *keep: str) -> DataFrame:
     """
     raw = ("transaction_date", "posting_date", "description", "amount", "debit", "credit", "balance", "currency", "external_id", "transaction_type")
     once = lambda name, **parts: F.explode(F.array(F.struct(*(c.alias(n) for n, c in parts.items())))).alias(name)
-    # a row of its own for cleaned texts and for values: what is used several times is not computed again
-    texts = rows.select("*", once("_c", text=strip_bank_noise(clean(F.col("description"))), **{c: tx.clean(F.col(c)) for c in raw if c != "description"}))
+    # a row of its own for cleaned texts and for values: what is used several times is not computed again; the description
+    # has its own, for the JVM leaves generated methods beyond 8,000 bytes uncompiled
+    texts = rows.select("*", once("_t", text=strip_bank_noise(clean(F.col("description")))))
+    texts = texts.select("*", once("_c", **{c: tx.clean(F.col(c)) for c in ("transaction_date", "posting_date", "amount", "debit", "credit", "balance")}))
     c = lambda name: F.col(f"_c.{name}")
     read = {"date": mn.parse_date(c("transaction_date")), "posting": mn.parse_date(c("posting_date")), **{k: mn.parse_amount(c(k)) for k in ("amount", "debit", "credit", "balance")}}
-    cleaned = texts.select("*", once("_v", **read)).withColumn("_text", c("text"))
+    # values are made before their row is: Spark reads a lambda inside explode without compiling what stands around it
+    made = texts.select("*", F.struct(*(v.alias(k) for k, v in read.items())).alias("_made"))
+    cleaned = made.select("*", F.explode(F.array("_made")).alias("_v")).withColumn("_text", F.col("_t.text"))
     blank = lambda name: c(name).isNull() | (c(name) == "")
     date, posting, one, debit, credit, balance = (F.col(f"_v.{k}") for k in read)
     amount, amount_error = mn.signed(one, debit, credit)

@@ -29,11 +29,11 @@ def rows(found: DataFrame, account: Column, currency: Column, document: str, pag
     return statement_text.review_reasons(read, F.col("source_type"), least)
 
 
-def documents(stated: DataFrame, prepared: DataFrame, evidence: DataFrame, key: str = "document_id", tolerance: str = "0.01") -> DataFrame:
+def documents(stated: DataFrame, prepared: DataFrame, evidence: DataFrame | None, key: str = "document_id", tolerance: str = "0.01") -> DataFrame:
     """One row for each document: its rows, what is to be confirmed, its reconciliation, and the ``violation`` of balances without evidence.
 
     ``stated``: ``key``, opening_balance and closing_balance as parsed, or null. ``prepared``: from ``rows``. ``evidence``: ``balance_lines`` with
-    ``key``. A document without rows has zero of them and a movement of zero; one without balances can't be reconciled.
+    ``key``, or None where ``stated`` comes from ``summed_balances``, which has read them. A document without rows has zero of them and a movement of zero; one without balances can't be reconciled.
     Rows and evidence are aggregated by document before they meet it, so a document of any size is one row of each join.
     """
     counts = prepared.groupBy(F.col("document_id").alias(key)).agg(
@@ -41,13 +41,13 @@ def documents(stated: DataFrame, prepared: DataFrame, evidence: DataFrame, key:
         F.coalesce(F.sum("amount"), F.lit(0)).cast("decimal(38,2)").alias("movement"), F.count_if(F.col("amount").isNull()).alias("unread"),
         F.some("ambiguous_date").alias("confirm_date_format"), F.some("sided").alias("confirm_signs"),
     )
+    if evidence is not None:
+        stated = stated.select(key, *(c for _, c in SIDES)).join(statement_text.summed_balances(evidence, key), key, "left")
     # a balance that was parsed is among the lines that state one
-    parsed = stated.select(key, F.explode(F.array(*(F.struct(F.lit(kind).alias("kind"), F.col(c).cast("decimal(18,2)").alias("amount")) for kind, c in SIDES))).alias("b"))
-    parsed = parsed.select(key, "b.kind", "b.amount").filter("amount IS NOT NULL")
-    read = evidence.filter("amount IS NOT NULL").select(key, "kind", F.col("amount").cast("decimal(18,2)").alias("amount")).distinct()
-    unproven = parsed.join(read, [key, "kind", "amount"], "left_anti").select(key).distinct().withColumn("_unproven", F.lit(True))
-    lines = evidence.groupBy(key).agg(F.count("*").alias("balance_lines"), F.count("issue").alias("unread_balances"))
-    both = stated.select(key, *(c for _, c in SIDES)).join(counts, key, "left").join(lines, key, "left").join(unproven, key, "left")
+    said = [F.when(F.col(c).isNotNull(), ~F.array_contains("proven", F.struct(F.lit(kind).alias("kind"), F.col(c).cast("decimal(18,2)").alias("amount")))) for kind, c in SIDES]
+    unproven = F.when(F.col("proven").isNull(), F.coalesce(*(c for _, c in SIDES)).isNotNull()).otherwise(F.coalesce(said[0], F.lit(False)) | F.coalesce(said[1], F.lit(False)))
+    both = stated.select(key, *(c for _, c in SIDES), "balance_lines", "unread_balances", unproven.alias("_unproven")).join(counts, key, "left")
+    both = both.select(key, *(c for _, c in SIDES), *(c for c in counts.columns if c != key), "balance_lines", "unread_balances", "_unproven")
     zeros = ("rows", "rows_to_review", "low_confidence", "movement", "unread", "balance_lines", "unread_balances")
     both = both.withColumns({c: F.coalesce(c, F.lit(0).cast(both.schema[c].dataType)) for c in zeros} | {c: F.coalesce(c, F.lit(False)) for c in ("confirm_date_format", "confirm_signs")})
     return reconciled(both, tolerance).withColumn("violation", F.when(F.col("_unproven"), "balance_evidence_missing")).drop("_unproven")

@@ -16,13 +16,15 @@ from ledgerspark.sources import csv_statements, statement_text
 
 def _documents(spark, d):
     """Opening balances are missing for every eleventh; closing ones are missing, right, off, unreadable, or stated twice. The first amount of every seventh can't be read."""
-    rows = read(spark, d, "lineitem").withColumn("n", F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_shipdate", "l_partkey", "l_extendedprice")))
+    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_shipdate", "l_partkey", "l_extendedprice")
+    rows = read(spark, d, "lineitem").withColumn("n", F.row_number().over(order))
     key, cents = F.col("l_orderkey"), F.col("l_extendedprice").cast("decimal(18,2)")
     day = F.date_format(F.col("l_shipdate").cast("date"), "dd/MM/yyyy")
     day = F.when(key % 2 == 0, day).otherwise(F.date_format(F.col("l_shipdate").cast("date"), "yyyy-MM-dd"))
     said = F.when((key % 7 == 0) & (F.col("n") == 1), "n/a").otherwise(cents.cast("string"))
     line = F.concat(day, F.lit(" | part "), F.col("l_partkey").cast("string"), F.lit(" | "), said, F.lit(" |"), F.when(F.col("n") % 2 == 0, "\n | delivered late | |").otherwise(""))
-    body = rows.groupBy(key.alias("document")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("n", line.alias("line")))), lambda x: x["line"]), "\n").alias("body"), F.sum(cents).cast("decimal(18,2)").alias("sum"))
+    whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)  # the order of the window before: nothing is sorted again
+    body = rows.select(key.alias("document"), "n", F.array_join(F.collect_list(line).over(whole), "\n").alias("body"), F.sum(cents).over(whole).cast("decimal(18,2)").alias("sum")).filter("n = 1")
     key = F.col("document")
     closing = (key + 0.5).cast("decimal(18,2)") + F.when(key % 3 == 0, -F.col("sum")).otherwise(F.col("sum"))
     right = lambda off: F.concat(F.lit("Closing balance : "), (closing + F.lit(off).cast("decimal(18,2)")).cast("string"))
@@ -54,9 +56,9 @@ def review_rows(spark, d):
 def review_documents(spark, d):
     """Every thirteenth document's closing balance was parsed a pound too high, which no line of it states."""
     pages, rows, evidence = _prepared(spark, d)
-    parsed = pages.select("document").join(statement_text.stated_balances(evidence, "document", "page", "line_number"), "document", "left")
+    parsed = pages.select("document").join(statement_text.summed_balances(evidence, "document", "page", "line_number"), "document", "left")
     parsed = parsed.withColumn("closing_balance", F.col("closing_balance") + F.when(F.col("document") % 13 == 0, 1).otherwise(0)).withColumn("closing_balance", F.col("closing_balance").cast("decimal(18,2)"))
-    told = preparation.documents(parsed, rows, evidence, "document")
+    told = preparation.documents(parsed, rows, None, "document")
     return told.drop("unread", "opening_balance", "closing_balance")
 
 

@@ -33,6 +33,7 @@ _BALANCE = r"(?i)\b(opening|closing)\s+balance\s*:?\s*(.+?)\s*$"
 
 def balance_lines(lines: DataFrame, key: str, page: str, text: str = "text") -> DataFrame:
     """Every line (``key``, ``page``, ``line_number``, ``text``, perhaps ``confidence``) that states a balance, with its ``amount`` or the ``issue`` that it can't be read."""
+    lines = lines.filter(F.contains(F.lower(text), F.lit("balance")))  # few lines are worth the patterns
     trimmed = F.trim(text)
     kind, raw = F.lower(F.regexp_extract(trimmed, _BALANCE, 1)), F.regexp_extract(trimmed, _BALANCE, 2)
     more = [c for c in ("confidence",) if c in lines.columns]
@@ -46,6 +47,14 @@ def stated_balances(evidence: DataFrame, key: str, *order: str) -> DataFrame:
     return evidence.groupBy(key).agg(*(F.max_by(of(k, F.col("amount")), of(k, F.struct(*order))).alias(f"{k}_balance") for k in ("opening", "closing")))
 
 
+def summed_balances(evidence: DataFrame, key: str, *order: str) -> DataFrame:
+    """``stated_balances`` with what their lines prove: ``balance_lines``, ``unread_balances``, and the different balances read (``proven``), in one pass."""
+    of = lambda k, c: F.when((F.col("kind") == k) & F.col("amount").isNotNull(), c)
+    last = [F.max_by(of(k, F.col("amount")), of(k, F.struct(*order))).alias(f"{k}_balance") for k in ("opening", "closing")] if order else []
+    read = F.when(F.col("amount").isNotNull(), F.struct("kind", F.col("amount").cast("decimal(18,2)").alias("amount")))
+    return evidence.groupBy(key).agg(*last, F.count("*").alias("balance_lines"), F.count("issue").alias("unread_balances"), F.collect_set(read).alias("proven"))
+
+
 def balances(pages: DataFrame, key: str, text: str = "text") -> DataFrame:
     """Opening and closing balance of each text that states one: the last line of its kind that can be read wins."""
     lines = pages.select(key, F.lit(1).alias("_page"), F.posexplode(F.split(text, "\n")).alias("line_number", "_line"))
@@ -125,10 +134,11 @@ def _rows(cells: DataFrame, key: str) -> DataFrame:
     """Rows with the lines that follow them joined, numbered within the page; a line before any row is left out."""
     order = Window.partitionBy(key).orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
     cells = cells.withColumn("row_number", F.sum(F.when(F.col("follows"), 0).otherwise(1)).over(order)).filter("row_number > 0")
-    said = F.filter(F.sort_array(F.collect_list(F.struct("at", "description"))), lambda x: x["description"].isNotNull())
-    text_of = F.nullif(F.array_join(F.transform(said, lambda x: x["description"]), "\n"), F.lit("")).alias("description")
-    first = [F.first(f, ignorenulls=True).alias(f) for f in ALIASES if f != "description"]
-    return cells.groupBy(key, "row_number").agg(text_of, *first, F.sort_array(F.collect_list("at")).alias("lines"))
+    # each row has one line that doesn't follow, its first: it is given what the row's lines have, without grouping them anew
+    row = Window.partitionBy(key, "row_number").orderBy("at").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    text_of = F.nullif(F.array_join(F.collect_list("description").over(row), "\n"), F.lit("")).alias("description")
+    first = [F.first(f, ignorenulls=True).over(row).alias(f) for f in ALIASES if f != "description"]
+    return cells.select(key, "row_number", text_of, *first, F.collect_list("at").over(row).alias("lines"), "follows").filter("NOT follows").drop("follows")
 
 
 def grid_rows(pages: DataFrame, key: str, tables: str = "tables") -> DataFrame:
@@ -157,12 +167,15 @@ def candidates(found: DataFrame, account: Column, currency: Column, key: str, *k
 
 def recognised_lines(found: DataFrame, lines: DataFrame, key: str) -> DataFrame:
     """Rows of ``table_rows`` with the recognised line (``key``, ``line``, ``text``, ``confidence``) that holds their date: the first, else the one of the row's number; and each field's confidence and text."""
-    own, said = found.withColumn("_date", F.lower("transaction_date")), lines.select(key, "line", F.lower("text").alias("_text"), "confidence")
-    held = own.join(said, key)  # lines of one page
+    said = lines.select(key, "line", F.lower("text").alias("_text"), "confidence")
+    own = found.select(key, "row_number", F.lower("transaction_date").alias("_date"), F.struct(*found.columns).alias("_row"))
+    held = own.join(said, key, "left")  # lines of one page
     match = F.contains(F.col("_text"), F.col("_date"))
-    best = held.groupBy(key, "row_number").agg(F.min_by(F.struct("line", "confidence"), F.struct(F.when(match, 0).otherwise(1), F.when(match, F.col("line")).otherwise(F.abs(F.col("line") - F.col("row_number"))), "line")).alias("m"))
+    order = F.struct(F.when(match, 0).otherwise(1), F.when(match, F.col("line")).otherwise(F.abs(F.col("line") - F.col("row_number"))), "line")
+    # a row comes with its best line: it is not made again to be joined with it
+    best = held.groupBy(key, "row_number").agg(F.first("_row").alias("_row"), F.min_by(F.struct("line", "confidence"), order).alias("m")).select("_row.*", "m")
     each = F.array(*(F.struct(F.lit(f).alias("field"), F.col("m.confidence").alias("confidence"), v.alias("value")) for f, v in (("transaction_date", F.col("transaction_date")), ("description", F.col("description")), ("amount", F.coalesce("amount", "debit", "credit")), ("balance_after", F.col("balance")))))
-    return found.join(best, [key, "row_number"], "left").select(*found.columns, F.col("m.line").alias("line"), F.filter(each, lambda x: x["value"].isNotNull()).alias("confidences"))
+    return best.select(*found.columns, F.col("m.line").alias("line"), F.filter(each, lambda x: x["value"].isNotNull()).alias("confidences"))
 
 
 def review_reasons(rows: DataFrame, source: Column | None = None, least: float = 0.85) -> DataFrame:

@@ -1,14 +1,17 @@
 """Reviews against plain versions: decisions taken one by one, and documents prepared for a review."""
 
 import random
+import re
 from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
 
 from ledgerspark.operators import preparation, review, suggestions
+from ledgerspark.plans import review_queries
 from ledgerspark.sources import statement_text
 
+DIR = "/root/testdata/sf0.001"
 MADE = "suggestion_id long, txn_id long, counterpart_id long, suggested_role string, counterpart_role string, status string, reviewed_at long"
 
 
@@ -99,10 +102,39 @@ def test_prepared_documents(spark):
         (2, 1, "unavailable", None, None, True), (0, 0, "reconciled", 0, None, False), (0, 0, "unavailable", None, None, False), (0, 0, "unavailable", None, "balance_evidence_missing", False),
     ]
     assert (got[1].balance_lines, got[1].unread_balances, got[1].unread) == (3, 1, 1)
+    summed = stated.join(statement_text.summed_balances(evidence, "doc"), "doc", "left")  # the lines are read once
+    assert {r.doc: r for r in preparation.documents(summed, rows, None, "doc").collect()} == got
     with pytest.raises(ValueError, match="above zero"):
         preparation.rows(found, F.lit(1), F.lit("GBP"), "doc", "doc", F.lit("ocr_pdf"), 0)
 
 
+def test_documents_are_made_few_times_and_read_by_compiled_code(spark, capsys):
+    """Documents are derived for their rows, recognised lines and balances; no generated method is too large for the JVM to compile."""
+    told = review_queries.review_documents(spark, DIR)
+    assert told._jdf.queryExecution().optimizedPlan().toString().count("Relation [") <= 5
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        review_queries.review_documents(spark, DIR).explain("codegen")
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    sizes = [int(size) for size in re.findall(r"maxMethodCodeSize:(\d+)", capsys.readouterr().out)]
+    assert len(sizes) > 10 and max(sizes) < 8000
+
+
+def test_recognised_lines_keep_rows_without_any(spark):
+    """A row of a page of which no line was recognised stays, and so does one without a date."""
+    text = "Date | Description | Amount\n03/04/2026 | Shop | -2.00\n | Fee | -1.00"
+    found = statement_text.table_rows(spark.createDataFrame([(1, text), (2, text)], "page int, text string"), "page")
+    lines = spark.createDataFrame([(1, 2, "03/04/2026 Shop -2.00", 0.9), (1, 3, "Fee -1.00", 0.5)], "page int, line int, text string, confidence double")
+    got = statement_text.recognised_lines(found, lines, "page")
+    assert got.columns == [*found.columns, "line", "confidences"]
+    assert sorted((r.page, r.row_number, r.line, tuple((c.field, c.confidence) for c in r.confidences)) for r in got.collect()) == [
+        (1, 1, 2, (("transaction_date", 0.9), ("description", 0.9), ("amount", 0.9))), (1, 2, 2, (("description", 0.9), ("amount", 0.9))),
+        (2, 1, None, (("transaction_date", None), ("description", None), ("amount", None))), (2, 2, None, (("description", None), ("amount", None))),
+    ]
+
+
 def test_reconciling_signs(spark):
     """The difference is what the statement says too much; unread amounts and missing balances leave none."""
     stated = spark.createDataFrame([(1, Decimal(10), Decimal(15)), (2, Decimal(10), None), (3, Decimal(1), Decimal(1)), (4, Decimal(0), Decimal(0))], "k int, opening_balance decimal(18,2), closing_balance decimal(18,2)")
